@@ -160,7 +160,7 @@ def detect(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataF
 def digest(found: DataFrame, row_id: str = "doc_id") -> DataFrame:
     """Counts of the base kinds, a hash of the base spans and all spans as text, of each row of `detect`."""
     line = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    count = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     return found.select(row_id, *count, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
