@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, personal_data, quality_rules, url_rules, vector_search
-from tessera.llm.common import table
+from tessera.llm import byte_bpe, language_id, personal_data, quality_model, quality_rules, url_rules, vector_search
+from tessera.llm.common import materialize, table
 
+#: The folds that labels may be learned from leave out these remainders of the id's checksum.
+LANGUAGE_HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+QUALITY_HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -31,6 +34,19 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.detect(table(spark, sf_dir, "documents")))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(quality_model.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").where(~F.expr(QUALITY_HELD_OUT)).select("doc_id", "quality")
+    scored = quality_model.predict(rows, quality_model.fit(rows.join(labels, "doc_id")))
+    return scored.select("doc_id", F.expr(QUALITY_HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs, ~F.expr(LANGUAGE_HELD_OUT)))
+    return found.select("doc_id", F.expr(LANGUAGE_HELD_OUT).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -40,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_personal_data": op6_personal_data,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
 }
 
