@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, language_id, personal_data, quality_model, quality_rules, url_rules, vector_search
+from tessera.llm import byte_bpe, jaccard_join, language_id, personal_data, quality_model, quality_rules, url_rules, vector_search
 from tessera.llm.common import materialize, table
 
 #: The folds that labels may be learned from leave out these remainders of the id's checksum.
@@ -17,6 +17,10 @@ QUALITY_HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -52,6 +56,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
