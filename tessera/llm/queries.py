@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, jaccard_join, language_id, personal_data, quality_model, quality_rules, url_rules, vector_search
+from tessera.llm import byte_bpe, html_text, jaccard_join, language_id, personal_data, quality_model, quality_rules, url_rules, vector_search
 from tessera.llm.common import materialize, table
 
 #: The folds that labels may be learned from leave out these remainders of the id's checksum.
@@ -34,6 +34,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.detect(table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_top_k_search": op2_top_k_search,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_html_text": op5_html_text,
     "op6_personal_data": op6_personal_data,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
