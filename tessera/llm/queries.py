@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, html_text, jaccard_join, language_id, personal_data, quality_model, quality_rules, url_rules, vector_search
+from tessera.llm import byte_bpe, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_search
 from tessera.llm.common import materialize, table
 
 #: The folds that labels may be learned from leave out these remainders of the id's checksum.
 LANGUAGE_HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 QUALITY_HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
+#: Domains of the mixture (quality and toxicity of the labelled documents) and their shares of its tokens.
+DOMAIN = "concat('q', quality, 't', toxic)"
+DOMAIN_WEIGHTS = {"q1t0": 0.97, "q0t0": 0.02, "q1t1": 0.007, "q0t1": 0.003}
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -59,6 +62,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), DOMAIN_WEIGHTS, full="q1t0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
