@@ -33,6 +33,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import slices
 
@@ -264,10 +265,11 @@ def _send_ranks(spark: SparkSession, ranks_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", offsets: str = "offsets") -> DataFrame:
-    """`docs` with the text's ids and the tokens' byte offsets (one more than ids: the text's end)."""
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets") -> DataFrame:
+    """`docs` with the text's ids and the tokens' byte offsets (one more than ids: the text's end; none if None)."""
     sent = _send_ranks(docs.sparkSession, ranks_path)
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
     schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids, offsets)])
     keep = schema.columns
 
@@ -278,13 +280,15 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
             for lo, hi in slices(texts, len, CHARS):
                 got = e.encode(texts[lo:hi])
                 part = b.slice(lo, hi - lo)
-                cols = [part.column(docs.columns.index(c)) for c in keep]
-                cols += [pa.array(got, pa.list_(pa.int32())), pa.array([e.offsets(g) for g in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, ids, offsets])
-
-    from pyspark.sql import types as T
-
-    out = T.StructType([*schema.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.LongType()))])
+                cols = [part.column(names.index(c)) for c in keep]
+                cols.append(pa.array(got, pa.list_(pa.int32())))
+                if offsets:
+                    cols.append(pa.array([e.offsets(g) for g in got], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(cols, fields)
+
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(offsets, T.ArrayType(T.LongType()))] if offsets else [])
+    out = T.StructType([*schema.schema.fields, *more])
+    fields = out.names
     return docs.mapInArrow(run, out)
 
 
@@ -293,7 +297,6 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     sent = _send_ranks(rows.sparkSession, ranks_path)
     names = rows.columns
     at = names.index(ids)
-    from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_for(sent.value)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import per_doc, slices
 
@@ -163,6 +164,22 @@ def fit(docs: DataFrame, learn: Column, weigh_rows: int = 250) -> CodeModel:
     return model
 
 
+def decide(model: CodeModel, texts: list[str], gap: float) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and whether it is ambiguous, of each text."""
+    names, score, unclear = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    if not model.languages:
+        return names, score, unclear
+    for lo, hi in slices(texts, len, CHARS):
+        s = model.shares(model.margins(texts[lo:hi]))
+        best = s.argmax(1)
+        second = np.sort(s, 1)[:, -2] if s.shape[1] > 1 else np.zeros(hi - lo)
+        for i in range(lo, hi):
+            if any(map(str.isalpha, texts[i])):
+                top = float(s[i - lo, best[i - lo]])
+                names[i], score[i], unclear[i] = model.languages[best[i - lo]], top, bool(top - second[i - lo] < gap)
+    return names, score, unclear
+
+
 def predict(docs: DataFrame, model: CodeModel, gap: float = 0.1, row_id: str = "doc_id") -> DataFrame:
     """row_id, lang_pred, score and ambiguous of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -171,17 +188,25 @@ def predict(docs: DataFrame, model: CodeModel, gap: float = 0.1, row_id: str = "
         m = sent.value
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in slices(texts, len, CHARS):
-                part = texts[lo:hi]
-                names, score, unclear = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part), bool)
-                if m.languages:
-                    s = m.shares(m.margins(part))
-                    best = s.argmax(1)
-                    second = np.sort(s, 1)[:, -2] if s.shape[1] > 1 else np.zeros(len(part))
-                    for i, t in enumerate(part):
-                        if any(map(str.isalpha, t)):
-                            names[i], score[i] = m.languages[best[i]], s[i, best[i]]
-                            unclear[i] = s[i, best[i]] - second[i] < gap
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())], [row_id, "lang_pred", "score", "ambiguous"])
+            names, score, unclear = decide(m, texts, gap)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unclear, pa.bool_())], [row_id, "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col(row_id).cast("long").alias(row_id), F.col("text").cast("string")).mapInArrow(run, f"{row_id} long, lang_pred string, score double, ambiguous boolean")
+
+
+def accept(docs: DataFrame, model: CodeModel, gap: float = 0.1) -> DataFrame:
+    """The rows of `docs` whose language is found and clear; a null lang becomes the one found."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    at, lang = names.index("text"), names.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            found, clear = decide(m, texts, gap)[0::2]
+            keep = pa.array([x != UNKNOWN and not u for x, u in zip(found, clear)], pa.bool_())
+            told = pa.array([o if o is not None else x for o, x in zip(b.column(lang).to_pylist(), found)], b.schema.field(lang).type)
+            yield pa.RecordBatch.from_arrays([told if i == lang else c for i, c in enumerate(b.columns)], names).filter(keep)
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

@@ -4,7 +4,8 @@ A classifier learned from a table of labelled documents gives every document a p
 distinct value of the label expression). Rates r >= 0, one a document, are then fitted so that the expected
 tokens of each domain, sum_i r_i n_i p_ik, come to its target: least squares over the domains' totals, by
 projected gradient from r = 1. A step moves each rate against the gradient in the metric of its tokens,
-preconditioned by the domains' second moments over the rates that are still free, and cuts it off at 0. A step is a pass
+with the totals' misses weighed by the inverse of the domains' second moments (so a step of length 1 never
+overshoots), and cuts it off at 0. A step is a pass
 over the table of posteriors that returns domains x (domains + 1) sums; rates are never collected: a task works them
 out from the few step vectors so far.
 
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,7 +165,7 @@ def rates_after(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 30, close: float = 1e-6) -> list[np.ndarray]:
+def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 30, close: float = 1e-4) -> list[np.ndarray]:
     """The step vectors after which the expected totals of the domains come to `targets` (in tokens)."""
     k, spark, steps = len(targets), members.sparkSession, []
     while len(steps) < most_steps:
@@ -175,8 +177,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 30, clo
                 n, p = b.column(0).to_numpy().astype(float), _matrix(b.column(1), k)
                 r = rates_after(p, sent.value)
                 total[:, k] += p.T @ (n * r)
-                free = r > 0
-                total[:, :k] += (p[free] * n[free, None]).T @ p[free]
+                total[:, :k] += (p * n[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "v"])
 
         total = np.zeros(k * (k + 1))
@@ -199,23 +200,48 @@ def natural_totals(members: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def fit_mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], full: str | None = None, row_id: str = "doc_id") -> tuple[DomainModel, DataFrame, list[np.ndarray]]:
+    """The classifier, the documents' memberships, and the steps to their rates."""
+    model = fit_domains(docs, labels, domain)
+    members = memberships(docs, model, row_id)
+    share = np.array([weights.get(d, 0.0) for d in model.domains])
+    if share.sum() <= 0:
+        return model, members, []
+    natural = natural_totals(members, len(share))
+    share = share / share.sum()
+    at = model.domains.index(full) if full in model.domains else None
+    size = natural.sum() if at is None or not share[at] else natural[at] / share[at]
+    return model, members, fit_rates(members, size * share)
+
+
+def draw(docs: DataFrame, model: DomainModel, steps: list[np.ndarray], whole: float = 0.7, row_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that the mixture takes.
+
+    A rate of `whole` or more takes a document; below that, it is the chance that the document's hashed id falls under it.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model, steps))
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, v = sent.value
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
+            rates = np.concatenate([rates_after(m.posteriors(texts[lo:hi])[0], v) for lo, hi in slices(texts, len, 4_000_000)] or [np.zeros(0)])
+            chance = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2**64 for i in b.column(names.index(row_id)).to_pylist()])
+            yield b.filter(pa.array((rates >= whole) | (rates > chance)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], full: str | None = None, row_id: str = "doc_id") -> DataFrame:
     """row_id, n_tokens, p and rate of each document.
 
     `weights` are the domains' shares of the mixture's tokens. Its size is that of the corpus, or, with `full`,
     the largest at which that domain need not be repeated (its target is what it has).
     """
-    model = fit_domains(docs, labels, domain)
-    members = memberships(docs, model, row_id)
+    model, members, steps = fit_mixture(docs, labels, domain, weights, full, row_id)
     k = len(model.domains)
-    share = np.array([weights.get(d, 0.0) for d in model.domains])
-    steps: list[np.ndarray] = []
-    if share.sum() > 0:
-        natural = natural_totals(members, k)
-        share = share / share.sum()
-        at = model.domains.index(full) if full in model.domains else None
-        size = natural.sum() if at is None or not share[at] else natural[at] / share[at]
-        steps = fit_rates(members, size * share)
     sent = docs.sparkSession.sparkContext.broadcast(steps)
     names = members.columns
 
