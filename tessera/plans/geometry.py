@@ -1 +1,54 @@
-"""To come."""
+"""Box queries: boxes made of the first four components of each embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import geometry as G
+from tessera.plans.registry import query, table
+
+B = "b AS (SELECT vec_id, label, least(embedding[1], embedding[3])::DOUBLE AS x0, least(embedding[2], embedding[4])::DOUBLE AS y0, greatest(embedding[1], embedding[3])::DOUBLE AS x1, greatest(embedding[2], embedding[4])::DOUBLE AS y1 FROM embeddings)"
+
+
+def boxes(spark, sf):
+    e = [F.col("embedding")[i].cast("double") for i in range(4)]
+    return table(spark, sf, "embeddings").select("vec_id", "label", G.in_order(G.box(*e)).alias("b"))
+
+
+@query("iou_pairs", f"""WITH {B}, p AS (SELECT a.vec_id AS a, c.vec_id AS b, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS s
+    FROM b a JOIN b c ON c.vec_id = a.vec_id + 1) SELECT a, b, round(i / (s - i), 6) AS iou FROM p""")
+def iou_pairs(spark, sf):
+    x = boxes(spark, sf)
+    y = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("b").alias("c"))
+    return x.join(y, "vec_id").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.round(G.overlap(F.col("b"), F.col("c")), 6).alias("iou"))
+
+
+@query("bbox_normalise", f"""WITH {B} SELECT vec_id, round(greatest(0, least(1, x0 / 0.2)), 6) AS x0, round(greatest(0, least(1, 1 - y1 / 0.2)), 6) AS y0, round(greatest(0, least(1, x1 / 0.2)), 6) AS x1, round(greatest(0, least(1, 1 - y0 / 0.2)), 6) AS y1 FROM b""")
+def bbox_normalise(spark, sf):
+    n = boxes(spark, sf).select("vec_id", G.normalise(F.col("b"), F.lit(0.2), F.lit(0.2), from_bottom=True).alias("n"))
+    return n.select("vec_id", *[F.round(f"n.{s}", 6).alias(s) for s in G.SIDES])
+
+
+@query("bbox_merge", f"WITH {B} SELECT label, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM b GROUP BY 1")
+def bbox_merge(spark, sf):
+    v = boxes(spark, sf).where(G.is_valid(F.col("b")))
+    return v.groupBy("label").agg(F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"), F.max("b.x1").alias("x1"), F.max("b.y1").alias("y1"), F.count("*").alias("n"))
+
+
+@query("bbox_confidence", f"WITH {B} SELECT vec_id, round(CASE vec_id % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.8 ELSE 0.5 END * CASE WHEN (x1 - x0) * (y1 - y0) < 0.0001 THEN 0.5 WHEN (x1 - x0) * (y1 - y0) > 0.5 THEN 0.7 ELSE 1 END * 0.9, 6)::DOUBLE AS confidence FROM b")
+def bbox_confidence(spark, sf):
+    source = F.when(F.col("vec_id") % 3 == 0, "table").when(F.col("vec_id") % 3 == 1, "OCR").otherwise("else")
+    return boxes(spark, sf).select("vec_id", F.round(G.confidence(F.col("b"), source, F.lit(0.9)), 6).alias("confidence"))
+
+
+@query("value_box_match", f"""WITH {B}, j AS (SELECT f.vec_id AS field, v.vec_id AS value, (1 - abs(f.y0 - v.y0)) * CASE WHEN v.x0 >= f.x1 THEN 1.1 ELSE 1 END * CASE WHEN abs(f.y0 - v.y0) > 0.02 THEN 0.7 ELSE 1 END AS score
+    FROM b f JOIN b v ON f.label = v.label AND f.vec_id % 20 = 0 AND v.vec_id % 20 = 1) SELECT field, value, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, value) AS k FROM j) WHERE k = 1""")
+def value_box_match(spark, sf):
+    """The value box of a page that belongs to a field box: near in height, better to the right, worse on another line."""
+    x = boxes(spark, sf)
+    f = x.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("field"), F.col("b").alias("f"))
+    v = x.where("vec_id % 20 = 1").select("label", F.col("vec_id").alias("value"), F.col("b").alias("v"))
+    gap = F.abs(F.col("f.y0") - F.col("v.y0"))
+    score = (1 - gap) * F.when(F.col("v.x0") >= F.col("f.x1"), 1.1).otherwise(1.0) * F.when(gap > 0.02, 0.7).otherwise(1.0)
+    best = f.join(v, "label").withColumn("score", score).groupBy("field").agg(F.max_by(F.struct("value", "score"), F.struct("score", -F.col("value"))).alias("m"))
+    return best.select("field", F.col("m.value").alias("value"), F.round("m.score", 6).alias("score"))

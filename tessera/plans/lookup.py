@@ -1 +1,130 @@
-"""To come."""
+"""Lookup queries: part names as the dictionary, words of part types and shortened or misspelt names as what is asked."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera import knowledge as K
+from tessera.operators import lookup as L
+from tessera.plans.registry import query, table
+
+ENT = "e AS (SELECT lower(p_name) AS entry, p_partkey AS code, p_size::BIGINT AS rank FROM part)"
+ASK = """n AS (SELECT DISTINCT name FROM (SELECT lower(p_name) AS name FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT substr(lower(p_name), 1, length(p_name) - 1) FROM part WHERE p_partkey % 10 = 1
+    UNION ALL SELECT substr(lower(p_name), 1, 2) || 'q' || substr(lower(p_name), 4) FROM part WHERE p_partkey % 10 = 2))"""
+
+
+def entries(spark, sf):
+    return table(spark, sf, "part").select(F.lower("p_name").alias("entry"), F.col("p_partkey").alias("code"), F.col("p_size").cast("long").alias("rank"))
+
+
+def asked(spark, sf):
+    p, n = table(spark, sf, "part"), F.lower("p_name")
+    cut = p.where("p_partkey % 10 = 1").select(F.substring(n, F.lit(1), F.length(n) - 1).alias("name"))
+    wrong = p.where("p_partkey % 10 = 2").select(F.concat(F.substring(n, 1, 2), F.lit("q"), F.substring(n, F.lit(4), F.length(n))).alias("name"))
+    return p.where("p_partkey % 10 = 0").select(n.alias("name")).union(cut).union(wrong).distinct()
+
+
+@query("exact_lookup", f"WITH {ENT}, {ASK} SELECT name, code FROM (SELECT name, code, row_number() OVER (PARTITION BY name ORDER BY rank, code) AS k FROM n JOIN e ON name = entry) WHERE k = 1")
+def exact_lookup(spark, sf):
+    return L.exact(asked(spark, sf), entries(spark, sf))
+
+
+@query("tiered_lookup", f"""WITH {ENT}, {ASK}, x AS (SELECT name, code, 'exact' AS tier FROM (SELECT name, code, row_number() OVER (PARTITION BY name ORDER BY rank, code) AS k FROM n JOIN e ON name = entry) WHERE k = 1),
+    p AS (SELECT name, code, 'prefix' AS tier FROM (SELECT name, code, row_number() OVER (PARTITION BY name ORDER BY length(entry), rank, code) AS k FROM n JOIN e ON starts_with(entry, name) AND length(entry) <= length(name) + 3 WHERE length(name) >= 3 AND name NOT IN (SELECT name FROM x)) WHERE k = 1),
+    f AS (SELECT name, code, 'fuzzy' AS tier FROM (SELECT name, code, row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, entry), rank, code) AS k FROM n JOIN e ON substr(name, 1, 1) = substr(entry, 1, 1) AND abs(length(name) - length(entry)) <= 2 AND levenshtein(name, entry) <= 2
+          WHERE name NOT IN (SELECT name FROM x) AND name NOT IN (SELECT name FROM p)) WHERE k = 1)
+    SELECT * FROM x UNION ALL SELECT * FROM p UNION ALL SELECT * FROM f""")
+def tiered_lookup(spark, sf):
+    e = entries(spark, sf)
+    return L.tiered(asked(spark, sf), [("exact", lambda n: L.exact(n, e)), ("prefix", lambda n: L.prefix(n, e, 3)), ("fuzzy", lambda n: L.fuzzy(n, e, 2))])
+
+
+@query("edit_distance_join", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3) AND levenshtein(a.p_name, b.p_name) <= 2 WHERE a.p_partkey <= 500 AND b.p_partkey <= 500")
+def edit_distance_join(spark, sf):
+    p = table(spark, sf, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), F.substring("p_name", 1, 3).alias("k"))
+    q = p.select(F.col("a").alias("b"), F.col("na").alias("nb"), "k")
+    j = p.join(q, "k").where("a < b").withColumn("distance", F.levenshtein("na", "nb", 2))
+    return j.where("distance >= 0").select("a", "b", F.col("distance").cast("long").alias("distance"))
+
+
+@query("prefix_search", f"WITH {ENT} SELECT code, entry FROM e WHERE contains(entry, 'gr') ORDER BY CASE WHEN entry = 'gr' THEN 0 WHEN starts_with(entry, 'gr') THEN 1 ELSE 2 END, length(entry), code LIMIT 10")
+def prefix_search(spark, sf):
+    return L.search(entries(spark, sf), "gr").select("code", "entry")
+
+
+@query("alias_lookup", "SELECT s_suppkey, coalesce(e.n_regionkey, a.n_regionkey) AS region FROM supplier s LEFT JOIN nation e ON e.n_nationkey = s.s_nationkey AND s.s_suppkey % 2 = 0 LEFT JOIN nation a ON a.n_nationkey = (s.s_nationkey + 1) % 25 AND s.s_suppkey % 2 = 1")
+def alias_lookup(spark, sf):
+    """Two hash joins, the first name preferred to the second."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    s = s.withColumn("k1", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey"))).withColumn("k2", F.when(F.col("s_suppkey") % 2 == 1, (F.col("s_nationkey") + 1) % 25))
+    e, a = (F.broadcast(n.select(F.col("n_nationkey").alias(k), F.col("n_regionkey").alias(r))) for k, r in (("k1", "r1"), ("k2", "r2")))
+    return s.join(e, "k1", "left").join(a, "k2", "left").select("s_suppkey", F.coalesce("r1", "r2").alias("region"))
+
+
+@query("class_members", "SELECT p_brand, count(*) AS n, min(p_name) AS first_name FROM part GROUP BY 1")
+def class_members(spark, sf):
+    return table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_name").alias("first_name"))
+
+
+@query("first_wins_alias", "SELECT p_type AS alias, arg_min(p_partkey, p_partkey) AS first_code, arg_max(p_partkey, p_partkey) AS last_code FROM part GROUP BY 1")
+def first_wins_alias(spark, sf):
+    """An inverted index with either rule for repeated aliases."""
+    return table(spark, sf, "part").groupBy(F.col("p_type").alias("alias")).agg(F.min("p_partkey").alias("first_code"), F.max("p_partkey").alias("last_code"))
+
+
+RULES = f"r(a, b, severity) AS (VALUES {K.values_sql(K.INTERACTIONS)})"
+
+
+@query("pair_interactions", f"""WITH {RULES}, d AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey)
+    SELECT x.l_orderkey, a, b, severity FROM r JOIN d x ON x.p_brand = a JOIN d y ON y.p_brand = b AND x.l_orderkey = y.l_orderkey""")
+def pair_interactions(spark, sf):
+    d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return L.pairs_within(d, "l_orderkey", "p_brand", K.interactions(spark))
+
+
+@query("duplicate_in_class", """SELECT l_orderkey, l_linenumber, p_brand, first_line FROM (SELECT l_orderkey, l_linenumber, p_brand, row_number() OVER w AS k, first_value(l_linenumber) OVER w AS first_line
+    FROM lineitem JOIN part ON p_partkey = l_partkey WINDOW w AS (PARTITION BY l_orderkey, p_brand ORDER BY l_linenumber)) WHERE k > 1""")
+def duplicate_in_class(spark, sf):
+    d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand")
+    return L.duplicates(d, "l_orderkey", "p_brand", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "p_brand", F.col("first_row").alias("first_line"))
+
+
+@query("exists_probe", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_quantity > 49)")
+def exists_probe(spark, sf):
+    line = table(spark, sf, "lineitem").where("l_quantity > 49")
+    return table(spark, sf, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("exclusion_probe", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def exclusion_probe(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("outer_attributes", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def outer_attributes(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("attribute_product", "SELECT DISTINCT l_suppkey, s, f FROM (SELECT DISTINCT l_suppkey, l_returnflag AS s FROM lineitem WHERE l_suppkey <= 20) JOIN (SELECT DISTINCT l_suppkey, l_linestatus AS f FROM lineitem WHERE l_suppkey <= 20) USING (l_suppkey)")
+def attribute_product(spark, sf):
+    """All strengths with all forms of a code, each once; a code without forms keeps a null one."""
+    g = table(spark, sf, "lineitem").where("l_suppkey <= 20").groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("ss"), F.collect_set("l_linestatus").alias("ff"))
+    return g.select("l_suppkey", F.explode("ss").alias("s"), "ff").select("l_suppkey", "s", F.explode_outer("ff").alias("f"))
+
+
+@query("strength_list", "SELECT DISTINCT p_brand, p_size AS strength FROM part")
+def strength_list(spark, sf):
+    return table(spark, sf, "part").select("p_brand", F.col("p_size").alias("strength")).distinct()
+
+
+@query("dup_alias_having", "SELECT p_type, count(DISTINCT p_brand) AS n_templates FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def dup_alias_having(spark, sf):
+    return table(spark, sf, "part").groupBy("p_type").agg(F.countDistinct("p_brand").alias("n_templates")).where("n_templates > 1")
+
+
+@query("template_lint", "SELECT p_partkey, concat_ws(',', CASE WHEN p_size < 3 THEN 'version' END, CASE WHEN n_name IS NULL THEN 'unknown code' END) AS issues FROM part LEFT JOIN nation ON n_nationkey = p_size WHERE p_size < 3 OR n_name IS NULL")
+def template_lint(spark, sf):
+    n = F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("p_size"), "n_name"))
+    issues = F.array_compact(F.array(F.when(F.col("p_size") < 3, "version"), F.when(F.col("n_name").isNull(), "unknown code")))
+    return table(spark, sf, "part").join(n, "p_size", "left").select("p_partkey", F.array_join(issues, ",").alias("issues")).where("issues <> ''")
