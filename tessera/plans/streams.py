@@ -1 +1,27 @@
-"""To come."""
+"""Windowed counts as a batch, and as a stream drained once."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.plans.registry import query, table
+from tessera.streaming import events as S
+
+SQL = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query("events_tumbling", SQL)
+def events_tumbling(spark, sf):
+    return S.tumbling(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("events_tumbling_stream", SQL)
+def events_tumbling_stream(spark, sf):
+    name = f"tumbling_{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    q = S.tumbling(S.read_stream(spark, sf, "events")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("start", "event_type", "n", F.round("total", 4).alias("total"))
