@@ -41,7 +41,7 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _url_rest = re.compile(r"[^\s<>\"'`]+")
 _value = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_+/.=-]{7,})")
-_street = re.compile(r"[0-9]{1,5}[A-Za-z]? ((?:[^\W\d_]+\.? ){1,4}?)([^\W\d_]+)(?!\w)")
+_street = re.compile(r"[0-9]{1,5}[A-Za-z]? ((?:[^\W\d_]++\.? ?){2,5})")
 
 
 _word = re.compile(r"[^\W\d_]+")
