@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's cache of word hashes before it is emptied; affects speed only.
-WORD_CACHE = 400_000
+WORD_CACHE = 120_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,12 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, 1000)  # whole texts pass through: batches of ten thousand take too much memory
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +57,15 @@ def drop_materialized(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner acts when the driver's collectors find the frames gone, which may be long after the disk is needed.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column (null stays null); what the Arrow readers below take."""
     return F.col(column).cast("string").cast("binary")
