@@ -5,7 +5,7 @@ with fewer words is one shingle, a text without words has the empty set and link
 documents link when 100 * intersection >= percent * union.
 
 1. `summaries`: one pass over the texts gives each document's set size, a 128-bit key of its set, a histogram
-   of its shingles over 128 hash ranges, and how often each of 2^19 buckets of shingles occurs in the corpus (a
+   of its shingles over hash ranges, and how often each of 2^19 buckets of shingles occurs in the corpus (a
    table of fixed size; all documents are counted). Documents with equal keys form a class; its least id
    stands for it, and copies are never paired.
 2. `postings`: shingles are ordered rare first (by their bucket's count in half-octaves over the mean, then by
@@ -13,14 +13,15 @@ documents link when 100 * intersection >= percent * union.
    task emits each set once, however many copies it reads.
 3. Shingles with one posting are dropped. In a run of postings of one shingle with up to `run` sets, pairs pass
    the length filter and the positional filter, then, once a pair, the suffix filter (how many shingles the
-   histograms allow both to have in common over the hash ranges). Longer runs are not paired: their
-   sets are joined to one cluster by a star. Pairs that are left and stars give clusters by connected components.
-4. Each cluster's sets are dealt to blocks of at most `block` on average, and every pair of blocks is verified
+   histograms, of about two shingles a hash range, allow both to have in common). Longer runs are not paired: a task holds the
+   histograms of a run (beyond `SPAN` sets, of two blocks of it), applies the same filters, and gives a spanning forest of the pairs
+   that pass, skipping pairs it has connected already. Pairs and forests give clusters by connected components.
+4. Each cluster's sets are dealt to blocks of about `block` shingles in all, and every pair of blocks is verified
    in one task with an inverted index over the block: every pair of sets of a cluster is compared exactly once, and
    what leaves the task is a row a set (its links, and the least set it reaches), never a row a pair.
 
 So rows stay in proportion to documents even where thousands of near copies all resemble each other; a
-cluster of m sets costs m^2 / block rows of shipping. Components of the links give the result.
+cluster is shipped as often as it has blocks. Components of the links give the result.
 
 Null and empty texts: the empty set, a component of their own. Ids are unique; rows that repeat an id with another
 text link as one document, and a null id is left out. Columns other than the id and text are not read. An empty table gives no
@@ -37,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_materialized, hash_words, materialize, mix, slices, text_bytes, window_hashes
+from tessera.llm.common import drop_materialized, hash_words, materialize, mix, release, slices, text_bytes, window_hashes
 from tessera.llm.components import components, forest
 
 BUCKET_BITS = 19
-RANGE_BITS = 7
-BYTES = 3_000_000
+RANGE_BITS = (3, 13)
+BYTES = 1_500_000
+SPAN = 4096
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -64,6 +66,17 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many of the hashes lie in each of 2^k equal ranges, about two a range so that the bound stays sharp for any size."""
+    k = min(max(int(np.log2(max(len(grams), 1) / 2)) if len(grams) > 2 else 0, RANGE_BITS[0]), RANGE_BITS[1])
+    return np.minimum(np.bincount((grams >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def folded(h: np.ndarray, width: int) -> np.ndarray:
+    """Histograms (rows x ranges) over `width` ranges, by adding up neighbours."""
+    return h.reshape(len(h), width, -1).sum(2, dtype=np.int16)
+
+
 def least_overlap(a, b, percent: int):
     """The least intersection with which sets of sizes a and b link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -85,7 +98,7 @@ def summaries(docs: DataFrame, n: int, row_id: str, text: str) -> DataFrame:
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             count += np.bincount((every >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(count))
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            ranges = [np.minimum(np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS), 255).astype(np.uint8).tobytes() for s in sets]
+            ranges = [histogram(s) for s in sets]
             half = [np.array([(k >> s) & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64).astype(np.int64) for s in (0, 64)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(half[0]), pa.array(half[1]), pa.array(ranges, pa.binary())], ["id", "size", "k1", "k2", "ranges"])
         at = np.flatnonzero(count)
@@ -150,37 +163,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(percent: int, longest: int):
-    """Of postings sorted by gram, size and id: pairs of short runs that pass, stars of long ones (kind 1)."""
+    """Of postings sorted by gram, size and id: pairs of short runs that pass, (gram, id) of long ones (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "id", "size", "place"]
         held = [np.zeros(0, np.int64)] * 4
-        hub: tuple[int, int] | None = None  # the gram of a long run still going on, and its first id
+        going: int | None = None  # the gram of a long run of which part is done
 
-        def emit(a, b, kind):
-            at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(np.full(len(at), kind, np.int32))], ["a", "b", "kind"])
+        def emit(a, b, place, kind):
+            cols = [pa.array(a), pa.array(b), pa.array(place), pa.array(np.full(len(a), kind, np.int32))]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", "place", "kind"])
 
         def work(g, i, s, p):
-            nonlocal hub
+            nonlocal going
             if not len(g):
                 return
             edges = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             length = np.diff(np.append(edges, len(g)))
-            of = np.repeat(np.arange(len(edges)), length)
             long = length > longest
-            if hub and hub[0] == g[0]:
-                long[0] = True
-            first = i[edges]
-            if hub and hub[0] == g[0]:
-                first = first.copy()
-                first[0] = hub[1]
-            big = long[of]
+            long[0] |= going == g[0]
+            big = np.repeat(long, length)
             if big.any():
-                star = big & (i != first[of])
-                yield emit(first[of][star], i[star], 1)
-                if long[-1]:
-                    hub = (int(g[-1]), int(first[-1]))
+                yield emit(g[big], i[big], p[big], 1)
+            going = int(g[-1]) if big[-1] else None
             g, i, s, p = (x[~big] for x in (g, i, s, p))
             for k in range(1, longest):
                 at = np.flatnonzero(g[k:] == g[:-k])
@@ -190,7 +195,8 @@ def _candidates(percent: int, longest: int):
                 ok = (i[a] != i[b]) & (100 * s[a] >= percent * s[b])
                 ok &= np.minimum(s[a] - p[a], s[b] - p[b]) >= least_overlap(s[a], s[b], percent)
                 if ok.any():
-                    yield emit(i[a[ok]], i[b[ok]], 0)
+                    at = np.unique(np.stack([np.minimum(i[a[ok]], i[b[ok]]), np.maximum(i[a[ok]], i[b[ok]])], 1), axis=0)
+                    yield emit(at[:, 0], at[:, 1], np.zeros(len(at), np.int64), 0)
 
         for b in batches:
             new = [np.concatenate([h, b.column(b.schema.get_field_index(c)).to_numpy()]) for h, c in zip(held, names)]
@@ -214,12 +220,69 @@ def _suffix_filter(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            h = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int64) for c in (2, 3)]
-            s = [b.column(c).to_numpy() for c in (4, 5)]
-            common = np.minimum(*h)
-            common[(h[0] == 255) & (h[1] == 255)] = 1 << 40  # counts end there
-            ok = np.minimum(common.sum(1), np.minimum(*s)) >= least_overlap(*s, percent)
-            yield b.filter(pa.array(ok)).select(["a", "b"])
+            need = least_overlap(b.column(4).to_numpy(), b.column(5).to_numpy(), percent).tolist()
+            ok = []
+            for x, y, least in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), need):
+                h = [np.frombuffer(z, np.uint8)[None, :] for z in (x, y)]
+                full = any((z == 255).any() for z in h)  # counts end there
+                width = min(len(x), len(y))
+                ok.append(full or int(np.minimum(*[folded(z, width) for z in h]).sum()) >= least)
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, ...]]:
+    """Of rows sorted by the first column, the other columns of each group as lists; a group fits in memory."""
+    task, rows = None, tuple([] for _ in range(columns - 1))
+    for b in batches:
+        for t, *row in zip(*[b.column(c).to_pylist() for c in range(columns)]):
+            if t != task:
+                if rows[0]:
+                    yield rows
+                task, rows = t, tuple([] for _ in range(columns - 1))
+            for r, v in zip(rows, row):
+                r.append(v)
+    if rows[0]:
+        yield rows
+
+
+def _forests(percent: int):
+    """Of rows (task, side, id, place, size, ranges) sorted by task, size and id: edges that connect what passes the filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sides, ids, places, sizes, ranges in _grouped(batches, 6):
+            side, ids, place, size = (np.array(x, np.int64) for x in (sides, ids, places, sizes))
+            comp, edges, last = np.arange(len(ids)), [], 0
+            first = np.searchsorted(100 * size, percent * size)  # the least size within the length filter
+            width = np.array([len(x) for x in ranges])  # ascends with the size
+            start = {int(w): int(np.searchsorted(width, w)) for w in np.unique(width)}
+            level = {w: np.frombuffer(b"".join(ranges[k : k + int((width == w).sum())]), np.uint8).reshape(-1, w).astype(np.int16) for w, k in start.items()}
+            full = np.array([255 in x for x in ranges])
+
+            def hits(i: int, js: np.ndarray) -> np.ndarray:
+                need = least_overlap(size[js], size[i], percent)
+                js, need = (x[np.minimum(size[js] - place[js], size[i] - place[i]) >= need] for x in (js, need))
+                out = [js[full[js] | full[i]]]
+                mine = level[int(width[i])][i - start[int(width[i])]][None, :]
+                for w in np.unique(width[js]).tolist():
+                    at = width[js] == w
+                    common = np.minimum(level[w][js[at] - start[w]], folded(mine, w)).sum(1)
+                    out.append(js[at][common >= need[at]])
+                return np.unique(np.concatenate(out))
+
+            for i in range(1, len(ids)):
+                for js in (np.arange(last, last + 1), np.arange(first[i], i)):
+                    js = js[(js >= first[i]) & (js < i)]
+                    js = js[(comp[js] != comp[i]) & ((side[js] == 2) | (side[js] != side[i]))]
+                    if len(js):
+                        for j in hits(i, js).tolist():
+                            if comp[j] != comp[i]:
+                                edges.append((ids[j], ids[i]))
+                                comp[comp == comp[i]] = comp[j]
+                                last = i
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -262,49 +325,73 @@ def _verify(n: int, percent: int):
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array([int(count[place[int(x)]]) for x in node], pa.int64())], ["id", "root", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows = None, ([], [], [])
-        for b in batches:
-            for t, *row in zip(*[b.column(c).to_pylist() for c in range(4)]):
-                if t != task:
-                    if rows[0] and (out := links(*rows)):
-                        yield out
-                    task, rows = t, ([], [], [])
-                for r, v in zip(rows, row):
-                    r.append(v)
-        if rows[0] and (out := links(*rows)):
-            yield out
+        for rows in _grouped(batches, 4):
+            if out := links(*rows):
+                yield out
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, run: int = 64, block: int = 256, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _dealt(rows: DataFrame, root: str, blocks: DataFrame) -> DataFrame:
+    """`rows` (id, root ...) once for every pair of its group's blocks that its own block is in: task and side."""
+    d = rows.join(blocks, root).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("other") == F.col("mine"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    return d.withColumn("task", F.concat_ws(":", root, F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("side", side)
+
+
+def _run_edges(found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the sets of long runs which pass the filters."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("id"), "place")
+    blocks = long.groupBy("gram").agg(F.ceil(F.count("*") / F.lit(SPAN)).cast("int").alias("blocks"))
+    work = _dealt(long.join(reps, "id"), "gram", blocks).select("task", "side", "id", "place", "size", "ranges")
+    return work.repartition(parts, "task").sortWithinPartitions("task", "size", "id").mapInArrow(_forests(percent), "a long, b long")
+
+
+def _found(docs: DataFrame, summary: DataFrame, member: DataFrame, n: int, percent: int, run: int, row_id: str, text: str) -> DataFrame:
+    """Distinct candidates (a, b, kind) among the sets that stand for their classes."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    posted = postings(docs, rarity(summary), n, percent, row_id, text)
+    shared = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_shared, posted.schema)
+    shared = shared.join(member.select("id", "rep"), "id").groupBy("gram", F.col("rep").alias("id")).agg(F.first("size").alias("size"), F.first("place").alias("place"))
+    found = shared.repartition(parts, "gram").sortWithinPartitions("gram", "size", "id").mapInArrow(_candidates(percent, run), "a long, b long, place long, kind int")
+    return found.distinct()
+
+
+def _linked(docs: DataFrame, cluster: DataFrame, blocks: DataFrame, n: int, percent: int, row_id: str, text: str) -> DataFrame:
+    """Links of the sets dealt to clusters and blocks: (id, least id it reaches in the task, links)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), text_bytes(text).alias("text"))
+    work = _dealt(cluster.join(source, "id"), "root", blocks).select("task", "side", "id", "text")
+    return work.repartition(parts, "task").sortWithinPartitions("task", "id").mapInArrow(_verify(n, percent), "id long, root long, links long")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, run: int = 64, block: int = 300_000, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row_id, n_shingles, component_id, n_links (other distinct sets it links with) of each document."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     summary = materialize(summaries(docs, n, row_id, text), "summary")
     base = summary.where("id is not null")
     classes = materialize(base.where("size > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     member = base.where("size > 0").join(classes, ["k1", "k2"]).select("id", "rep", "size", "ranges")
 
-    posted = postings(docs, rarity(summary), n, percent, row_id, text)
-    shared = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_shared, posted.schema)
-    shared = shared.join(member.select("id", "rep"), "id").groupBy("gram", F.col("rep").alias("id")).agg(F.first("size").alias("size"), F.first("place").alias("place"))
-    found = shared.repartition(parts, "gram").sortWithinPartitions("gram", "size", "id").mapInArrow(_candidates(percent, run), "a long, b long, kind int")
-    found = materialize(found.distinct(), "candidates")
-    reps = materialize(member.where("id = rep").select("id", "size", "ranges").dropDuplicates(["id"]), "sets")
+    found = materialize(_found(docs, summary, member, n, percent, run, row_id, text), "candidates")
+    release(spark)  # of the postings' shuffles
+    ids = found.where("kind = 0").select(F.col("a").alias("id")).union(found.select("b")).distinct()
+    reps = materialize(member.where("id = rep").select("id", "size", "ranges").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "sets")
     side = lambda c, k: reps.select(F.col("id").alias(c), F.col("ranges").alias(f"ranges_{k}"), F.col("size").alias(f"size_{k}"))
     pairs = found.where("kind = 0").join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "ranges_0", "ranges_1", "size_0", "size_1")
     pairs = pairs.mapInArrow(_suffix_filter(percent), "a long, b long")
-    cluster = components(pairs.union(found.where("kind = 1").select("a", "b")), "clusters")
-
-    blocks = cluster.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = cluster.join(blocks, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("mine"))
-    source = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), text_bytes(text).alias("text"))
-    texts = dealt.join(source, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side_of = F.when(F.col("other") == F.col("mine"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    work = texts.select(F.concat_ws(":", "root", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), side_of.alias("side"), "id", "text")
-    linked = work.repartition(parts, "task").sortWithinPartitions("task", "id").mapInArrow(_verify(n, percent), "id long, root long, links long")
-    linked = materialize(linked, "linked")
+    cluster = components(pairs.union(_run_edges(found, reps, percent)), "clusters").withColumnRenamed("node", "id")
+    blocks = cluster.join(reps, "id").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    for t in (found, reps):
+        drop_materialized(t)
+    del pairs, found, reps, ids
+    release(spark)
+
+    linked = materialize(_linked(docs, cluster, blocks, n, percent, row_id, text), "linked")
+    release(spark)
     total = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     final = components(linked.select("id", "root"), "components").select(F.col("node").alias("rep"), F.col("root").alias("comp"))
     named = materialize(classes.join(final, "rep", "left").join(total, "rep", "left"), "named")
