@@ -44,10 +44,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs, path, offsets=None), path)
-    exact = F.coalesce(F.col("text").cast("binary") == F.col("decoded"), F.col("text").isNull())
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets=None, exact="exact")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES: list[tuple[str, Stage]] = [

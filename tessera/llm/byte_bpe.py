@@ -265,12 +265,15 @@ def _send_ranks(spark: SparkSession, ranks_path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets") -> DataFrame:
-    """`docs` with the text's ids and the tokens' byte offsets (one more than ids: the text's end; none if None)."""
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets", exact: str | None = None) -> DataFrame:
+    """`docs` with the text's ids and the tokens' byte offsets (one more than ids: the text's end; none if None).
+
+    `exact` names a column that says whether the ids, decoded again, give the text's very bytes (null counts as empty).
+    """
     sent = _send_ranks(docs.sparkSession, ranks_path)
     names = docs.columns
     at = names.index(text)
-    schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids, offsets)])
+    schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (ids, offsets, exact)])
     keep = schema.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +287,13 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids
                 cols.append(pa.array(got, pa.list_(pa.int32())))
                 if offsets:
                     cols.append(pa.array([e.offsets(g) for g in got], pa.list_(pa.int64())))
+                if exact:
+                    cols.append(pa.array([e.decode(g) == t.encode() for g, t in zip(got, texts[lo:hi])], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(cols, fields)
 
     more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(offsets, T.ArrayType(T.LongType()))] if offsets else [])
+    if exact:
+        more.append(T.StructField(exact, T.BooleanType()))
     out = T.StructType([*schema.schema.fields, *more])
     fields = out.names
     return docs.mapInArrow(run, out)
@@ -300,9 +307,11 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_for(sent.value)
-        for b in batches:
-            got = pa.array([None if x is None else e.decode(x) for x in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], [*names, out])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):  # lists of ids take several times their size in Arrow
+                b = whole.slice(lo, 500)
+                got = pa.array([None if x is None else e.decode(x) for x in b.column(at).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, got], [*names, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))
 
