@@ -159,8 +159,7 @@ def cache_stats(spark, sf):
 @query("cache_expire", "SELECT event_id FROM events WHERE epoch((SELECT max(ts) FROM events))::BIGINT - epoch(date_trunc('second', ts))::BIGINT <= 86400 * 3")
 def cache_expire(spark, sf):
     e = table(spark, sf, "events")
-    as_of = e.agg(F.max("ts").alias("as_of"))
-    return S.expire(e.join(F.broadcast(as_of)), "ts", F.col("as_of"), 86400 * 3).select("event_id")
+    return S.expire(e, "ts", e.agg(F.max("ts")).scalar(), 86400 * 3).select("event_id")
 
 
 @query("cache_evict", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
