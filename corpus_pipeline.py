@@ -19,31 +19,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, jaccard_join, language_id, mixing, personal_data
-from tessera.llm.common import materialize, table
+from tessera.llm.common import BATCH_ROWS, materialize, table
 from tessera.llm.queries import DOMAIN, DOMAIN_WEIGHTS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts pass through every stage: batches of ten thousand rows would take too much of an executor's memory."""
+    spark.conf.set(BATCH_ROWS, 1000)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language_id.accept(docs, language_id.fit(docs, F.lit(True)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     copies = jaccard_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return personal_data.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model, _, steps = mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN), DOMAIN_WEIGHTS, full="q1t0")
     return mixing.draw(docs, model, steps)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets=None, exact="exact")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 

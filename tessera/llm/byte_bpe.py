@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import slices
 
-CACHE = 250_000
-CHARS = 1_500_000
+CACHE = 120_000
+CHARS = 1_000_000
 LANE = 256
 
 # Classes of code points; fixed values.

@@ -31,7 +31,7 @@ from tessera.llm.common import per_doc, slices
 
 BITS = 15
 SIZE = 1 << BITS
-CHARS = 2_000_000
+CHARS = 1_000_000
 UNKNOWN = "und"
 #: Steepness of the loss; fixed.
 TAU = 12.0
