@@ -6,11 +6,13 @@ to a depth of `least` tokens; neighbours that agree that far and lie in `pages`
 pages are repeated substrings, and the tokens under them are covered. What a block is decides what is done:
 
 - blocks inside an article or main element are the page's own, unless they stand in a part that says
-  otherwise (menu, sidebar, form, advert, notice, comments ...: by element, role, class or id);
+  otherwise (menu, sidebar, form, advert, notice, comments ...: by element, role, class or id) or belong to the site: a block
+  other than a heading, covered by at least half by substrings that `site_pages` pages and more than half of the host's have;
 - on a page without such an element, blocks outside those parts are kept where they are unique: a block that is
   covered by at least half is boilerplate and goes.
 
-An article is kept even if other pages repeat it. A host with more than a quarter of a partition's share of all HTML
+An article is kept even if other pages repeat it: where the site's blocks would be more than half of a page's tokens in main, all
+stay. A host with more than a quarter of a partition's share of all HTML
 is dealt into shards by page id, each of about that size (at least `shard_bytes`), so no task holds more however large the
 host is; boilerplate that stands on a host's pages is repeated in every shard. There are at most four such
 hosts a partition, so their list may be broadcast, and the pages are shuffled once.
@@ -39,6 +41,7 @@ HOLDS_MAIN = {"article", "main"}
 NOT_MAIN = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "iframe", "object", "svg", "head", "template", "noscript"}
 TRACKED = HOLDS_MAIN | NOT_MAIN | {"div", "section", "header", "ul", "ol", "li", "table", "p", "dl", "figure", "details", "blockquote", "span", "body"}
 BREAKS = TRACKED - {"span", "button", "select", "svg"} | {"h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "tr", "dt", "dd", "figcaption", "address", "summary", "caption", "html", "option", "title"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CUES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
     "disqus", "footer", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup",
@@ -72,12 +75,12 @@ def _marked(attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I))
 
 
-def read_page(page: str) -> tuple[list[tuple[str, bool, bool, int, int]], list[str], bool]:
-    """Blocks (text, inside main, inside a part that is not main, first and last + 1 of its tokens), tokens, and
-    whether the page has a main element."""
+def read_page(page: str) -> tuple[list[tuple[str, bool, bool, bool, int, int]], list[str], bool]:
+    """Blocks (text, inside main, inside a part that is not main, a heading, first and last + 1 of its tokens), tokens,
+    and whether the page has a main element."""
     blocks, tokens, run = [], [], []
     stack: list[tuple[str, bool, bool]] = []  # element, inside main, inside a part that is not main
-    main = off = has_main = False
+    main = off = has_main = heading = False
     done = 0
 
     def close() -> None:
@@ -85,7 +88,7 @@ def read_page(page: str) -> tuple[list[tuple[str, bool, bool, int, int]], list[s
             words = references.unescape("".join(run)).split()
             run.clear()
             if words:
-                blocks.append((" ".join(words), main, off, len(tokens), len(tokens) + len(words)))
+                blocks.append((" ".join(words), main, off, heading, len(tokens), len(tokens) + len(words)))
                 tokens.extend(words)
 
     for m in _markup.finditer(page):
@@ -104,6 +107,10 @@ def read_page(page: str) -> tuple[list[tuple[str, bool, bool, int, int]], list[s
             continue
         if name in BREAKS:
             close()
+        if name in HEADINGS:
+            heading = not slash
+        elif name in BREAKS:
+            heading = False
         tokens.append(f"<{slash}{name}>")
         if name not in TRACKED:
             continue
@@ -131,13 +138,14 @@ def read_page(page: str) -> tuple[list[tuple[str, bool, bool, int, int]], list[s
     return blocks, tokens, has_main
 
 
-def covered(streams: list[list[str]], least: int, pages: int) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a substring of `least` tokens that `pages` distinct streams have."""
-    size = np.array([len(s) for s in streams])
-    owner = np.repeat(np.arange(len(streams)), size)
+def repeats(streams: list[list[str]], least: int, owners: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs of `least` tokens start in the streams laid end to end, the group of equal runs each is in, and how many
+    distinct owners (by default, streams) each group has."""
+    size = np.array([len(s) for s in streams], np.int64)
+    owner = np.repeat(np.arange(len(streams)) if owners is None else np.array(owners, np.int64), size)
     n = int(size.sum())
-    if n < least or len(streams) < pages:
-        return [np.zeros(k, bool) for k in size]
+    if n < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     flat = np.fromiter((hash(t) for s in streams for t in s), np.int64, n)
     rank = np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1
     left = np.repeat(np.cumsum(size), size) - np.arange(n)  # tokens to the stream's end
@@ -152,32 +160,48 @@ def covered(streams: list[list[str]], least: int, pages: int) -> list[np.ndarray
         rank[order] = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         depth += step
     order = np.lexsort((owner, rank))  # the suffix array to that depth, a group's pages in order
+    order = order[left[order] >= least]
     r, o = rank[order], owner[order]
-    group = np.cumsum(np.append(False, r[1:] != r[:-1]))
-    fresh = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1]))
-    often = np.bincount(group, weights=fresh)[group] >= pages
-    start = order[often & (left[order] >= least)]
-    cover = np.zeros(n + 1, np.int64)
-    cover[start] += 1
-    np.subtract.at(cover, start + least, 1)
-    return np.split(np.cumsum(cover)[:-1] > 0, np.cumsum(size)[:-1])
+    fresh = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1]))[: len(r)]
+    group = np.cumsum(np.append(False, r[1:] != r[:-1]))[: len(r)]
+    return order, group, np.bincount(group, weights=fresh).astype(np.int64)
+
+
+def under(starts: np.ndarray, streams: list[list[str]], least: int) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a run of `least` tokens with one of these starts."""
+    ends = np.cumsum([len(s) for s in streams])
+    cover = np.zeros(int(ends[-1]) + 1, np.int64)
+    cover[starts] += 1
+    np.subtract.at(cover, starts + least, 1)
+    return np.split(np.cumsum(cover)[:-1] > 0, ends[:-1])
+
+
+def covered(streams: list[list[str]], least: int, pages: int) -> list[np.ndarray]:
+    """For each stream, which tokens lie in a substring of `least` tokens that `pages` distinct streams have."""
+    start, group, n = repeats(streams, least)
+    return under(start[n[group] >= pages], streams, least)
 
 
-def main_texts(pages: list[str], least: int, often: int) -> list[str]:
+def main_texts(pages: list[str], least: int, often: int, site_pages: int) -> list[str]:
     """The main text of each page of one host."""
     read = [read_page(p) for p in pages]
-    cover = covered([t for _, t, _ in read], least, often)
+    streams = [t for _, t, _ in read]
+    start, group, n = repeats(streams, least)
+    repeated = under(start[n[group] >= often], streams, least)
+    of_site = under(start[n[group] >= max(site_pages, len(pages) // 2 + 1)], streams, least)
     out = []
-    for (blocks, _, has_main), c in zip(read, cover):
+    for (blocks, _, has_main), c, s in zip(read, repeated, of_site):
         if has_main:
-            kept = [t for t, main, off, *_ in blocks if main and not off]
+            own = [(t, z - a, not heading and 2 * int(s[a:z].sum()) >= z - a) for t, main, off, heading, a, z in blocks if main and not off]
+            all_stay = 2 * sum(k for _, k, drop in own if drop) > sum(k for _, k, _ in own)
+            kept = [t for t, _, drop in own if all_stay or not drop]
         else:
-            kept = [t for t, _, off, a, z in blocks if not off and 2 * int(c[a:z].sum()) < z - a]
+            kept = [t for t, _, off, _, a, z in blocks if not off and 2 * int(c[a:z].sum()) < z - a]
         out.append("\n\n".join(kept))
     return out
 
 
-def extract(pages: DataFrame, least: int = 8, often: int = 3, shard_bytes: int = 1_000_000, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int = 5, shard_bytes: int = 1_000_000, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """row_id, url, text and n_chars of each row."""
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -192,7 +216,7 @@ def extract(pages: DataFrame, least: int = 8, often: int = 3, shard_bytes: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(rows: list[tuple]) -> pa.RecordBatch:
-            texts = main_texts([r[2] for r in rows], least, often)
+            texts = main_texts([r[2] for r in rows], least, often, site_pages)
             ids = pa.array([r[0] for r in rows], id_type)
             return pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [row_id, "url", "text", "n_chars"])
 

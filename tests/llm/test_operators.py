@@ -168,6 +168,18 @@ def test_html_main_text(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_html_site_blocks_inside_main(spark):
+    """What most pages of a host repeat inside their article goes; headings, and articles that are copies, stay."""
+    notice = "Read all that we have written on this matter in our weekly letter"
+    title = "Everything that was said about the matter of the day in this town"
+    own = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(8)}
+    rows = [(i, f"http://a.b/{i}", f"<article><h2>{title}</h2><p>{own[i]}</p><p>{notice}</p></article>") for i in range(6)]
+    rows += [(i, f"http://a.b/{i}", f"<article><p>{own[i]}</p></article>") for i in (6, 7)]
+    rows += [(10 + i, f"http://c.d/{i}", f"<article><p>{own[0]}</p><p>{own[1]}</p></article>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{title}\n\n{own[i]}" for i in range(6)} | {i: own[i] for i in (6, 7)} | {10 + i: f"{own[0]}\n\n{own[1]}" for i in range(6)}
+
+
 def test_html_coverage_is_of_distinct_pages():
     run = "a b c d e f g h".split()
     c = html_text.covered([["x", *run, "y"], ["z", *run], run * 2], 8, 3)
