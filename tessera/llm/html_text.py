@@ -12,13 +12,16 @@ pages are repeated substrings, and the tokens under them are covered. What a blo
   covered by at least half is boilerplate and goes.
 
 An article is kept even if other pages repeat it: where the site's blocks would be more than half of a page's tokens in main, all
-stay. A host with more than a quarter of a partition's share of all HTML
-is dealt into shards by page id, each of about that size (at least `shard_bytes`), so no task holds more however large the
-host is; boilerplate that stands on a host's pages is repeated in every shard. There are at most four such
-hosts a partition, so their list may be broadcast, and the pages are shuffled once.
+stay.
+
+A host with more than a quarter of a partition's share of all HTML is dealt into shards by page id, each of about that size
+(at least `shard_bytes`), so no task holds more however large the host is. Shards decide nothing: each counts its
+substrings, the counts of a host are added up by ranges of the substrings' 64-bit hashes, and those of `often` pages or more
+go back to the shards that have them. There are at most four such hosts a partition, so their list may be
+broadcast, and the pages are shuffled once.
 
 Null html counts as empty and gives an empty text; null urls share one host. Pages of any length are read
-whole; repeated rows give the same text and count as distinct pages only if their ids differ. Extra columns are
+whole; repeated rows give the same text and count as distinct pages only if their ids or urls differ. Extra columns are
 not read. An empty table gives no rows.
 """
 
@@ -26,14 +29,13 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import hash_words, materialize, window_hashes
 from tessera.llm.url_rules import url_host
 
 # Element names and the words in a class, id or role that mark a part as not main text.
@@ -182,13 +184,41 @@ def covered(streams: list[list[str]], least: int, pages: int) -> list[np.ndarray
     return under(start[n[group] >= pages], streams, least)
 
 
-def main_texts(pages: list[str], least: int, often: int, site_pages: int) -> list[str]:
-    """The main text of each page of one host."""
+def run_keys(streams: list[list[str]], least: int, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the tokens of each group of equal runs, the same in every process."""
+    words, ends = hash_words([[t.encode("utf-8", "surrogatepass") for t in s] for s in streams])
+    keys, at = window_hashes(words, ends, least)
+    first = start[np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])]
+    return keys[np.searchsorted(at, first)]
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, as differences by byte planes: the high bytes are zeros, which shuffles compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def page_numbers(ids: list, urls: list) -> list[int]:
+    """Which distinct page each row is of."""
+    seen: dict[tuple, int] = {}
+    return [seen.setdefault(x, len(seen)) for x in zip(ids, urls)]
+
+
+def main_texts(pages: list[str], least: int, often: int, site_pages: int, owners: list[int], host_pages: int | None = None, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """The main text of each page of one host, or of a shard of it: then with the host's number of pages, and the sorted
+    keys and page counts of the runs that `often` or more of them have."""
     read = [read_page(p) for p in pages]
     streams = [t for _, t, _ in read]
-    start, group, n = repeats(streams, least)
+    start, group, n = repeats(streams, least, owners)
+    if known is not None and len(known[0]) and len(n):
+        keys = run_keys(streams, least, start, group)
+        at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+        n = np.where(known[0][at] == keys, known[1][at], n)
     repeated = under(start[n[group] >= often], streams, least)
-    of_site = under(start[n[group] >= max(site_pages, len(pages) // 2 + 1)], streams, least)
+    of_site = under(start[n[group] >= max(site_pages, (host_pages or len(set(owners))) // 2 + 1)], streams, least)
     out = []
     for (blocks, _, has_main), c, s in zip(read, repeated, of_site):
         if has_main:
@@ -205,31 +235,58 @@ def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int =
     """row_id, url, text and n_chars of each row."""
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = pages.select(F.col(row_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), url_host(F.col(url).cast("string")).alias("host"))
-    sizes = materialize(data.groupBy("host").agg(F.sum(F.length("page") + 1).alias("bytes")), "hosts")
+    data = pages.select(F.col(row_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), F.coalesce(url_host(F.col(url).cast("string")), F.lit("")).alias("host"))
+    each = data.groupBy("host", "id", "url").agg(F.sum(F.length("page") + 1).alias("bytes"))
+    sizes = materialize(each.groupBy("host").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("host_pages")), "hosts")
     share = max((sizes.agg(F.sum("bytes")).first()[0] or 0) // (4 * parts), shard_bytes)
-    large = sizes.where(F.col("bytes") > share).select("host", F.ceil(F.col("bytes") / F.lit(share)).cast("int").alias("shards"))
+    large = sizes.where(F.col("bytes") > share).select("host", "host_pages", F.ceil(F.col("bytes") / F.lit(share)).cast("int").alias("shards"))
     dealt = data.join(F.broadcast(large), "host", "left")
     dealt = dealt.withColumn("shard", F.concat_ws(" ", "host", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1)))))
-    dealt = dealt.select("shard", "id", "url", "page").repartition(parts, "shard").sortWithinPartitions("shard", "id")
+    # Both readers below take all columns, so that one shuffle of the pages serves both.
+    dealt = dealt.select("shard", "host", "host_pages", "shards", "id", "url", "page").repartition(parts, "shard")
     kind = pages.schema[row_id].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: list[tuple]) -> pa.RecordBatch:
-            texts = main_texts([r[2] for r in rows], least, often, site_pages)
-            ids = pa.array([r[0] for r in rows], id_type)
-            return pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [row_id, "url", "text", "n_chars"])
-
-        now, rows, id_type = None, [], None
-        for b in batches:
-            id_type = b.schema.field(1).type
-            for s, *row in zip(*[b.column(k).to_pylist() for k in range(4)]):
-                if s != now and rows:
-                    yield finish(rows)
-                    rows = []
-                now = s
-                rows.append(tuple(row))
-        if rows:
-            yield finish(rows)
-
-    return dealt.mapInArrow(run, f"{row_id} {kind}, url string, text string, n_chars long")
+    def count_shard(shard: pa.Table) -> pa.Table:
+        found = []
+        if (ranges := shard.column("shards")[0].as_py()) is not None:
+            name, host = shard.column("shard")[0].as_py(), shard.column("host")[0].as_py()
+            streams = [read_page(p)[1] for p in shard.column("page").to_pylist()]
+            start, group, n = repeats(streams, least, page_numbers(shard.column("id").to_pylist(), shard.column("url").to_pylist()))
+            keys = run_keys(streams, least, start, group)
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype("<u4")
+            part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            ends = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+            found = [{"part": f"{host} {k}", "shard": name, "keys": pack(keys[a:z]), "n": n[a:z].tobytes()} for k, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
+        return pa.Table.from_pylist(found, pa.schema([("part", pa.string()), ("shard", pa.string()), ("keys", pa.binary()), ("n", pa.binary())]))
+
+    def add_up(part: pa.Table) -> pa.Table:
+        shards, keys = part.column("shard").to_pylist(), [unpack(x) for x in part.column("keys").to_pylist()]
+        own = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("n").to_pylist()])
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, weights=own).astype("<u4")[which]
+        found = []
+        for s, k, t in zip(shards, keys, np.split(total, np.cumsum([len(k) for k in keys])[:-1])):
+            if (common := t >= often).any():
+                found.append({"shard": s, "keys": pack(k[common]), "n": t[common].tobytes()})
+        return pa.Table.from_pylist(found, pa.schema([("shard", pa.string()), ("keys", pa.binary()), ("n", pa.binary())]))
+
+    def finish(shard: pa.Table, common: pa.Table) -> pa.Table:
+        ids, urls = shard.column("id"), shard.column("url")
+        known = None
+        if common.num_rows:
+            keys = np.concatenate([unpack(x) for x in common.column("keys").to_pylist()])
+            n = np.concatenate([np.frombuffer(x, "<u4") for x in common.column("n").to_pylist()])
+            order = np.argsort(keys)
+            known = keys[order], n[order].astype(np.int64)
+        host_pages = shard.column("host_pages")[0].as_py() if shard.num_rows else None
+        owners = page_numbers(ids.to_pylist(), urls.to_pylist())
+        texts = main_texts(shard.column("page").to_pylist(), least, often, site_pages, owners, host_pages, known) if owners else []
+        return pa.table([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [row_id, "url", "text", "n_chars"])
+
+    if large.isEmpty():
+        common = spark.createDataFrame([], "shard string, keys binary, n binary")
+    else:
+        counts = dealt.groupBy("shard").applyInArrow(count_shard, "part string, shard string, keys binary, n binary")
+        common = counts.groupBy("part").applyInArrow(add_up, "shard string, keys binary, n binary")
+    return dealt.groupBy("shard").cogroup(common.groupBy("shard")).applyInArrow(finish, f"{row_id} {kind}, url string, text string, n_chars long")

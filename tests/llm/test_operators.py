@@ -180,6 +180,18 @@ def test_html_site_blocks_inside_main(spark):
     assert got == {i: f"{title}\n\n{own[i]}" for i in range(6)} | {i: own[i] for i in (6, 7)} | {10 + i: f"{own[0]}\n\n{own[1]}" for i in range(6)}
 
 
+def test_html_verdict_does_not_depend_on_shards(spark):
+    """A block on few pages of a host that is dealt into many shards, and repeated rows of one page."""
+    note = "All that stands here may be copied by those who say where they have found it"
+    own = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(60)}
+    rows = [(i, f"http://a.b/{i}", f"<p>{own[i]}</p>" + f"<div>{note}</div>" * (i % 12 == 0)) for i in range(60)]
+    rows += [(100 + k, f"http://c.d/{k}", f"<p>{own[0]}</p><p>{own[k]}</p>") for k in (1, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for size in (1_000_000, 1_000):
+        got = sorted((r["page_id"], r["text"]) for r in html_text.extract(df, shard_bytes=size).collect())
+        assert got == sorted([(i, own[i]) for i in range(60)] + [(100 + k, f"{own[0]}\n\n{own[k]}") for k in (1, 2, 2, 2)])
+
+
 def test_html_coverage_is_of_distinct_pages():
     run = "a b c d e f g h".split()
     c = html_text.covered([["x", *run, "y"], ["z", *run], run * 2], 8, 3)
