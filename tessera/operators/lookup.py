@@ -59,6 +59,19 @@ def search(entries: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return entries.where(e.contains(low)).withColumn("place", place).orderBy("place", F.length("entry"), "code").limit(limit)
 
 
+def near_pairs(rows: DataFrame, key: str, name: str, most: int = 2, block: int = 1) -> DataFrame:
+    """(a, b, distance) of keys a < b whose names begin alike and are at most `most` edits apart.
+
+    Distances are taken between distinct names, blocked on their first letters and length, and joined back to the keys.
+    """
+    n = rows.select(F.col(name).alias("na")).where("na IS NOT NULL").distinct().withColumn("__b", F.substring("na", 1, block))
+    m = n.select(F.col("na").alias("nb"), "__b", F.explode(F.sequence(F.length("na") - most, F.length("na") + most)).alias("__l"))
+    d = n.withColumn("__l", F.length("na")).join(m, ["__b", "__l"]).withColumn("distance", F.levenshtein("na", "nb", most)).where("distance >= 0")
+    a, b = (rows.select(F.col(key).alias(k), F.col(name).alias(f"n{k}")) for k in "ab")
+    j = d.select("na", "nb", F.col("distance").cast("long").alias("distance")).join(a, "na").join(b, "nb").where("a < b")
+    return j.select("a", "b", "distance")
+
+
 def pairs_within(rows: DataFrame, group: str, item: str, rules: DataFrame) -> DataFrame:
     """Rules (a, b) of which both items stand in a group, each once.
 

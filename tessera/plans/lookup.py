@@ -41,10 +41,13 @@ def tiered_lookup(spark, sf):
 
 @query("edit_distance_join", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3) AND levenshtein(a.p_name, b.p_name) <= 2 WHERE a.p_partkey <= 500 AND b.p_partkey <= 500")
 def edit_distance_join(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), F.substring("p_name", 1, 3).alias("k"))
-    q = p.select(F.col("a").alias("b"), F.col("na").alias("nb"), "k")
-    j = p.join(q, "k").where("a < b").withColumn("distance", F.levenshtein("na", "nb", 2))
-    return j.where("distance >= 0").select("a", "b", F.col("distance").cast("long").alias("distance"))
+    """The pairs of a fixed set of keys, as its SQL has them; `edit_distance_pairs` has those of the whole table."""
+    return L.near_pairs(table(spark, sf, "part").where("p_partkey <= 500"), "p_partkey", "p_name", block=3)
+
+
+@query("edit_distance_pairs", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND levenshtein(a.p_name, b.p_name) <= 2")
+def edit_distance_pairs(spark, sf):
+    return L.near_pairs(table(spark, sf, "part"), "p_partkey", "p_name")
 
 
 @query("prefix_search", f"WITH {ENT} SELECT code, entry FROM e WHERE contains(entry, 'gr') ORDER BY CASE WHEN entry = 'gr' THEN 0 WHEN starts_with(entry, 'gr') THEN 1 ELSE 2 END, length(entry), code LIMIT 10")
