@@ -29,6 +29,11 @@ def header_counts(spark, sf):
     return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", C.header_count(F.col("text")).alias("n"))
 
 
+@query("header_counts_all", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) BETWEEN 3 AND 50 AND upper(x) = x AND NOT contains(x, 'ß') AND regexp_matches(x, '[A-Z]')))::INTEGER AS n FROM documents")
+def header_counts_all(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", C.header_count(F.col("text")).alias("n"))
+
+
 TYPES = {
     "prose": (["the", "and", "of", "that", "with"], ["the "], [r"\. [A-Z]"], ["|"]),
     "listing": (["|", "id", "no"], ["|"], [r"\|.*\|"], ["the"]),

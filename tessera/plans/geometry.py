@@ -44,11 +44,23 @@ def bbox_confidence(spark, sf):
 @query("value_box_match", f"""WITH {B}, j AS (SELECT f.vec_id AS field, v.vec_id AS value, (1 - abs(f.y0 - v.y0)) * CASE WHEN v.x0 >= f.x1 THEN 1.1 ELSE 1 END * CASE WHEN abs(f.y0 - v.y0) > 0.02 THEN 0.7 ELSE 1 END AS score
     FROM b f JOIN b v ON f.label = v.label AND f.vec_id % 20 = 0 AND v.vec_id % 20 = 1) SELECT field, value, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, value) AS k FROM j) WHERE k = 1""")
 def value_box_match(spark, sf):
-    """The value box of a page that belongs to a field box: near in height, better to the right, worse on another line."""
     x = boxes(spark, sf)
-    f = x.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("field"), F.col("b").alias("f"))
-    v = x.where("vec_id % 20 = 1").select("label", F.col("vec_id").alias("value"), F.col("b").alias("v"))
+    return best_value(x.where("vec_id % 20 = 0"), x.where("vec_id % 20 = 1"))
+
+
+@query("value_box_match_all", f"""WITH {B}, j AS (SELECT f.vec_id AS field, v.vec_id AS value, (1 - abs(f.y0 - v.y0)) * CASE WHEN v.x0 >= f.x1 THEN 1.1 ELSE 1 END * CASE WHEN abs(f.y0 - v.y0) > 0.02 THEN 0.7 ELSE 1 END AS score
+    FROM b f JOIN b v ON f.label = v.label AND f.vec_id % 20 = 0 AND v.vec_id <> f.vec_id) SELECT field, value, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, value) AS k FROM j) WHERE k = 1""")
+def value_box_match_all(spark, sf):
+    """The stated fields against all other boxes."""
+    x = boxes(spark, sf)
+    return best_value(x.where("vec_id % 20 = 0"), x)
+
+
+def best_value(fields, values):
+    """The value box of a page that belongs to a field box: near in height, better to the right, worse on another line."""
+    f = fields.select("label", F.col("vec_id").alias("field"), F.col("b").alias("f"))
+    v = values.select("label", F.col("vec_id").alias("value"), F.col("b").alias("v"))
     gap = F.abs(F.col("f.y0") - F.col("v.y0"))
     score = (1 - gap) * F.when(F.col("v.x0") >= F.col("f.x1"), 1.1).otherwise(1.0) * F.when(gap > 0.02, 0.7).otherwise(1.0)
-    best = f.join(v, "label").withColumn("score", score).groupBy("field").agg(F.max_by(F.struct("value", "score"), F.struct("score", -F.col("value"))).alias("m"))
+    best = f.join(v, "label").where("field <> value").withColumn("score", score).groupBy("field").agg(F.max_by(F.struct("value", "score"), F.struct("score", -F.col("value"))).alias("m"))
     return best.select("field", F.col("m.value").alias("value"), F.round("m.score", 6).alias("score"))

@@ -111,8 +111,17 @@ def outer_attributes(spark, sf):
 
 @query("attribute_product", "SELECT DISTINCT l_suppkey, s, f FROM (SELECT DISTINCT l_suppkey, l_returnflag AS s FROM lineitem WHERE l_suppkey <= 20) JOIN (SELECT DISTINCT l_suppkey, l_linestatus AS f FROM lineitem WHERE l_suppkey <= 20) USING (l_suppkey)")
 def attribute_product(spark, sf):
+    return attributes(table(spark, sf, "lineitem").where("l_suppkey <= 20"))
+
+
+@query("attribute_product_all", "SELECT DISTINCT l_suppkey, s, f FROM (SELECT DISTINCT l_suppkey, l_returnflag AS s FROM lineitem) JOIN (SELECT DISTINCT l_suppkey, l_linestatus AS f FROM lineitem) USING (l_suppkey)")
+def attribute_product_all(spark, sf):
+    return attributes(table(spark, sf, "lineitem"))
+
+
+def attributes(line):
     """All strengths with all forms of a code, each once; a code without forms keeps a null one."""
-    g = table(spark, sf, "lineitem").where("l_suppkey <= 20").groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("ss"), F.collect_set("l_linestatus").alias("ff"))
+    g = line.groupBy("l_suppkey").agg(F.collect_set("l_returnflag").alias("ss"), F.collect_set("l_linestatus").alias("ff"))
     return g.select("l_suppkey", F.explode("ss").alias("s"), "ff").select("l_suppkey", "s", F.explode_outer("ff").alias("f"))
 
 

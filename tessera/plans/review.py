@@ -119,7 +119,16 @@ def template_stats(spark, sf):
 
 @query("samples_by_category", "SELECT coalesce(nullif(p_type, ''), 'other') AS category, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part WHERE p_partkey <= 300 GROUP BY 1")
 def samples_by_category(spark, sf):
-    g = table(spark, sf, "part").where("p_partkey <= 300").groupBy(F.coalesce(F.nullif("p_type", F.lit("")), F.lit("other")).alias("category"))
+    return members_by_category(table(spark, sf, "part").where("p_partkey <= 300"))
+
+
+@query("all_by_category", "SELECT coalesce(nullif(p_type, ''), 'other') AS category, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1")
+def all_by_category(spark, sf):
+    return members_by_category(table(spark, sf, "part"))
+
+
+def members_by_category(part):
+    g = part.groupBy(F.coalesce(F.nullif("p_type", F.lit("")), F.lit("other")).alias("category"))
     return g.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("members"))
 
 
