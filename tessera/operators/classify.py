@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,3 +75,39 @@ def merge_verdicts(model: Column, model_score: Column, rule: Column, rule_score:
     label = F.when(model.isNull() | override, rule).otherwise(model)
     confidence = F.when(model.isNull(), rule_score).when(agree, F.least(F.lit(0.98), model_score + F.least(F.lit(0.15), rule_score * 0.2))).when(override, rule_score).otherwise(model_score)
     return label, confidence, F.coalesce(~agree, F.lit(False))
+
+
+def _after(text: Column, heads: str, until: str) -> Column:
+    """What follows the first of the heads, up to a line that begins the next part; null where none stands."""
+    t = F.regexp_replace(text, r"\r\n?", "\n")
+    pattern = rf"(?isuU)(?:{heads})[:\s]*\n?(.*?)(?=\n(?:{until})|\z)"
+    return F.when(t.rlike(pattern), _stripped(F.regexp_extract(t, pattern, 1)))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def fallback_impression(text: Column) -> Column:
+    """The first three sentences of a report's impression."""
+    found = _after(text, "IMPRESSION|CONCLUSION|SUMMARY", "[A-Z]{3,}|Page")
+    first = F.transform(F.slice(F.split(found, r"[.!?]+"), 1, 3), _stripped)
+    said = F.concat(F.array_join(F.filter(first, lambda x: x != ""), ". "), F.lit("."))
+    return F.coalesce(said, F.lit("Impression not found in document"))
+
+
+def fallback_findings(text: Column) -> Column:
+    found = _after(text, "FINDINGS|OBSERVATIONS", "IMPRESSION|CONCLUSION|RECOMMENDATION|Page")
+    return F.coalesce(found, F.lit("Findings not found in document"))
+
+
+def procedure(text: Column) -> Column:
+    """Kind of imaging; 'ct' counts inside words too, as in the reference."""
+    t = F.lower(text)
+    has = lambda *words: reduce(or_, [t.contains(w) for w in words])
+    ct = F.when(has("chest"), "chest_ct").when(has("abdomen"), "abdomen_ct").when(has("head", "brain"), "head_ct").otherwise("ct_unknown")
+    mri = F.when(has("brain", "head"), "mri_brain").otherwise("mri_unknown")
+    echo = F.when(has("abdomen"), "ultrasound_abdomen").otherwise("ultrasound_unknown")
+    xray = F.when(has("chest"), "chest_xray").otherwise("xray_unknown")
+    kind = F.when(has("ct", "computed tomography"), ct).when(has("mri", "magnetic resonance"), mri).when(has("ultrasound", "sonogram"), echo)
+    return kind.when(has("mammogram", "mammography"), "mammogram").when(has("x-ray", "radiograph"), xray).otherwise("unknown")

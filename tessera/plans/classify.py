@@ -117,3 +117,25 @@ def metadata_exclusion(spark, sf):
 def document_layout(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", (t.contains("|") | t.contains("\t")).alias("has_tables"), t.rlike(r"(?m)^\s*[-•*]\s").alias("has_lists"), (F.length(t) > 10000).alias("many_pages"))
+
+
+CPT = {"chest_xray": "71046", "chest_ct": "71250", "abdomen_ct": "74150", "head_ct": "70450", "mri_brain": "70551", "ultrasound_abdomen": "76700", "mammogram": "77067"}
+HAS = lambda *words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+@query("procedure_type", f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), k AS (SELECT doc_id, CASE
+    WHEN {HAS("ct", "computed tomography")} THEN CASE WHEN {HAS("chest")} THEN 'chest_ct' WHEN {HAS("abdomen")} THEN 'abdomen_ct' WHEN {HAS("head", "brain")} THEN 'head_ct' ELSE 'ct_unknown' END
+    WHEN {HAS("mri", "magnetic resonance")} THEN CASE WHEN {HAS("brain", "head")} THEN 'mri_brain' ELSE 'mri_unknown' END
+    WHEN {HAS("ultrasound", "sonogram")} THEN CASE WHEN {HAS("abdomen")} THEN 'ultrasound_abdomen' ELSE 'ultrasound_unknown' END WHEN {HAS("mammogram", "mammography")} THEN 'mammogram'
+    WHEN {HAS("x-ray", "radiograph")} THEN CASE WHEN {HAS("chest")} THEN 'chest_xray' ELSE 'xray_unknown' END ELSE 'unknown' END AS kind FROM d)
+    SELECT doc_id, kind, CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CPT.items())} END AS cpt FROM k""")
+def procedure_type(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", C.procedure(F.col("text")).alias("kind"))
+    codes = F.create_map(*[F.lit(x) for pair in CPT.items() for x in pair])
+    return d.select("doc_id", "kind", codes[F.col("kind")].alias("cpt"))
+
+
+@query("fallback_sections")
+def fallback_sections(spark, sf):
+    """RE2 knows no look-ahead, so there is no SQL; tests compare with Python's own expressions."""
+    return table(spark, sf, "documents").select("doc_id", C.fallback_impression(F.col("text")).alias("impression"), C.fallback_findings(F.col("text")).alias("findings"))

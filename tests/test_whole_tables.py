@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force on small fixtures."""
 
+import re
 from itertools import combinations
 
 import __spark_entry__ as entry
@@ -53,3 +54,26 @@ def test_rows_beyond_the_subsets(spark, tmp_path):
     assert rows["all_by_category"] == [("a", 2, "1,301"), ("b", 1, "9999"), ("other", 2, "302,303")]
     assert rows["attribute_product_all"] == [(5, "N", "O")] + [(21, s, f) for s in "AR" for f in "FO"]
     assert rows["header_counts_all"] == [(1, 1), (2, 1), (3, 0)]
+
+
+def sections(text):
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    impression, findings = "Impression not found in document", "Findings not found in document"
+    if m := re.search(r"(?:IMPRESSION|CONCLUSION|SUMMARY)[:\s]*\n?(.*?)(?=\n[A-Z]{3,}|\nPage|\Z)", text, re.I | re.S):
+        impression = ". ".join(s.strip() for s in re.split(r"[.!?]+", m[1].strip())[:3] if s.strip()) + "."
+    if m := re.search(r"(?:FINDINGS|OBSERVATIONS)[:\s]*\n?(.*?)(?=\n(?:IMPRESSION|CONCLUSION|RECOMMENDATION|Page)|\Z)", text, re.I | re.S):
+        findings = m[1].strip()
+    return impression, findings
+
+
+def test_report_queries(spark, tmp_path):
+    texts = [
+        "CT of the chest\r\nFINDINGS: clear lungs.\r\n No more.\r\nImpression:\n Normal! Two? Three. Four.\n\nPage 2", "impression\n", "SUMMARY: a. b\nc d\nEND", "Observations:\u00a0x\u00a0\n", "",
+        "Mammography", "chest X-Ray", "a fracture of the head", "MRI brain", "sonogram, abdomen", "x-ray of a hand", "CONCLUSION .. !", "FINDINGS a\n\n",
+    ]
+    sf = save(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["impression"], r["findings"]) for r in entry.queries()["fallback_sections"](spark, sf).collect()}
+    assert got == {k: sections(t) for k, t in enumerate(texts)}
+    kinds = [tuple(r)[1:] for r in entry.queries()["procedure_type"](spark, sf).orderBy("doc_id").collect()]
+    assert kinds[0] == ("chest_ct", "71250") and kinds[4] == ("unknown", None)
+    assert kinds[5:11] == [("mammogram", "77067"), ("chest_xray", "71046"), ("head_ct", "70450"), ("mri_brain", "70551"), ("ultrasound_abdomen", "76700"), ("xray_unknown", None)]
