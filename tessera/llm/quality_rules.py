@@ -6,8 +6,8 @@ n-grams of log p_target - log p_raw, so length does not matter. The verdict is a
 every document: no sampling. The target's counts are smoothed towards the raw corpus with the weight of `prior`
 n-grams, so a bucket the target never shows counts against a text only as far as it should have shown it.
 
-Counts over the raw corpus cover every document; the target is at most `trusted_rows` labelled documents, those
-of least hashed id (a documented bound for the labelled sample). Of the counts, one row a bucket comes to the
+Counts over the raw corpus cover every document, those over the target every trusted one: the labels are joined to the
+documents. Of the counts, one row a bucket comes to the
 driver and one array of 2^16 weights goes to the executors, whatever the size of the corpus.
 
 Null and empty texts have zero counts and fail the base rule. Repeated rows are each judged; labels that repeat
@@ -56,18 +56,13 @@ def repeated_words(h: np.ndarray, ends: np.ndarray, n: int = 5) -> np.ndarray:
     return per_doc((np.cumsum(cover)[:-1] > 0).astype(np.int64), ends[:-1], ends[1:])
 
 
-def target_ids(labels: DataFrame, good: str, trusted_rows: int) -> set[int]:
-    """Ids of at most `trusted_rows` trusted documents, by least hash."""
-    trusted = labels.where(F.expr(good) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return {r[0] for r in trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).collect()}
-
-
-def fit_ratio(docs: DataFrame, labels: DataFrame, good: str = "quality = 1", trusted_rows: int = 20_000, prior: float = 20_000.0) -> np.ndarray:
+def fit_ratio(docs: DataFrame, labels: DataFrame, good: str = "quality = 1", prior: float = 20_000.0) -> np.ndarray:
     """log p_target - log p_raw of each bucket."""
-    sent = docs.sparkSession.sparkContext.broadcast(target_ids(labels, good, trusted_rows))
+    trusted = labels.where(F.expr(good) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(trusted, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trusted, raw, target = sent.value, np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for b in batches:
             rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
             for lo, hi in slices(rows, lambda r: len(r[1] or b""), 4_000_000):
@@ -75,13 +70,13 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, good: str = "quality = 1", tru
                 one, two, a, z = grams(h, ends)
                 both = np.concatenate([one, two])
                 raw += np.bincount(both, minlength=1 << BITS)
-                mine = np.array([d in trusted for d, _ in rows[lo:hi]], bool)
+                mine = np.array([d for d, _ in rows[lo:hi]], bool)
                 keep = np.concatenate([np.repeat(mine, np.diff(ends)), np.repeat(mine, z - a)])
                 target += np.bincount(both[keep], minlength=1 << BITS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, raw[at], target[at])], ["bucket", "raw", "target"])
 
-    counted = docs.select("doc_id", text_bytes()).mapInArrow(count, "bucket long, raw long, target long")
+    counted = rows.mapInArrow(count, "bucket long, raw long, target long")
     raw, target = np.full(1 << BITS, 0.5), np.zeros(1 << BITS)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]] += r["raw"]

@@ -157,6 +157,23 @@ def test_bpe_offsets_and_round_trip(spark):
 PAGE = "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li>Home</li></ul></nav><div class='cookie-notice'>We use cookies</div><!-- x --><article><h1>One &amp; two</h1><p>a  <b>b</b>\n c<br>d<p>e &lt;f&gt;<aside>side</aside><div class='ad'><p>buy</p></div><section id=comments><p>me too</p></section></article><form><input>Go</form><footer>&copy; x</footer></body></html>"
 
 
+def test_ratio_counts_every_trusted_document(spark):
+    """More than 20,000 of them, an id that no document has, repeated labels and null ids."""
+    n = 20_600
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 977, F.lit(" v"), F.col("id") % 13).alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "w1 v1"), (n + 5, "other words")], "doc_id long, text string"))
+    labels = docs.where(f"doc_id < {n}").select("doc_id", F.lit(1).alias("quality"))
+    labels = labels.union(spark.createDataFrame([(3, 1), (3, 0), (None, 1), (n + 5, 0), (n + 9, 1)], "doc_id long, quality int"))
+    raw, target = np.full(1 << quality_rules.BITS, 0.5), np.zeros(1 << quality_rules.BITS)
+    for k, t in docs.collect():
+        one, two, *_ = quality_rules.grams(*hash_words([t.encode().split()]))
+        for b in (*one, *two):
+            raw[b] += 1
+            target[b] += k is not None and k < n
+    p = raw / raw.sum()
+    assert np.allclose(quality_rules.fit_ratio(docs, labels), np.log((target + 20_000 * p) / (target.sum() + 20_000)) - np.log(p), atol=1e-12)
+
+
 def test_html_main_text(spark):
     plain = "<body><div>Menu one two three four five six seven eight</div><p>{}</p></body>"
     rows = [(1, "http://a.b/1", PAGE), (2, None, None), (3, "http://a.b/3", ""), (4, "http://a.b/4", "<article></article><p>x</p>"), (5, "http://c.d/5", "<article><p>cut <b>of"), (6, "http://c.d/6", "<article><p>5 < 6 &am"), (1, "http://a.b/1", PAGE)]
