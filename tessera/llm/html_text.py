@@ -2,23 +2,24 @@
 
 A page is read into blocks (runs of text between block-level tags, references decoded, white space folded) and
 a token stream of its tags and words. The streams of a host are concatenated; suffixes are sorted by prefix doubling
-to a depth of `least` tokens; neighbours that agree that far and lie in `pages` or more distinct
-pages are repeated substrings, and the tokens under them are covered. What a block is decides what is done:
-
-- blocks inside an article or main element are the page's own, unless they stand in a part that says
-  otherwise (menu, sidebar, form, advert, notice, comments ...: by element, role, class or id) or belong to the site: a block
-  other than a heading, covered by at least half by substrings that `site_pages` pages and more than half of the host's have;
-- on a page without such an element, blocks outside those parts are kept where they are unique: a block that is
-  covered by at least half is boilerplate and goes.
-
-An article is kept even if other pages repeat it: where the site's blocks would be more than half of a page's tokens in main, all
-stay.
-
-A host with more than a quarter of a partition's share of all HTML is dealt into shards by page id, each of about that size
-(at least `shard_bytes`), so no task holds more however large the host is. Shards decide nothing: each counts its
-substrings, the counts of a host are added up by ranges of the substrings' 64-bit hashes, and those of `often` pages or more
-go back to the shards that have them. There are at most four such hosts a partition, so their list may be
-broadcast, and the pages are shuffled once.
+to a depth of `least` tokens; neighbours that agree that far and lie in enough distinct pages are repeated substrings, and
+the tokens under them are covered. A block covered by at least half is boilerplate and goes; unique runs stay. Elements and
+words of a class or id only say how much repetition it takes:
+
+- parts that are no article text by their element, role or plain name (menus, sidebars, forms, adverts, notices, reader
+  comments ...: `NOT_MAIN`, `ROLES`, `CUES`) go however unique they are, as do parts outside the article or main element of
+  a page that has one;
+- contested blocks - all others of a page without such an element, and parts inside it with an unclear name (`HINTS`) - go
+  where `often` pages of the host have the substring in a contested block;
+- other blocks inside the article go where `site_pages` pages and more than half of the host's pages with an article have the
+  substring: that is the site's text, not the author's. Headings stay, and where such blocks would be more than half of a
+  page's article, all stay: an article is kept even if other pages copy it.
+
+A host with more HTML than `shard_bytes` is dealt into shards by page id, so no task holds more however large the host is
+(beyond a million such hosts' worth of input shards grow, so that the list of those hosts may be broadcast). Shards decide
+nothing. Contested runs are counted a shard and added up by ranges of their 64-bit hashes. What more than half of a host's
+pages have, more than half of some shard's pages have: shards propose those runs, and all shards then count the proposed
+ones. So the text does not depend on the size of shards or the number of partitions. The pages are shuffled once.
 
 Null html counts as empty and gives an empty text; null urls share one host. Pages of any length are read
 whole; repeated rows give the same text and count as distinct pages only if their ids or urls differ. Extra columns are
@@ -29,9 +30,11 @@ from __future__ import annotations
 
 import html as references
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +48,11 @@ TRACKED = HOLDS_MAIN | NOT_MAIN | {"div", "section", "header", "ul", "ol", "li",
 BREAKS = TRACKED - {"span", "button", "select", "svg"} | {"h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "tr", "dt", "dd", "figcaption", "address", "summary", "caption", "html", "option", "title"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CUES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
-    "disqus", "footer", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup",
-    "promo", "promotion", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "login",
+    "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "replies", "reply", "sidebar", "signup", "sponsor", "sponsored", "subscribe",
 }
+# Words that often name such a part, but an article's own as well; there repetition decides.
+HINTS = {"breadcrumb", "breadcrumbs", "modal", "notification", "pagination", "popup", "promo", "promotion", "related", "search", "share", "sharing", "social", "toolbar", "widget"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
 
 _markup = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z!/?][^<>]*\Z", re.S | re.I)
@@ -56,41 +60,61 @@ _attribute = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*
 _name_part = re.compile(r"[a-z0-9]+")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether an element's attributes say that it holds no main text."""
+def _marked(attributes: str) -> int:
+    """What an element's attributes say: 0 nothing, 1 that repetition decides, 2 that it holds no main text."""
     if not attributes:
-        return False
+        return 0
+    hint = 0
     for name, *value in _attribute.findall(attributes):
         v = "".join(value).lower()
         name = name.lower()
         if name == "role":
             if v.strip() in ROLES:
-                return True
+                return 2
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
-                return True
+                return 2
         elif name == "aria-hidden":
             if v == "true":
-                return True
-        elif not CUES.isdisjoint(_name_part.findall(v)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I))
+                return 2
+        else:
+            words = set(_name_part.findall(v))
+            if words & CUES:
+                return 2
+            hint = max(hint, int(bool(words & HINTS)))
+    return 2 if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I) else hint
+
 
+class Block(NamedTuple):
+    text: str
+    main: bool  # inside an article or main element
+    off: int  # as `_marked`, of the part around it
+    heading: bool
+    start: int  # its tokens
+    end: int
 
-def read_page(page: str) -> tuple[list[tuple[str, bool, bool, bool, int, int]], list[str], bool]:
-    """Blocks (text, inside main, inside a part that is not main, a heading, first and last + 1 of its tokens), tokens,
-    and whether the page has a main element."""
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    tokens: list[str]
+    has_main: bool
+
+    def contested(self, b: Block) -> bool:
+        return b.off == 1 if self.has_main and b.main else not self.has_main and b.off < 2
+
+
+def read_page(page: str) -> Page:
     blocks, tokens, run = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside main, inside a part that is not main
-    main = off = has_main = heading = False
-    done = 0
+    stack: list[tuple[str, bool, int]] = []  # element, inside main, the strongest mark around
+    main = has_main = heading = False
+    done = off = 0
 
     def close() -> None:
         if run:
             words = references.unescape("".join(run)).split()
             run.clear()
             if words:
-                blocks.append((" ".join(words), main, off, heading, len(tokens), len(tokens) + len(words)))
+                blocks.append(Block(" ".join(words), main, off, heading, len(tokens), len(tokens) + len(words)))
                 tokens.extend(words)
 
     for m in _markup.finditer(page):
@@ -121,36 +145,39 @@ def read_page(page: str) -> tuple[list[tuple[str, bool, bool, bool, int, int]],
             if at is not None:
                 close()
                 del stack[at:]
-                _, main, off = stack[-1] if stack else ("", False, False)
+                _, main, off = stack[-1] if stack else ("", False, 0)
             continue
         if stack and stack[-1][0] == "p" and name in BREAKS:  # a paragraph ends where another block begins
             stack.pop()
-            _, main, off = stack[-1] if stack else ("", False, False)
-        bad = name in NOT_MAIN or _marked(attributes) or (name == "header" and not main)
+            _, main, off = stack[-1] if stack else ("", False, 0)
+        bad = 2 if name in NOT_MAIN or (name == "header" and not main) else _marked(attributes)
         if bad or name in HOLDS_MAIN or stack or name != "span":
-            if bad and not off:
+            if bad > off:
                 close()
-            main, off = main or name in HOLDS_MAIN, off or bad
-            has_main |= main and not off
+            main, off = main or name in HOLDS_MAIN, max(off, bad)
+            has_main |= main and off < 2
             if not attributes.rstrip().endswith("/"):
                 stack.append((name, main, off))
     if done < len(page):
         run.append(page[done:])
     close()
-    return blocks, tokens, has_main
+    return Page(blocks, tokens, has_main)
+
 
+def token_hashes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of streams laid end to end, the same in every process, and where each stream begins."""
+    return hash_words([[t.encode("utf-8", "surrogatepass") for t in s] for s in streams])
 
-def repeats(streams: list[list[str]], least: int, owners: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where runs of `least` tokens start in the streams laid end to end, the group of equal runs each is in, and how many
-    distinct owners (by default, streams) each group has."""
-    size = np.array([len(s) for s in streams], np.int64)
-    owner = np.repeat(np.arange(len(streams)) if owners is None else np.array(owners, np.int64), size)
-    n = int(size.sum())
+
+def repeats(h: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array to a depth of `least` tokens: where runs of that many start inside a stream, equal ones side by side, and
+    the group of equal runs each is in."""
+    size = np.diff(ends)
+    n = len(h)
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flat = np.fromiter((hash(t) for s in streams for t in s), np.int64, n)
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1
-    left = np.repeat(np.cumsum(size), size) - np.arange(n)  # tokens to the stream's end
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rank = np.unique(h, return_inverse=True)[1].astype(np.int64) + 1
+    left = np.repeat(ends[1:], size) - np.arange(n)  # tokens to the stream's end
     depth = 1
     while depth < least:  # prefix doubling: ranks of suffixes by their first `depth` tokens
         step = min(depth, least - depth)
@@ -161,35 +188,33 @@ def repeats(streams: list[list[str]], least: int, owners: list[int] | None = Non
         a, b = rank[order], next_rank[order]
         rank[order] = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         depth += step
-    order = np.lexsort((owner, rank))  # the suffix array to that depth, a group's pages in order
+    order = np.argsort(rank, kind="stable")
     order = order[left[order] >= least]
-    r, o = rank[order], owner[order]
-    fresh = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1]))[: len(r)]
-    group = np.cumsum(np.append(False, r[1:] != r[:-1]))[: len(r)]
-    return order, group, np.bincount(group, weights=fresh).astype(np.int64)
+    r = rank[order]
+    return order, np.cumsum(np.append(False, r[1:] != r[:-1]))[: len(r)]
+
+
+def owners_of(start: np.ndarray, group: np.ndarray, owner: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """How many distinct owners each group of runs has, among the runs that start at `counted` tokens."""
+    keep = counted[start]
+    pairs = np.unique(np.stack([group[keep], owner[start[keep]]], 1), axis=0)
+    return np.bincount(pairs[:, 0], minlength=int(group[-1]) + 1 if len(group) else 0)
 
 
-def under(starts: np.ndarray, streams: list[list[str]], least: int) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a run of `least` tokens with one of these starts."""
-    ends = np.cumsum([len(s) for s in streams])
+def under(starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Which tokens lie in a run of `least` tokens with one of these starts."""
     cover = np.zeros(int(ends[-1]) + 1, np.int64)
-    cover[starts] += 1
+    np.add.at(cover, starts, 1)
     np.subtract.at(cover, starts + least, 1)
-    return np.split(np.cumsum(cover)[:-1] > 0, ends[:-1])
+    return np.cumsum(cover)[:-1] > 0
 
 
 def covered(streams: list[list[str]], least: int, pages: int) -> list[np.ndarray]:
     """For each stream, which tokens lie in a substring of `least` tokens that `pages` distinct streams have."""
-    start, group, n = repeats(streams, least)
-    return under(start[n[group] >= pages], streams, least)
-
-
-def run_keys(streams: list[list[str]], least: int, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the tokens of each group of equal runs, the same in every process."""
-    words, ends = hash_words([[t.encode("utf-8", "surrogatepass") for t in s] for s in streams])
-    keys, at = window_hashes(words, ends, least)
-    first = start[np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])]
-    return keys[np.searchsorted(at, first)]
+    h, ends = token_hashes(streams)
+    start, group = repeats(h, ends, least)
+    n = owners_of(start, group, np.repeat(np.arange(len(streams)), np.diff(ends)), np.ones(len(h), bool))
+    return np.split(under(start[n[group] >= pages], ends, least), ends[1:-1])
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -207,86 +232,150 @@ def page_numbers(ids: list, urls: list) -> list[int]:
     return [seen.setdefault(x, len(seen)) for x in zip(ids, urls)]
 
 
-def main_texts(pages: list[str], least: int, often: int, site_pages: int, owners: list[int], host_pages: int | None = None, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
-    """The main text of each page of one host, or of a shard of it: then with the host's number of pages, and the sorted
-    keys and page counts of the runs that `often` or more of them have."""
-    read = [read_page(p) for p in pages]
-    streams = [t for _, t, _ in read]
-    start, group, n = repeats(streams, least, owners)
-    if known is not None and len(known[0]) and len(n):
-        keys = run_keys(streams, least, start, group)
-        at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-        n = np.where(known[0][at] == keys, known[1][at], n)
-    repeated = under(start[n[group] >= often], streams, least)
-    of_site = under(start[n[group] >= max(site_pages, (host_pages or len(set(owners))) // 2 + 1)], streams, least)
-    out = []
-    for (blocks, _, has_main), c, s in zip(read, repeated, of_site):
-        if has_main:
-            own = [(t, z - a, not heading and 2 * int(s[a:z].sum()) >= z - a) for t, main, off, heading, a, z in blocks if main and not off]
-            all_stay = 2 * sum(k for _, k, drop in own if drop) > sum(k for _, k, _ in own)
-            kept = [t for t, _, drop in own if all_stay or not drop]
-        else:
-            kept = [t for t, _, off, _, a, z in blocks if not off and 2 * int(c[a:z].sum()) < z - a]
-        out.append("\n\n".join(kept))
-    return out
-
-
-def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int = 5, shard_bytes: int = 1_000_000, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+class Host:
+    """The pages of a host, or of a shard of it, with the runs of their token streams."""
+
+    def __init__(self, pages: list[str], owners: list[int], least: int):
+        self.least, self.pages, self.owners = least, [read_page(p) for p in pages], np.array(owners, np.int64)
+        self.h, self.ends = token_hashes([p.tokens for p in self.pages])
+        size = np.diff(self.ends)
+        self.owner = np.repeat(self.owners, size)
+        self.in_main = np.repeat(np.array([p.has_main for p in self.pages], bool), size)
+        self.contested = np.zeros(len(self.h), bool)
+        for p, at in zip(self.pages, self.ends.tolist()):
+            for b in p.blocks:
+                if p.contested(b):
+                    self.contested[at + b.start : at + b.end] = True
+        self.main_pages = len(set(self.owners[[p.has_main for p in self.pages]].tolist()))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, groups, and each group's pages: of contested blocks, and of those with an article."""
+        start, group = repeats(self.h, self.ends, self.least)
+        return start, group, owners_of(start, group, self.owner, self.contested), owners_of(start, group, self.owner, self.in_main)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of all runs, the same in every process, and where they start."""
+        return window_hashes(self.h, self.ends, self.least)
+
+    def texts(self, contested: np.ndarray, site: np.ndarray) -> list[str]:
+        """Each page's main text, given the starts of runs that are too common in contested blocks, and in articles."""
+        common, of_site, out = under(contested, self.ends, self.least), under(site, self.ends, self.least), []
+        for p, at in zip(self.pages, self.ends.tolist()):
+            kept, sites, total = [], 0, 0
+            for b in p.blocks:
+                if b.off == 2 or p.has_main and not b.main:
+                    continue
+                n = b.end - b.start
+                if p.contested(b):
+                    if 2 * int(common[at + b.start : at + b.end].sum()) < n:
+                        kept.append((b.text, False))
+                else:
+                    drop = not b.heading and 2 * int(of_site[at + b.start : at + b.end].sum()) >= n
+                    total, sites = total + n, sites + n * drop
+                    kept.append((b.text, drop))
+            out.append("\n\n".join(t for t, drop in kept if not drop or 2 * sites > total))
+        return out
+
+
+PARTITION_CHARS = 64_000_000
+MOST_LARGE = 1_000_000
+_RUNS = pa.schema([("part", pa.string()), ("shard", pa.string()), ("host", pa.string()), ("kind", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("key", pa.int64()), ("pages", pa.int64())])
+_runs = "part string, shard string, host string, kind int, keys binary, n binary, key long, pages long"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RUNS)], schema=_RUNS)
+
+
+def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int = 5, shard_bytes: int = 8_000_000, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """row_id, url, text and n_chars of each row."""
     spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = pages.select(F.col(row_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), F.coalesce(url_host(F.col(url).cast("string")), F.lit("")).alias("host"))
-    each = data.groupBy("host", "id", "url").agg(F.sum(F.length("page") + 1).alias("bytes"))
-    sizes = materialize(each.groupBy("host").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("host_pages")), "hosts")
-    share = max((sizes.agg(F.sum("bytes")).first()[0] or 0) // (4 * parts), shard_bytes)
-    large = sizes.where(F.col("bytes") > share).select("host", "host_pages", F.ceil(F.col("bytes") / F.lit(share)).cast("int").alias("shards"))
-    dealt = data.join(F.broadcast(large), "host", "left")
+    sizes = materialize(data.groupBy("host").agg(F.sum(F.length("page") + 1).alias("bytes")), "hosts")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    share = max(shard_bytes, total // MOST_LARGE)
+    large = F.broadcast(sizes.where(F.col("bytes") > share).select("host", F.ceil(F.col("bytes") / F.lit(share)).cast("int").alias("shards")))
+    dealt = data.join(large, "host", "left")
     dealt = dealt.withColumn("shard", F.concat_ws(" ", "host", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1)))))
-    # Both readers below take all columns, so that one shuffle of the pages serves both.
-    dealt = dealt.select("shard", "host", "host_pages", "shards", "id", "url", "page").repartition(parts, "shard")
+    # All readers below take the same columns, so that one shuffle of the pages serves them.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_CHARS)
+    dealt = dealt.select("shard", "host", "shards", "id", "url", "page").repartition(parts, "shard")
     kind = pages.schema[row_id].dataType.simpleString()
 
-    def count_shard(shard: pa.Table) -> pa.Table:
+    def read(shard: pa.Table) -> Host:
+        return Host(shard.column("page").to_pylist(), page_numbers(shard.column("id").to_pylist(), shard.column("url").to_pylist()), least)
+
+    def propose(shard: pa.Table) -> pa.Table:
+        """Of a large host's shard: contested runs and their pages, packed (kind 0); runs of more than half of its articles (1); how many
+        those are (2)."""
         found = []
-        if (ranges := shard.column("shards")[0].as_py()) is not None:
-            name, host = shard.column("shard")[0].as_py(), shard.column("host")[0].as_py()
-            streams = [read_page(p)[1] for p in shard.column("page").to_pylist()]
-            start, group, n = repeats(streams, least, page_numbers(shard.column("id").to_pylist(), shard.column("url").to_pylist()))
-            keys = run_keys(streams, least, start, group)
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order].astype("<u4")
-            part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            ends = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-            found = [{"part": f"{host} {k}", "shard": name, "keys": pack(keys[a:z]), "n": n[a:z].tobytes()} for k, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
-        return pa.Table.from_pylist(found, pa.schema([("part", pa.string()), ("shard", pa.string()), ("keys", pa.binary()), ("n", pa.binary())]))
+        if (shards := shard.column("shards")[0].as_py()) is not None:
+            host, name, one = shard.column("host")[0].as_py(), shard.column("shard")[0].as_py(), read(shard)
+            start, group, contested, site = one.counted()
+            keys, at = one.keys()
+            of = keys[np.searchsorted(at, start[np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])])]
+            order = np.argsort(of)
+            k, n = of[order], contested[order].astype("<u4")
+            k, n = k[n > 0], n[n > 0]
+            part = (k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+            ends = np.searchsorted(part, np.arange(shards + 1, dtype=np.uint64))
+            found += [(f"{host} {i}", name, host, 0, pack(k[a:z]), n[a:z].tobytes(), None, None) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
+            found += [(name, name, host, 1, None, None, k, None) for k in of[2 * site > one.main_pages].view(np.int64).tolist()]
+            found.append((name, name, host, 2, None, None, None, one.main_pages))
+        return _table(found)
 
     def add_up(part: pa.Table) -> pa.Table:
-        shards, keys = part.column("shard").to_pylist(), [unpack(x) for x in part.column("keys").to_pylist()]
-        own = np.concatenate([np.frombuffer(x, "<u4") for x in part.column("n").to_pylist()])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, weights=own).astype("<u4")[which]
+        """Contested runs (kind 0) of one range of keys that `often` pages have; other rows as they are."""
+        rest = part.filter(pc.greater(part.column("kind"), 0)).cast(_RUNS)
+        rows = part.filter(pc.equal(part.column("kind"), 0)).to_pylist()
+        keys = [unpack(r["keys"]) for r in rows]
+        every, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([np.zeros(0), *[np.frombuffer(r["n"], "<u4") for r in rows]]), minlength=len(every))
+        common = every[n >= often]
         found = []
-        for s, k, t in zip(shards, keys, np.split(total, np.cumsum([len(k) for k in keys])[:-1])):
-            if (common := t >= often).any():
-                found.append({"shard": s, "keys": pack(k[common]), "n": t[common].tobytes()})
-        return pa.Table.from_pylist(found, pa.schema([("shard", pa.string()), ("keys", pa.binary()), ("n", pa.binary())]))
-
-    def finish(shard: pa.Table, common: pa.Table) -> pa.Table:
-        ids, urls = shard.column("id"), shard.column("url")
-        known = None
-        if common.num_rows:
-            keys = np.concatenate([unpack(x) for x in common.column("keys").to_pylist()])
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in common.column("n").to_pylist()])
-            order = np.argsort(keys)
-            known = keys[order], n[order].astype(np.int64)
-        host_pages = shard.column("host_pages")[0].as_py() if shard.num_rows else None
-        owners = page_numbers(ids.to_pylist(), urls.to_pylist())
-        texts = main_texts(shard.column("page").to_pylist(), least, often, site_pages, owners, host_pages, known) if owners else []
+        for r, k in zip(rows, keys):
+            k = k[np.isin(k, common)]
+            if len(k):
+                found.append((r["part"], r["shard"], r["host"], 0, pack(k), None, None, None))
+        return pa.concat_tables([rest, _table(found)])
+
+    def tally(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        """The pages of a shard that have each run its host's shards proposed."""
+        hosts, counts, keys = [], np.zeros(0, np.int64), np.sort(asked.column("key").to_numpy().view(np.uint64))
+        if shard.num_rows and len(keys):
+            one = read(shard)
+            own, at = one.keys()
+            where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = (keys[where] == own) & one.in_main[at]
+            pairs = np.unique(np.stack([where[hit], one.owner[at[hit]]], 1), axis=0)
+            counts = np.bincount(pairs[:, 0], minlength=len(keys))
+            hosts = [shard.column("host")[0].as_py()] * len(keys)
+        return pa.table({"host": pa.array(hosts, pa.string()), "key": pa.array(keys[: len(hosts)].view(np.int64)), "n": pa.array(counts, pa.int64())})
+
+    def finish(shard: pa.Table, told: pa.Table) -> pa.Table:
+        ids, urls, texts = shard.column("id"), shard.column("url"), []
+        if shard.num_rows:
+            one = read(shard)
+            if shard.column("shards")[0].as_py() is None:
+                start, group, contested, site = one.counted()
+                common, of_site = start[contested[group] >= often], start[site[group] >= max(site_pages, one.main_pages // 2 + 1)]
+            else:
+                own, at = one.keys()
+                packed = [unpack(k) for k in told.column("keys").to_pylist() if k is not None]
+                common = at[np.isin(own, np.concatenate([np.zeros(0, np.uint64), *packed]))]
+                of_site = at[np.isin(own, told.column("key").drop_null().to_numpy().view(np.uint64))]
+            texts = one.texts(common, of_site)
         return pa.table([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [row_id, "url", "text", "n_chars"])
 
     if large.isEmpty():
-        common = spark.createDataFrame([], "shard string, keys binary, n binary")
+        told = spark.createDataFrame([], "shard string, keys binary, key long")
     else:
-        counts = dealt.groupBy("shard").applyInArrow(count_shard, "part string, shard string, keys binary, n binary")
-        common = counts.groupBy("part").applyInArrow(add_up, "shard string, keys binary, n binary")
-    return dealt.groupBy("shard").cogroup(common.groupBy("shard")).applyInArrow(finish, f"{row_id} {kind}, url string, text string, n_chars long")
+        # Both users of `found` read one exchange of what the shards propose.
+        found = dealt.groupBy("shard").applyInArrow(propose, _runs).groupBy("part").applyInArrow(add_up, _runs)
+        shards_of = F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda k: F.concat_ws(" ", "host", k.cast("string")))).alias("shard")
+        asked = found.where("kind = 1").select("host", "key").distinct().join(large, "host").select(shards_of, "key")
+        counts = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(tally, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
+        articles = found.where("kind = 2").groupBy("host").agg(F.sum("pages").alias("articles"))
+        site = counts.join(articles, "host").where((F.col("n") >= site_pages) & (2 * F.col("n") > F.col("articles"))).join(large, "host").select(shards_of, F.lit(None).cast("binary").alias("keys"), "key")
+        told = found.where("kind = 0").select("shard", "keys", "key").unionByName(site)
+    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(finish, f"{row_id} {kind}, url string, text string, n_chars long")

@@ -209,6 +209,75 @@ def test_html_verdict_does_not_depend_on_shards(spark):
         assert got == sorted([(i, own[i]) for i in range(60)] + [(100 + k, f"{own[0]}\n\n{own[k]}") for k in (1, 2, 2, 2)])
 
 
+def brute_main_texts(rows, least=8, often=3, site_pages=5):
+    """The rules of html_text by dictionaries of all runs of a host, a page at a time."""
+    hosts = defaultdict(dict)
+    for i, u, x in rows:
+        hosts[re.sub(r"^.*?://([^/]*).*", r"\1", u)][(i, u)] = html_text.read_page(x or "")
+    out = {}
+    for pages in hosts.values():
+        seen, mine = defaultdict(set), defaultdict(set)
+        for key, p in pages.items():
+            disputed = {k for b in p.blocks if p.contested(b) for k in range(b.start, b.end)}
+            for k in range(len(p.tokens) - least + 1):
+                run = tuple(p.tokens[k : k + least])
+                if p.has_main:
+                    seen[run].add(key)
+                if k in disputed:
+                    mine[run].add(key)
+        articles = sum(p.has_main for p in pages.values())
+        for key, p in pages.items():
+            runs = [(k, tuple(p.tokens[k : k + least])) for k in range(len(p.tokens) - least + 1)]
+            common = {k + j for k, r in runs if len(mine[r]) >= often for j in range(least)}
+            site = {k + j for k, r in runs if len(seen[r]) >= site_pages and 2 * len(seen[r]) > articles for j in range(least)}
+            kept = []
+            for b in p.blocks:
+                span = set(range(b.start, b.end))
+                if b.off == 2 or p.has_main and not b.main or p.contested(b) and 2 * len(span & common) >= len(span):
+                    continue
+                kept.append((b.text, len(span), not p.contested(b), not p.contested(b) and not b.heading and 2 * len(span & site) >= len(span)))
+            own = [x for x in kept if x[2]]
+            stay = 2 * sum(n for _, n, _, d in own if d) > sum(n for _, n, _, _ in own)
+            out[key] = "\n\n".join(t for t, _, _, d in kept if stay or not d)
+    return out
+
+
+def site_pages():
+    """Pages of three hosts, with and without an article, that share lines at all rates, some in parts of an unclear name."""
+    r, rows = np.random.default_rng(11), []
+    shared = [" ".join(f"s{j}x{k}" for k in range(int(r.integers(6, 14)))) for j in range(12)]
+    for i in range(90):
+        parts = []
+        for j in range(int(r.integers(2, 9))):
+            line = shared[int(min(r.geometric(0.3), 12)) - 1] if r.random() < 0.6 else " ".join(f"w{x}" for x in r.integers(0, 60, 12))
+            tag = ("<p>{}</p>", "<div class='related'>{}</div>", "<section id=search><p>{}</p></section>", "<h2>{}</h2>", "<div class=ad>{}</div>")[int(r.integers(0, 5))]
+            parts.append(tag.format(line))
+        body = "".join(parts)
+        rows.append((i, f"http://h{i % 7 // 3}.example/{i}", f"<body><nav>{shared[0]}</nav>" + (f"<article>{body}</article>" if i % 5 else body) + f"<footer>{shared[1]}</footer>"))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "parts"), [(8_000_000, 4), (3_000, 4), (3_000, 211)])
+def test_html_equals_brute_force(spark, size, parts):
+    rows = site_pages()
+    want, before = brute_main_texts(rows), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        got = {(r["page_id"], r["url"]): r["text"] for r in html_text.extract(df, shard_bytes=size).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+    alone = {(i, u): brute_main_texts([(i, u, x)])[(i, u)] for i, u, x in rows}
+    assert sum(alone[k] != want[k] for k in want) > 20  # pages that the suffix array changes
+
+
+def test_html_names_do_not_delete_unique_text(spark):
+    rows = [(1, "http://a.b/1", "<article><section id='search'><p>body about search</p></section></article>"), (2, "http://a.b/2", "<article><div class='search-results-article related'><p>main para</p></div></article>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "body about search", 2: "main para"}
+
+
 def test_html_coverage_is_of_distinct_pages():
     run = "a b c d e f g h".split()
     c = html_text.covered([["x", *run, "y"], ["z", *run], run * 2], 8, 3)
