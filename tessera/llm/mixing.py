@@ -4,9 +4,9 @@ A classifier learned from a table of labelled documents gives every document a p
 distinct value of the label expression). Rates r >= 0, one a document, are then fitted so that the expected
 tokens of each domain, sum_i r_i n_i p_ik, come to its target: least squares over the domains' totals, by
 projected gradient from r = 1. A step moves each rate against the gradient in the metric of its tokens,
-with the totals' misses weighed by the inverse of the domains' second moments (so a step of length 1 never
-overshoots), and cuts it off at 0. A step is a pass
-over the table of posteriors that returns domains x (domains + 1) sums; rates are never collected: a task works them
+with the totals' misses weighed by the inverse of the domains' second moments (over the rows of a rate above 0), and cuts it
+off at 0; steps that make the misses larger are cut (`fit_rates`). A step is a pass
+over the table of posteriors that returns (2 x domains + 1) x domains sums; rates are never collected: a task works them
 out from the few step vectors so far.
 
 The classifier is a softmax regression over the hashed distinct words whose counts tell some domain apart (far from
@@ -14,14 +14,20 @@ what chance would give; `features` of them at most). It is fitted to at most `le
 a domain, those of least hashed id (a documented bound); everything else covers every document. Posteriors
 are written once to the shared folder.
 
+`draw` applies the rates: a row is taken floor(rate) times, and once more by chance, by a hash of its id. So the expected
+tokens of what is drawn are those that were fitted.
+
 Null and empty texts have no tokens, the prior as their posterior, and a rate like any other; it changes no total.
-Labels with a null label or id, and labels that name a domain without a target while targets are given, count as domains
-with target 0. A document labelled twice teaches both. Without labels every document is in one unnamed domain and
-keeps rate 1. Repeated rows each get a rate.
+Labels with a null label or id are not used; a label that names a domain without a target has target 0. A document
+labelled twice teaches both. Where no label names a document, every document is in one unnamed domain and
+keeps rate 1. Repeated rows each get a rate; in `draw`, rows that repeat an id share their chance. Columns whose names
+clash with those added are no matter: `mix_to_targets` reads id and text only, `draw` gives the columns of its input. An
+empty table of documents, or of labels, gives no rows, or rates of 1.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,12 +66,16 @@ class DomainModel:
         return s / s.sum(1, keepdims=True), n
 
 
+#: What stands where nothing is taught.
+ONE_DOMAIN = DomainModel(["all"], np.zeros(1), np.zeros((1, 1 << BITS)))
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, learn_rows: int = 5000, features: int = 2000) -> DomainModel:
     named = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
     shares = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(shares)
     if not domains:
-        return DomainModel(["all"], np.zeros(1), np.zeros((1, 1 << BITS)))
+        return ONE_DOMAIN
     place = {d: i for i, d in enumerate(domains)}
     least = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = named.distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= learn_rows).drop("n")
@@ -112,7 +122,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, learn_rows:
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(lists, pa.list_(pa.int64()))], ["domain", "f"])
 
     lists = taught.mapInArrow(present, "domain string, f array<long>").collect()  # bounded like the sample
-    y = np.array([place[r["domain"]] for r in lists])
+    if not lists:
+        return ONE_DOMAIN
+    y = np.array([place[r["domain"]] for r in lists], np.int64)
     doc = np.repeat(np.arange(len(lists)), [len(r["f"]) for r in lists])
     f = np.array([x for r in lists for x in r["f"]], np.int64)
     weights, bias = softmax_fit(doc, f, y, len(chosen), len(domains))
@@ -138,9 +150,10 @@ def softmax_fit(doc: np.ndarray, f: np.ndarray, y: np.ndarray, n_features: int,
     return w[:, :-1], w[:, -1]
 
 
-def memberships(docs: DataFrame, model: DomainModel, row_id: str = "doc_id") -> DataFrame:
-    """row_id, n_tokens and p (posterior, in the order of model.domains). Materialized."""
+def memberships(docs: DataFrame, model: DomainModel, row_id: str = "doc_id", carry: bool = False) -> DataFrame:
+    """row_id, n_tokens, p (posterior, in the order of model.domains) and, with `carry`, the row itself as `row`. Materialized."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [row_id, "n_tokens", "p"] + ["row"] * carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,10 +161,13 @@ def memberships(docs: DataFrame, model: DomainModel, row_id: str = "doc_id") ->
             for lo, hi in slices(texts, len, 4_000_000):
                 p, n = sent.value.posteriors(texts[lo:hi])
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), flat], [row_id, "n_tokens", "p"])
+                rest = [b.column(2).slice(lo, hi - lo)] if carry else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), flat, *rest], names)
 
-    rows = docs.select(F.col(row_id).cast("long").alias(row_id), text_bytes()).mapInArrow(run, f"{row_id} long, n_tokens long, p array<double>")
-    return materialize(rows, "memberships")
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    source = docs.select(F.col(row_id).cast("long").alias(row_id), text_bytes(), *[whole] * carry)
+    kind = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
+    return materialize(source.mapInArrow(run, f"{row_id} long, n_tokens long, p array<double>{kind}"), "memberships")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -165,73 +181,84 @@ def rates_after(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, most_steps: int = 30, close: float = 1e-4) -> list[np.ndarray]:
-    """The step vectors after which the expected totals of the domains come to `targets` (in tokens)."""
-    k, spark, steps = len(targets), members.sparkSession, []
-    while len(steps) < most_steps:
-        sent = spark.sparkContext.broadcast(list(steps))
-
-        def sums(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((k, k + 1))
-            for b in batches:
-                n, p = b.column(0).to_numpy().astype(float), _matrix(b.column(1), k)
-                r = rates_after(p, sent.value)
-                total[:, k] += p.T @ (n * r)
-                total[:, :k] += (p * n[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "v"])
-
-        total = np.zeros(k * (k + 1))
-        for r in members.select("n_tokens", "p").mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
-            total[r["cell"]] = r["v"]
-        total = total.reshape(k, k + 1)
-        over = total[:, k] - targets
-        scale = max(total[:, :k].trace(), 1.0)
+def totals(members: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At the rates after `steps`: second moments of the domains (sum n p p') over all rows and over those of a rate above 0, and the
+    expected tokens of each domain."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * k + 1, k))
+        for b in batches:
+            n, p = b.column(0).to_numpy().astype(float), _matrix(b.column(1), k)
+            r = rates_after(p, steps)
+            total[:k] += (p * n[:, None]).T @ p
+            total[k:-1] += (p * (n * (r > 0))[:, None]).T @ p
+            total[-1] += p.T @ (n * r)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "v"])
+
+    total = np.zeros((2 * k + 1) * k)
+    for r in members.select("n_tokens", "p").mapInArrow(sums, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+        total[r["cell"]] = r["v"]
+    total = total.reshape(-1, k)
+    return total[:k], total[k:-1], total[-1]
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, most_passes: int = 40, close: float = 1e-4) -> list[np.ndarray]:
+    """The step vectors after which the expected totals of the domains come to `targets` (in tokens).
+
+    A step that makes the misses larger is halved, then replaced by one in the metric of all rows, which never does. Ends when no
+    domain misses by more than `close` of all targets; else, with a warning, when such a step gains no hundredth, or after
+    `most_passes`: then no rates >= 0 meet the targets, or the posteriors are too blurred for it.
+    """
+    k, steps, last, tries = len(targets), [], None, 0
+    for _ in range(most_passes):
+        moments, active, got = totals(members, k, steps)
+        over, eye = got - targets, 1e-9 * max(moments.trace(), 1.0) * np.eye(k)
         if np.abs(over).max() <= close * max(targets.sum(), 1.0):
+            return steps
+        miss = over @ np.linalg.solve(moments + eye, over)
+        if last is not None and miss > last and tries < 3:
+            tries += 1
+            steps[-1] = steps[-1] / 2 if tries < 3 else safe
+            continue
+        if tries == 3 and miss > 0.99 * last:
             break
-        steps.append(np.linalg.solve(total[:, :k] + 1e-9 * scale * np.eye(k), over))
+        last, tries, safe = miss, 0, np.linalg.solve(moments + eye, over)
+        steps.append(np.linalg.solve(active + 1e-6 * moments + eye, over))
+    logging.getLogger(__name__).warning("the domains' totals do not meet their targets: %s, %s", got.round(1).tolist(), targets.round(1).tolist())
     return steps
 
 
-def natural_totals(members: DataFrame, k: int) -> np.ndarray:
-    """Expected tokens of each domain at rate 1."""
-    out = np.zeros(k)
-    for r in members.select("n_tokens", F.posexplode("p")).groupBy("pos").agg(F.sum(F.col("n_tokens") * F.col("col")).alias("t")).collect():
-        out[r["pos"]] = r["t"]
-    return out
-
-
-def fit_mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], full: str | None = None, row_id: str = "doc_id") -> tuple[DomainModel, DataFrame, list[np.ndarray]]:
+def fit_mixture(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], full: str | None = None, row_id: str = "doc_id", carry: bool = False) -> tuple[DomainModel, DataFrame, list[np.ndarray]]:
     """The classifier, the documents' memberships, and the steps to their rates."""
     model = fit_domains(docs, labels, domain)
-    members = memberships(docs, model, row_id)
+    members = memberships(docs, model, row_id, carry)
     share = np.array([weights.get(d, 0.0) for d in model.domains])
     if share.sum() <= 0:
         return model, members, []
-    natural = natural_totals(members, len(share))
+    natural = totals(members, len(share), [])[2]
     share = share / share.sum()
     at = model.domains.index(full) if full in model.domains else None
     size = natural.sum() if at is None or not share[at] else natural[at] / share[at]
     return model, members, fit_rates(members, size * share)
 
 
-def draw(docs: DataFrame, model: DomainModel, steps: list[np.ndarray], whole: float = 0.7, row_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that the mixture takes.
+def draw(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], full: str | None = None, row_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, each as often as its rate says: floor(rate) times, and once more with the rest as its chance.
 
-    A rate of `whole` or more takes a document; below that, it is the chance that the document's hashed id falls under it.
+    The chance is a hash of the row's id, so it is the same in every run.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model, steps))
-    names = docs.columns
-    at = names.index("text")
+    model, members, steps = fit_mixture(docs, labels, domain, weights, full, row_id, carry=True)
+    k = len(model.domains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, v = sent.value
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
-            rates = np.concatenate([rates_after(m.posteriors(texts[lo:hi])[0], v) for lo, hi in slices(texts, len, 4_000_000)] or [np.zeros(0)])
-            chance = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2**64 for i in b.column(names.index(row_id)).to_pylist()])
-            yield b.filter(pa.array((rates >= whole) | (rates > chance)))
+            rates = rates_after(_matrix(b.column(1), k), steps)
+            chance = np.array([xxhash.xxh3_64_intdigest(str(i)) / 2**64 for i in b.column(0).to_pylist()])
+            times = np.floor(rates).astype(np.int64) + (rates % 1 > chance)
+            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(np.repeat(np.arange(b.num_rows), times)))], ["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    kind = members.schema["row"].dataType.simpleString()
+    return members.select(row_id, "p", "row").mapInArrow(run, f"row {kind}").select("row.*")
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], full: str | None = None, row_id: str = "doc_id") -> DataFrame:
@@ -242,11 +269,10 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, weights:
     """
     model, members, steps = fit_mixture(docs, labels, domain, weights, full, row_id)
     k = len(model.domains)
-    sent = docs.sparkSession.sparkContext.broadcast(steps)
     names = members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_after(_matrix(b.column(2), k), sent.value))], [*names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates_after(_matrix(b.column(2), k), steps))], [*names, "rate"])
 
     return members.mapInArrow(run, f"{row_id} long, n_tokens long, p array<double>, rate double")

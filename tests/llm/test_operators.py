@@ -361,18 +361,59 @@ def test_url_rules_equal_brute_force(spark):
 
 
 def test_mixture_meets_its_targets(spark, sf):
+    """Rates against the same steps in plain Python."""
     big = sf.replace("0.001", "0.01")
     d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     r = mixing.mix_to_targets(d, lab, F.expr("concat('q', quality)"), {"q0": 0.3, "q1": 0.7}).collect()
     n, p, rate = np.array([x["n_tokens"] for x in r]), np.array([x["p"] for x in r]), np.array([x["rate"] for x in r])
-    assert rate.min() >= 0
+    assert rate.min() >= 0 and len(r) == d.count()
     assert np.allclose((n * rate) @ p / n.sum(), [0.3, 0.7], atol=0.01)
+    want, target = np.ones(len(n)), n.sum() * np.array([0.3, 0.7])
+    for _ in range(30):
+        over = sum(n[i] * want[i] * p[i] for i in range(len(n))) - target
+        if abs(over).max() <= 1e-4 * target.sum():
+            break
+        every, active = (sum(n[i] * np.outer(p[i], p[i]) for i in range(len(n)) if keep[i]) for keep in (want >= 0, want > 0))
+        want = np.maximum(want - p @ np.linalg.solve(active + 1e-6 * every + 1e-9 * np.trace(every) * np.eye(2), over), 0)
+    assert np.allclose(rate, want, atol=1e-6)
+
+
+def test_mixture_of_unlike_documents_equals_brute_force(spark):
+    """Given memberships, the fitted totals are the targets wherever rates >= 0 can meet them."""
+    r = np.random.default_rng(3)
+    p, n = r.dirichlet([0.3, 0.3, 0.3], 400), r.integers(0, 90, 400)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>").repartition(3)
+    target = np.array([0.8, 0.15, 0.05]) * n.sum()
+    rate = mixing.rates_after(p, mixing.fit_rates(members, target))
+    assert rate.min() >= 0 and np.allclose((n * rate) @ p, target, atol=2e-4 * target.sum())
+    moments, active, got = mixing.totals(members, 3, [])
+    assert np.allclose(moments, (p * n[:, None]).T @ p) and np.allclose(active, moments) and np.allclose(got, n @ p)
+
+
+def test_draw_takes_rows_at_their_rates(spark):
+    """Drawn token shares meet the targets; rates over 1 repeat rows; columns that clash with added ones come back."""
+    rows = [(i, " ".join([("good", "fine", "nice")[i % 3] if i % 4 else ("bad", "poor", "vile")[i % 3]] * 20) + f" w{i % 7}", 0.5, "x", "y") for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, p double, n_tokens string, row string")
+    lab = d.select("doc_id", (F.col("doc_id") % 4 > 0).cast("int").alias("quality")).where("doc_id % 2 = 0 or doc_id % 3 = 0")
+    got = mixing.draw(d, lab, F.col("quality").cast("string"), {"0": 0.5, "1": 0.5})
+    assert got.columns == d.columns
+    share = {r[0]: r[1] for r in got.groupBy((F.col("doc_id") % 4 > 0).cast("int")).count().collect()}
+    assert abs(share[0] / 2000 - 1) < 0.05 and abs(share[1] / 2000 - 1) < 0.05
+    assert got.join(d, d.columns, "left_anti").count() == 0
+    assert got.exceptAll(mixing.draw(d, lab, F.col("quality").cast("string"), {"0": 0.5, "1": 0.5})).count() == 0
 
 
 def test_mixture_without_labels(spark):
     d = docs_of(spark, [None, "", "a b"])
     lab = spark.createDataFrame([], "doc_id long, quality int")
-    assert {x["rate"] for x in mixing.mix_to_targets(d, lab, F.col("quality"), {"1": 1.0}).collect()} == {1.0}
+    other = spark.createDataFrame([(77, 1), (None, 1), (1, None)], "doc_id long, quality int")
+    quality = F.col("quality").cast("string")
+    for labels in (lab, other):
+        assert {x["rate"] for x in mixing.mix_to_targets(d, labels, quality, {"1": 1.0}).collect()} == {1.0}
+        assert mixing.draw(d, labels, quality, {"1": 1.0}).count() == 3
+        assert mixing.mix_to_targets(d.where("false"), labels, quality, {"1": 1.0}).count() == 0
+        assert mixing.draw(d.where("false"), labels, quality, {"1": 1.0}).count() == 0
+    assert mixing.mix_to_targets(d, other.union(spark.createDataFrame([(2, 1), (2, 0), (0, 1)], "doc_id long, quality int")), quality, {"1": 1.0}).count() == 3
 
 
 def test_windows_stay_inside_documents():
