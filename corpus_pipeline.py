@@ -3,7 +3,8 @@
 1. language ID: documents whose language is not found or not clear go; a null lang is filled in.
 2. n-gram Jaccard join: of each group of near copies the document of least id stays.
 3. PII: spans are replaced by their kind; n_chars follows the text.
-4. mixing: quality and toxicity domains are brought to their target shares, the clean domain in full.
+4. mixing: quality and toxicity domains are brought to their target shares, the clean domain in full; a document of a rate
+   over 1 may stand there twice.
 5. byte-level BPE: ids of each text, and whether they decode to the very bytes.
 
 All but the last return the columns of documents. Rows with a null id pass the stages that compare ids; null texts
@@ -48,8 +49,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    model, _, steps = mixing.fit_mixture(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN), DOMAIN_WEIGHTS, full="q1t0")
-    return mixing.draw(docs, model, steps)
+    return mixing.draw(docs, table(spark, sf_dir, "labels"), F.expr(DOMAIN), DOMAIN_WEIGHTS, full="q1t0")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
