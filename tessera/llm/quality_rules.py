@@ -6,12 +6,14 @@ n-grams of log p_target - log p_raw, so length does not matter. The verdict is a
 every document: no sampling. The target's counts are smoothed towards the raw corpus with the weight of `prior`
 n-grams, so a bucket the target never shows counts against a text only as far as it should have shown it.
 
-Counts over the raw corpus cover every document, those over the target every trusted one: the labels are joined to the
-documents. Of the counts, one row a bucket comes to the
+Counts over the raw corpus cover every document, those over the target every trusted one. The labels may be as many as the
+documents, so they are joined by a shuffle; a bitmap of 2^26 hashed ids (8 MB at most, whatever the size of the table) is broadcast
+first, so that the texts of few other documents are shuffled, and the join then decides. Of the counts, one row a bucket comes to the
 driver and one array of 2^16 weights goes to the executors, whatever the size of the corpus.
 
 Null and empty texts have zero counts and fail the base rule. Repeated rows are each judged; labels that repeat
-a document count once if any says `good`. With no trusted document the ratio is 0 and only the base rule decides.
+a document count once if any says `good`. With no trusted document the ratio is 0 and only the base rule decides. Extra
+columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,31 +58,43 @@ def repeated_words(h: np.ndarray, ends: np.ndarray, n: int = 5) -> np.ndarray:
     return per_doc((np.cumsum(cover)[:-1] > 0).astype(np.int64), ends[:-1], ends[1:])
 
 
+SLOT_BITS = 26
+
+
+def likely(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of `docs` whose hashed id one of `trusted` has too; all that join are among them."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS)) + 1
+    bits = trusted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bucket"))
+    return found.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*docs.columns)
+
+
 def fit_ratio(docs: DataFrame, labels: DataFrame, good: str = "quality = 1", prior: float = 20_000.0) -> np.ndarray:
     """log p_target - log p_raw of each bucket."""
-    trusted = labels.where(F.expr(good) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(trusted, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for lo, hi in slices(rows, lambda r: len(r[1] or b""), 4_000_000):
-                h, ends = hash_words([(t or b"").split() for _, t in rows[lo:hi]])
-                one, two, a, z = grams(h, ends)
-                both = np.concatenate([one, two])
-                raw += np.bincount(both, minlength=1 << BITS)
-                mine = np.array([d for d, _ in rows[lo:hi]], bool)
-                keep = np.concatenate([np.repeat(mine, np.diff(ends)), np.repeat(mine, z - a)])
-                target += np.bincount(both[keep], minlength=1 << BITS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, raw[at], target[at])], ["bucket", "raw", "target"])
-
-    counted = rows.mapInArrow(count, "bucket long, raw long, target long")
+    trusted = labels.where(F.expr(good) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    texts = docs.select("doc_id", text_bytes().alias("text"))
+
+    def count(side: str, rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(1 << BITS, np.int64)
+            for b in batches:
+                texts = [t or b"" for t in b.column(0).to_pylist()]
+                for lo, hi in slices(texts, len, 4_000_000):
+                    one, two, *_ = grams(*hash_words([t.split() for t in texts[lo:hi]]))
+                    n += np.bincount(one, minlength=1 << BITS) + np.bincount(two, minlength=1 << BITS)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (at, n[at])], ["bucket", "n"])
+
+        return rows.select("text").mapInArrow(run, "bucket long, n long").select("bucket", F.col("n").alias(side))
+
+    mine = likely(texts, trusted).join(trusted.hint("merge"), "doc_id", "left_semi")
+    counted = count("raw", texts).unionByName(count("target", mine), allowMissingColumns=True)
     raw, target = np.full(1 << BITS, 0.5), np.zeros(1 << BITS)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] = r["target"]
+        raw[r["bucket"]] += r["raw"] or 0
+        target[r["bucket"]] = r["target"] or 0
     p = raw / raw.sum()
     if not target.sum():
         return np.zeros(1 << BITS)

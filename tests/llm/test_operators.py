@@ -174,6 +174,34 @@ def test_ratio_counts_every_trusted_document(spark):
     assert np.allclose(quality_rules.fit_ratio(docs, labels), np.log((target + 20_000 * p) / (target.sum() + 20_000)) - np.log(p), atol=1e-12)
 
 
+def test_likely_rows_hold_all_trusted_ones(spark):
+    d = spark.range(20_000).select((F.col("id") * 7 - 50_000).alias("doc_id"))
+    trusted = d.where("doc_id % 3 = 0")
+    got = quality_rules.likely(d, trusted)
+    assert trusted.join(got, "doc_id", "left_anti").count() == 0 and got.count() <= 1.01 * trusted.count()
+    assert quality_rules.likely(d, trusted.where("false")).count() == 0
+
+
+def test_ratio_and_verdict_equal_brute_force(spark, sf):
+    """Mean log ratio of each text by dictionaries of counts over all documents, and the threshold."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r[0] for r in labels.where("quality = 1").select("doc_id").collect()}
+    rows = {r[0]: quality_rules.grams(*hash_words([(r[1] or "").encode().split()])) for r in docs.collect()}
+    raw, target = Counter(), Counter()
+    for i, (one, two, *_) in rows.items():
+        raw.update([*one.tolist(), *two.tolist()])
+        if i in good:
+            target.update([*one.tolist(), *two.tolist()])
+    n, m = sum(raw.values()) + 0.5 * (1 << quality_rules.BITS), sum(target.values())
+    ratio = {b: np.log((target[b] + 20_000 * (raw[b] + 0.5) / n) / (m + 20_000)) - np.log((raw[b] + 0.5) / n) for b in raw}
+    for r in quality_rules.judge(docs, quality_rules.fit_ratio(docs, labels)).collect():
+        one, two, *_ = rows[r["doc_id"]]
+        every = [*one.tolist(), *two.tolist()]
+        want = sum(ratio[b] for b in every) / max(len(every), 1)
+        assert abs(r["llr"] - want) < 1e-9 and r["kept"] == (not r["base_failed"] and r["llr"] >= -0.15)
+
+
 def test_html_main_text(spark):
     plain = "<body><div>Menu one two three four five six seven eight</div><p>{}</p></body>"
     rows = [(1, "http://a.b/1", PAGE), (2, None, None), (3, "http://a.b/3", ""), (4, "http://a.b/4", "<article></article><p>x</p>"), (5, "http://c.d/5", "<article><p>cut <b>of"), (6, "http://c.d/6", "<article><p>5 < 6 &am"), (1, "http://a.b/1", PAGE)]
