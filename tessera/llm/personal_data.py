@@ -5,11 +5,14 @@ each anchor a deterministic parser expands to the boundaries of its kind and val
 
 - base kinds, leftmost and without overlap within a kind: `email`, `ip` (parts at most 255), `card` (16 to 19
   digits, Luhn), `phone` (8 to 15 digits); a match that fails its check is dropped and not tried again;
-- further kinds: `url` (scheme), `account` (the value after a cue such as "token =" or "IBAN:") and `address`
-  (a house number, one to four capitalised words and a street word).
-
-Spans are code points, end exclusive. A null text counts as empty; texts are read whole, of any length, in time
-linear in it; repeated rows give the same spans; only the text and id are read. An empty table gives no rows.
+- further kinds: `url` (scheme); `account` (after a cue: an IBAN, also in groups, whose remainder by 97 is 1, an identifier of the
+  shape that the cue asks for (`SHAPES`), or after ":" or "=" any value of eight characters with a digit); `address` (house
+  number and street in English, German, French and Spanish order).
+
+Spans are code points, end exclusive. Spans of different kinds may overlap; `redact` replaces their union, so no character of any
+span is left. A null text counts as empty (and stays null in `redact`); texts are read whole, of any length, in time
+linear in it; repeated rows give the same spans; `detect` reads only the text and id, `redact` hands the other columns on,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,15 @@ LOCAL = ALNUM + "._%+-"
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "iban", "account", "acct", "passport", "ssn")
 STREETS = ("street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "drive", "boulevard", "blvd", "straße", "strasse", "platz")
+STREET_ENDS = ("straße", "strasse", "gasse", "allee", "platz")
+STREET_STARTS = ("Calle", "Avenida", "Paseo", "Plaza")
+# Identifiers that a cue asks for, with or without a sign between.
+SHAPES = {
+    "ssn": r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}",
+    "passport": r"[A-Z]{0,2}[0-9]{6,9}",
+    "account": r"[0-9](?:[ -]?[0-9]){6,19}",
+    "acct": r"[0-9](?:[ -]?[0-9]){6,19}",
+}
 
 _email_rest = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -45,6 +57,11 @@ _street = re.compile(r"[0-9]{1,5}[A-Za-z]? ((?:[^\W\d_]++\.? ?){2,5})")
 
 
 _word = re.compile(r"[^\W\d_]+")
+_iban = re.compile(r"[\s:=.#-]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+_shapes = {cue: re.compile(rf"(?i:[ .]{{0,2}}(?:no|nr|number|num)?)[\s.:=#]{{1,4}}({shape})(?![A-Za-z0-9])") for cue, shape in SHAPES.items()}
+_after_street = re.compile(r" [0-9]{1,5}[A-Za-z]?(?![\w])")
+_spanish = re.compile(r" (?:(?:de|del|la|las|los|el) ){0,3}(?:[A-ZÁÉÍÓÚÑ][^\W\d_]*+,? ){1,4}(?:n\.?º ?)?[0-9]{1,5}(?![\w])")
+_french = re.compile(r"[0-9]{1,5}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|impasse|quai|allée) (?:(?:de|du|des|la|le|les) |d'|l'){0,3}[A-ZÀ-Ý][^\W\d_]*+(?:[ -][A-ZÀ-Ý][^\W\d_]*+){0,3}")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -53,7 +70,10 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(w, (kind, len(w)))
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("account", len(form)))
+            a.add_word(form, ("account " + cue, len(form)))
+    for kind, words in (("street end", STREET_ENDS), ("street start", STREET_STARTS)):
+        for w in words:
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -67,6 +87,15 @@ def luhn(digits: str) -> bool:
     return (odd + even) % 10 == 0
 
 
+def iban(value: str) -> int:
+    """How much of a value is an IBAN: its length, or 0. A last group that spoils the check is another word."""
+    for part in (value, value.rpartition(" ")[0]):
+        plain = part.replace(" ", "")
+        if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return len(part)
+    return 0
+
+
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """All spans of a text by kind, each kind's in order."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -94,6 +123,9 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 if n and all(w.group()[0].isupper() for w in words[:n]):
                     street_from = words[n].end()
                     out["address"].append((at, street_from))
+            if at >= street_from and before not in ALNUM and (m := _french.match(text, at)):
+                street_from = m.end()
+                out["address"].append(m.span())
         elif kind == "email":
             lo = max(email_from, last_at)
             head = text[lo:at]
@@ -113,7 +145,26 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 if z > end + 1:
                     out["url"].append((at, z))
                     url_from = z
-        elif at >= value_from and (m := _value.match(text, end + 1)):
+        elif kind == "street end":
+            a = at
+            while a > street_from and at - a < 40 and (text[a - 1].isalpha() or text[a - 1] == "-"):
+                a -= 1
+            if a < at and text[a].isupper() and (m := _after_street.match(text, end + 1)):
+                street_from = m.end()
+                out["address"].append((a, street_from))
+        elif kind == "street start":
+            if at >= street_from and (m := _spanish.match(text, end + 1)):
+                street_from = m.end()
+                out["address"].append((at, street_from))
+        elif at < value_from:
+            continue
+        elif kind == "account iban" and (m := _iban.match(text, end + 1)) and (size := iban(m.group(1))):
+            value_from = m.start(1) + size
+            out["account"].append((m.start(1), value_from))
+        elif kind[8:] in _shapes and (m := _shapes[kind[8:]].match(text, end + 1)):
+            value_from = m.end()
+            out["account"].append(m.span(1))
+        elif m := _value.match(text, end + 1):
             value = m.group(1).rstrip(".=") if not m.group(1).endswith("==") else m.group(1)
             if any(c in DIGITS for c in value):
                 out["account"].append((m.start(1), m.start(1) + len(value)))
@@ -128,11 +179,13 @@ def _run_end(text: str, at: int) -> int:
 
 
 def merged(spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Spans of all kinds in text order without overlap: the earlier, then the longer, then the first kind wins."""
+    """The union of the spans of all kinds in text order; what overlaps is one, of the kind that begins first (then the longer)."""
     out: list[tuple[str, int, int]] = []
     for a, _, _, z, k in sorted((a, a - z, KINDS.index(k), z, k) for k, s in spans.items() for a, z in s):
         if not out or a >= out[-1][2]:
             out.append((k, a, z))
+        else:
+            out[-1] = (*out[-1][:2], max(out[-1][2], z))
     return out
 
 
