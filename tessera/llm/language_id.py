@@ -146,7 +146,8 @@ def fit(docs: DataFrame, learn: Column, weigh_rows: int = 250) -> CodeModel:
         return model
 
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r[0] for r in known.select("doc_id", "lang").withColumn("n", F.row_number().over(least)).where(F.col("n") <= weigh_rows).select("doc_id").collect()]
+    # At most weigh_rows x languages ids, so they may be broadcast.
+    ids = F.broadcast(known.select("doc_id", "lang").withColumn("n", F.row_number().over(least)).where(F.col("n") <= weigh_rows).select("doc_id").distinct())
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, learn: Column, weigh_rows: int = 250) -> CodeModel:
             got = m.margins(texts) * m.code[[place[x] for x in langs]] > 0
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(got.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["lang", "right"])
 
-    hits = known.where(F.col("doc_id").isin(ids)).select(F.col("text").cast("string"), "lang").mapInArrow(right, "lang string, right array<long>")
+    hits = known.join(ids, "doc_id", "left_semi").select(F.col("text").cast("string"), "lang").mapInArrow(right, "lang string, right array<long>")
     rates = np.full(code.shape, 0.5)
     for r in hits.select("lang", F.posexplode("right")).groupBy("lang", "pos").agg(F.avg("col").alias("rate")).collect():
         rates[place[r["lang"]], r["pos"]] = r["rate"]
