@@ -10,18 +10,22 @@ documents link when 100 * intersection >= percent * union.
    stands for it, and copies are never paired.
 2. `postings`: shingles are ordered rare first (by their bucket's count in half-octaves over the mean, then by
    hash), and the first |s| - ceil(t |s|) + 1 of each set are joined on: two sets that link share one of them. A
-   task emits each set once, however many copies it reads.
+   task emits each set once, however many copies it reads. Of a shingle that more than `run` sets of one buffer have, `run` + 1
+   rows go to the shingle's task, which is enough to tell that the run is long; the rest are dealt to all tasks by id.
 3. Shingles with one posting are dropped. In a run of postings of one shingle with up to `run` sets, pairs pass
-   the length filter and the positional filter, then, once a pair, the suffix filter (how many shingles the
-   histograms, of about two shingles a hash range, allow both to have in common). Longer runs are not paired: a task holds the
+   the length filter and the positional filter; of the shingles a pair shares, the first in the order is kept, and then, once a
+   pair, the suffix filter bounds what both can have in common after it (`after_match`, with histograms of about two
+   shingles a hash range). Longer runs are not paired: a task holds the
    histograms of a run (beyond `SPAN` sets, of two blocks of it), applies the same filters, and gives a spanning forest of the pairs
    that pass, skipping pairs it has connected already. Pairs and forests give clusters by connected components.
-4. Each cluster's sets are dealt to blocks of about `block` shingles in all, and every pair of blocks is verified
-   in one task with an inverted index over the block: every pair of sets of a cluster is compared exactly once, and
-   what leaves the task is a row a set (its links, and the least set it reaches), never a row a pair.
+4. Sets are dealt to tasks by their cluster and block (about `block` shingles), and verified there. In a cluster without a long
+   run, each candidate pair is verified once, and a task gets the sets that its pairs name. In a cluster with one, where most pairs
+   are candidates and there would be as many rows as pairs, every pair of blocks is verified with an inverted index: every pair of sets
+   once. What leaves a task is a row a set (its links, and the least set it reaches), never a row a pair.
 
 So rows stay in proportion to documents even where thousands of near copies all resemble each other; a
-cluster is shipped as often as it has blocks. Components of the links give the result.
+cluster with a long run is shipped as often as it has blocks (the links of a set can be told only where it meets all others). Components
+of the links give the result.
 
 Null and empty texts: the empty set, a component of their own. Ids are unique; rows that repeat an id with another
 text link as one document, and a null id is left out. Columns other than the id and text are not read. An empty table gives no
@@ -45,6 +49,8 @@ BUCKET_BITS = 19
 RANGE_BITS = (3, 13)
 BYTES = 1_500_000
 SPAN = 4096
+#: Postings a task gathers before it looks for long runs among them.
+BUFFER = 200_000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -117,14 +123,25 @@ def rarity(summary: DataFrame) -> np.ndarray:
     return np.floor(2 * np.log2(np.maximum(count / max(count.mean(), 1e-9), 1))).astype(np.uint8)
 
 
-def postings(docs: DataFrame, rank: np.ndarray, n: int, percent: int, row_id: str, text: str) -> DataFrame:
-    """(gram, id, size, place) of the prefix of each distinct set a task meets."""
-    sent = docs.sparkSession.sparkContext.broadcast(rank)
+def postings(docs: DataFrame, rank: np.ndarray, n: int, percent: int, run: int, row_id: str, text: str) -> DataFrame:
+    """(gram, id, size, place, rank, extra) of the prefix of each distinct set a task meets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = sent.value, set()
+    `extra` marks rows beyond the first `run` + 1 of a gram in a buffer.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
+    names = ["gram", "id", "size", "place", "rank", "extra"]
+
+    def flush(parts: list[tuple]) -> pa.RecordBatch:
+        cols = [np.concatenate([p[j] for p in parts]) for j in range(5)]
+        order = np.argsort(cols[0], kind="stable")
+        g = cols[0][order]
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        nth = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+        return pa.RecordBatch.from_arrays([*[pa.array(c[order].astype(np.int64)) for c in cols[:4]], pa.array(cols[4][order].astype(np.int32)), pa.array((nth > run).astype(np.int32))], names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, seen, parts, held = sent.value, set(), [], 0
         for ids, sets in _batches(batches, n):
-            parts = []
             for i, s in zip(ids, sets):
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 if not len(s) or key in seen:
@@ -133,12 +150,16 @@ def postings(docs: DataFrame, rank: np.ndarray, n: int, percent: int, row_id: st
                 r = rank[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 k = len(s) - -(-percent * len(s) // 100) + 1
                 order = np.argsort(r, kind="stable")[:k]  # within a rank by hash: s is sorted
-                parts.append((s[order].view(np.int64), np.full(k, i), np.full(k, len(s)), np.arange(k)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[j] for p in parts]).astype(np.int64)) for j in range(4)], ["gram", "id", "size", "place"])
+                parts.append((s[order].view(np.int64), np.full(k, i), np.full(k, len(s)), np.arange(k), r[order]))
+                held += k
+            if held >= BUFFER:
+                yield flush(parts)
+                parts, held = [], 0
+        if parts:
+            yield flush(parts)
 
     source = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long"), text_bytes(text))
-    return source.mapInArrow(run, "gram long, id long, size long, place long")
+    return source.mapInArrow(emit, "gram long, id long, size long, place long, rank int, extra int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,18 +184,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(percent: int, longest: int):
-    """Of postings sorted by gram, size and id: pairs of short runs that pass, (gram, id) of long ones (kind 1)."""
+    """Of postings sorted by gram, size and id: pairs of short runs that pass (kind 0: a, b, their places and the gram), and
+    postings of long ones (kind 1: the gram as a, the id as b, its place as pa)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "id", "size", "place"]
-        held = [np.zeros(0, np.int64)] * 4
+        names = ["gram", "id", "size", "place", "rank"]
+        held = [np.zeros(0, np.int64)] * 5
         going: int | None = None  # the gram of a long run of which part is done
 
-        def emit(a, b, place, kind):
-            cols = [pa.array(a), pa.array(b), pa.array(place), pa.array(np.full(len(a), kind, np.int32))]
-            return pa.RecordBatch.from_arrays(cols, ["a", "b", "place", "kind"])
+        def emit(a, b, pa_, pb, gram, rank, kind):
+            cols = [pa.array(a), pa.array(b), pa.array(pa_), pa.array(pb), pa.array(gram), pa.array(rank.astype(np.int32)), pa.array(np.full(len(a), kind, np.int32))]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", "pa", "pb", "gram", "rank", "kind"])
 
-        def work(g, i, s, p):
+        def work(g, i, s, p, r):
             nonlocal going
             if not len(g):
                 return
@@ -184,9 +206,9 @@ def _candidates(percent: int, longest: int):
             long[0] |= going == g[0]
             big = np.repeat(long, length)
             if big.any():
-                yield emit(g[big], i[big], p[big], 1)
+                yield emit(g[big], i[big], p[big], p[big], g[big], r[big], 1)
             going = int(g[-1]) if big[-1] else None
-            g, i, s, p = (x[~big] for x in (g, i, s, p))
+            g, i, s, p, r = (x[~big] for x in (g, i, s, p, r))
             for k in range(1, longest):
                 at = np.flatnonzero(g[k:] == g[:-k])
                 if not len(at):
@@ -195,15 +217,24 @@ def _candidates(percent: int, longest: int):
                 ok = (i[a] != i[b]) & (100 * s[a] >= percent * s[b])
                 ok &= np.minimum(s[a] - p[a], s[b] - p[b]) >= least_overlap(s[a], s[b], percent)
                 if ok.any():
-                    at = np.unique(np.stack([np.minimum(i[a[ok]], i[b[ok]]), np.maximum(i[a[ok]], i[b[ok]])], 1), axis=0)
-                    yield emit(at[:, 0], at[:, 1], np.zeros(len(at), np.int64), 0)
+                    a, b = (np.where(i[a] < i[b], x, y)[ok] for x, y in ((a, b), (b, a)))
+                    order = np.lexsort((p[a], i[b], i[a]))
+                    a, b = a[order], b[order]
+                    first = np.append(True, (i[a][1:] != i[a][:-1]) | (i[b][1:] != i[b][:-1]))
+                    a, b = a[first], b[first]
+                    yield emit(i[a], i[b], p[a], p[b], g[a], r[a], 0)
 
         for b in batches:
-            new = [np.concatenate([h, b.column(b.schema.get_field_index(c)).to_numpy()]) for h, c in zip(held, names)]
+            cols = [b.column(b.schema.get_field_index(c)).to_numpy() for c in names]
+            extra = b.column(b.schema.get_field_index("extra")).to_numpy() > 0
+            if extra.any():
+                g, i, _, p, r = (c[extra] for c in cols)
+                yield emit(g, i, p, p, g, r, 1)
+            new = [np.concatenate([h, c[~extra]]) for h, c in zip(held, cols)]
             g = new[0]
             if not len(g):
                 continue
-            last = int(np.searchsorted(g, g[-1])) if (g[:-1] <= g[1:]).all() else 0
+            last = int(np.searchsorted(g, g[-1]))
             if len(g) - last > longest:
                 last = len(g)  # a long run need not be held together
             yield from work(*[x[:last] for x in new])
@@ -213,8 +244,24 @@ def _candidates(percent: int, longest: int):
     return run
 
 
+def after_match(h_a, h_b, p_a, p_b, gram: int, rank: int):
+    """An upper bound of what sets with these histograms (rows x ranges, one width) have in common, if `gram`, at these
+    places, is the first shingle in the order that they share.
+
+    Nothing before it is common. Shingles of the first rank are in the order of their hashes, so those before the match lie in its
+    range or below: what the histograms hold above its range comes after it, and of what they hold up to there all but place + 1.
+    Beyond the first rank the places do not tell ranges, and the whole histograms bound it.
+    """
+    common = np.minimum(h_a, h_b)
+    if rank:
+        return common.sum(-1)
+    at = (gram & 0xFFFFFFFFFFFFFFFF) * h_a.shape[-1] >> 64
+    below = [h[..., : at + 1].sum(-1) - p - 1 for h, p in ((h_a, p_a), (h_b, p_b))]
+    return 1 + common[..., at + 1 :].sum(-1) + np.minimum(*below)
+
+
 def _suffix_filter(percent: int):
-    """Keep pairs whose histograms allow the overlap that a link needs."""
+    """Keep pairs whose histograms allow, after the match, the overlap that a link needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,11 +269,11 @@ def _suffix_filter(percent: int):
                 continue
             need = least_overlap(b.column(4).to_numpy(), b.column(5).to_numpy(), percent).tolist()
             ok = []
-            for x, y, least in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), need):
+            for x, y, least, *match in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), need, *[b.column(k).to_pylist() for k in (6, 7, 8, 9)]):
                 h = [np.frombuffer(z, np.uint8)[None, :] for z in (x, y)]
                 full = any((z == 255).any() for z in h)  # counts end there
                 width = min(len(x), len(y))
-                ok.append(full or int(np.minimum(*[folded(z, width) for z in h]).sum()) >= least)
+                ok.append(full or int(after_match(*[folded(z, width) for z in h], *match)[0]) >= least)
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
@@ -248,10 +295,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[
 
 
 def _forests(percent: int):
-    """Of rows (task, side, id, place, size, ranges) sorted by task, size and id: edges that connect what passes the filters."""
+    """Of rows (task, side, id, place, size, ranges, gram, rank) sorted by task, size and id: edges that connect what passes the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sides, ids, places, sizes, ranges in _grouped(batches, 6):
+        for sides, ids, places, sizes, ranges, grams, ranks in _grouped(batches, 8):
             side, ids, place, size = (np.array(x, np.int64) for x in (sides, ids, places, sizes))
             comp, edges, last = np.arange(len(ids)), [], 0
             first = np.searchsorted(100 * size, percent * size)  # the least size within the length filter
@@ -267,8 +314,8 @@ def _forests(percent: int):
                 mine = level[int(width[i])][i - start[int(width[i])]][None, :]
                 for w in np.unique(width[js]).tolist():
                     at = width[js] == w
-                    common = np.minimum(level[w][js[at] - start[w]], folded(mine, w)).sum(1)
-                    out.append(js[at][common >= need[at]])
+                    most = after_match(level[w][js[at] - start[w]], folded(mine, w), place[js[at]], place[i], grams[0], ranks[0])
+                    out.append(js[at][most >= need[at]])
                 return np.unique(np.concatenate(out))
 
             for i in range(1, len(ids)):
@@ -288,46 +335,64 @@ def _forests(percent: int):
 
 
 def _verify(n: int, percent: int):
-    """Of rows (task, side, id, text) sorted by task: id, least id it reaches, links; for each set with a link."""
-
-    def links(sides: list[int], ids: list[int], texts: list[bytes]) -> pa.RecordBatch | None:
-        side, ids = np.array(sides), np.array(ids, np.int64)
-        sets = [s for lo, hi in slices(texts, len, BYTES) for s in shingle_sets(texts[lo:hi], n)]
+    """Of rows (task, side, id, text, other) sorted by task: id, least id it reaches, links; for each set with a link.
+
+    Rows of side 3 are the pairs (id, other) to verify; without such rows, all pairs of the two sides (or of side 2) are.
+    """
+
+    def given(ids: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = {x: k for k, x in enumerate(ids.tolist())}
+        order = np.argsort(a, kind="stable")
+        a, b = (np.array([place[x] for x in y[order].tolist()], np.int64) for y in (a, b))
+        ok = np.zeros(len(a), bool)
+        edges = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        for lo, hi in zip(edges, np.append(edges[1:], len(a))):
+            one, others = sets[a[lo]], [sets[k] for k in b[lo:hi]]
+            size = np.array([len(s) for s in others])
+            grams = np.concatenate(others)
+            at = np.minimum(np.searchsorted(one, grams), len(one) - 1)
+            both = np.add.reduceat((one[at] == grams).astype(np.int64), np.cumsum(size) - size)
+            ok[lo:hi] = both >= least_overlap(len(one), size, percent)
+        return a[ok], b[ok]
+
+    def every(side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(s) for s in sets])
-        own = (side == 2).any() or not (side == 1).any()  # a block with itself
-        probe = np.arange(len(ids)) if own else np.flatnonzero(side == 0)
-        base = np.arange(len(ids)) if own else np.flatnonzero(side == 1)
-        if not len(base) or not len(probe):
-            return None
-        grams = np.concatenate([sets[k] for k in base])
-        owner = np.repeat(np.arange(len(base)), size[base])
-        order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        count, a, b = np.zeros(len(ids), np.int64), [], []
-        for k in probe:
-            lo, hi = np.searchsorted(grams, sets[k], "left"), np.searchsorted(grams, sets[k], "right")
-            width = hi - lo
-            at = np.repeat(hi - np.cumsum(width), width) + np.arange(width.sum())
-            both = np.bincount(owner[at], minlength=len(base))
-            ok = both >= least_overlap(size[k], size[base], percent)
-            ok &= both > 0
-            hit = base[ok]
-            hit = hit[hit > k] if own else hit
-            count[k] += len(hit)
-            count[hit] += 1
-            a.append(np.full(len(hit), k))
-            b.append(hit)
-        a, b = np.concatenate(a), np.concatenate(b)
-        if not len(a):
-            return None
-        node, root = forest(ids[a], ids[b])
-        place = {int(x): k for k, x in enumerate(ids)}
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array([int(count[place[int(x)]]) for x in node], pa.int64())], ["id", "root", "links"])
+        own = (side == 2).any()  # a block with itself
+        probe = np.arange(len(sets)) if own else np.flatnonzero(side == 0)
+        base = np.arange(len(sets)) if own else np.flatnonzero(side == 1)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(base) and len(probe):
+            grams = np.concatenate([sets[k] for k in base])
+            owner = np.repeat(np.arange(len(base)), size[base])
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order]
+            for k in probe:
+                lo, hi = np.searchsorted(grams, sets[k], "left"), np.searchsorted(grams, sets[k], "right")
+                width = hi - lo
+                at = np.repeat(hi - np.cumsum(width), width) + np.arange(width.sum())
+                both = np.bincount(owner[at], minlength=len(base))
+                hit = base[(both >= least_overlap(size[k], size[base], percent)) & (both > 0)]
+                hit = hit[hit > k] if own else hit
+                a.append(np.full(len(hit), k))
+                b.append(hit)
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, 4):
-            if out := links(*rows):
-                yield out
+        for sides, ids, texts, others in _grouped(batches, 5):
+            side, ids = np.array(sides), np.array(ids, np.int64)
+            pair = side == 3
+            texts = [t for t, p in zip(texts, pair) if not p]
+            sets = [s for lo, hi in slices(texts, len, BYTES) for s in shingle_sets(texts[lo:hi], n)]
+            if pair.any():
+                a, b = given(ids[~pair], sets, ids[pair], np.array([o for o, p in zip(others, pair) if p], np.int64))
+            else:
+                a, b = every(side, sets)
+            ids = ids[~pair]
+            if len(a):
+                count = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                node, root = forest(ids[a], ids[b])
+                place = {int(x): k for k, x in enumerate(ids)}
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array([int(count[place[int(x)]]) for x in node], pa.int64())], ["id", "root", "links"])
 
     return run
 
@@ -343,28 +408,39 @@ def _dealt(rows: DataFrame, root: str, blocks: DataFrame) -> DataFrame:
 def _run_edges(found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect the sets of long runs which pass the filters."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("id"), "place")
+    long = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("id"), F.col("pa").alias("place"), "rank")
     blocks = long.groupBy("gram").agg(F.ceil(F.count("*") / F.lit(SPAN)).cast("int").alias("blocks"))
-    work = _dealt(long.join(reps, "id"), "gram", blocks).select("task", "side", "id", "place", "size", "ranges")
+    work = _dealt(long.join(reps, "id"), "gram", blocks).select("task", "side", "id", "place", "size", "ranges", "gram", "rank")
     return work.repartition(parts, "task").sortWithinPartitions("task", "size", "id").mapInArrow(_forests(percent), "a long, b long")
 
 
 def _found(docs: DataFrame, summary: DataFrame, member: DataFrame, n: int, percent: int, run: int, row_id: str, text: str) -> DataFrame:
-    """Distinct candidates (a, b, kind) among the sets that stand for their classes."""
+    """Candidates among the sets that stand for their classes: pairs at their first common shingle, and postings of long runs."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = postings(docs, rarity(summary), n, percent, row_id, text)
-    shared = posted.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_shared, posted.schema)
-    shared = shared.join(member.select("id", "rep"), "id").groupBy("gram", F.col("rep").alias("id")).agg(F.first("size").alias("size"), F.first("place").alias("place"))
-    found = shared.repartition(parts, "gram").sortWithinPartitions("gram", "size", "id").mapInArrow(_candidates(percent, run), "a long, b long, place long, kind int")
-    return found.distinct()
-
-
-def _linked(docs: DataFrame, cluster: DataFrame, blocks: DataFrame, n: int, percent: int, row_id: str, text: str) -> DataFrame:
+    posted = postings(docs, rarity(summary), n, percent, run, row_id, text)
+    salt = F.when(F.col("extra") > 0, F.pmod(F.xxhash64("id"), F.lit(parts)) + 1).otherwise(0)
+    shared = posted.repartition(parts, F.col("gram"), salt).sortWithinPartitions("gram").mapInArrow(_shared, posted.schema)
+    shared = shared.join(member.select("id", "rep"), "id").groupBy("gram", F.col("rep").alias("id"))
+    # Where a set is extra in one task and not in another, it counts among the shingle's first: those tell that a run is long.
+    shared = shared.agg(F.first("size").alias("size"), F.first("place").alias("place"), F.first("rank").alias("rank"), F.min("extra").alias("extra"))
+    found = shared.repartition(parts, F.col("gram"), salt).sortWithinPartitions("gram", "size", "id")
+    found = found.mapInArrow(_candidates(percent, run), "a long, b long, pa long, pb long, gram long, rank int, kind int")
+    match = F.min(F.struct("pa", "pb", "gram", "rank")).alias("match")
+    return found.groupBy("kind", "a", "b").agg(match).select("kind", "a", "b", "match.*")
+
+
+def _linked(docs: DataFrame, cluster: DataFrame, pairs: DataFrame, dense: DataFrame, blocks: DataFrame, n: int, percent: int, row_id: str, text: str) -> DataFrame:
     """Links of the sets dealt to clusters and blocks: (id, least id it reaches in the task, links)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("id"), text_bytes(text).alias("text"))
-    work = _dealt(cluster.join(source, "id"), "root", blocks).select("task", "side", "id", "text")
-    return work.repartition(parts, "task").sortWithinPartitions("task", "id").mapInArrow(_verify(n, percent), "id long, root long, links long")
+    whole = _dealt(cluster.join(dense, "root"), "root", blocks).select("task", "side", "id")
+    mine = lambda c: F.pmod(F.xxhash64(c), "blocks").cast("int")
+    few = pairs.join(cluster.select(F.col("id").alias("a"), "root"), "a").join(dense, "root", "left_anti").join(blocks, "root")
+    few = few.select(F.concat_ws(":", "root", F.least(mine("a"), mine("b")), F.greatest(mine("a"), mine("b"))).alias("task"), "a", "b")
+    ends = few.select("task", F.col("a").alias("id")).union(few.select("task", "b")).distinct()
+    sets = whole.union(ends.select("task", F.lit(2).alias("side"), "id")).join(source, "id")
+    work = sets.select("task", "side", "id", "text", F.lit(None).cast("long").alias("other")).union(few.select("task", F.lit(3), "a", F.lit(None).cast("binary"), "b"))
+    return work.repartition(parts, "task").sortWithinPartitions("task", "side", "id").mapInArrow(_verify(n, percent), "id long, root long, links long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, run: int = 64, block: int = 300_000, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,20 +456,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, run: int
     ids = found.where("kind = 0").select(F.col("a").alias("id")).union(found.select("b")).distinct()
     reps = materialize(member.where("id = rep").select("id", "size", "ranges").dropDuplicates(["id"]).join(ids, "id", "left_semi"), "sets")
     side = lambda c, k: reps.select(F.col("id").alias(c), F.col("ranges").alias(f"ranges_{k}"), F.col("size").alias(f"size_{k}"))
-    pairs = found.where("kind = 0").join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "ranges_0", "ranges_1", "size_0", "size_1")
-    pairs = pairs.mapInArrow(_suffix_filter(percent), "a long, b long")
-    cluster = components(pairs.union(_run_edges(found, reps, percent)), "clusters").withColumnRenamed("node", "id")
-    blocks = cluster.join(reps, "id").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks"))
-    blocks = materialize(blocks, "blocks")
-    for t in (found, reps):
+    pairs = found.where("kind = 0").join(side("a", 0), "a").join(side("b", 1), "b").select("a", "b", "ranges_0", "ranges_1", "size_0", "size_1", "pa", "pb", "gram", "rank")
+    pairs = materialize(pairs.mapInArrow(_suffix_filter(percent), "a long, b long"), "pairs")
+    runs = materialize(_run_edges(found, reps, percent), "runs")
+    cluster = components(pairs.union(runs), "clusters").withColumnRenamed("node", "id")
+    blocks = materialize(cluster.join(reps, "id").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks")), "blocks")
+    dense = materialize(cluster.join(runs.select(F.col("a").alias("id")).distinct(), "id").select("root").distinct(), "dense")
+    for t in (found, reps, runs):
         drop_materialized(t)
-    del pairs, found, reps, ids
+    del found, reps, ids, runs
     release(spark)
 
-    linked = materialize(_linked(docs, cluster, blocks, n, percent, row_id, text), "linked")
+    linked = materialize(_linked(docs, cluster, pairs, dense, blocks, n, percent, row_id, text), "linked")
+    for t in (pairs, dense, blocks):
+        drop_materialized(t)
+    del pairs, dense, blocks
     release(spark)
     total = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     final = components(linked.select("id", "root"), "components").select(F.col("node").alias("rep"), F.col("root").alias("comp"))
     named = materialize(classes.join(final, "rep", "left").join(total, "rep", "left"), "named")
+    drop_materialized(linked)
     out = base.join(named, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(row_id), F.col("size").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))

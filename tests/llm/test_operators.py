@@ -80,6 +80,52 @@ def test_jaccard_join_blocks_of_long_runs(spark, monkeypatch):
     assert got == {k: v[1] for k, v in brute_components(texts).items()}
 
 
+def brute_links(texts):
+    """Of each text, how many distinct other sets it links with."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset())
+    kinds = set(sets) - {frozenset()}
+    n = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in kinds) for a in kinds}
+    return [n.get(s, 0) for s in sets]
+
+
+@pytest.mark.parametrize(("run", "block", "buffer"), [(64, 300_000, 200_000), (16, 3000, 200_000), (4, 2000, 300), (200, 500, 100)])
+def test_jaccard_join_links_and_buffers(spark, monkeypatch, run, block, buffer):
+    """Short and long runs, hot grams cut in the tasks that emit them, clusters of many blocks: links and components alike."""
+    monkeypatch.setattr(jaccard_join, "BUFFER", buffer)
+    texts = near_copies() + [" ".join(prose(200 + k // 2, 40, 300)) + f" z{k % 2}" for k in range(60)]
+    d = docs_of(spark, texts).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_components(d, run=run, block=block).collect()}
+    want, links = brute_components(texts), brute_links(texts)
+    assert got == {i: (*want[i], links[i]) for i in want}
+
+
+def test_suffix_bound_holds():
+    """Never below what two sets have in common, if the match is the first that they share; often below the whole histograms' bound."""
+    r, sharper = np.random.default_rng(8), 0
+    for _ in range(300):
+        pool = np.unique(r.integers(0, 1 << 63, 80, dtype=np.uint64) * np.uint64(2))
+        a, b = (np.sort(r.choice(pool, int(r.integers(20, 60)), replace=False)) for _ in "ab")
+        heavy = {int(x) for x in pool if x % np.uint64(7) == 0}
+        order = [sorted(x.tolist(), key=lambda g: (g in heavy, g)) for x in (a, b)]
+        match = min(set(order[0]) & set(order[1]), key=lambda g: (g in heavy, g))
+        h = [np.frombuffer(jaccard_join.histogram(x), np.uint8)[None, :] for x in (a, b)]
+        h = [jaccard_join.folded(x, min(y.shape[1] for y in h)) for x in h]
+        rank = int(match in heavy)
+        most = jaccard_join.after_match(*h, order[0].index(match), order[1].index(match), int(np.uint64(match).astype(np.int64)), rank)[0]
+        assert most >= len(set(order[0]) & set(order[1]))
+        sharper += most < np.minimum(*h).sum()
+    assert sharper > 50
+
+
+def test_jaccard_join_repeated_and_null_ids(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(d).collect())
+    assert got == [(1, 1), (1, 1), (2, 1)]
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(docs_of(spark, []).where("false")).count() == 0
 
@@ -344,6 +390,57 @@ def test_personal_data_further_kinds_and_redaction(spark):
     assert r[0]["text"] == 'see [URL], token = "[ACCOUNT]" at [ADDRESS], mail [EMAIL]' and r[1]["text"] is None
 
 
+def test_personal_data_union_leaves_nothing(spark):
+    t = "card 4111 1111 1111 111 1.2.3.4 end, mail x+491701234567@a.bc and http://a.b/?token=12345678a"
+    s = personal_data.find_spans(t)
+    got = personal_data.redact_text(t)
+    assert got.startswith("card [CARD] end")
+    for k, spans in s.items():
+        for a, z in spans:
+            assert t[a:z] not in got
+    rnd = np.random.default_rng(6)
+    for _ in range(300):
+        t = "".join(rnd.choice(list("a@.1-+4 :/httpsx"), 60))
+        hit = np.zeros(len(t), bool)
+        for spans in personal_data.find_spans(t).values():
+            for a, z in spans:
+                hit[a:z] = True
+        mine = np.zeros(len(t), bool)
+        for _, a, z in personal_data.merged(personal_data.find_spans(t)):
+            assert not mine[a:z].any()
+            mine[a:z] = True
+        assert (hit == mine).all()
+
+
+def test_personal_data_accounts_and_addresses():
+    def found(kind, t):
+        return [t[a:z] for a, z in personal_data.find_spans(t)[kind]]
+
+    assert found("account", "IBAN: DE89 3704 0044 0532 0130 00 bis morgen") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("account", "IBAN DE89370400440532013000.") == ["DE89370400440532013000"]
+    assert found("account", "iban DE88 3704 0044 0532 0130 00") == []  # wrong check digits, no sign
+    assert found("account", "SSN 078-05-1120, passport no. C01234567, account number 1234-5678-90") == ["078-05-1120", "C01234567", "1234-5678-90"]
+    assert found("account", "the account of 12 people, a passport in 2012") == []
+    assert found("address", "Sie wohnt in der Hauptstrasse 12, er am Kirchplatz 3a.") == ["Hauptstrasse 12", "Kirchplatz 3a"]
+    assert found("address", "au 12 rue de la Paix ou 3 bis, avenue Victor Hugo") == ["12 rue de la Paix", "3 bis, avenue Victor Hugo"]
+    assert found("address", "en la Calle Mayor 5 y Avenida de la Paz 12") == ["Calle Mayor 5", "Avenida de la Paz 12"]
+    assert found("address", "im Jahr 12 der strasse 5, calle mayor") == []
+
+
+def test_personal_data_of_a_long_text(spark):
+    """Five million characters, every span found; an empty table; repeated rows."""
+    part = "word " * 95 + "a.b@c.de, 1.2.3.4 "
+    t = part * (5_000_000 // len(part))
+    s = personal_data.find_spans(t)
+    n = t.count("@")
+    assert len(s["email"]) == len(s["ip"]) == n and "@" not in personal_data.redact_text(t)
+    for run in ("1" * 200_000, "a" * 200_000 + "@", "+1" + "2 " * 200_000, "Aa " * 100_000):
+        personal_data.find_spans(run)
+    d = docs_of(spark, ["x a@b.cd", "x a@b.cd"])
+    assert {r["spans"] for r in personal_data.digest(personal_data.detect(d.union(d))).collect()} == {"email:2:8"}
+    assert personal_data.detect(d.where("false")).count() == 0 and personal_data.redact(d.where("false")).count() == 0
+
+
 def test_quality_classifier_on_held_out_rows(spark, sf):
     big = sf.replace("0.001", "0.01")
     r = queries.op7_quality_classifier(spark, big)
