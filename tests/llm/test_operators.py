@@ -146,9 +146,9 @@ def test_top_k_equals_brute_force(spark):
     for q, v in {i: v for i, v in ok if i % 100 == 0}.items():
         s = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:4]
         want[q] = [(i, -x) for x, i in s]
-    for block in (4096, 2):  # one block of queries, and several
+    for shard in (100_000, 7):  # few shards, and many
         got = defaultdict(list)
-        for x in vector_search.top_k(df, F.col("vec_id") % 100 == 0, k=4, block=block).orderBy("query_id", "rank").collect():
+        for x in vector_search.top_k(df, F.col("vec_id") % 100 == 0, k=4, shard=shard).orderBy("query_id", "rank").collect():
             got[x["query_id"]].append((x["vec_id"], x["score"]))
         assert got == want
     assert vector_search.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
