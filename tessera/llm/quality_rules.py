@@ -89,7 +89,8 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, good: str = "quality = 1", pri
 
         return rows.select("text").mapInArrow(run, "bucket long, n long").select("bucket", F.col("n").alias(side))
 
-    mine = likely(texts, trusted).join(trusted.hint("merge"), "doc_id", "left_semi")
+    # An inner join (trusted ids are distinct): a semi join would be pushed below the bitmap.
+    mine = likely(texts, trusted).join(trusted.hint("merge"), "doc_id")
     counted = count("raw", texts).unionByName(count("target", mine), allowMissingColumns=True)
     raw, target = np.full(1 << BITS, 0.5), np.zeros(1 << BITS)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
