@@ -30,15 +30,17 @@ from __future__ import annotations
 
 import html as references
 import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_words, materialize, window_hashes
+from tessera.llm.common import WORD_CACHE, materialize, window_hashes
 from tessera.llm.url_rules import url_host
 
 # Element names and the words in a class, id or role that mark a part as not main text.
@@ -164,9 +166,22 @@ def read_page(page: str) -> Page:
     return Page(blocks, tokens, has_main)
 
 
+class _TokenHashes(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_tokens = _TokenHashes()
+
+
 def token_hashes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the tokens of streams laid end to end, the same in every process, and where each stream begins."""
-    return hash_words([[t.encode("utf-8", "surrogatepass") for t in s] for s in streams])
+    ends = np.zeros(len(streams) + 1, np.int64)
+    np.cumsum([len(s) for s in streams], out=ends[1:])
+    return np.fromiter(map(_tokens.__getitem__, chain.from_iterable(streams)), np.uint64, int(ends[-1])), ends
 
 
 def repeats(h: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +199,12 @@ def repeats(h: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np
         next_rank = np.zeros(n, np.int64)
         next_rank[: n - step] = rank[step:]
         next_rank[left <= step] = 0
-        order = np.lexsort((next_rank, rank))
-        a, b = rank[order], next_rank[order]
-        rank[order] = np.cumsum(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        pair = rank * (n + 1) + next_rank
+        order = np.argsort(pair)
+        a = pair[order]
+        rank[order] = np.cumsum(np.append(True, a[1:] != a[:-1]))
         depth += step
-    order = np.argsort(rank, kind="stable")
-    order = order[left[order] >= least]
+    order = order[left[order] >= least]  # the suffix array to that depth
     r = rank[order]
     return order, np.cumsum(np.append(False, r[1:] != r[:-1]))[: len(r)]
 
@@ -197,8 +212,10 @@ def repeats(h: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np
 def owners_of(start: np.ndarray, group: np.ndarray, owner: np.ndarray, counted: np.ndarray) -> np.ndarray:
     """How many distinct owners each group of runs has, among the runs that start at `counted` tokens."""
     keep = counted[start]
-    pairs = np.unique(np.stack([group[keep], owner[start[keep]]], 1), axis=0)
-    return np.bincount(pairs[:, 0], minlength=int(group[-1]) + 1 if len(group) else 0)
+    span = int(owner.max(initial=0)) + 1
+    pairs = np.sort(group[keep] * span + owner[start[keep]])
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+    return np.bincount(pairs // span, minlength=int(group[-1]) + 1 if len(group) else 0)
 
 
 def under(starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
@@ -287,7 +304,7 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RUNS)], schema=_RUNS)
 
 
-def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int = 5, shard_bytes: int = 8_000_000, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int = 5, shard_bytes: int = 1_000_000, row_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """row_id, url, text and n_chars of each row."""
     spark = pages.sparkSession
     data = pages.select(F.col(row_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), F.coalesce(url_host(F.col(url).cast("string")), F.lit("")).alias("host"))
@@ -347,8 +364,8 @@ def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int =
             own, at = one.keys()
             where = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit = (keys[where] == own) & one.in_main[at]
-            pairs = np.unique(np.stack([where[hit], one.owner[at[hit]]], 1), axis=0)
-            counts = np.bincount(pairs[:, 0], minlength=len(keys))
+            pairs = np.unique(where[hit] * (len(one.pages) + 1) + one.owner[at[hit]])
+            counts = np.bincount(pairs // (len(one.pages) + 1), minlength=len(keys))
             hosts = [shard.column("host")[0].as_py()] * len(keys)
         return pa.table({"host": pa.array(hosts, pa.string()), "key": pa.array(keys[: len(hosts)].view(np.int64)), "n": pa.array(counts, pa.int64())})
 
