@@ -104,10 +104,14 @@ def repair_value(raw: Column) -> Column:
     return F.when(~s.rlike(r"\d"), s).when(s.rlike(r"\d\s*[-–]\s*\d"), F.concat(_repair_number(left), dash, _repair_number(right))).otherwise(_repair_number(s))
 
 
+# Marks at the end of a label, taken off one after the other.
+FOOTNOTES = [r"[¹²³⁴⁵⁶⁷⁸⁹⁰]+$", r"\s*[\(\[]\d+[\)\]]$", r"\s*\*+$", r"\s*†+$", r"\s*‡+$", r"_\d{1,2}$", r"(?<=[a-zA-Z])\d{1,2}$", r"\s*\d{1,2}$"]
+
+
 def strip_footnotes(text: Column) -> Column:
-    """Superscripts, bracketed numbers and trailing marks or one or two trailing digits of a label."""
-    c = F.regexp_replace(text, r"[¹²³⁴⁵⁶⁷⁸⁹⁰]+", "")
-    for pattern in (r"\s*\[\d+\]", r"\s*\(\d+\)$", r"[*†‡§]+$", r"\s*\d{1,2}$"):
+    """A label without the marks at its end: superscripts, bracketed numbers, stars, daggers, one or two digits."""
+    c = F.trim(text)
+    for pattern in FOOTNOTES:
         c = F.regexp_replace(c, pattern, "")
     return F.trim(c)
 
@@ -139,9 +143,30 @@ def dosage(text: Column) -> Column:
     )
 
 
-#: Words for routes in the order they are tried, and their names; fixed values.
-ROUTES = [("oral", "oral"), ("po", "oral"), ("by mouth", "oral"), ("iv", "intravenous"), ("im", "intramuscular"), ("sc", "subcutaneous"), ("sl", "sublingual"), ("topical", "topical"), ("pr", "rectal")]
-FREQUENCIES = [("bid", "twice daily"), ("tid", "three times daily"), ("qid", "four times daily"), ("qd", "once daily"), ("prn", "as needed"), ("ac", "before meals"), ("pc", "after meals")]
+# Words for routes in the order they are tried, and their names.
+ROUTES = [
+    ("oral", "oral"), ("po", "oral"), ("by mouth", "oral"), ("iv", "intravenous"), ("intravenous", "intravenous"), ("im", "intramuscular"), ("intramuscular", "intramuscular"),
+    ("sc", "subcutaneous"), ("subcutaneous", "subcutaneous"), ("topical", "topical"), ("transdermal", "transdermal"), ("inhaled", "inhaled"), ("inhalation", "inhalation"),
+    ("sublingual", "sublingual"), ("sl", "sublingual"), ("rectal", "rectal"), ("pr", "rectal"), ("ophthalmic", "ophthalmic"), ("otic", "otic"), ("intranasal", "intranasal"),
+]
+# Abbreviations of frequencies in the order they are tried, and the forms with a number after them.
+FREQUENCIES = [
+    ("qd", "once daily"), ("bid", "twice daily"), ("tid", "three times daily"), ("qid", "four times daily"), ("q4h", "every 4 hours"), ("q6h", "every 6 hours"), ("q8h", "every 8 hours"),
+    ("q12h", "every 12 hours"), ("qhs", "at bedtime"), ("prn", "as needed"), ("ac", "before meals"), ("pc", "after meals"),
+]
+NUMBERED = [(r"(\d+)\s*times?\s*(?:per|a|daily)", "times_per_day"), (r"every\s*(\d+)\s*hours?", "every_n_hours"), (r"(\d+)\s*times?\s*(?:per|a)\s*week", "times_per_week")]
+
+
+def frequency(text: Column) -> Column:
+    """struct(code, description) of the first abbreviation (substrings count), else (kind, every) of the first form with a number."""
+    low = F.lower(text)
+    code, kind, every = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    for word, _ in reversed(FREQUENCIES):
+        code = F.when(low.contains(word), word).otherwise(code)
+    for pattern, name in reversed(NUMBERED):
+        kind, every = F.when(low.rlike(pattern), name).otherwise(kind), F.when(low.rlike(pattern), F.regexp_extract(low, pattern, 1).try_cast("int")).otherwise(every)
+    none = code.isNull()
+    return F.struct(code.alias("code"), first_contained(text, FREQUENCIES, None).alias("description"), F.when(none, kind).alias("kind"), F.when(none, every).alias("every"))
 
 
 def first_contained(text: Column, pairs: list[tuple[str, str]], default: str | None) -> Column:
@@ -185,16 +210,34 @@ def universal_patterns(text: Column) -> Column:
     return F.struct(dates.alias("dates"), first_group(text, r"([\w.-]+@[\w.-]+\.\w+)").alias("email"), first_group(text, r"\b(\d{3}[\s.-]?\d{3}[\s.-]?\d{4})\b").alias("phone"))
 
 
-#: Date layouts in the order they are tried; month before day.
-DATE_LAYOUTS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy"]
+# Date layouts in the order they are tried; month before day.
+DATE_LAYOUTS = ["M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d-MMM-yyyy", "yyyyMMdd"]
 
 
 def iso_date(raw: Column) -> Column:
+    """A date as yyyy-MM-dd: what begins like one already is cut to it, else the first layout that reads it; else null."""
     s = F.trim(raw)
     parsed = F.coalesce(*[F.to_date(F.try_to_timestamp(s, F.lit(p))) for p in DATE_LAYOUTS])
     return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 10)).otherwise(F.date_format(parsed, "yyyy-MM-dd"))
 
 
+# Names of months.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def date_of_parts(first: Column, second: Column, third: Column) -> Column:
+    """The date of month, day and year, or of year (four signs), month and day; months may be words, years of two digits are near 2000."""
+    low = F.lower(first)
+    word = F.lit(None).cast("int")
+    for i, name in enumerate(MONTHS):
+        word = F.when(low.isin(name, name[:3]), i + 1).otherwise(word)
+    a, b, c = (x.try_cast("int") for x in (first, second, third))
+    led_by_year = word.isNull() & (F.length(first) == 4)
+    year = full_year(F.when(led_by_year, a).otherwise(c))
+    month, day = F.when(led_by_year, b).otherwise(F.coalesce(word, a)), F.when(led_by_year, c).otherwise(b)
+    return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
+
+
 def full_year(two_digits: Column) -> Column:
     return F.when(two_digits >= 100, two_digits).when(two_digits < 50, two_digits + 2000).otherwise(two_digits + 1900)
 

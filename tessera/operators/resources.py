@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATUSES = ("registered", "preliminary", "final", "amended", "corrected", "cancelled", "entered-in-error", "unknown")
+# What the status of an observation and of a report may be.
+OBSERVATION_STATUSES = ("registered", "preliminary", "final", "amended", "corrected", "cancelled", "entered-in-error")
+REPORT_STATUSES = ("registered", "partial", "preliminary", "final", "amended", "corrected", "appended", "cancelled", "entered-in-error", "unknown")
 BUNDLES = ("collection", "document", "message")
 INTERPRETATIONS = {"H": "H", "L": "L", "N": "N", "CRITICAL HIGH": "HH", "CRITICAL LOW": "LL"}
 
@@ -55,7 +57,7 @@ def bundles(rows: DataFrame, key: Sequence[str], resource: str, order: str) -> D
 def observation_errors(o: Column) -> Column:
     return F.array_compact(
         F.array(
-            F.when(o["status"].isNull(), "no status").when(~o["status"].isin(*STATUSES), "bad status"),
+            F.when(o["status"].isNull(), "no status").when(~o["status"].isin(*OBSERVATION_STATUSES), "bad status"),
             F.when(F.coalesce(F.size(o["code"]["coding"]), F.lit(0)) <= 0, "no code"),
             F.when(o["valueQuantity"].isNull(), "no value"),
             F.when(F.size(o["referenceRange"]) == 0, "empty range"),
@@ -63,6 +65,15 @@ def observation_errors(o: Column) -> Column:
     )
 
 
+def report_errors(r: Column) -> Column:
+    return F.array_compact(
+        F.array(
+            F.when(r["status"].isNull(), "no status").when(~r["status"].isin(*REPORT_STATUSES), "bad status"),
+            F.when(F.coalesce(F.size(r["code"]["coding"]), F.lit(0)) <= 0, "no code"),
+        )
+    )
+
+
 def bundle_errors(b: Column) -> Column:
     return F.array_compact(F.array(F.when(b["type"].isNull() | ~b["type"].isin(*BUNDLES), "bad type"), F.when(F.coalesce(F.size(b["entry"]), F.lit(0)) <= 0, "no entries")))
 
@@ -71,11 +82,6 @@ def count_of(b: Column, kind: str) -> Column:
     return F.size(F.filter(b["entry"], lambda x: x["resource"]["resourceType"] == kind))
 
 
-def flat_values(tests: Column, drugs: Column) -> Column:
-    """Test results and drugs as one list for display."""
-    return F.concat(tests, drugs)
-
-
 def visible(fields: Column) -> Column:
     """A map without the keys that begin with '_'."""
     return F.map_filter(fields, lambda k, v: ~k.startswith("_"))

@@ -24,13 +24,8 @@ def layout_type(spark, sf):
     return table(spark, sf, "documents").groupBy(C.layout(C.has_table(t), C.section_count(t) >= 2, C.numeric_density(t)).alias("layout")).agg(F.count("*").alias("n"))
 
 
-@query("header_counts", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) BETWEEN 3 AND 50 AND NOT regexp_matches(x, '[a-zà-ÿß]') AND regexp_matches(x, '[A-Z]')))::INTEGER AS n FROM documents WHERE lang = 'en'")
+@query("header_counts", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) BETWEEN 3 AND 50 AND upper(x) = x AND NOT contains(x, 'ß') AND regexp_matches(x, '[A-Z]')))::INTEGER AS n FROM documents")
 def header_counts(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", C.header_count(F.col("text")).alias("n"))
-
-
-@query("header_counts_all", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) BETWEEN 3 AND 50 AND upper(x) = x AND NOT contains(x, 'ß') AND regexp_matches(x, '[A-Z]')))::INTEGER AS n FROM documents")
-def header_counts_all(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.header_count(F.col("text")).alias("n"))
 
 

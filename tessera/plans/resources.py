@@ -74,3 +74,18 @@ def export_csv(spark, sf):
 @query("display_name", "SELECT doc_id, concat_ws(' ', upper(lang), source, CASE WHEN n_chars > 5000 THEN 'long' END) AS title FROM documents")
 def display_name(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.upper("lang"), "source", F.when(F.col("n_chars") > 5000, "long")).alias("title"))
+
+
+STATUS = ["final", "unknown", "partial", "appended", "corrected", "cancelled", "entered-in-error", "done", None]
+STATUS_SQL = "['" + "', '".join(x for x in STATUS if x) + f"'][o_orderkey % {len(STATUS)} + 1]"
+
+
+@query("status_vocabularies", f"""SELECT o_orderkey, CASE WHEN s IS NULL THEN 'no status' WHEN s NOT IN ('registered', 'preliminary', 'final', 'amended', 'corrected', 'cancelled', 'entered-in-error') THEN 'bad status' ELSE '' END AS observation,
+    CASE WHEN s IS NULL THEN 'no status' WHEN s NOT IN ('registered', 'partial', 'preliminary', 'final', 'amended', 'corrected', 'appended', 'cancelled', 'entered-in-error', 'unknown') THEN 'bad status' ELSE '' END AS report FROM (SELECT o_orderkey, {STATUS_SQL} AS s FROM orders)""")
+def status_vocabularies(spark, sf):
+    """What an observation's status may be, and what a report's."""
+    s = F.get(F.array(*[F.lit(x).cast("string") for x in STATUS]), (F.col("o_orderkey") % len(STATUS)).cast("int"))
+    code = R.concept(F.lit("local"), F.lit("c"), F.lit("c")).alias("code")
+    o = F.struct(s.alias("status"), code, F.struct(F.lit(1.0).alias("value")).alias("valueQuantity"), F.array(F.struct(F.lit(0.0).alias("low"))).alias("referenceRange"))
+    both = {"observation": R.observation_errors(o), "report": R.report_errors(o)}
+    return table(spark, sf, "orders").select("o_orderkey", *[F.array_join(e, ",").alias(k) for k, e in both.items()])

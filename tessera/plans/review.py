@@ -112,18 +112,13 @@ def document_search(spark, sf):
     return table(spark, sf, "part").where((F.col("p_name").ilike("%re%") | F.col("p_type").ilike("%re%")) & (F.col("p_brand") == "Brand#12")).select("p_partkey")
 
 
-@query("template_stats", "SELECT count(*) AS total, count_if(p_size > 25) AS active, count_if(p_size <= 25) AS draft, round(coalesce(avg(p_retailprice), 0), 2) AS mean_price FROM part WHERE p_brand LIKE 'Brand#1%'")
+@query("template_stats", "SELECT count(*) AS total, count_if(p_size > 25) AS active, count_if(p_size <= 25) AS draft, round(coalesce(avg(p_retailprice), 0), 2) AS mean_price FROM part")
 def template_stats(spark, sf):
-    return table(spark, sf, "part").where(F.col("p_brand").like("Brand#1%")).agg(F.count("*").alias("total"), F.count_if(F.col("p_size") > 25).alias("active"), F.count_if(F.col("p_size") <= 25).alias("draft"), F.round(F.coalesce(F.avg("p_retailprice"), F.lit(0.0)), 2).alias("mean_price"))
+    return table(spark, sf, "part").agg(F.count("*").alias("total"), F.count_if(F.col("p_size") > 25).alias("active"), F.count_if(F.col("p_size") <= 25).alias("draft"), F.round(F.coalesce(F.avg("p_retailprice"), F.lit(0.0)), 2).alias("mean_price"))
 
 
-@query("samples_by_category", "SELECT coalesce(nullif(p_type, ''), 'other') AS category, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part WHERE p_partkey <= 300 GROUP BY 1")
+@query("samples_by_category", "SELECT coalesce(nullif(p_type, ''), 'other') AS category, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1")
 def samples_by_category(spark, sf):
-    return members_by_category(table(spark, sf, "part").where("p_partkey <= 300"))
-
-
-@query("all_by_category", "SELECT coalesce(nullif(p_type, ''), 'other') AS category, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1")
-def all_by_category(spark, sf):
     return members_by_category(table(spark, sf, "part"))
 
 

@@ -1,8 +1,13 @@
 """Column functions against expected values; sources, sinks and streams against small files."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tessera.functions import prescriptions as P
 from tessera.functions import text as X
 from tessera.operators import retrieval, seams
 from tessera.sources import files, sinks
@@ -45,11 +50,84 @@ def test_dosage_stage_sizes(spark):
     assert one(spark, X.quantity, "Qty: 30") == 30 and one(spark, X.refills, "2 refills") == 2
 
 
-@pytest.mark.parametrize("raw, want", [("2024-01-05 10:00", "2024-01-05"), ("01/05/2024", "2024-01-05"), ("25/12/2024", "2024-12-25"), ("January 5, 2024", "2024-01-05"), ("soon", None)])
+@pytest.mark.parametrize("raw, want", [("2024-01-05 10:00", "2024-01-05"), ("01/05/2024", "2024-01-05"), ("25/12/2024", "2024-12-25"), ("January 5, 2024", "2024-01-05"), ("21 Jan 2025", "2025-01-21"), ("21-Jan-2025", "2025-01-21"), ("20250121", "2025-01-21"), ("01-21-2025", "2025-01-21"), ("1/4/2016", "2016-01-04"), ("2016/01/04", None), ("soon", None)])
 def test_iso_date(spark, raw, want):
     assert one(spark, X.iso_date, raw) == want
 
 
+@pytest.mark.parametrize("raw, want", [("mchc02", "mchc"), ("Glucose¹", "Glucose"), ("WBC (1)", "WBC"), ("basos_02", "basos"), ("x [2]", "x"), ("neut **", "neut"), ("a†", "a"), ("¹mid", "¹mid")])
+def test_strip_footnotes(spark, raw, want):
+    assert one(spark, X.strip_footnotes, raw) == want
+
+
+@pytest.mark.parametrize("raw, want", [("inhaled twice", "inhaled"), ("give it", "intravenous"), ("by mouth", "oral"), ("Sublingual tab", "sublingual"), ("", "oral")])
+def test_routes(spark, raw, want):
+    assert one(spark, lambda c: X.first_contained(c, X.ROUTES, "oral"), raw) == want
+
+
+@pytest.mark.parametrize("raw, want", [("qd then bid", ("qd", "once daily", None, None)), ("q8h tab", ("q8h", "every 8 hours", None, None)), ("3 times daily", (None, None, "times_per_day", 3)), ("every 6 hours", (None, None, "every_n_hours", 6)), ("stat", (None, None, None, None))])
+def test_frequencies(spark, raw, want):
+    assert tuple(one(spark, X.frequency, raw)) == want
+
+
+@pytest.mark.parametrize("raw, want", [("10 mg", True), ("5/325", True), ("0.5 G", True), ("ten", False), (None, False)])
+def test_dosage_format(spark, raw, want):
+    assert one(spark, P.is_dosage, raw) == want
+
+
+@pytest.mark.parametrize("raw, want", [("TAB. ABCIXIMAB 1 Morning", "ABCIXIMAB"), ("CAP. OMEPRAZOLE 20mg", "OMEPRAZOLE"), ("INJ. INSULIN 10 units", "INSULIN"), ("Metformin 500mg", "Metformin"), ("Lisinopril 10 mg tablets", "Lisinopril"), ("Advair Diskus 250/50", "Advair Diskus"), ("tab", "tab")])
+def test_drug_name(spark, raw, want):
+    assert one(spark, P.drug_name, raw) == want
+
+
+def scanned(text):
+    """Orders of a text, a line at a time, with sets of lines taken."""
+    lines, taken, out = [x.strip(" ") for x in text.split("\n")], set(), []
+    for i, line in enumerate(lines):
+        if i in taken or len(line) < 5 or any(re.match(p, line, re.I) for p in P.NO_ORDER):
+            continue
+        if m := re.match(P.DOSED, line):
+            out.append(("dosed", line, m[1], m[2].strip(), m[3] or m[4] or "", "", "", ""))
+        elif m := re.match(P.PRESCRIBED, line):
+            out.append(("prescribed", line, m[1], m[2].strip(), m[3] or "", "", "", ""))
+        elif m := re.match(P.HANDWRITTEN, line):
+            n = re.search(r"(\d+)\s*(?:mg|my|ml|mcg|g)?", line, re.I)
+            sig = next((k for k in range(i + 1, min(i + 4, len(lines))) if lines[k].lower().startswith("sig")), None)
+            said = lines[sig] if sig is not None else ""
+            taken |= {sig}
+            often = next((f"{a[1]}x daily" for p in P.A_DAY if (a := re.search(p, said))), "")
+            out.append(("handwritten", line, m[1], n[1] + "mg" if n and n[1] != m[2] else "", m[2], often, "", said))
+        elif m := re.match(P.FORM_FIRST, line):
+            more = line
+            for k in range(i + 1, min(i + 5, len(lines))):
+                if lines[k]:
+                    if re.match(P.FORM_FIRST, lines[k]):
+                        break
+                    more += " " + lines[k]
+                    taken.add(k)
+            strength = (m[2] or "").strip()
+            if strength and not re.search("(mg|ml|mcg|g|%)$", strength, re.I):
+                strength += "mg"
+            total, days, times, meal = (re.search(p, more) for p in (P.TOTAL, P.DURATION, P.TIMES, P.MEALS))
+            told = (times[2] or "").strip() if times else ""
+            out.append(("form first", line, m[1], strength, total[1] if total else "", times[1].strip() if times else "", days[0] if days else "", told or (meal[1].strip() if meal else "")))
+    return out
+
+
+def test_orders_equal_a_scan_of_lines(spark):
+    pieces = ["TAB. ABCIXIMAB", "1) CAP. ZOCLAR 500", "1 Morning, 1 Night", "(Before Food)", "8 Days (Tot:16 Tab)", "amoxirillin Joong Cap#21", "Sig: 1 cap 3x a day", "sig 2 times a day", "Lisinopril 10mg x30", "Akendd Z5my 30", "Rx: Metformin 500 mg tab 60", "Patient: someone", "1/2/2024", "", "note", "word word word", "SYR. AMOXYCILLIN 250 MG / SR", "Vitamin-D 5 mcg (30)"]
+    rnd = random.Random(3)
+    texts = ["\n".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 14))) for _ in range(250)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", P.orders(F.col("t")).alias("o")).collect()
+    for r in rows:
+        assert [tuple(x) for x in r["o"]] == scanned(texts[r["i"]]), texts[r["i"]]
+
+
+def test_plain_value_lists_equal_plain_names(spark, sf):
+    lists, names = entry.queries()["plain_value_lists"](spark, sf), entry.queries()["plain_names"](spark, sf)
+    assert lists.count() == names.count() and lists.join(names, ["p_partkey", "name"]).count() == names.count()
+
+
 def test_chunks_overlap_and_end():
     assert retrieval.cut_chunks("a" * 10, 10, 2) == ["a" * 10]
     assert [len(c) for c in retrieval.cut_chunks("x" * 3700, 2000, 200)] == [2000, 1900, 100]

@@ -31,7 +31,7 @@ def test_edit_distance_pairs(spark, tmp_path):
     assert any(b > 500 for _, b, _ in got)
 
 
-def test_value_box_match_all(spark, tmp_path):
+def test_value_box_match(spark, tmp_path):
     """The best of all other boxes wins, whatever its id."""
     corner = {0: (0.1, 0.1), 1: (0.5, 0.5), 2: (0.5, 0.1), 3: (0.02, 0.1), 20: (0.1, 0.5), 41: (0.9, 0.9)}
     rows = [(i, "p", [x, y, x + 0.05, y + 0.05]) for i, (x, y) in corner.items()]
@@ -41,7 +41,7 @@ def test_value_box_match_all(spark, tmp_path):
         (fx, fy), (vx, vy) = corner[f], corner[v]
         return (1 - abs(fy - vy)) * (1.1 if vx >= fx + 0.05 else 1) * (0.7 if abs(fy - vy) > 0.02 else 1)
 
-    got = {r["field"]: r["value"] for r in entry.queries()["value_box_match_all"](spark, sf).collect()}
+    got = {r["field"]: r["value"] for r in entry.queries()["value_box_match"](spark, sf).collect()}
     assert got == {f: min((v for v in corner if v != f), key=lambda v: (-score(f, v), v)) for f in (0, 20)} == {0: 2, 20: 1}
 
 
@@ -50,10 +50,10 @@ def test_rows_beyond_the_subsets(spark, tmp_path):
     save(spark, tmp_path, "part", [(1, "a"), (301, "a"), (302, ""), (303, None), (9999, "b")], "p_partkey long, p_type string")
     save(spark, tmp_path, "lineitem", [(5, "N", "O"), (21, "A", "F"), (21, "R", "O")], "l_suppkey long, l_returnflag string, l_linestatus string")
     sf = save(spark, tmp_path, "documents", [(1, "en", "HEAD ONE\nno head"), (2, "de", "ÜBER ALLES\nNicht"), (3, None, "")], "doc_id long, lang string, text string")
-    rows = {n: sorted(tuple(r) for r in entry.queries()[n](spark, sf).collect()) for n in ("all_by_category", "attribute_product_all", "header_counts_all")}
-    assert rows["all_by_category"] == [("a", 2, "1,301"), ("b", 1, "9999"), ("other", 2, "302,303")]
-    assert rows["attribute_product_all"] == [(5, "N", "O")] + [(21, s, f) for s in "AR" for f in "FO"]
-    assert rows["header_counts_all"] == [(1, 1), (2, 1), (3, 0)]
+    rows = {n: sorted(tuple(r) for r in entry.queries()[n](spark, sf).collect()) for n in ("samples_by_category", "attribute_product", "header_counts")}
+    assert rows["samples_by_category"] == [("a", 2, "1,301"), ("b", 1, "9999"), ("other", 2, "302,303")]
+    assert rows["attribute_product"] == [(5, "N", "O")] + [(21, s, f) for s in "AR" for f in "FO"]
+    assert rows["header_counts"] == [(1, 1), (2, 1), (3, 0)]
 
 
 def sections(text):
