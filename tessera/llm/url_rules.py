@@ -10,8 +10,8 @@ two rules nest or are apart. Two sweeps in key order do the join:
    began at or before its key (`judge_urls`).
 
 Of the stack, the longest rule whose path prefix the url's path starts with decides. The second sweep runs in
-`parts` salted shares of the pages (by row id, so a host with any share of the rows is spread evenly); each has
-its own copy of the segments, of which there are at most two a rule. Rules are a Python list (bounded: they
+`parts` salted shares of the pages (by row id, so a host with any share of the rows is spread evenly; about
+`ROWS_A_PART` rows each, and no fewer shares than the session's shuffle partitions); each has its own copy of the segments, of which there are at most two a rule. Rules are a Python list (bounded: they
 stand in the query plan). Everything is DataFrame expressions.
 
 Null urls and urls without "://" have empty host and path, and no rule fits them. Repeated rows are judged each
@@ -80,7 +80,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default:
     """row_id, host, path, rule (null if none fits), verdict (the rule's, else `default`) for each row."""
     spark = pages.sparkSession
     if parts is None:
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // ROWS_A_PART), 1)
     link = F.col(url).cast("string")
     left = pages.select(F.col(row_id).alias("__row"), url_host(link).alias("host"), url_path(link).alias("path"))
     none = rule_segments(spark, rules)
