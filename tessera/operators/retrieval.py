@@ -19,13 +19,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms))
 
 
-def similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, least: float = 0.6) -> DataFrame:
+def similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, least: float = 0.6, block: int = 20_000) -> DataFrame:
     """Each query's k most similar other rows with similarity of at least `least`.
 
-    `queries` is a stated, small set of rows; it is broadcast against every row, and a task's winners are cut to k before the shuffle.
+    `queries` is a stated set of rows. It is broadcast against every row in blocks of about `block` of them, so what is broadcast is bounded
+    however many there are; norms are taken once a row, and a task's winners are cut to k before the shuffle.
     """
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")))
-    s = rows.join(q, F.col("query") != F.col(key)).select("query", key, cosine(F.col("__q"), F.col(vector)).alias("similarity")).where(F.col("similarity") >= least)
+    blocks = max(-(-queries.count() // block), 1)
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    every = rows.select(key, F.col(vector).alias("__v"), norm(vector).alias("__nv"))
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(vector).alias("__nq"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b"))
+    lengths = F.col("__nv") * F.col("__nq")
+    alike = F.when(F.size("__v") == F.size("__q"), F.when(lengths == 0, 0.0).otherwise(dot(F.col("__q"), F.col("__v")) / lengths))
+    s = None
+    for i in range(blocks):
+        one = every.join(F.broadcast(asked.where(F.col("__b") == i)), F.col("query") != F.col(key)).select("query", key, alike.alias("similarity")).where(F.col("similarity") >= least)
+        s = one if s is None else s.unionByName(one)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

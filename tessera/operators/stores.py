@@ -75,30 +75,28 @@ def success_stats(rows: DataFrame, ok: Column, duration: str, confidence: str, r
     )
 
 
-def nearest_rank(value: str, *quantiles: float) -> list[Column]:
-    """sorted[int(n * q)] without interpolation."""
-    ordered = F.array_sort(F.collect_list(value))
-    return [F.element_at(ordered, (F.floor(F.count(value) * F.lit(q)) + 1).cast("int")).alias(f"p{round(q * 100)}") for q in quantiles]
-
-
-def histogram_stats(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+def histogram_stats(rows: DataFrame, key: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
     """count, min, max, mean, median and nearest-rank p95, p99 of each key.
 
-    Ranks come from a window over the key's rows and one aggregate, so no key is gathered into one array.
+    Keys may be few and large, so a key is never sorted as a whole: counts of equal buckets between its least and most value
+    (map-side combined) tell which bucket holds each rank, and only those buckets' rows are ranked. Exact.
     """
-    w, n = Window.partitionBy(*key).orderBy(value), F.count(value).over(Window.partitionBy(*key))
-    r = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w) - 1).withColumn("__n", n)
-    at = lambda e: F.max(F.when(F.col("__r") == e, F.col(value)))
-    low, high = at(F.floor((F.col("__n") - 1) / 2)), at(F.floor(F.col("__n") / 2))
-    return r.groupBy(*key).agg(
-        F.count("*").alias("n"),
-        F.min(value).alias("least"),
-        F.max(value).alias("most"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round((low + high) / 2, 6).alias("median"),
-        at(F.floor(F.col("__n") * F.lit(0.95))).alias("p95"),
-        at(F.floor(F.col("__n") * F.lit(0.99))).alias("p99"),
-    )
+    keys, v = list(key), F.col(value)
+    r = rows.where(v.isNotNull()).select(*keys, v.alias("__v"))
+    s = r.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.round(F.avg("__v"), 6).alias("mean"))
+    share = F.coalesce((F.col("__v") - F.col("least")) / F.nullif(F.col("most") - F.col("least"), F.lit(0.0)), F.lit(0.0))
+    b = r.join(s.select(*keys, "least", "most"), keys).select(*keys, "__v", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("__b"))
+    upto = Window.partitionBy(*keys).orderBy("__b")  # at most `buckets` rows a key
+    h = b.groupBy(*keys, "__b").agg(F.count("*").alias("__c")).withColumn("__before", F.sum("__c").over(upto) - F.col("__c"))
+    n = F.col("n")
+    ranks = {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.floor(n * F.lit(0.95)), "p99": F.floor(n * F.lit(0.99))}
+    asked = s.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), e.cast("long").alias("rank")) for k, e in ranks.items()])).alias("__a"))
+    at = h.join(asked, keys).where((F.col("__a.rank") >= F.col("__before")) & (F.col("__a.rank") < F.col("__before") + F.col("__c")))
+    at = at.select(*keys, "__b", F.col("__a.name").alias("__name"), (F.col("__a.rank") - F.col("__before")).alias("__place"))
+    inside = Window.partitionBy(*keys, "__b").orderBy("__v")
+    near = b.join(at.select(*keys, "__b").distinct(), [*keys, "__b"]).withColumn("__place", (F.row_number().over(inside) - 1).cast("long"))
+    got = near.join(at, [*keys, "__b", "__place"]).groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(f"__{k}") for k in ranks])
+    return s.join(got, keys).select(*keys, "n", "least", "most", "mean", F.round((F.col("__low") + F.col("__high")) / 2, 6).alias("median"), F.col("__p95").alias("p95"), F.col("__p99").alias("p99"))
 
 
 def expire(rows: DataFrame, created: str, as_of: Column, ttl_seconds: int) -> DataFrame:

@@ -26,11 +26,13 @@ def direction(slope: Column, flat: float = 0.01) -> Column:
 def trends(points: DataFrame, key: Sequence[str], ts: str = "ts", value: str = "value", seq: str | None = None, least_points: int = 3) -> DataFrame:
     """Line fit of each series with enough points: n, slope a day, intercept, r2 (0 for constant values), first and last.
 
-    One shuffle: the first time of a series is a window over the same keys as the aggregate.
+    The first time of each series is an aggregate with map-side combine that is joined back, so a long series may be split.
     """
     seq = seq or ts
-    start = F.min(ts).over(Window.partitionBy(*key))
-    p = points.where(F.col(value).isNotNull()).withColumn("day", whole_days(start, F.col(ts)).cast("double"))
+    p = points.where(F.col(value).isNotNull())
+    first = p.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min(ts).alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    p = p.join(first, same).withColumn("day", whole_days(F.col("__first"), F.col(ts)).cast("double"))
     order = F.struct(F.col(ts), F.col(seq))
     a = p.groupBy(*key).agg(
         F.count("*").alias("n"),
@@ -121,14 +123,14 @@ def significance(patterns: DataFrame, rules: DataFrame, test: str = "test", kind
 
     `rules` (test, kind, threshold or null, severity) is a knowledge table; its size is that of the rule book, so it is broadcast.
     """
-    r = rules.select(F.col("test").alias("__t"), F.col("kind").alias("__k"), "threshold", F.col("severity").alias("__s"))
-    fits = (F.col(test) == F.col("__t")) & (F.col(kind) == F.col("__k")) & (F.col("threshold").isNull() | (F.abs(change) > F.col("threshold")))
+    r = rules.groupBy(F.col("test").alias("__t"), F.col("kind").alias("__k")).agg(F.collect_list(F.struct(F.col("threshold").alias("over"), F.col("severity").alias("says"))).alias("__r"))
     cols = patterns.columns
-    j = patterns.join(F.broadcast(r), fits, "left")
-    best = j.groupBy(*cols).agg(F.max_by("__s", F.coalesce("threshold", F.lit(-1.0))).alias("severity"))
-    severity = F.coalesce("severity", F.lit(default))
+    j = patterns.join(F.broadcast(r), (F.col(test) == F.col("__t")) & (F.col(kind) == F.col("__k")), "left")
+    fits = F.filter("__r", lambda x: x["over"].isNull() | (F.abs(change) > x["over"]))
+    best = F.array_max(F.transform(fits, lambda x: F.struct(F.coalesce(x["over"], F.lit(-1.0)).alias("over"), x["says"].alias("says"))))
+    severity = F.coalesce(best["says"], F.lit(default))
     urgency = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in URGENCY.items() for x in kv]), severity), F.lit("routine"))
-    return best.select(*cols, severity.alias("severity"), urgency.alias("urgency"))
+    return j.select(*cols, severity.alias("severity"), urgency.alias("urgency"))
 
 
 def best_per_field(rows: DataFrame, key: Sequence[str], score: Column, seq: str) -> DataFrame:
