@@ -38,6 +38,29 @@ def reading(base: Column, short_pages: Column, pages: Column) -> Column:
     return F.greatest(F.least(base - 0.3 * short_pages / F.greatest(pages, F.lit(1)), F.lit(1.0)), F.lit(0.1))
 
 
+def content(sections: Sequence[tuple[Column, Column, int]], coverage: Column) -> Column:
+    """Mean confidence of the sections that have items, each weighed by its number of items up to a cap, and .03 more a section (up to
+    .15); times the share of the expected items that were found. .2 without any section.
+
+    `sections`: mean confidence, number of items, cap.
+    """
+    there = [n > 0 for _, n, _ in sections]
+    weight = [F.when(t, F.least(n, F.lit(cap))).otherwise(0) for t, (_, n, cap) in zip(there, sections)]
+    total = sum(weight, F.lit(0))
+    mean = sum((F.when(t, c * w).otherwise(0.0) for t, (c, _, _), w in zip(there, sections, weight)), F.lit(0.0)) / F.nullif(total, F.lit(0))
+    bonus = F.least(F.lit(0.15), 0.03 * sum((t.cast("int") for t in there), F.lit(0)))
+    return F.round(F.when(total == 0, 0.2).otherwise(F.least(mean + bonus, F.lit(1.0)) * coverage), 3)
+
+
+def coverage(found: Sequence[tuple[Column, Column, int]]) -> Column:
+    """Share of the items a text makes one expect, by the kind of which it promises most; 1 where no kind promises enough.
+
+    `found`: items found, items expected, and the number above which an expectation counts.
+    """
+    sure = [F.when((e > least) & (n > 0), F.struct(e.alias("expected"), (-F.lit(i)).alias("place"), F.least(n / e, F.lit(1.0)).alias("share"))) for i, (n, e, least) in enumerate(found)]
+    return F.coalesce(F.array_max(F.array(*sure))["share"], F.lit(1.0))
+
+
 def routing(already: Column, confidence: Column, conflicts: Column, rejected: Column, critical: Column, flags: Column) -> Column:
     """struct(review, priority, reasons): every ground adds a reason and may raise the priority; what is under review stays as it is."""
     low = confidence < REVIEW_BELOW

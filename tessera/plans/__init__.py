@@ -1,6 +1,6 @@
 """Named queries. Importing this package registers them all."""
 
-from tessera.plans import classify, confidence, consensus, enrich, evaluation, geometry, lookup, more_texts, names, prescriptions, resources, retrieval, review, seam_queries, stores, streams, temporal, texts, validation  # noqa: F401
+from tessera.plans import classify, confidence, consensus, enrich, evaluation, geometry, lookup, more_texts, names, prescriptions, records, resources, retrieval, review, seam_queries, stores, streams, temporal, texts, validation  # noqa: F401
 from tessera.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

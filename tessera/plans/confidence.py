@@ -141,3 +141,29 @@ def date_parts(spark, sf):
     second = F.when(o % 3 == 1, month).otherwise(day)
     third = F.when(o % 3 == 0, (o % 100).cast("string")).when(o % 3 == 1, day).otherwise((1940 + o % 90).cast("string"))
     return table(spark, sf, "orders").select("o_orderkey", X.date_of_parts(first, second, third).alias("date"))
+
+
+FOUND = """f AS (SELECT user_id, count_if(event_type = 'click') AS tests, count_if(event_type = 'view') AS drugs, (user_id % 4)::BIGINT AS dates, avg(CASE WHEN event_type = 'click' THEN (event_id % 64) / 64.0 END) AS ct, avg(CASE WHEN event_type = 'view' THEN (event_id % 32) / 32.0 END) AS cd, (user_id % 40)::BIGINT AS et, (user_id % 9)::BIGINT AS ed FROM events GROUP BY 1),
+    w AS (SELECT *, CASE WHEN tests > 0 THEN least(tests, 10) ELSE 0 END AS wt, CASE WHEN drugs > 0 THEN least(drugs, 5) ELSE 0 END AS wd, CASE WHEN dates > 0 THEN 1 ELSE 0 END AS wx, et > 5 AND tests > 0 AS st, ed > 2 AND drugs > 0 AS sd FROM f),
+    q AS (SELECT user_id, CASE WHEN wt + wd + wx = 0 THEN NULL ELSE least(1, (coalesce(ct, 0) * wt + coalesce(cd, 0) * wd + 0.8 * wx) / (wt + wd + wx) + 0.03 * ((wt > 0)::INT + (wd > 0)::INT + wx)) END AS q, CASE WHEN st AND (NOT sd OR et >= ed) THEN least(1, tests / et) WHEN sd THEN least(1, drugs / ed) ELSE 1 END AS c FROM w)"""
+
+
+@query("content_confidence", f"WITH {FOUND} SELECT user_id, CASE WHEN q IS NULL THEN 0.2 ELSE round((q * c)::DOUBLE, 3) END AS confidence FROM q")
+def content_confidence(spark, sf):
+    e, kind = F.col("event_id"), F.col("event_type")
+    f = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(kind == "click").alias("tests"), F.count_if(kind == "view").alias("drugs"), F.avg(F.when(kind == "click", (e % 64) / 64.0)).alias("ct"), F.avg(F.when(kind == "view", (e % 32) / 32.0)).alias("cd"))
+    u = F.col("user_id")
+    covered = K.coverage([(F.col("tests"), u % 40, 5), (F.col("drugs"), u % 9, 2)])
+    return f.select("user_id", K.content([(F.col("ct"), F.col("tests"), 10), (F.col("cd"), F.col("drugs"), 5), (F.lit(0.8), u % 4, 1)], covered).alias("confidence"))
+
+
+@query("value_in_text", """WITH t AS (SELECT p_partkey, replace(p_name, ' ', '_') AS field, 'Seen: ' || CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') ELSE upper(p_name) END || CASE p_partkey % 2 WHEN 0 THEN ': ' ELSE ' ' END || p_size || '.5 mg/l' AS text FROM part)
+    SELECT p_partkey, TRY_CAST(regexp_extract(text, '([\\d.,]+)\\s*(\\w+)?/l$', 1) AS DOUBLE) AS value, 'mg' AS unit FROM t""")
+def value_in_text(spark, sf):
+    """Each field's own pattern over its own text: the number after the field's name, and the unit after that."""
+    name = F.col("p_name")
+    shown = F.when(F.col("p_partkey") % 3 == 0, F.replace(name, F.lit(" "), F.lit("-"))).otherwise(F.upper(name))
+    text = F.concat(F.lit("Seen: "), shown, F.when(F.col("p_partkey") % 2 == 0, ": ").otherwise(" "), F.col("p_size").cast("string"), F.lit(".5 mg/l"))
+    p = table(spark, sf, "part").select("p_partkey", F.replace(name, F.lit(" "), F.lit("_")).alias("field"), text.alias("text"))
+    v = X.value_after(F.col("text"), F.col("field")).alias("v")
+    return p.select("p_partkey", v).select("p_partkey", "v.value", "v.unit")

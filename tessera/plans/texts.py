@@ -131,10 +131,16 @@ def page_markers(spark, sf):
     return g.select("conv_id", F.array_join(F.transform("p", lambda x: F.concat(F.lit("=== "), x["turn"].cast("string"), F.lit(" ===\n"), x["text"])), "\n").alias("full_text"))
 
 
-@query("section_split")
+REPORT = "CASE turn % 4 WHEN 0 THEN 'FINDINGS: ' WHEN 1 THEN 'TECHNIQUE USED: ' WHEN 2 THEN 'Note: ' ELSE 'FINDINGS: again ' END"
+
+
+@query("section_split", f"""WITH t AS (SELECT conv_id, turn, {REPORT} || replace(text, chr(10), ' ') AS line FROM conversations), h AS (SELECT *, nullif(regexp_extract(line, '^([A-Z][A-Z ]{{3,}}):', 1), '') AS head FROM t), g AS (SELECT *, count(head) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM h),
+    s AS (SELECT conv_id, n, max(head) AS section, sum(length(line)) + count(*) - 1 - length(max(head)) - 1 AS n_chars FROM g WHERE n > 0 GROUP BY 1, 2) SELECT conv_id, section, arg_min(n_chars, n)::INTEGER AS n_chars FROM s GROUP BY 1, 2""")
 def section_split(spark, sf):
-    """Text under each heading line (capitals and a colon); the first of a heading wins. Rows only."""
-    parts = F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=[A-Z][A-Z ]{3,}:)")
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(parts).alias("n", "part")).where("n > 0")
+    """Text under each heading line (capitals and a colon) of a conversation as a report; the first of a heading wins."""
+    line = F.concat(F.expr(REPORT), F.replace("text", F.lit("\n"), F.lit(" ")))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    parts = F.split(F.concat(F.lit("\n"), F.array_join("l.line", "\n")), r"\n(?=[A-Z][A-Z ]{3,}:)")
+    d = c.select("conv_id", F.posexplode(parts).alias("n", "part")).where("n > 0")
     head = r"^([A-Z][A-Z ]{3,}):"
-    return d.groupBy("doc_id", F.regexp_extract("part", head, 1).alias("section")).agg(F.min_by(F.length(F.regexp_replace("part", head, "")), "n").alias("n_chars"))
+    return d.groupBy("conv_id", F.regexp_extract("part", head, 1).alias("section")).agg(F.min_by(F.length(F.regexp_replace("part", head, "")), "n").alias("n_chars"))
