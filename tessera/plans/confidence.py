@@ -21,10 +21,10 @@ def users(spark, sf):
 CONTEXT = f"""{USERS}, w AS (SELECT *, coalesce(validation, extraction) AS v FROM u), c AS (SELECT *, (coalesce(classification * 0.25, 0) + coalesce(extraction * 0.5, 0) + coalesce(v * 0.25, 0)) / nullif(CASE WHEN classification IS NULL THEN 0 ELSE 0.25 END + CASE WHEN extraction IS NULL THEN 0 ELSE 0.5 END + CASE WHEN v IS NULL THEN 0 ELSE 0.25 END, 0) AS c FROM w)"""
 
 
-@query("context_confidence", f"WITH {CONTEXT} SELECT user_id, round(coalesce(c, 0)::DOUBLE, 6) AS confidence, CASE WHEN conflicts > 0 THEN 'conflict' WHEN c >= 0.85 THEN 'high' WHEN c >= 0.7 THEN 'medium' ELSE 'low' END AS level FROM c")
+@query("context_confidence", f"WITH {CONTEXT} SELECT user_id, round(coalesce(c, 0)::DOUBLE, 9) AS confidence, CASE WHEN conflicts > 0 THEN 'conflict' WHEN c >= 0.85 THEN 'high' WHEN c >= 0.7 THEN 'medium' ELSE 'low' END AS level FROM c")
 def context_confidence(spark, sf):
     c = K.context(F.col("classification"), F.col("extraction"), F.col("validation"))
-    return users(spark, sf).select("user_id", F.round(c, 6).alias("confidence"), K.context_level(c, F.col("conflicts") > 0).alias("level"))
+    return users(spark, sf).select("user_id", F.round(c, 9).alias("confidence"), K.context_level(c, F.col("conflicts") > 0).alias("level"))
 
 
 @query("pipeline_confidence", f"""WITH {USERS}, p AS (SELECT user_id, coalesce(extraction, 0) AS a, coalesce(classification, 0) AS b, (n % 10) / 10.0 AS t, coalesce(validation, 0) AS e FROM u)
@@ -91,10 +91,10 @@ def best_table_method(spark, sf):
     return o.select("l_orderkey", m.alias("m")).select("l_orderkey", "m.method", "m.confidence")
 
 
-@query("final_pdf_confidence", f"""WITH {USERS}, m AS (SELECT user_id, list_filter([extraction, CASE WHEN classification > 0 THEN classification END, validation], lambda x: x IS NOT NULL) AS l FROM u) SELECT user_id, round(coalesce(list_avg(l), 0)::DOUBLE, 6) AS confidence FROM m""")
+@query("final_pdf_confidence", f"""WITH {USERS}, m AS (SELECT user_id, list_filter([extraction, CASE WHEN classification > 0 THEN classification END, validation], lambda x: x IS NOT NULL) AS l FROM u) SELECT user_id, round(coalesce(list_avg(l), 0)::DOUBLE, 9) AS confidence FROM m""")
 def final_pdf_confidence(spark, sf):
     """Mean of the text's, the scanner's (if above 0) and the best table's confidence, of those there are."""
-    return users(spark, sf).select("user_id", F.round(K.mean_of(F.col("extraction"), F.when(F.col("classification") > 0, F.col("classification")), F.col("validation")), 6).alias("confidence"))
+    return users(spark, sf).select("user_id", F.round(K.mean_of(F.col("extraction"), F.when(F.col("classification") > 0, F.col("classification")), F.col("validation")), 9).alias("confidence"))
 
 
 #: Ways to write a date; an order takes one by its key.

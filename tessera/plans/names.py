@@ -93,8 +93,15 @@ def readable_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.readable(F.col("text")).alias("readable"))
 
 
-SIGNALS = " + ".join(f"regexp_matches(text, '(?i)\\b({w})\\b')::INT" for w in C.MEDICAL)
-OTHERS = " + ".join(f"regexp_matches(text, '(?i)\\b({w})\\b')::INT" for w in C.OTHER)
+def word_sql(alternatives: str) -> str:
+    """Whole words by Unicode letters, which RE2's own word boundary does not know; "sig:" ends before a word."""
+    letter, rest = "\\p{L}\\p{N}_", alternatives.replace("|sig:", "")
+    whole = f"regexp_matches(text, '(?i)(?:^|[^{letter}])(?:{rest})(?:$|[^{letter}])')"
+    return whole if rest == alternatives else f"({whole} OR regexp_matches(text, '(?i)(?:^|[^{letter}])sig:[{letter}]'))"
+
+
+SIGNALS = " + ".join(f"{word_sql(w)}::INT" for w in C.MEDICAL)
+OTHERS = " + ".join(f"{word_sql(w)}::INT" for w in C.OTHER)
 
 
 @query("medical_gate", f"""WITH s AS (SELECT doc_id, CASE WHEN length(text) < 50 OR len({WORDS}) < 10 THEN 0 ELSE {SIGNALS} END AS n, {OTHERS} AS other FROM documents) SELECT doc_id, n::INTEGER AS signals, n >= 2 AND other <= n AS medical FROM s""")
