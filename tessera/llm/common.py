@@ -10,7 +10,7 @@ from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's cache of word hashes before it is emptied; affects speed only.
@@ -50,6 +50,20 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(rows: DataFrame, key: str, most: int, row_id: str = "doc_id") -> DataFrame:
+    """Of the distinct `rows`, the `most` of each key of least hashed id (there are few keys).
+
+    Only rows whose hash is under a bound, set for about twice as many and 200 ids of the key, are ranked, so what one task ranks
+    does not grow with the table. Were fewer than `most` ids of a key under the bound (odds under one in a billion), the sample
+    would be that much smaller.
+    """
+    share = F.shiftrightunsigned(F.xxhash64(row_id), 11) / float(1 << 53)
+    ids = rows.groupBy(key).agg(F.approx_count_distinct(row_id).alias("__ids"))
+    near = rows.join(F.broadcast(ids), key).where(share * F.col("__ids") <= 2 * most + 200).drop("__ids").distinct()
+    least = Window.partitionBy(key).orderBy(share, row_id)
+    return near.withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= most).drop("__n").select(*rows.columns)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that no later step reads."""
     spark = df.sparkSession

@@ -23,11 +23,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import per_doc, slices
+from tessera.llm.common import least_hashed, per_doc, slices
 
 BITS = 15
 SIZE = 1 << BITS
@@ -145,9 +145,8 @@ def fit(docs: DataFrame, learn: Column, weigh_rows: int = 250) -> CodeModel:
     if n < 2:
         return model
 
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # At most weigh_rows x languages ids, so they may be broadcast.
-    ids = F.broadcast(known.select("doc_id", "lang").withColumn("n", F.row_number().over(least)).where(F.col("n") <= weigh_rows).select("doc_id").distinct())
+    ids = F.broadcast(least_hashed(known.select("doc_id", "lang"), "lang", weigh_rows).select("doc_id").distinct())
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

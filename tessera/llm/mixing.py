@@ -34,10 +34,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_words, materialize, mix, slices, text_bytes
+from tessera.llm.common import hash_words, least_hashed, materialize, mix, slices, text_bytes
 
 BITS = 16
 
@@ -77,8 +77,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, learn_rows:
     if not domains:
         return ONE_DOMAIN
     place = {d: i for i, d in enumerate(domains)}
-    least = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = named.distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= learn_rows).drop("n")
+    sample = least_hashed(named, "domain", learn_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(domains) << BITS), np.zeros(len(domains))

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, components, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, queries, url_rules, vector_search
-from tessera.llm.common import hash_words, window_hashes
+from tessera.llm.common import hash_words, least_hashed, table, window_hashes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -545,3 +545,36 @@ def test_windows_stay_inside_documents():
     h, ends = hash_words([[b"a", b"b", b"c"], [], [b"a", b"b"]])
     g, at = window_hashes(h, ends, 2)
     assert at.tolist() == [0, 1, 3] and g[0] == g[2] != g[1]
+
+
+def test_least_hashed_takes_the_same_rows_as_one_ranking(spark):
+    ids = [(i, "ab"[i % 3 == 0]) for i in range(6000)]
+    rows = spark.createDataFrame(ids + ids[:600] + [(7, "b")] * 3000 + [(9000, "c")], "doc_id long, k string")
+    got = sorted(tuple(r) for r in least_hashed(rows, "k", 30).collect())
+    hashed = sorted((r["k"], r["h"] % 2**64, r["doc_id"]) for r in rows.distinct().withColumn("h", F.xxhash64("doc_id")).collect())
+    want = [(i, k) for key in "abc" for k, _, i in [x for x in hashed if x[0] == key][:30]]
+    assert got == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def folders(spark, sf, tmp_path_factory):
+    """Tables without rows, and documents that each stand there twice."""
+    base = tmp_path_factory.mktemp("tables")
+    for t in ("documents", "labels", "pages", "embeddings"):
+        rows = table(spark, sf, t)
+        rows.where("false").write.parquet(f"{base}/empty/{t}.parquet")
+        (rows.unionByName(rows) if t == "documents" else rows).write.parquet(f"{base}/twice/{t}.parquet")
+    return base
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_of_empty_tables(spark, folders, name):
+    assert queries.QUERIES[name](spark, f"{folders}/empty").collect() == []
+
+
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op4_byte_bpe", "op6_personal_data", "op7_quality_classifier", "op8_language_id", "op10_mixing"])
+def test_repeated_rows_are_each_judged_alike(spark, folders, name):
+    got = queries.QUERIES[name](spark, f"{folders}/twice")
+    rest = [c for c in got.columns if c != "doc_id"]
+    per_id = got.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct(F.struct(*rest)).alias("kinds")).collect()
+    assert per_id and all((r["n"], r["kinds"]) == (2, 1) for r in per_id)
