@@ -264,3 +264,18 @@ def timeout_seconds(pages: Column, base: int = 600, page: int = 60, free: int =
 def json_block(response: Column) -> Column:
     """What stands between the first and the last brace."""
     return first_group(response, r"(?s)(\{.*\})")
+
+
+def leading_range(raw: Column) -> tuple[Column, Column]:
+    """Bounds that a cell begins with: "1-2", "< 2" (from 0) or "> 1" (no end); only the plain hyphen counts."""
+    number = r"(\d+\.?\d*)"
+    between, under, over = rf"^{number}\s*-\s*{number}", rf"^<\s*{number}", rf"^>\s*{number}"
+    low = F.when(raw.rlike(between), try_double(F.regexp_extract(raw, between, 1))).when(raw.rlike(under), 0.0).otherwise(try_double(first_group(raw, over)))
+    high = F.when(raw.rlike(between), try_double(F.regexp_extract(raw, between, 2))).when(raw.rlike(under), try_double(F.regexp_extract(raw, under, 1))).when(raw.rlike(over), float("inf"))
+    return low, high
+
+
+def range_texts(raw: Column) -> tuple[Column, Column]:
+    """The two numbers that a cell begins with, as they are written; hyphen or en dash between."""
+    pattern = r"^(\d+\.?\d*)\s*[-–]\s*(\d+\.?\d*)"
+    return first_group(raw, pattern, 1), first_group(raw, pattern, 2)

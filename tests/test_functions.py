@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import prescriptions as P
 from tessera.functions import text as X
+from tessera.operators import reports as R
 from tessera.operators import retrieval, seams
 from tessera.sources import files, sinks
 from tessera.streaming import events as streams
@@ -171,3 +172,23 @@ def test_embedding_seam(spark):
     d = spark.createDataFrame([(1, "abc"), (2, None)], "id long, t string")
     got = {r["id"]: sum(x * x for x in r["embedding"]) for r in seams.embed(d, "id", "t").collect()}
     assert abs(got[1] - 1) < 1e-9 and got[2] == 0
+
+
+def test_narrow_ranges(spark):
+    cells = ["1-2", " 1-2", "1 – 2", "<5", "> 5.5", "5.-6.", "", None, "x1-2", "≤3"]
+    low, high = X.leading_range(F.col("r"))
+    a, b = X.range_texts(F.col("r"))
+    got = [tuple(r) for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, r string").orderBy("i").select(low, high, a, b).collect()]
+    none = (None,) * 4
+    assert got == [(1, 2, "1", "2"), none, (None, None, "1", "2"), (0, 5, None, None), (5.5, float("inf"), None, None), (5, 6, "5.", "6."), none, none, none, none]
+
+
+def test_reported_values_and_findings(spark):
+    values = ["5", "DNR", "LDNR", "xldnr", " see note ", "None", "", None, "pending"]
+    rows = spark.createDataFrame([(i, "n", v, None, "") for i, v in enumerate(values)], "i int, name string, value string, unit string, range string")
+    assert [r["i"] for r in rows.where(R.reported(F.col("value"))).orderBy("i").collect()] == [0, 3]
+    assert [(r["value"], r["confidence"]) for r in R.structured_tests(rows.withColumn("d", F.lit(1)), "d", "i").orderBy("i").collect()] == [("5", 0.67), ("xldnr", 0.67)]
+    notes = spark.createDataFrame([(1, "mass left"), (1, None), (2, None)], "d int, t string")
+    got = R.enrich_findings(notes, "d", "t", [("mass", "mass")], [("left", "left")], [("again", "repeat")])
+    assert [tuple(r) for r in got.orderBy("d").collect()] == [(1, 1, 1, 0, "mass", 0.8, True), (2, 0, 0, 0, "", 0.5, False)]
+    assert R.table_results(rows.where("false").withColumn("d", F.lit(1)), "d", "i", F.col("name"), F.col("value"), F.lit(True)).count() == 0
