@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_search
+from tessera.llm import byte_bpe, filter_audit, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_search
 from tessera.llm.common import materialize, table
 
 #: The folds that labels may be learned from leave out these remainders of the id's checksum.
@@ -66,6 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.expr(DOMAIN), DOMAIN_WEIGHTS, full="q1t0")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -109,4 +114,37 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND n = 1""",
+    "op11_filter_audit": """
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        first AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+        w AS (
+            SELECT t.*, regexp_extract_all(t.text, '[^\\x20\\x09-\\x0D]+') AS words, coalesce(doc_id > least, false) AS copy
+            FROM t JOIN first ON t.text = first.text
+        ), m AS (
+            SELECT doc_id, part,
+                   CAST(len(words) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INTEGER)
+                   + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INTEGER)
+                   + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(copy AS INTEGER) AS mask
+            FROM w
+        ), l AS (
+            SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), c AS (
+            SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY ALL
+        ), f AS (SELECT unnest([{'l': 'A', 'b': 1}, {'l': 'B', 'b': 2}, {'l': 'C', 'b': 4}, {'l': 'D', 'b': 8}, {'l': 'E', 'b': 16}], recursive := true)),
+        o AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+            FROM f a JOIN f b ON b.b <> a.b JOIN f c ON c.b NOT IN (a.b, b.b) JOIN f d ON d.b NOT IN (a.b, b.b, c.b) JOIN f e ON e.b NOT IN (a.b, b.b, c.b, d.b)
+        ), s AS (
+            SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+            FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+        )
+        SELECT part, filter_order, step,
+               CAST(sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+               CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+               CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+               CAST(sum(CASE WHEN mask & own > 0 THEN n * 120 // bit_count(mask) ELSE 0 END) AS BIGINT) AS shapley
+        FROM c, s GROUP BY part, filter_order, step""",
 }
