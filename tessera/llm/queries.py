@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, filter_audit, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_search
+from tessera.llm import byte_bpe, filter_audit, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_dedup, vector_search
 from tessera.llm.common import materialize, table
 
 #: The folds that labels may be learned from leave out these remainders of the id's checksum.
@@ -70,6 +70,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_dedup": op12_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +152,14 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
                CAST(sum(CASE WHEN mask & own > 0 THEN n * 120 // bit_count(mask) ELSE 0 END) AS BIGINT) AS shapley
         FROM c, s GROUP BY part, filter_order, step""",
+    "op12_vector_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), e AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w) WHERE list_cosine_similarity(a.w, b.w) >= 0.95
+        ), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, least(vec_id, coalesce(c.least, vec_id)) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id""",
 }
