@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, filter_audit, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_dedup, vector_search
+from tessera.llm import byte_bpe, conversation_repair, filter_audit, html_text, jaccard_join, language_id, mixing, personal_data, quality_model, quality_rules, url_rules, vector_dedup, vector_search
 from tessera.llm.common import materialize, table
 
 #: The folds that labels may be learned from leave out these remainders of the id's checksum.
@@ -74,6 +74,25 @@ def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The conversations with rows dropped, emptied, cut off, repeated or given to the user by a checksum of conversation and turn."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(name) % 20).alias("d")).where("d <> 0")
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("d") == 3, 2).otherwise(1)
+    role = F.when(F.col("d") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times))).drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    summary, repaired = conversation_repair.repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    found = every.join(summary.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    found = found.join(conversation_repair.sha256_of(repaired).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    return found.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_top_k_search": op2_top_k_search,
@@ -87,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_dedup": op12_vector_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
