@@ -560,7 +560,7 @@ def test_least_hashed_takes_the_same_rows_as_one_ranking(spark):
 def folders(spark, sf, tmp_path_factory):
     """Tables without rows, and documents that each stand there twice."""
     base = tmp_path_factory.mktemp("tables")
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "conversations"):
         rows = table(spark, sf, t)
         rows.where("false").write.parquet(f"{base}/empty/{t}.parquet")
         (rows.unionByName(rows) if t == "documents" else rows).write.parquet(f"{base}/twice/{t}.parquet")
