@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import value_after
@@ -35,10 +35,9 @@ def boxes_of_text(words: DataFrame, wanted: DataFrame, alike: Callable[[Column,
     runs = runs.groupBy("page", "want", "low", "n", "first").agg(joined, F.count("*").alias("have"), *sides).where("have = n")
     runs = runs.withColumn("like", alike(F.lower("text"), F.col("low"))).where(F.col("like") >= least)
     many = runs.select("page", "want", F.col("first").alias("place"), "text", F.struct("x0", "y0", "x1", "y1").alias("box"), (F.col("like") * 0.85).alias("confidence"), F.lit(3).alias("tier"))
-    every = one.unionByName(many)
-    first = every.groupBy("page", "want").agg(F.min("tier").alias("tier"))
+    every = one.unionByName(many).withColumn("least", F.min("tier").over(Window.partitionBy("page", "want")))
     match = F.when(F.col("tier").isin(1, 4), "exact").when(F.col("tier") == 2, "fuzzy").otherwise("partial")
-    return every.join(first, ["page", "want", "tier"]).select("page", "want", "place", "text", "box", "confidence", match.alias("match"))
+    return every.where("tier = least").select("page", "want", "place", "text", "box", "confidence", match.alias("match"))
 
 
 def fields_of_similar(texts: DataFrame, similar: DataFrame, fields: DataFrame, least: float = 0.7) -> DataFrame:

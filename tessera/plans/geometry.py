@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
+from tessera.operators.boxes import nearest_values, values_of_fields
 from tessera.plans.registry import query, table
 
 B = "b AS (SELECT vec_id, label, least(embedding[1], embedding[3])::DOUBLE AS x0, least(embedding[2], embedding[4])::DOUBLE AS y0, greatest(embedding[1], embedding[3])::DOUBLE AS x1, greatest(embedding[2], embedding[4])::DOUBLE AS y1 FROM embeddings)"
@@ -46,14 +49,49 @@ def bbox_confidence(spark, sf):
 def value_box_match(spark, sf):
     """The stated fields against all other boxes."""
     x = boxes(spark, sf)
-    return best_value(x.where("vec_id % 20 = 0"), x)
-
-
-def best_value(fields, values):
-    """The value box of a page that belongs to a field box: near in height, better to the right, worse on another line."""
-    f = fields.select("label", F.col("vec_id").alias("field"), F.col("b").alias("f"))
-    v = values.select("label", F.col("vec_id").alias("value"), F.col("b").alias("v"))
-    gap = F.abs(F.col("f.y0") - F.col("v.y0"))
-    score = (1 - gap) * F.when(F.col("v.x0") >= F.col("f.x1"), 1.1).otherwise(1.0) * F.when(gap > 0.02, 0.7).otherwise(1.0)
-    best = f.join(v, "label").where("field <> value").withColumn("score", score).groupBy("field").agg(F.max_by(F.struct("value", "score"), F.struct("score", -F.col("value"))).alias("m"))
-    return best.select("field", F.col("m.value").alias("value"), F.round("m.score", 6).alias("score"))
+    ask = x.where("vec_id % 20 = 0").select(F.col("label").alias("page"), F.col("vec_id").alias("field"), F.col("b").alias("box"))
+    best = nearest_values(ask, x.select(F.col("label").alias("page"), F.col("vec_id").alias("value"), F.col("b").alias("box")))
+    return best.select("field", "value", F.round("score", 6).alias("score"))
+
+
+# Every order is a page: its lines are words in two columns, read in the order of their numbers, a number beside or below each name.
+PAGE_WORDS = [
+    "l_orderkey AS page", "l_linenumber AS place", "CASE l_partkey % 6 WHEN 0 THEN 'Steel' WHEN 1 THEN 'bolt' WHEN 2 THEN 'stele' WHEN 3 THEN '12.5' WHEN 4 THEN '12.50' ELSE 'Widget' END AS text",
+    "l_linenumber % 3 * 0.3D AS x0", "l_partkey % 7 * 0.025D + l_suppkey % 3 * 0.004D AS y0",
+]
+PAGE_WANTED = [("steel", "12.5"), ("widget", "12.5"), ("absent", "bolt"), ("bolt", "STEEL"), ("bolt", "widget bolt"), ("steel", " ")]
+_words_sql = re.sub(r"(0\.\d+)D", r"\1::DOUBLE", f"SELECT {', '.join(PAGE_WORDS)} FROM lineitem")
+_alike = lambda a, b: f"(1 - levenshtein(lower({a}), lower({b})) / greatest(length({a}), length({b}))::DOUBLE)"
+
+
+@query("field_value_boxes", f"""WITH w AS (SELECT page, place, text, x0, y0, x0 + 0.2 AS x1, y0 + 0.01 AS y1 FROM (SELECT *, row_number() OVER (PARTITION BY page, place ORDER BY text, x0, y0) AS i FROM ({_words_sql})) WHERE i = 1),
+    a AS (SELECT unnest([{", ".join("'" + f + "'" for f, _ in PAGE_WANTED)}]) AS field, unnest([{", ".join("'" + v + "'" for _, v in PAGE_WANTED)}]) AS value), q AS (SELECT DISTINCT field AS want, 0.7 AS least FROM a UNION ALL SELECT DISTINCT value, 0.8 FROM a WHERE trim(value) <> ''),
+    o AS (SELECT page, want, least, place, text, x0, y0, x1, y1, CASE WHEN lower(text) = lower(want) THEN 1 WHEN {_alike('text', 'want')} >= least THEN 2 WHEN abs(TRY_CAST(text AS DOUBLE) - TRY_CAST(want AS DOUBLE)) < 0.001 THEN 4 END AS tier,
+            CASE WHEN lower(text) = lower(want) THEN 1.0 WHEN {_alike('text', 'want')} >= least THEN {_alike('text', 'want')} * 0.9 ELSE 0.95 END AS confidence FROM w, q
+        UNION ALL SELECT x.page, want, least, x.place, x.text || ' ' || y.text, least(x.x0, y.x0), least(x.y0, y.y0), greatest(x.x1, y.x1), greatest(x.y1, y.y1), 3, {_alike("(x.text || ' ' || y.text)", 'want')} * 0.85
+            FROM w x JOIN w y ON x.page = y.page AND y.place = x.place + 1, q WHERE contains(want, ' ') AND {_alike("(x.text || ' ' || y.text)", 'want')} >= least),
+    m AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY page, want, least) AS t FROM o WHERE tier IS NOT NULL) WHERE tier = t),
+    f AS (SELECT page, want AS field, arg_max({{'x1': x1, 'y': (y0 + y1) / 2}}, (confidence, -place)) AS f FROM m WHERE least = 0.7 GROUP BY 1, 2),
+    c AS (SELECT m.page, a.field, a.value, place, text, confidence AS sure, tier, x0, f, abs((y0 + y1) / 2 - f.y) AS gap FROM m JOIN a ON m.want = a.value LEFT JOIN f ON f.page = m.page AND f.field = a.field WHERE least = 0.8),
+    s AS (SELECT *, CASE WHEN f IS NULL THEN sure ELSE round(least(1.0, sure * (1 - least(gap * 5, 0.5)) * CASE WHEN gap > 0.02 THEN 0.7 WHEN x0 > f.x1 THEN 1.1 ELSE 1 END), 9) END AS confidence FROM c)
+    SELECT page, field, value, place, text, confidence::DOUBLE AS confidence, CASE tier WHEN 2 THEN 'fuzzy' WHEN 3 THEN 'partial' ELSE 'exact' END AS match
+    FROM (SELECT *, row_number() OVER (PARTITION BY page, field, value ORDER BY confidence DESC, sure DESC, place) AS i FROM s) WHERE i = 1""")
+def field_value_boxes(spark, sf):
+    """The boxes of six wanted values on every order's page of words, by their fields and edit distance."""
+    got = values_of_fields(page_words(spark, sf), page_wanted(spark, sf), edit_likeness)
+    return got.select("page", "field", "value", "place", "text", "confidence", "match")
+
+
+def page_words(spark, sf):
+    words = table(spark, sf, "lineitem").selectExpr(*PAGE_WORDS)
+    words = words.groupBy("page", "place").agg(F.min(F.struct("text", "x0", "y0")).alias("m")).select("page", "place", "m.*")
+    return words.select("page", "place", "text", G.box(F.col("x0"), F.col("y0"), F.col("x0") + 0.2, F.col("y0") + 0.01).alias("box"))
+
+
+def page_wanted(spark, sf):
+    asked = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")) for f, v in PAGE_WANTED])
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page")).distinct().select("page", F.explode(asked).alias("a")).select("page", "a.*")
+
+
+def edit_likeness(a, b):
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))

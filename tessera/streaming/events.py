@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,20 @@ def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def drain(updates: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Run a stream over what there is; its output rows as a table, with the number of the batch (`epoch`) that gave them.
+
+    Each batch writes a folder of its own under `folder`, which driver and executors share, so a batch that is run again replaces its rows.
+    """
+    spark = updates.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    updates.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(StructType([*updates.schema.fields, StructField("epoch", LongType())])).parquet(f"{folder}/rows")
+
+
 def distinct_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
