@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.prescriptions import drug_name
+from tessera.sources.shared import written
 
 # Words that are never a drug, in the order they are tried (whole names, without punctuation).
 NEVER = [
@@ -124,3 +125,86 @@ def found_in_region(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     keys = asked.select("name", "region").distinct()
     got = dictionary.join(keys, (dictionary["region"] == keys["region"]) & (F.lower("entry") == F.lower("name"))).groupBy(keys["name"], keys["region"]).agg(F.min("code").alias("code"))
     return asked.join(got, ["name", "region"], "left")
+
+
+# Drugs that are controlled whatever the dictionary says (met anywhere in a name), and the schedules that are.
+CONTROLLED = [
+    "oxycodone", "hydrocodone", "morphine", "fentanyl",
+    "alprazolam", "diazepam", "lorazepam", "clonazepam",
+    "adderall", "ritalin", "methylphenidate", "amphetamine",
+]
+SCHEDULES = ["Schedule II", "Schedule III", "Schedule IV", "Schedule V"]
+REQUIRED = {"name": "medication_name", "strength": "strength/dosage", "route": "route", "frequency": "frequency"}
+
+
+def class_closure(parents: DataFrame, most: int = 20) -> DataFrame:
+    """(class, over) of every class and all classes above it, itself included; `parents`: class, parent. Circles are met once.
+
+    Each round joins what is new with the parents, so rounds are as many as the tree is deep (`most` at most, an error beyond).
+    """
+    up = parents.select("class", "parent").where("class is not null and parent is not null").distinct()
+    every = up.select("class").union(up.select("parent")).distinct()
+    found = written(every.select("class", F.col("class").alias("over")), "closure")
+    new = found
+    for _ in range(most):
+        step = new.join(up.select(F.col("class").alias("over"), "parent"), "over").select("class", F.col("parent").alias("over")).distinct()
+        new = written(step.join(found, ["class", "over"], "left_anti"), "closure")
+        if new.isEmpty():
+            return found
+        found = found.union(new)
+    raise ValueError(f"classes lie more than {most} deep")
+
+
+def prescription_issues(drugs: DataFrame, prescribers: DataFrame, facts: DataFrame, classes: DataFrame, parents: DataFrame, interactions: DataFrame, unsafe: DataFrame, allergies: DataFrame) -> DataFrame:
+    """(doc, kind, place, text): errors and warnings of all prescriptions, each rule a join or a column of its own.
+
+    drugs: doc, place (from 1), name, code, strength, route, frequency, quantity, refills; prescribers: doc, licence; facts: code, schedule, class (one a code); classes: name, class (of
+    names, lower case); parents: class, parent; interactions: a, b, text (names, lower case, a < b); unsafe: name, strength, reason (verdicts of a model or a table); allergies: doc, allergy.
+
+    Errors: a required field is missing; the patient is allergic to a drug, to its class or to any class above that. Warnings: an unsafe strength; a controlled drug (by its code's schedule,
+    or by its name where the code is not known) without a licence, of over 90, of schedule II with refills or III or IV with over 5; two drugs that interact; a name again;
+    a class again, with the class's first drug. Names meet without case. Quantities and refills that are no whole numbers are not judged.
+    """
+    d = drugs.select("doc", "place", F.coalesce("name", F.lit("")).alias("name"), "code", "strength", "route", "frequency", *[F.col(c).cast("string").try_cast("int").alias(c) for c in ("quantity", "refills")])
+    low = F.lower("name")
+    numbered = lambda text: F.concat(F.lit("Medication "), F.col("place").cast("string"), F.lit(": "), text)
+    issue = lambda rows, kind, text: rows.select("doc", F.lit(kind).alias("kind"), "place", text.alias("text"))
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) == "", said) for c, said in REQUIRED.items()]))
+    gone = issue(d.select("*", F.explode(missing).alias("m")), "error", numbered(F.concat(F.lit("Missing "), F.col("m"))))
+    risky = issue(d.join(unsafe.select(F.lower("name").alias("u"), F.col("strength").alias("s"), "reason"), (low == F.col("u")) & (F.col("strength") == F.col("s"))), "warning", numbered(F.coalesce("reason", F.lit("Dosage concern"))))
+    c = d.join(facts.select("code", "schedule", F.lit(True).alias("known")), "code", "left").join(prescribers.select("doc", "licence"), "doc", "left")
+    by_name = F.lit(False)
+    for w in CONTROLLED:
+        by_name = by_name | low.contains(w)
+    c = c.where(F.when(F.col("known"), F.coalesce(F.col("schedule").isin(SCHEDULES), F.lit(False))).otherwise(by_name))
+    refills = F.when((F.col("schedule") == "Schedule II") & (F.col("refills") > 0), "Schedule II controlled substance cannot have refills").when(
+        F.col("schedule").isin("Schedule III", "Schedule IV") & (F.col("refills") > 5), F.concat("schedule", F.lit(" controlled substance cannot exceed 5 refills"))
+    )
+    said = [
+        F.when(F.coalesce("licence", F.lit("")) == "", "Controlled substance prescribed without DEA number"),
+        F.when(F.col("quantity") > 90, F.concat(F.lit("Controlled substance quantity ("), F.col("quantity").cast("string"), F.lit(") exceeds typical 90-day supply"))),
+        refills,
+    ]
+    held = issue(c.select("*", F.explode(F.array_compact(F.array(*said))).alias("w")), "warning", numbered(F.col("w")))
+    names = d.where("name <> ''").groupBy("doc", low.alias("low")).agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    half = names.join(interactions.select(F.col("a").alias("low"), "b", "text"), "low").select("doc", "low", "place", "b", "text")
+    both = half.join(names.select("doc", F.col("low").alias("b")), ["doc", "b"])
+    meet = issue(both, "warning", F.concat(F.lit("Drug interaction: "), F.col("text")))
+    again = issue(names.where("n > 1").select("doc", "place", "low", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n")))), "warning", F.concat(F.lit("Potential duplicate therapy: Duplicate prescription: "), F.col("low")))
+    classed = d.join(facts.select("code", "class"), "code").where("class <> ''")
+    first = classed.groupBy("doc", "class").agg(F.min_by("name", F.struct("place", "name")).alias("first"), F.min("place").alias("from"))
+    same = classed.join(first, ["doc", "class"]).where("place > from")
+    twice = issue(same, "warning", F.concat(F.lit("Potential duplicate therapy: Multiple drugs in same class ("), F.col("class"), F.lit("): "), F.col("first"), F.lit(" and "), F.col("name")))
+    above = classes.select(F.lower("name").alias("low"), "class").distinct().join(class_closure(parents), "class", "left").select("low", F.lower(F.coalesce("over", "class")).alias("what"))
+    named = d.where("name <> ''").select("doc", "place", "name", low.alias("low")).join(allergies.select("doc", F.lower(F.trim("allergy")).alias("allergy")).distinct(), "doc")
+    direct = named.where(F.col("low") == F.col("allergy"))
+    through = named.join(above.distinct(), "low").where(F.col("what") == F.col("allergy")).select(*named.columns)
+    clash = issue(direct.union(through).distinct(), "error", F.concat(F.lit("Allergy conflict: "), F.col("name"), F.lit(" and "), F.col("allergy")))
+    return gone.union(risky).union(held).union(meet).union(again).union(twice).union(clash)
+
+
+def prescriptions_judged(docs: DataFrame, issues: DataFrame) -> DataFrame:
+    """(doc, is_valid, n_errors, n_warnings) of every document of `docs` (doc): valid without any error."""
+    n = issues.groupBy("doc").agg(F.count_if(F.col("kind") == "error").alias("n_errors"), F.count_if(F.col("kind") == "warning").alias("n_warnings"))
+    out = docs.select("doc").distinct().join(n, "doc", "left").fillna(0, ["n_errors", "n_warnings"])
+    return out.select("doc", (F.col("n_errors") == 0).alias("is_valid"), "n_errors", "n_warnings")

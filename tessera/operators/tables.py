@@ -85,3 +85,48 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def strength_score(kind: Column, number: Column, want: Column, unit: Column, want_unit: Column) -> Column:
     """.20 for the same writing, .18 for the same number and unit, .10 for the same number, else 0."""
     return F.when(kind, 0.20).when((number == want) & (unit == want_unit), 0.18).when(number == want, 0.10).otherwise(0.0)
+
+
+# What cells of each kind of column look like, and the words of its header, in the order they are tried.
+CELL_KINDS = {"result": r"^[<>]?\s*\d+\.?\d*$", "flag": r"(?i)^[HL]$|^(High|Low)$", "unit": r"(?i)(g/dL|mg/dL|mmol/L|/cmm|/uL|/mm|fL|pg|%|IU/mL|ng/mL|µg/dL|micro\s*g)", "reference": r"\d+\.?\d*\s*-\s*\d+\.?\d*"}
+HEADER_WORDS = {
+    "test": ["test", "analyte", "component", "name"],
+    "result": ["result", "value", "finding"],
+    "flag": ["flag", "abnormal", "status", "interp"],
+    "unit": ["unit", "uom"],
+    "reference": ["reference", "range", "normal", "interval"],
+}
+LEAST = {"result": 2, "flag": 1, "unit": 2, "reference": 2}
+
+
+def column_profile(tables: DataFrame, key: str, rows: str = "rows", sample: int = 10) -> DataFrame:
+    """(key, position, and how many cells are of each kind) over the first rows of each table (`sample`: the looks of a column are judged by so many)."""
+    cells = tables.select(key, F.explode(F.slice(rows, 1, sample)).alias("r")).select(key, F.posexplode("r").alias("position", "cell")).withColumn("cell", F.trim("cell")).where("cell <> ''")
+    return cells.groupBy(key, "position").agg(*[F.count_if(F.col("cell").rlike(p)).alias(k) for k, p in CELL_KINDS.items()])
+
+
+def column_places(tables: DataFrame, key: str, headers: str = "headers", rows: str = "rows") -> DataFrame:
+    """(key, test, result, flag, unit, reference): the positions of a results table's columns, by its headers and by its cells.
+
+    A header's role is the first whose words it contains, a role's column the last such header. By cells, a role goes to the column with most cells of its kind (the first of several;
+    not the first column for results), if they are enough: 1 flag, 2 of the others. Without headers the cells decide alone (test: 0); with headers but none of results, they give the
+    results (unless in column 1, where they are looked for anyway) and what other roles the headers leave open. Defaults: test 0, result 1. Ragged rows are read as they are.
+    """
+    first = lambda k: F.max_by("position", F.struct(k, -F.col("position")))
+    most = {k: (F.max(F.when(F.col("position") > 0, F.col(k))) if k == "result" else F.max(k)) for k in CELL_KINDS}
+    where = {k: (F.max_by(F.when(F.col("position") > 0, F.col("position")), F.when(F.col("position") > 0, F.struct(k, -F.col("position")))) if k == "result" else first(k)) for k in CELL_KINDS}
+    found = column_profile(tables, key, rows).groupBy(key).agg(*[F.when(most[k] >= n, where[k]).alias(f"d_{k}") for k, n in LEAST.items()])
+    role = F.lit(None).cast("string")
+    for name, words in reversed(HEADER_WORDS.items()):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.lower("h").contains(w)
+        role = F.when(hit, name).otherwise(role)
+    named = tables.select(key, F.posexplode(headers).alias("position", "h")).withColumn("role", role).groupBy(key).agg(*[F.max(F.when(F.col("role") == k, F.col("position"))).alias(f"h_{k}") for k in HEADER_WORDS])
+    t = tables.select(key, (F.coalesce(F.size(headers), F.lit(0)) > 0).alias("headed"), (F.coalesce(F.size(rows), F.lit(0)) > 0).alias("filled")).join(found, key, "left").join(named, key, "left")
+    by_cells = ~F.col("headed") & F.col("filled")
+    helped = F.col("headed") & F.col("h_result").isNull() & F.col("filled")
+    other = {k: F.when(by_cells, F.col(f"d_{k}")).otherwise(F.coalesce(f"h_{k}", F.when(helped, F.col(f"d_{k}")))) for k in ("flag", "unit", "reference")}
+    result = F.when(by_cells, F.col("d_result")).when(helped, F.coalesce(F.nullif("d_result", F.lit(0)), F.lit(1))).otherwise(F.coalesce("h_result", F.lit(1)))
+    test = F.when(by_cells, F.lit(0)).otherwise(F.coalesce("h_test", F.lit(0)))
+    return t.select(key, test.alias("test"), result.alias("result"), *[c.alias(k) for k, c in other.items()])

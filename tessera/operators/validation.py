@@ -5,6 +5,8 @@ Dictionaries are small fixed tables (`tessera.knowledge`) and are broadcast; eve
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,27 @@ def peers(rows: DataFrame, key: list[str], order: list[str], value: str, most: i
     """Up to `most` other values of the key before each row, oldest first (context for a second opinion)."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-most, -1)
     return rows.withColumn("peers", F.collect_list(value).over(w))
+
+
+def dual_validation(rules: DataFrame, model: DataFrame, key: Sequence[str], dual: bool = True) -> DataFrame:
+    """(key, rule_ok, model_ok, conflict, rejected, warnings) of every value that either side has judged.
+
+    rules: key, ok; model: key, ok; each one row a key. A side without a verdict on a value says null. They conflict where both have judged and disagree; a value is rejected
+    where none that has judged accepts it: false and false, false and null, null and false. With `dual` off only the rules count: their false rejects and nothing conflicts.
+    A conflict and a rejection each leave a warning.
+    """
+    j = rules.select(*key, F.col("ok").alias("rule_ok")).join(model.select(*key, F.col("ok").alias("model_ok")), list(key), "full_outer")
+    if not dual:
+        j = j.withColumn("model_ok", F.lit(None).cast("boolean"))
+    conflict = F.coalesce(F.col("rule_ok") != F.col("model_ok"), F.lit(False))
+    rejected = ~(F.coalesce("rule_ok", F.lit(False)) | F.coalesce("model_ok", F.lit(False))) & (F.col("rule_ok").isNotNull() | F.col("model_ok").isNotNull())
+    said = lambda c: F.when(F.col(c), "True").otherwise("False")
+    clash = F.when(conflict, F.concat(F.lit("Validation conflict: rules="), said("rule_ok"), F.lit(", AI="), said("model_ok")))
+    told = F.array_compact(F.array(clash, F.when(rejected, "Failed validation - verify manually")))
+    return j.select(*key, "rule_ok", "model_ok", conflict.alias("conflict"), rejected.alias("rejected"), told.alias("warnings"))
+
+
+def validation_summary(judged: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Values, conflicts and rejections of a document, and confidence: 1 less .1 a conflict and .2 a rejection, between 0 and 1."""
+    g = judged.groupBy(*by).agg(F.count("*").alias("n_values"), F.count_if("conflict").alias("n_conflicts"), F.count_if("rejected").alias("n_rejected"))
+    return g.withColumn("confidence", F.greatest(F.lit(0.0), F.round(1 - F.col("n_conflicts") * 0.1 - F.col("n_rejected") * 0.2, 9)))

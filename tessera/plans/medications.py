@@ -46,3 +46,53 @@ def drugs_by_region(spark, sf):
     dictionary = written(p.select(F.col("p_name").alias("entry"), F.col("p_partkey").alias("code"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'usa' WHEN 1 THEN 'canada' ELSE 'india' END AS region")), "dictionary", "region")
     rows = p.select(F.col("p_name").alias("name"), M.region_of(F.expr(REGION)).alias("region")).distinct()
     return M.found_in_region(rows, dictionary).select("name", "region", "code")
+
+
+# Every order is a prescription: its lines are drugs, named by their part, with fields left out, schedules, classes in a tree and allergies by the customer.
+DRUGS = """l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS place, CASE l_partkey % 12 WHEN 0 THEN 'Oxycodone' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE concat('drug', CAST(l_partkey % 12 AS {text})) END AS name,
+    CASE WHEN l_suppkey % 4 > 0 THEN l_partkey % 12 END AS code, CASE WHEN l_suppkey % 7 > 0 THEN concat(CAST(l_suppkey % 3 AS {text}), ' mg') END AS strength, 'oral' AS route, CASE WHEN l_tax > 0.01 THEN 'daily' ELSE '' END AS frequency,
+    CASE WHEN l_quantity > 45 THEN 'many' ELSE CAST(CAST(l_quantity * 3 AS INT) AS {text}) END AS quantity, CAST(l_linenumber + 1 AS {text}) AS refills"""
+ALLERGY = "CASE o_custkey % 6 WHEN 0 THEN ' Opioid' WHEN 1 THEN 'drug5' WHEN 2 THEN 'Root' WHEN 3 THEN 'leaf2' WHEN 4 THEN 'nothing' END"
+SCHEDULE = "CASE code WHEN 3 THEN 'Schedule II' WHEN 4 THEN 'Schedule III' WHEN 5 THEN 'Schedule IV' WHEN 6 THEN 'Schedule VI' END"
+CLASS_OF = "CASE WHEN code IN (3, 4) THEN 'leaf1' WHEN code IN (5, 6, 7) THEN 'leaf2' WHEN code = 0 THEN 'opioid' ELSE '' END"
+PARENTS = [("leaf1", "branch"), ("leaf2", "branch"), ("branch", "root"), ("root", "top"), ("top", "branch"), ("opioid", "analgesic")]
+INTERACT = [("drug3", "oxycodone"), ("drug4", "drug9"), ("drug10", "drug3")]
+_sched = SCHEDULE.replace("code", "d.code")
+_controlled = f"CASE WHEN code IS NOT NULL AND code < 11 THEN coalesce({SCHEDULE} IN ({quoted(M.SCHEDULES)}), false) ELSE {_any('low', M.CONTROLLED)} END"
+_ISSUES = f"""d AS (SELECT doc, place, coalesce(name, '') AS name, lower(coalesce(name, '')) AS low, code, strength, route, frequency, TRY_CAST(quantity AS INTEGER) AS quantity, TRY_CAST(refills AS INTEGER) AS refills FROM (SELECT {DRUGS.format(text='VARCHAR')} FROM lineitem)),
+    u AS (SELECT doc, o_orderkey % 3 > 0 AS licence, lower(trim({ALLERGY})) AS allergy FROM (SELECT o_orderkey AS doc, * FROM orders)),
+    up AS (SELECT unnest([{quoted(a for a, _ in PARENTS)}]) AS class, unnest([{quoted(b for _, b in PARENTS)}]) AS parent), ia AS (SELECT unnest([{quoted(a for a, _ in INTERACT)}]) AS a, unnest([{quoted(b for _, b in INTERACT)}]) AS b),
+    n AS (SELECT doc, low, min(place) AS place, count(*) AS n FROM d WHERE low <> '' GROUP BY 1, 2), k AS (SELECT *, CASE WHEN code < 11 THEN {CLASS_OF} ELSE '' END AS class FROM d),
+    f AS (SELECT doc, class, arg_min(name, (place, name)) AS first, min(place) AS fp FROM k WHERE class <> '' GROUP BY 1, 2), v AS (SELECT d.*, coalesce(u.licence, false) AS licence, coalesce({_sched.replace('d.code', 'CASE WHEN d.code < 11 THEN d.code END')}, '') AS schedule FROM d LEFT JOIN u USING (doc) WHERE {_controlled}),
+    i AS (SELECT doc, 'error' AS kind, place, 'Medication ' || place || ': Missing ' || m AS text FROM (SELECT doc, place, unnest([CASE WHEN name = '' THEN 'medication_name' END, CASE WHEN coalesce(strength, '') = '' THEN 'strength/dosage' END, CASE WHEN coalesce(frequency, '') = '' THEN 'frequency' END]) AS m FROM d) WHERE m IS NOT NULL
+        UNION ALL SELECT doc, 'warning', place, 'Medication ' || place || ': ' || CASE WHEN low = 'drug8' THEN 'too much' ELSE 'Dosage concern' END FROM d WHERE low IN ('drug8', 'drug9') AND strength = '2 mg'
+        UNION ALL SELECT doc, 'warning', place, 'Medication ' || place || ': Controlled substance prescribed without DEA number' FROM v WHERE NOT licence
+        UNION ALL SELECT doc, 'warning', place, 'Medication ' || place || ': Controlled substance quantity (' || quantity || ') exceeds typical 90-day supply' FROM v WHERE quantity > 90
+        UNION ALL SELECT doc, 'warning', place, 'Medication ' || place || ': ' || CASE WHEN schedule = 'Schedule II' THEN 'Schedule II controlled substance cannot have refills' ELSE schedule || ' controlled substance cannot exceed 5 refills' END FROM v WHERE (schedule = 'Schedule II' AND refills > 0) OR (schedule IN ('Schedule III', 'Schedule IV') AND refills > 5)
+        UNION ALL SELECT x.doc, 'warning', x.place, 'Drug interaction: ' || a || ' with ' || b FROM n x JOIN ia ON x.low = a JOIN n y ON y.doc = x.doc AND y.low = b
+        UNION ALL SELECT doc, 'warning', place, 'Potential duplicate therapy: Duplicate prescription: ' || low FROM (SELECT doc, place, low, unnest(range(1, n)) FROM n WHERE n > 1)
+        UNION ALL SELECT k.doc, 'warning', k.place, 'Potential duplicate therapy: Multiple drugs in same class (' || k.class || '): ' || first || ' and ' || name FROM k JOIN f ON k.doc = f.doc AND k.class = f.class WHERE k.place > fp
+        UNION ALL SELECT DISTINCT d.doc, 'error', place, 'Allergy conflict: ' || name || ' and ' || allergy FROM d JOIN u USING (doc) WHERE low <> '' AND (low = allergy OR (allergy = 'opioid' AND low = 'oxycodone') OR (allergy = 'leaf2' AND low IN ('drug5', 'drug6', 'drug7')) OR (allergy = 'root' AND low IN ('drug3', 'drug4', 'drug5', 'drug6', 'drug7'))))"""
+
+
+def issues(spark, sf):
+    o, text = table(spark, sf, "orders"), lambda rows, schema: spark.createDataFrame(rows, schema)
+    drugs = spark.sql(f"SELECT {DRUGS.format(text='STRING')} FROM {{lines}}", lines=table(spark, sf, "lineitem"))
+    codes = table(spark, sf, "part").selectExpr("p_partkey % 11 AS code").distinct()
+    facts = codes.selectExpr("code", f"{SCHEDULE} AS schedule", f"{CLASS_OF} AS class")
+    classes = facts.where("class <> ''").selectExpr("CASE code WHEN 0 THEN 'Oxycodone' ELSE concat('drug', CAST(code AS STRING)) END AS name", "class")
+    meets = text([(a, b, f"{a} with {b}") for a, b in INTERACT], "a string, b string, text string")
+    unsafe = text([("Drug8", "2 mg", "too much"), ("drug9", "2 mg", None)], "name string, strength string, reason string")
+    who = o.selectExpr("o_orderkey AS doc", "CASE WHEN o_orderkey % 3 > 0 THEN 'AB1' END AS licence")
+    return M.prescription_issues(drugs, who, facts, classes, text(PARENTS, "class string, parent string"), meets, unsafe, o.selectExpr("o_orderkey AS doc", f"{ALLERGY} AS allergy").where("allergy is not null"))
+
+
+@query("prescription_issues", f"WITH {_ISSUES} SELECT * FROM i")
+def prescription_issues(spark, sf):
+    """Errors and warnings of every order read as a prescription."""
+    return issues(spark, sf)
+
+
+@query("prescriptions_judged", f"WITH {_ISSUES} SELECT o_orderkey AS doc, coalesce(e, 0) = 0 AS is_valid, coalesce(e, 0) AS n_errors, coalesce(w, 0) AS n_warnings FROM orders LEFT JOIN (SELECT doc, count_if(kind = 'error') AS e, count_if(kind = 'warning') AS w FROM i GROUP BY 1) ON doc = o_orderkey")
+def prescriptions_judged(spark, sf):
+    return M.prescriptions_judged(table(spark, sf, "orders").selectExpr("o_orderkey AS doc"), issues(spark, sf))

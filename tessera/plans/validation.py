@@ -195,3 +195,26 @@ def compile_condition(tree):
     c = F.col(name)
     ops = {">": lambda: c > bound, "<": lambda: c < bound, ">=": lambda: c >= bound, "<=": lambda: c <= bound, "=": lambda: c == bound, "known": c.isNotNull}
     return F.coalesce(ops[op](), F.lit(False))
+
+
+RULE, MODEL = "l_quantity BETWEEN 3 AND 40", "CASE WHEN l_tax < 0.07 THEN l_discount < 0.08 END"
+_DUAL = f"""d AS (SELECT l_orderkey, l_linenumber, bool_and({RULE}) AS a, bool_and({MODEL}) AS b FROM lineitem GROUP BY 1, 2), r AS (SELECT l_orderkey, l_linenumber, a AS rule_ok FROM d WHERE l_orderkey % 5 > 0), m AS (SELECT l_orderkey, l_linenumber, b AS model_ok FROM d WHERE l_linenumber % 4 > 0),
+    j AS (SELECT *, coalesce(rule_ok <> model_ok, false) AS conflict, NOT coalesce(rule_ok, false) AND NOT coalesce(model_ok, false) AND (rule_ok IS NOT NULL OR model_ok IS NOT NULL) AS rejected FROM r FULL JOIN m USING (l_orderkey, l_linenumber))"""
+
+
+def judged_lines(spark, sf):
+    d = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.expr(f"bool_and({RULE})").alias("a"), F.expr(f"bool_and({MODEL})").alias("b"))
+    key = ["l_orderkey", "l_linenumber"]
+    return V.dual_validation(d.where("l_orderkey % 5 > 0").select(*key, F.col("a").alias("ok")), d.where("l_linenumber % 4 > 0").select(*key, F.col("b").alias("ok")), key)
+
+
+@query("dual_validation", f"""WITH {_DUAL} SELECT l_orderkey, l_linenumber, rule_ok, model_ok, conflict, rejected, concat_ws('; ', CASE WHEN conflict THEN 'Validation conflict: rules=' || CASE WHEN rule_ok THEN 'True' ELSE 'False' END || ', AI=' || CASE WHEN model_ok THEN 'True' ELSE 'False' END END,
+    CASE WHEN rejected THEN 'Failed validation - verify manually' END) AS warnings FROM j""")
+def dual_validation(spark, sf):
+    """Verdicts of rules and of a stand-in model on every line, where either, both or only one has judged."""
+    return judged_lines(spark, sf).withColumn("warnings", F.array_join("warnings", "; "))
+
+
+@query("dual_validation_summary", f"WITH {_DUAL} SELECT l_orderkey, count(*) AS n_values, count_if(conflict) AS n_conflicts, count_if(rejected) AS n_rejected, greatest(0, round(1 - count_if(conflict) * 0.1 - count_if(rejected) * 0.2, 9))::DOUBLE AS confidence FROM j GROUP BY 1")
+def dual_validation_summary(spark, sf):
+    return V.validation_summary(judged_lines(spark, sf), ["l_orderkey"])
