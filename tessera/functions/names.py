@@ -5,6 +5,7 @@ Built-in expressions only; the dictionaries are fixed and small, so they are lit
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,6 +56,11 @@ def repair_letters(text: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), LETTERS, text))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it (an expression of columns would be repeated each time)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spelt(key: Column, names: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key]
 
@@ -64,13 +70,18 @@ def suggested_name(name: Column, unit: Column, value: Column) -> Column:
 
     A value of 0 counts as missing, an empty unit as none.
     """
-    u, n = F.lower(F.trim(unit)), F.lower(F.trim(name))
-    out = F.lit(None).cast("string")
-    for hint, least, most, means in reversed(HINTS):
-        low = means.lower()
-        alike = (F.substring(n, 1, 2) == low[:2]) | F.lit(low).contains(n) | F.lit(low).startswith(F.substring(n, 1, 3))
-        out = F.when((u.contains(hint) | F.lit(hint).contains(u)) & value.between(least, most) & alike, means).otherwise(out)
-    return F.when((unit != "") & (value != 0), out)
+    fields = ("unit", "least", "most", "means", "low")
+    hints = F.array(*[F.struct(*[F.lit(x).alias(f) for f, x in zip(fields, (*h, h[3].lower()))]) for h in HINTS])
+
+    def first_hint(x: Column) -> Column:
+        def fits(h: Column) -> Column:
+            alike = (F.substring(x["n"], 1, 2) == F.substring(h["low"], 1, 2)) | h["low"].contains(x["n"]) | h["low"].startswith(F.substring(x["n"], 1, 3))
+            return (x["u"].contains(h["unit"]) | h["unit"].contains(x["u"])) & x["v"].between(h["least"], h["most"]) & alike
+
+        return F.get(F.filter(hints, fits), F.lit(0))["means"]
+
+    said = F.struct(F.lower(F.trim(unit)).alias("u"), F.lower(F.trim(name)).alias("n"), value.alias("v"))
+    return F.when((unit != "") & (value != 0), let(said, first_hint))
 
 
 def titled(text: Column) -> Column:
@@ -82,12 +93,17 @@ def titled(text: Column) -> Column:
 def plain_name(name: Column, unit: Column | None = None, value: Column | None = None) -> Column:
     """A measurement's name without footnotes and scanner errors: the dictionary's, a misreading's, the one that unit and value
     suggest, or its own, with capitals if it was in one case only."""
-    c = repair_letters(strip_footnotes(name))
-    key = F.lower(c)
-    one_case = ((c == F.upper(c)) | (c == key)) & (F.upper(c) != key)
-    own = F.when(one_case & (F.length(c) <= 4) & c.rlike(r"^\p{L}+$"), F.upper(c)).when(one_case, titled(c)).otherwise(c)
-    guess = [] if unit is None or value is None else [suggested_name(c, unit, value)]
-    return F.when(name == "", name).otherwise(F.coalesce(_spelt(key, SPELLINGS), _spelt(key, MISREADINGS), *guess, own))
+
+    def of_repaired(c: Column) -> Column:
+        def of_key(key: Column) -> Column:
+            one_case = ((c == F.upper(c)) | (c == key)) & (F.upper(c) != key)
+            own = F.when(one_case & (F.length(c) <= 4) & c.rlike(r"^\p{L}+$"), F.upper(c)).when(one_case, titled(c)).otherwise(c)
+            guess = [] if unit is None or value is None else [suggested_name(c, unit, value)]
+            return F.coalesce(_spelt(key, SPELLINGS), _spelt(key, MISREADINGS), *guess, own)
+
+        return let(F.lower(c), of_key)
+
+    return F.when(name == "", name).otherwise(let(repair_letters(strip_footnotes(name)), of_repaired))
 
 
 def plain_values(values: Column) -> Column:

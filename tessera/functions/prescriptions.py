@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.names import let
 from tessera.functions.text import first_group
 
 # What stands around a drug's name, taken off one after the other.
@@ -106,15 +107,15 @@ def orders(text: Column) -> Column:
     lines for a line that begins with "sig". Lines taken begin no order.
     """
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    state = f"struct<left:int,out:array<{ORDER}>>"
+    state = f"struct<left:int,out:array<{ORDER}>,open:array<{ORDER}>>"  # open: the last order, and those that wait or come after one that does
 
     def step(s: Column, line: Column) -> Column:
         form = line.rlike(FORM_FIRST)
         sig = F.lower(line).startswith("sig")
-        waits = F.exists(s["out"], lambda o: o["wait"] > 0) & sig
+        waits = F.exists(s["open"], lambda o: o["wait"] > 0) & sig
         mine = (s["left"] > 0) & ~form
         kind = F.when(mine | waits | (line == ""), F.lit(None).cast("string")).otherwise(_kind(line))
-        n = F.size(s["out"])
+        n = F.size(s["open"])
 
         def passed(o: Column, i: Column) -> Column:
             gets = (o["wait"] > 0) & sig
@@ -123,13 +124,21 @@ def orders(text: Column) -> Column:
             kept = [o[c].alias(c) for c in ("kind", "line", "name", "dosage", "quantity", "frequency", "duration")]
             return F.struct(*kept, F.when(gets, line).otherwise(o["instructions"]).alias("instructions"), rest.alias("rest"), wait.alias("wait")).cast(ORDER)
 
-        out = F.transform(s["out"], passed)
-        out = F.when(kind.isNotNull(), F.concat(out, F.array(_begun(line, kind)))).otherwise(out)
+        def closed(x: Column) -> Column:
+            """The state with the orders that nothing can change any more moved to the others, in order."""
+            held = F.filter(F.sequence(F.lit(1), F.size(x["open"])), lambda i: F.get(x["open"], i - 1)["wait"] > 0)
+            done = F.when(F.size(x["open"]) == 0, 0).otherwise(F.least(F.size(x["open"]), F.coalesce(F.get(held, F.lit(0)), F.size(x["open"]))) - 1)
+            out = F.when(done > 0, F.concat(s["out"], F.slice(x["open"], F.lit(1), done))).otherwise(s["out"])
+            return F.struct(x["left"].alias("left"), out.alias("out"), F.slice(x["open"], done + 1, F.size(x["open"])).alias("open")).cast(state)
+
+        after = F.transform(s["open"], passed)
+        after = F.when(kind.isNotNull(), F.concat(after, F.array(_begun(line, kind)))).otherwise(after)
         left = F.when(kind == "form first", 4).when(form, 0).otherwise(F.greatest(s["left"] - 1, F.lit(0)))
-        return F.struct(left.alias("left"), out.alias("out")).cast(state)
+        return let(F.struct(left.alias("left"), after.alias("open")), closed)
 
-    start = F.struct(F.lit(0).alias("left"), F.array().cast(f"array<{ORDER}>").alias("out")).cast(state)
-    return F.aggregate(lines, start, step, lambda s: F.transform(s["out"], _told))
+    none = F.array().cast(f"array<{ORDER}>")
+    start = F.struct(F.lit(0).alias("left"), none.alias("out"), none.alias("open")).cast(state)
+    return F.aggregate(lines, start, step, lambda s: F.transform(F.concat(s["out"], s["open"]), _told))
 
 
 def prescriber(text: Column) -> Column:
