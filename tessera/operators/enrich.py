@@ -8,12 +8,15 @@ the best candidate of a name is an aggregate with map-side combine, not a sort.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sound_code
+from tessera.operators.near import near_candidates
+from tessera.sources.shared import written
 
 UNRANKED = 999_999
 
@@ -33,10 +36,15 @@ def after(names: DataFrame, found: DataFrame) -> DataFrame:
     return names.join(found.select("name"), "name", "left_anti")
 
 
-def by_name(names: DataFrame, entries: DataFrame) -> DataFrame:
+def keyed(found: DataFrame, match: Column, *order: Column) -> DataFrame:
+    """Keys of a tier: the name an entry is met by, its code, how it was met, and what is least for the best entry of a name."""
+    return found.select("name", "code", match.alias("match"), F.array(*[o.cast("long") for o in order]).alias("order"))
+
+
+def by_name(entries: DataFrame) -> DataFrame:
     """Entries whose component, short name or consumer name is the name; the best rank wins. Names of one sign find nothing."""
     keys = entries.select("code", "rank", F.explode(F.array_distinct(F.array_compact(F.array(*[F.lower(c) for c in ("component", "shortname", "consumer")])))).alias("name"))
-    return best(names.where(F.length("name") >= 2).join(keys, "name").withColumn("match", F.lit("exact")), ranked(F.col("rank")))
+    return keyed(keys.where(F.length("name") >= 2), F.lit("exact"), ranked(F.col("rank")))
 
 
 def word_prefixes(text: Column) -> Column:
@@ -45,7 +53,7 @@ def word_prefixes(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
 
 
-def by_alias(names: DataFrame, entries: DataFrame) -> DataFrame:
+def by_alias(entries: DataFrame) -> DataFrame:
     """Entries with the name as an alias or at the beginning of their short name, by score.
 
     200 for the short name, 100 for an alias and up to 50 for its place, 50 for the component's beginning, and 1000 less the rank.
@@ -62,49 +70,42 @@ def by_alias(names: DataFrame, entries: DataFrame) -> DataFrame:
     shown = F.coalesce(spaced | dashed | (F.col("shortname") == name), F.lit(False))
     score = F.when(shown, 200).otherwise(0) + F.when(is_alias, 100 + F.greatest(50 - (at - 1) * 5, F.lit(0))).otherwise(0)
     score = score + F.when(F.col("component").startswith(name), 50).otherwise(0) + F.when(F.col("rank") < UNRANKED, 1000 - F.least(F.col("rank"), F.lit(1000))).otherwise(0)
-    found = names.where(F.length("name") >= 2).join(keys, "name").where(is_alias | short)
-    found = found.select("name", "code", "rank", score.cast("long").alias("score"), F.when(shown, "shortname_prefix").otherwise("alias").alias("match"))
-    return best(found, -F.col("score"), F.col("rank"))
+    return keyed(keys.where((F.length("name") >= 2) & (is_alias | short)), F.when(shown, "shortname_prefix").otherwise("alias"), -score, F.col("rank"))
 
 
-def by_prefix(names: DataFrame, entries: DataFrame, longer_by: int, column: str = "component", shortest: bool = False, match: str = "prefix") -> DataFrame:
+def by_prefix(entries: DataFrame, longer_by: int, column: str = "component", shortest: bool = False, match: str = "prefix") -> DataFrame:
     """Entries that a name of three signs begins, at most `longer_by` signs longer; the best rank, or the shortest, wins."""
     text = F.lower(column)
     cuts = F.transform(F.sequence(F.lit(0), F.lit(longer_by)), lambda k: text.substr(F.lit(1), F.length(text) - k))
     keys = entries.select("code", "rank", F.length(text).alias("length"), F.explode(F.array_distinct(F.filter(cuts, lambda c: F.length(c) >= 3))).alias("name"))
-    found = names.join(keys, "name").withColumn("match", F.lit(match))
-    return best(found, F.col("length"), ranked(F.col("rank"))) if shortest else best(found, ranked(F.col("rank")))
+    return keyed(keys, F.lit(match), *([F.col("length")] if shortest else []), ranked(F.col("rank")))
 
 
-def by_first_words(names: DataFrame, entries: DataFrame, column: str = "component", kinds: Sequence[str] | None = None, shortest: bool = False, match: str = "word_match") -> DataFrame:
+def by_first_words(entries: DataFrame, column: str = "component", kinds: Sequence[str] | None = None, shortest: bool = False, match: str = "word_match") -> DataFrame:
     """Entries that begin with a name of four signs and a space; the best rank, or the shortest, wins."""
     e = entries if kinds is None else entries.where(F.col("kind").isin(*kinds))
     text = F.lower(column)
     keys = e.where(text.contains(" ")).select("code", "rank", F.length(text).alias("length"), F.explode(F.array_distinct(word_prefixes(text))).alias("name"))
-    found = names.where(F.length("name") >= 4).join(keys, "name").withColumn("match", F.lit(match))
-    return best(found, F.col("length"), ranked(F.col("rank"))) if shortest else best(found, ranked(F.col("rank")))
+    return keyed(keys.where(F.length("name") >= 4), F.lit(match), *([F.col("length")] if shortest else []), ranked(F.col("rank")))
 
 
-def cascade(names: DataFrame, steps: Sequence) -> DataFrame:
-    """(name, code, match) of the first step that finds each name; a step sees only the names left over."""
-    left, out = names.select("name").where("name is not null").distinct(), None
-    for step in steps:
-        got = step(left).select("name", "code", "match")
-        out = got if out is None else out.unionByName(got)
-        left = after(left, got)
-    return out
+def cascade(names: DataFrame, tiers: Sequence[DataFrame]) -> DataFrame:
+    """(name, code, match) of the first tier (`keyed`) that has each name, the tier's best entry, ties to the smaller code."""
+    keys = reduce(DataFrame.unionByName, [t.withColumn("tier", F.lit(i)) for i, t in enumerate(tiers)])
+    met = names.select("name").where("name is not null").distinct().join(keys, "name")
+    return met.groupBy("name").agg(F.min_by(F.struct("code", "match"), F.struct("tier", "order", "code")).alias("b")).select("name", "b.*")
 
 
 def test_lookup(names: DataFrame, entries: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Tests by fixed override, name, scored alias, prefix (up to three signs longer) and first words."""
-    known = [] if overrides is None else [lambda n: n.join(F.broadcast(overrides), "name").join(entries.select("code"), "code", "left_semi").withColumn("match", F.lit("override"))]
-    return cascade(names, [*known, lambda n: by_name(n, entries), lambda n: by_alias(n, entries), lambda n: by_prefix(n, entries, 3), lambda n: by_first_words(n, entries)])
+    known = [] if overrides is None else [keyed(overrides.join(entries.select("code"), "code", "left_semi"), F.lit("override"), F.lit(0))]
+    return cascade(names, [*known, by_name(entries), by_alias(entries), by_prefix(entries, 3), by_first_words(entries)])
 
 
 def drug_lookup(names: DataFrame, entries: DataFrame, kinds: Sequence[str] = ("IN", "BN", "PIN", "MIN")) -> DataFrame:
     """Drugs by name, prefix (one sign longer) and first words (of some kinds); the shortest entry wins. Names of three signs at least."""
-    n = names.where(F.length("name") >= 3)
-    return cascade(n, [lambda x: by_name(x, entries), lambda x: by_prefix(x, entries, 1, shortest=True), lambda x: by_first_words(x, entries, kinds=kinds, shortest=True, match="word_prefix")])
+    tiers = [by_name(entries), by_prefix(entries, 1, shortest=True), by_first_words(entries, kinds=kinds, shortest=True, match="word_prefix")]
+    return cascade(names.where(F.length("name") >= 3), tiers)
 
 
 def most_edits(name: Column) -> Column:
@@ -114,18 +115,18 @@ def most_edits(name: Column) -> Column:
 def tolerant(names: DataFrame, entries: DataFrame, unit_class: Sequence[tuple[str, Sequence[str]]] = ()) -> DataFrame:
     """(name, code, match, distance, score) by edit distance: 1, 2 or 3 edits by length.
 
-    Candidates begin with the same letter and are of about the same length. Score: similarity, rank (.2 up to 100, .1 up to 500),
+    Candidates begin with the same letter and are of about the same length; of their codes, only those with a text within the edits are looked at (`near_candidates`). Score: similarity, rank (.2 up to 100, .1 up to 500),
     sound (.1), and .1 where the unit (column `unit` of `names`, may be absent) goes with the entry's kind. A component stands for its
     entry before its short name does.
     """
     n = names.where(F.length("name") >= 3).withColumn("most", most_edits(F.col("name")))
     if "unit" not in names.columns:
         n = n.withColumn("unit", F.lit(None).cast("string"))
-    lengths = F.sequence(F.greatest(F.lit(2), F.length("name") - F.col("most")), F.length("name") + F.col("most") + 2)
-    n = n.select("name", "unit", "most", F.substring("name", 1, 1).alias("first"), F.explode(lengths).alias("length"))
     sides = [entries.select("code", "rank", "kind", F.lit(i).alias("side"), F.lower(c).alias("text")) for i, c in enumerate(("component", "shortname"))]
-    keys = sides[0].union(sides[1]).select("*", F.substring("text", 1, 1).alias("first"), F.length("text").alias("length"))
-    found = n.join(keys, ["first", "length"])
+    keys = sides[0].union(sides[1])
+    pairs = near_candidates(n.select("name", F.col("most").alias("k")), keys.select("text"), 3).join(keys.select("text", "code").distinct(), "text").select("name", "code").distinct()
+    goes = F.length("text").between(F.greatest(F.lit(2), F.length("name") - F.col("most")), F.length("name") + F.col("most") + 2)
+    found = n.select("name", "unit", "most").join(pairs, "name").join(keys, "code").where(goes & (F.substring("name", 1, 1) == F.substring("text", 1, 1)))
     found = found.groupBy("name", "unit", "most", "code").agg(F.min_by(F.struct("text", "rank", "kind"), F.struct("side", "text")).alias("e")).select("name", "unit", "most", "code", "e.*")
     found = found.withColumn("distance", F.levenshtein("name", "text")).where(F.col("distance") <= F.col("most"))
     rank = ranked(F.col("rank"))
@@ -138,9 +139,10 @@ def tolerant(names: DataFrame, entries: DataFrame, unit_class: Sequence[tuple[st
     return best(found, -F.col("score"), rank, keep=("code", "match", "distance", "score"))
 
 
-def facade(names: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
-    """(name, code, match) by the first lookup, else by the second."""
-    return first.select("name", "code", "match").unionByName(after(second, first).select("name", "code", "match")).join(names.select("name").distinct(), "name", "left_semi")
+def facade(names: DataFrame, first: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(name, code, match) by the first lookup, which is written out, and by the second, which sees only the names left over."""
+    known = written(first.select("name", "code", "match").join(names.select("name").distinct(), "name", "left_semi"), "found")
+    return known.unionByName(second(after(names, known)).select("name", "code", "match"))
 
 
 def contained_alias(name: Column, pairs: Sequence[tuple[str, str]]) -> Column:

@@ -11,6 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.near import near_candidates
+from tessera.sources.shared import written
+
 Tier = Callable[[DataFrame], DataFrame]
 
 
@@ -33,22 +36,20 @@ def prefix(names: DataFrame, entries: DataFrame, longer_by: int, block: int = 3)
     return first_per(j, ["name"], F.length("entry"), F.col("rank"), F.col("code")).select("name", "code")
 
 
-def fuzzy(names: DataFrame, entries: DataFrame, most: Column | int = 2, block: int = 1) -> DataFrame:
-    """The nearest entry by edit distance with the same first letters; ties to the better rank."""
-    n = names.withColumn("__b", F.substring("name", 1, block)).withColumn("__most", F.lit(most) if isinstance(most, int) else most)
-    e = entries.withColumn("__b", F.substring("entry", 1, block))
-    j = n.join(e, "__b").where(F.abs(F.length("name") - F.length("entry")) <= F.col("__most"))
-    j = j.withColumn("distance", F.levenshtein("name", "entry")).where(F.col("distance") <= F.col("__most"))
-    return first_per(j, ["name"], F.col("distance"), F.col("rank"), F.col("code")).select("name", "code", "distance")
+def fuzzy(names: DataFrame, entries: DataFrame, most: int = 2, block: int = 1) -> DataFrame:
+    """The nearest entry within `most` edits that begins alike; ties to the better rank."""
+    met = near_candidates(names.select("name", F.lit(most).alias("k")), entries.select(F.col("entry").alias("text")), most, block)
+    d = met.withColumn("distance", F.levenshtein("name", "text", most)).where("distance >= 0")
+    return first_per(d.join(entries, F.col("text") == F.col("entry")), ["name"], F.col("distance"), F.col("rank"), F.col("code")).select("name", "code", "distance")
 
 
 def tiered(names: DataFrame, tiers: Sequence[tuple[str, Tier]]) -> DataFrame:
-    """(name, code, tier) of the first tier that finds each name."""
-    left, out = names.select("name").distinct(), None
+    """(name, code, tier) of the first tier that finds each name. What a tier finds and what it leaves are written, so the plan of a tier does not hold those before it."""
+    left, out = written(names.select("name").distinct(), "names"), None
     for label, tier in tiers:
-        got = tier(left).select("name", "code", F.lit(label).alias("tier"))
+        got = written(tier(left).select("name", "code", F.lit(label).alias("tier")), "found")
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select("name"), "name", "left_anti")
+        left = written(left.join(got.select("name"), "name", "left_anti"), "names")
     return out
 
 
@@ -62,11 +63,11 @@ def search(entries: DataFrame, text: str, limit: int = 10) -> DataFrame:
 def near_pairs(rows: DataFrame, key: str, name: str, most: int = 2, block: int = 1) -> DataFrame:
     """(a, b, distance) of keys a < b whose names begin alike and are at most `most` edits apart.
 
-    Distances are taken between distinct names, blocked on their first letters and length, and joined back to the keys.
+    Distances are taken between distinct names that share a piece (`near_candidates`), and joined back to the keys.
     """
-    n = rows.select(F.col(name).alias("na")).where("na IS NOT NULL").distinct().withColumn("__b", F.substring("na", 1, block))
-    m = n.select(F.col("na").alias("nb"), "__b", F.explode(F.sequence(F.length("na") - most, F.length("na") + most)).alias("__l"))
-    d = n.withColumn("__l", F.length("na")).join(m, ["__b", "__l"]).withColumn("distance", F.levenshtein("na", "nb", most)).where("distance >= 0")
+    n = rows.select(F.col(name).alias("name"), F.lit(most).alias("k")).where("name IS NOT NULL").distinct()
+    d = near_candidates(n, n.select(F.col("name").alias("text")), most, block).select(F.col("name").alias("na"), F.col("text").alias("nb"))
+    d = d.withColumn("distance", F.levenshtein("na", "nb", most)).where("distance >= 0")
     a, b = (rows.select(F.col(key).alias(k), F.col(name).alias(f"n{k}")) for k in "ab")
     j = d.select("na", "nb", F.col("distance").cast("long").alias("distance")).join(a, "na").join(b, "nb").where("a < b")
     return j.select("a", "b", "distance")

@@ -85,7 +85,7 @@ def ocr_tolerant_lookup(spark, sf):
 
 def found_tests(spark, sf, names):
     e = entries(spark, sf)
-    return E.facade(names, E.test_lookup(names, e), E.tolerant(names.withColumn("unit", F.lit("mg/dL")), e, UNIT_CLASS))
+    return E.facade(names, E.test_lookup(names, e), lambda left: E.tolerant(left.withColumn("unit", F.lit("mg/dL")), e, UNIT_CLASS))
 
 
 FACADE = steps(EXACT, ALIAS, PREFIX(3, "r"), FIRST("r", "'word_match'"), f"(SELECT name, code, match FROM {NEAR})")

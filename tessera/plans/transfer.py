@@ -47,14 +47,14 @@ TOLERANT = f"""d AS ({duck(ENTRIES)}), n AS ({duck(ASKED)}), st AS ({duck(STRENG
 
 
 def spoiled(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("part")
-    names, entries, strengths = (spark.sql(q) for q in (ASKED, ENTRIES, STRENGTHS))
-    return names, entries, D.tolerant_drugs(names, entries, CLASSES, strengths)
+    part = table(spark, sf, "part")
+    return tuple(spark.sql(q.replace("FROM part", "FROM {part}"), part=part) for q in (ASKED, ENTRIES, STRENGTHS))
 
 
 @query("drug_tolerant_lookup", f"WITH {TOLERANT} SELECT * FROM t")
 def drug_tolerant_lookup(spark, sf):
-    return spoiled(spark, sf)[2]
+    names, entries, strengths = spoiled(spark, sf)
+    return D.tolerant_drugs(names, entries, CLASSES, strengths)
 
 
 @query("drug_lookup_facade", f"""WITH {TOLERANT}, x AS (SELECT name, min(code) AS code FROM n JOIN d ON name = text GROUP BY 1),
@@ -64,10 +64,10 @@ def drug_tolerant_lookup(spark, sf):
     SELECT * FROM f UNION ALL SELECT name, code, match FROM t WHERE name NOT IN (SELECT name FROM f)""")
 def drug_lookup_facade(spark, sf):
     """By name, prefix and first words; what is left by the tolerant lookup."""
-    names, entries, near = spoiled(spark, sf)
+    names, entries, strengths = spoiled(spark, sf)
     none = F.lit(None).cast("string")
     plain = entries.select("code", F.col("text").alias("component"), none.alias("shortname"), none.alias("consumer"), none.alias("related"), "kind", F.lit(0).alias("rank"))
-    return facade(names, drug_lookup(names, plain), near)
+    return facade(names, drug_lookup(names, plain), lambda left: D.tolerant_drugs(left, entries, CLASSES, strengths))
 
 
 WORDS = "SELECT l_orderkey AS page, l_linenumber AS place, CASE l_partkey % 5 WHEN 0 THEN 'Steel' WHEN 1 THEN 'bolt ' WHEN 2 THEN 'stele' WHEN 3 THEN CAST(l_linenumber AS STRING) || '.0' ELSE 'widget' END AS text FROM lineitem"
@@ -83,9 +83,8 @@ WANTED = ["STEEL", "widgets", "bolt widget", "2", "steel bolt", " "]
     FROM (SELECT *, min(tier) OVER (PARTITION BY page, want) AS least FROM o WHERE tier IS NOT NULL) WHERE tier = least""")
 def boxes_of_text(spark, sf):
     """The places of six texts on every order's page of words, by edit distance."""
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     at = F.col("place").cast("double")
-    w = spark.sql(WORDS).groupBy("page", "place").agg(F.min("text").alias("text")).withColumn("box", F.struct(at.alias("x0"), F.lit(0.0).alias("y0"), (at + 0.5).alias("x1"), F.lit(1.0).alias("y1")))
+    w = spark.sql(WORDS.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, sf, "lineitem")).groupBy("page", "place").agg(F.min("text").alias("text")).withColumn("box", F.struct(at.alias("x0"), F.lit(0.0).alias("y0"), (at + 0.5).alias("x1"), F.lit(1.0).alias("y1")))
     wanted = w.select("page").distinct().withColumn("want", F.explode(F.array(*map(F.lit, WANTED))))
     alike = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     got = T.boxes_of_text(w, wanted, alike)
