@@ -241,9 +241,10 @@ def date_of_parts(first: Column, second: Column, third: Column) -> Column:
 def value_after(text: Column, field: Column) -> Column:
     """struct(value, unit): the number that follows a field's name in a text ("_" stands for blanks, "_" or "-"), and the word after it.
 
-    The name is read as a pattern, which each row has of its own.
+    Each row has a name of its own; signs in it stand for themselves.
     """
-    pattern = F.concat(F.lit("(?i)"), F.replace(field, F.lit("_"), F.lit(r"[\s_-]*")), F.lit(r"\s*[:\s]\s*([\d.,]+)\s*(\w+)?"))
+    plain = F.regexp_replace(field, r"([^\p{L}\p{N}_\s])", r"\\$1")
+    pattern = F.concat(F.lit("(?i)"), F.replace(plain, F.lit("_"), F.lit(r"[\s_-]*")), F.lit(r"\s*[:\s]\s*([\d.,]+)\s*(\w+)?"))
     number = parse_numeric(F.call_function("regexp_extract", text, pattern, F.lit(1)))
     unit = F.call_function("regexp_extract", text, pattern, F.lit(2))
     return F.when(number.isNotNull(), F.struct(number.alias("value"), unit.alias("unit")))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import stores as S
 from tessera.plans.registry import query, table
+from tessera.sources import snapshots
+from tessera.sources.shared import new_path
 
 
 def jobs(spark, sf):
@@ -204,3 +206,21 @@ def method_fields(spark, sf):
 def token_counts(spark, sf):
     c = table(spark, sf, "conversations")
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"), F.count_if(F.col("role") == "user").alias("prompts"))
+
+
+@query("cache_reloaded", """WITH c AS (SELECT user_id, event_type, count(*) AS writes, max(ts) AS created, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_id % 7 > 0 GROUP BY 1, 2), m AS (SELECT max(ts) AS now FROM events)
+    SELECT user_id, event_type, writes, value FROM c, m WHERE event_type = 'view' OR now - created <= INTERVAL 10 DAY""")
+def cache_reloaded(spark, sf):
+    """A cache of the last value of users and types, saved, saved anew, and loaded without what has outlived its time."""
+    e = table(spark, sf, "events")
+    path = new_path(spark, "cache")
+
+    def cache(rows):
+        last = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("writes"), F.max("ts").alias("created"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+        return last.withColumn("ttl_seconds", F.when(F.col("event_type") != "view", 10 * 86_400))
+
+    snapshots.save(cache(e.where("event_id % 2 = 0")), path, "first")
+    snapshots.save(cache(e.where("event_id % 7 > 0")), path, "second")
+    now = e.agg(F.max("ts").alias("now"))
+    kept = snapshots.fresh(snapshots.load(spark, path).join(F.broadcast(now)), F.col("now"))
+    return kept.select("user_id", "event_type", "writes", "value")
