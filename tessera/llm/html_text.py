@@ -9,7 +9,8 @@ words of a class or id only say how much repetition it takes:
 - parts that are no article text by their element, role or plain name (menus, sidebars, forms, adverts, notices, reader
   comments ...: `NOT_MAIN`, `ROLES`, `CUES`) go however unique they are, as do parts outside the article or main element of
   a page that has one;
-- contested blocks - all others of a page without such an element, and parts inside it with an unclear name (`HINTS`) - go
+- contested blocks - all others of a page without such an element, and parts inside it with an unclear name (`HINTS`, or a name of which a cue is less
+  than half, as "comments-on-law") - go
   where `often` pages of the host have the substring in a contested block;
 - other blocks inside the article go where `site_pages` pages and more than half of the host's pages with an article have the
   substring: that is the site's text, not the author's. Headings stay, and where such blocks would be more than half of a
@@ -17,9 +18,9 @@ words of a class or id only say how much repetition it takes:
 
 A host with more HTML than `shard_bytes` is dealt into shards by page id, so no task holds more however large the host is
 (beyond a million such hosts' worth of input shards grow, so that the list of those hosts may be broadcast). Shards decide
-nothing. Contested runs are counted a shard and added up by ranges of their 64-bit hashes. What more than half of a host's
-pages have, more than half of some shard's pages have: shards propose those runs, and all shards then count the proposed
-ones. So the text does not depend on the size of shards or the number of partitions. The pages are shuffled once.
+nothing. Contested runs are counted a shard and added up by ranges of their 64-bit hashes. Runs of more than a quarter of a shard's articles
+are added up by the same ranges, and those of shards with more than a third of the host's articles are counted by all shards: no run of more than half of the
+articles is missed, and their number does not grow with the shards. So the text does not depend on the size of shards or the number of partitions. The pages are shuffled once.
 
 Null html counts as empty and gives an empty text; null urls share one host. Pages of any length are read
 whole; repeated rows give the same text and count as distinct pages only if their ids or urls differ. Extra columns are
@@ -29,6 +30,7 @@ not read. An empty table gives no rows.
 from __future__ import annotations
 
 import html as references
+import math
 import re
 from itertools import chain
 from typing import NamedTuple
@@ -80,10 +82,12 @@ def _marked(attributes: str) -> int:
             if v == "true":
                 return 2
         else:
-            words = set(_name_part.findall(v))
-            if words & CUES:
-                return 2
-            hint = max(hint, int(bool(words & HINTS)))
+            for token in v.split():
+                words = _name_part.findall(token)
+                cues = sum(w in CUES for w in words)
+                if cues and 2 * cues >= len(words):
+                    return 2
+                hint = max(hint, int(cues > 0 or any(w in HINTS for w in words)))
     return 2 if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I) else hint
 
 
@@ -323,37 +327,48 @@ def extract(pages: DataFrame, least: int = 8, often: int = 3, site_pages: int =
         return Host(shard.column("page").to_pylist(), page_numbers(shard.column("id").to_pylist(), shard.column("url").to_pylist()), least)
 
     def propose(shard: pa.Table) -> pa.Table:
-        """Of a large host's shard: contested runs and their pages, packed (kind 0); runs of more than half of its articles (1); how many
-        those are (2)."""
+        """Of a large host's shard: contested runs and their pages (kind 0) and runs of more than a quarter of its articles (1), both packed by ranges of
+        their keys; how many articles it has (2)."""
         found = []
         if (shards := shard.column("shards")[0].as_py()) is not None:
             host, name, one = shard.column("host")[0].as_py(), shard.column("shard")[0].as_py(), read(shard)
             start, group, contested, site = one.counted()
             keys, at = one.keys()
             of = keys[np.searchsorted(at, start[np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])])]
-            order = np.argsort(of)
-            k, n = of[order], contested[order].astype("<u4")
-            k, n = k[n > 0], n[n > 0]
-            part = (k >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-            ends = np.searchsorted(part, np.arange(shards + 1, dtype=np.uint64))
-            found += [(f"{host} {i}", name, host, 0, pack(k[a:z]), n[a:z].tobytes(), None, None) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
-            found += [(name, name, host, 1, None, None, k, None) for k in of[2 * site > one.main_pages].view(np.int64).tolist()]
+            ranges = min(shards, max(16, math.isqrt(64 * shards)))  # 8 x the root of the shards: rows and a range's keys both stay small
+            for kind, keep, pages in ((0, contested > 0, contested), (1, 4 * site > one.main_pages, None)):
+                k, n = of[keep], None if pages is None else pages[keep].astype("<u4")
+                order = np.argsort(k)
+                k, n = k[order], None if n is None else n[order]
+                part = (k >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                ends = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+                found += [(f"{host} {i}", name, host, kind, pack(k[a:z]), None if n is None else n[a:z].tobytes(), None, one.main_pages) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
             found.append((name, name, host, 2, None, None, None, one.main_pages))
         return _table(found)
 
     def add_up(part: pa.Table) -> pa.Table:
-        """Contested runs (kind 0) of one range of keys that `often` pages have; other rows as they are."""
-        rest = part.filter(pc.greater(part.column("kind"), 0)).cast(_RUNS)
+        """Of one range of a host's keys: contested runs that `often` pages have (kind 0, packed for each shard that has them), and runs that
+        may be in more than half of the articles (1); other rows as they are.
+
+        If more than half of a host's A articles have a run, the shards where more than a quarter of the articles have it hold more than A / 3 articles: W such
+        articles and a quarter of the others must pass A / 2. So the shards' articles are added up for each run, and few runs are left: a twelfth of the articles has each.
+        """
+        rest = part.filter(pc.greater(part.column("kind"), 1)).cast(_RUNS)
+        found = []
         rows = part.filter(pc.equal(part.column("kind"), 0)).to_pylist()
         keys = [unpack(r["keys"]) for r in rows]
         every, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
         n = np.bincount(which, weights=np.concatenate([np.zeros(0), *[np.frombuffer(r["n"], "<u4") for r in rows]]), minlength=len(every))
         common = every[n >= often]
-        found = []
         for r, k in zip(rows, keys):
             k = k[np.isin(k, common)]
             if len(k):
                 found.append((r["part"], r["shard"], r["host"], 0, pack(k), None, None, None))
+        if rows := part.filter(pc.equal(part.column("kind"), 1)).to_pylist():
+            keys, pages = [unpack(r["keys"]) for r in rows], [r["pages"] for r in rows]
+            every, which = np.unique(np.concatenate(keys), return_inverse=True)
+            weight = np.bincount(which, weights=np.repeat(pages, [len(k) for k in keys]), minlength=len(every))
+            found += [(rows[0]["part"], None, rows[0]["host"], 1, None, None, k, None) for k in every[3 * weight > sum(pages)].view(np.int64).tolist()]
         return pa.concat_tables([rest, _table(found)])
 
     def tally(shard: pa.Table, asked: pa.Table) -> pa.Table:

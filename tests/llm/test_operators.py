@@ -352,6 +352,29 @@ def test_html_names_do_not_delete_unique_text(spark):
     assert got == {1: "body about search", 2: "main para"}
 
 
+def test_html_long_names_do_not_delete_unique_text(spark):
+    """A cue that is a small part of a name leaves the block to repetition; short names and names of cues go."""
+    body = "<html><body><article><h1>Title {k}</h1><p>First words of page {k} stand here alone.</p><section class='comments-on-law'><p>legal commentary body {k}</p></section>"
+    body += "<div class='comment-list'>reader {k}</div><div id='cookie-consent-bar'>we use cookies {k}</div></article></body></html>"
+    d = spark.createDataFrame([(k, f"http://a.b/{k}", body.replace("{k}", f"n{k}")) for k in range(4)], "page_id long, url string, html string")
+    for k, r in enumerate(html_text.extract(d).orderBy("page_id").collect()):
+        assert r["text"] == f"Title n{k}\n\nFirst words of page n{k} stand here alone.\n\nlegal commentary body n{k}"
+
+
+def test_html_one_page_shards_of_a_large_host(spark):
+    """Pages as large as a shard: every page is alone in its own, and the site's text is found all the same."""
+    r = np.random.default_rng(3)
+    notice = "this notice is on the pages of the site and tells readers nothing new at all"
+    rows = []
+    for k in range(40):
+        own = " ".join(f"u{k}x{x}" for x in r.integers(0, 10**6, 60))
+        rows.append((k, f"http://big.host/{k}", f"<html><body><article><h1>T {k}</h1><p>{own}</p>" + (f"<p>{notice}</p>" if k % 4 else "") + "</article></body></html>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {x["page_id"]: x["text"] for x in html_text.extract(d).collect()}
+    assert {x["page_id"]: x["text"] for x in html_text.extract(d, shard_bytes=300).collect()} == whole
+    assert not any(notice in t for t in whole.values())
+
+
 def test_html_coverage_is_of_distinct_pages():
     run = "a b c d e f g h".split()
     c = html_text.covered([["x", *run, "y"], ["z", *run], run * 2], 8, 3)
