@@ -268,7 +268,8 @@ def _send_ranks(spark: SparkSession, ranks_path: str):
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", offsets: str | None = "offsets", exact: str | None = None) -> DataFrame:
     """`docs` with the text's ids and the tokens' byte offsets (one more than ids: the text's end; none if None).
 
-    `exact` names a column that says whether the ids, decoded again, give the text's very bytes (null counts as empty).
+    `exact` names a column that says whether the ids, decoded again, give the text's very bytes (null counts as empty). A column of
+    `docs` that is named like one of those added is replaced; give other names to keep it. All others pass through.
     """
     sent = _send_ranks(docs.sparkSession, ranks_path)
     names = docs.columns

@@ -12,7 +12,8 @@ Counts of grams cover all learning documents (text and lang not null); the bit w
 bucket). Codewords: all two-way splits of up to five languages, beyond that a seeded code of 8 bits a doubling.
 
 A null text or one without a letter is `und` with score 0; with no learning document every text is. Texts are
-read whole. Repeated rows are each predicted. Only text, lang and id are read.
+read whole, however long. Repeated rows are each predicted. Only text, lang and id are read, whatever the other columns' names. Of
+languages at the same distance the first in order wins, and the text is ambiguous. An empty table gives no rows.
 """
 
 from __future__ import annotations

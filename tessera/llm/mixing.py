@@ -21,7 +21,8 @@ Null and empty texts have no tokens, the prior as their posterior, and a rate li
 Labels with a null label or id are not used; a label that names a domain without a target has target 0. A document
 labelled twice teaches both. Where no label names a document, every document is in one unnamed domain and
 keeps rate 1. Repeated rows each get a rate; in `draw`, rows that repeat an id share their chance. Columns whose names
-clash with those added are no matter: `mix_to_targets` reads id and text only, `draw` gives the columns of its input. An
+clash with those added are no matter: `mix_to_targets` reads id and text only, `draw` gives the columns of its input. Very long texts
+are read whole; words that tell domains apart equally well go by their bucket. An
 empty table of documents, or of labels, gives no rows, or rates of 1.
 """
 

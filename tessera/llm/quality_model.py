@@ -11,7 +11,8 @@ scoring both read the small table. Only the text enters a score.
 
 Null texts count as empty; empty texts have the statistics of an empty text and are scored as such. Labels that
 repeat a document count each; labels other than 0 and 1 and labels of unknown documents are left out. With
-fewer than two rows of a class the score is the share of label 1 (0.5 without labels).
+fewer than two rows of a class the score is the share of label 1 (0.5 without labels). Repeated rows are each scored, alike. Very
+long texts are read whole. Only id and text are read, whatever the other columns' names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ driver and one array of 2^16 weights goes to the executors, whatever the size of
 
 Null and empty texts have zero counts and fail the base rule. Repeated rows are each judged; labels that repeat
 a document count once if any says `good`. With no trusted document the ratio is 0 and only the base rule decides. Extra
-columns are not read, whatever their names; an empty table gives no rows.
+columns are not read, whatever their names; very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
