@@ -8,7 +8,8 @@
 5. byte-level BPE: ids of each text, and whether they decode to the very bytes.
 
 All but the last return the columns of documents. Rows with a null id pass the stages that compare ids; null texts
-go in the first. An empty table gives no rows.
+go in the first. An empty table gives no rows. Repeated rows pass the first and third stage each; of rows of one text the second keeps
+those of the least id. Very long texts are read whole in every stage. Columns beyond those of documents pass through until the last.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte-level BPE encoding and decoding", encode_tokens),
 ]
 
-#: SQL can't express the stages; tests/llm compares them with brute force.
+#: SQL can't express the stages; tests/llm/test_twins.py compares each with a brute-force version of its decisions.
 ORACLE_SQL = None
 
 
