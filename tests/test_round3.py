@@ -23,7 +23,6 @@ from tessera.operators import validation as V
 from tessera.operators.enrich import most_edits, tolerant
 from tessera.operators.near import near_candidates
 from tessera.operators.transfer import boxes_of_text
-from tessera.plans.transfer import ENTRIES
 from tessera.sources import snapshots
 from tessera.sources.shared import new_path, written
 from tessera.streaming import events as E
@@ -69,7 +68,6 @@ def test_rows_joined_grow_with_the_fields(spark):
     def pairs(n):
         r = random.Random(n)
         rows = [("p", k, (x := r.random(), y := r.random(), x + 0.1, y + 0.01)) for k in range(n)]
-        seen, plain = [0], B.band
         values = spark.createDataFrame(rows, f"page string, value int, box {BOX}")
         fields = spark.createDataFrame(rows, f"page string, field int, box {BOX}")
         ys, height = sorted(b[1] for _, _, b in rows), 0.02
@@ -77,7 +75,7 @@ def test_rows_joined_grow_with_the_fields(spark):
         while height > 0.02 * 16 / fullest:
             height /= 4
         near = sum(1 for a in rows[:: n // 100] for b in rows if abs(math.floor(a[2][1] / height) - math.floor(b[2][1] / height)) <= 1)
-        assert B.nearest_values(fields.limit(5), values).count() == 5 and plain is B.band and seen == [0]
+        assert B.nearest_values(fields.limit(5), values).count() == 5
         return near / 100
 
     assert pairs(4000) < 4 * pairs(400) + 50
@@ -240,7 +238,8 @@ def test_heaviest_rise_equals_all_subsets():
 def test_likeness_of_texts(spark):
     rows = [(1, "a b\nccc\nd", "A  B\nccc\nx"), (2, None, "x"), (3, "", ""), (4, "same\nsame", "SAME\n same"), (5, "one\ntwo\nthree", "three\none\ntwo"), (6, None, None)]
     got = {x.k: round(x.likeness, 6) for x in R.likeness(spark.createDataFrame(rows, "k int, l string, r string"), "k", "l", "r").collect()}
-    assert got == {1: round(2 * 6 / 14, 6), 2: 0.0, 3: 0.0, 4: 0.0 if False else got[4], 5: round(2 * 6 / 22, 6), 6: 0.0}
+    assert got[4] in (0.0, 1.0)  # a text of one line twice has no anchor
+    assert got == {1: round(2 * 6 / 14, 6), 2: 0.0, 3: 0.0, 4: got[4], 5: round(2 * 6 / 22, 6), 6: 0.0}
     m = spark.createDataFrame(rows, "k int, l string, r string").select("k", R.merged_reading(F.col("l"), F.col("r"), F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,string>"), F.lit(0.9), F.lit(0.3), F.lit(0.2)).alias("m")).collect()
     assert {x.k: x.m.source for x in m} == {1: "ocr", 2: "vlm", 3: "ocr", 4: "ocr", 5: "ocr", 6: "none"}
 
@@ -331,13 +330,13 @@ def test_tolerant_finds_what_all_pairs_find(spark):
                     chosen[code] = min(chosen.get(code, (9, "")), (side, text))
         by_name[n] = {c: edits(n, t) for c, (_, t) in chosen.items() if edits(n, t) <= most}
     assert set(got) == {n for n, c in by_name.items() if c} and all(by_name[n][c] == d for n, (c, d) in got.items())
-    assert spark.range(1).select(most_edits(F.lit("abcd")).alias("m")).first().m == 1 and "FROM part" in ENTRIES
+    assert spark.range(1).select(most_edits(F.lit("abcd")).alias("m")).first().m == 1
 
 
 def test_value_after_names_with_signs(spark):
     rows = [("hdl (calc): 5.5 mg", "hdl (calc"), ("hdl (calc): 5.5 mg", "hdl (calc)"), ("a+b 7", "a+b"), ("alpha count: 3 kg", "alpha_count"), ("x", "["), (None, "x"), ("x: 1", None)]
     got = [x.v and (x.v.value, x.v.unit) for x in spark.createDataFrame(rows, "t string, f string").select(X.value_after(F.col("t"), F.col("f")).alias("v")).collect()]
-    assert got == [None, (5.5, "mg"), (7.0, ""), (3.0, "kg"), None, None, None] or got[1:4] == [(5.5, "mg"), (7.0, got[2][1]), (3.0, "kg")]
+    assert [g and g[0] for g in got] == [None, 5.5, 7.0, 3.0, None, None, None] and got[1][1] == "mg" and got[3][1] == "kg"
 
 
 def test_plain_names_compile(spark):
