@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.names import let
+
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -111,3 +114,86 @@ def procedure(text: Column) -> Column:
     xray = F.when(has("chest"), "chest_xray").otherwise("xray_unknown")
     kind = F.when(has("ct", "computed tomography"), ct).when(has("mri", "magnetic resonance"), mri).when(has("ultrasound", "sonogram"), echo)
     return kind.when(has("mammogram", "mammography"), "mammogram").when(has("x-ray", "radiograph"), xray).otherwise("unknown")
+
+
+class Template(NamedTuple):
+    """A vendor's form: a pattern of its heading, names of the vendor, tests that it lists, and whether it shows ranges and flags."""
+
+    name: str
+    header: str | None
+    vendors: tuple[str, ...]
+    fields: tuple[str, ...]
+    ranges: bool
+    flags: bool
+
+
+# Other names of tests; what shows ranges, flags and laboratory units.
+ALIASES = {
+    "hemoglobin": ["hgb", "hb"],
+    "hematocrit": ["hct"],
+    "platelets": ["plt", "platelet count"],
+    "neutrophils": ["neut", "neutro"],
+    "lymphocytes": ["lymph", "lymphs"],
+    "monocytes": ["mono", "monos"],
+    "eosinophils": ["eos", "eosino"],
+    "basophils": ["baso", "basos"],
+}
+RANGE_MARKS = [r"\d+\.?\d*\s*-\s*\d+\.?\d*", r"\d+\.?\d*\s*to\s*\d+\.?\d*", r">\s*\d+\.?\d*", r"<\s*\d+\.?\d*", r"reference\s*(range|interval)"]
+FLAG_MARKS = [r"\bHigh\b", r"\bLow\b", r"\bCRITICAL\b", r"\bABNORMAL\b", r"FLAG"]
+UNIT_MARKS = [r"RESULT", r"UNITS?", r"x10E\d/uL", r"g/dL", r"mg/dL", r"mmol/L", r"mL/min", r"fL\b", r"pg\b"]
+USE_FROM, LOOK_BELOW, SEEN_FROM = 0.85, 0.75, 0.7  # a template is used from; the page is looked at below; what was seen counts from
+
+
+def template_scores(text: Column, templates: Sequence[Template]) -> list[Column]:
+    """struct(score, order, label) of each template: heading .25, vendor .30, tests .30, layout .15.
+
+    A vendor's name counts 1 where it stands, .7 where all its long words do (two at least); a test counts .9 by another name. Without a vendor the score is .5 at most, with under .3 of
+    its names .65 at most, as tests and layouts are alike everywhere. A null text is empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    clean = F.regexp_replace(text, r"[\x00-\x1f\x7f-\x9f]", " ")
+    low = F.lower(clean)
+    one = lambda hit, value=1.0: F.when(hit, value).otherwise(0.0)
+    any_of = lambda marks: clean.rlike("(?iU)" + "|".join(f"(?:{m})" for m in marks))
+    units = sum((one(clean.rlike("(?iU)" + m)) for m in UNIT_MARKS), F.lit(0.0))
+    shown = {"ranges": one(any_of(RANGE_MARKS)), "flags": one(clean.rlike(r"(?<![A-Za-z])[HL](?![A-Za-z])") | any_of(FLAG_MARKS)), "units": F.when(units >= 3, 1.0).when(units >= 1, 0.5).otherwise(0.0)}
+    seen = F.struct(low.alias("low"), *[c.alias(k) for k, c in shown.items()])
+
+    def score(x: Column, t: Template) -> Column:
+        low = x["low"]
+
+        def vendor(name: str) -> Column:
+            name = name.lower()
+            words = [w for w in name.split() if len(w) > 3]
+            whole = F.when(low.contains(name), 1.0)
+            return (whole.when(reduce(and_, [low.contains(w) for w in words]), 0.7) if len(name) > 6 and len(words) >= 2 else whole).otherwise(0.0)
+
+        def test(name: str) -> Column:
+            other = reduce(or_, [low.contains(a) for a in ALIASES.get(name.lower(), [])], F.lit(False))
+            return F.when(low.contains(name.lower()), 1.0).when(other, 0.9).otherwise(0.0)
+
+        header = one(low.rlike("(?isU)" + t.header)) if t.header else F.lit(0.0)
+        vendors = F.least(F.lit(1.0), sum(map(vendor, t.vendors), F.lit(0.0)) / len(t.vendors)) if t.vendors else F.lit(0.0)
+        tests = sum(map(test, t.fields), F.lit(0.0)) / len(t.fields) if t.fields else F.lit(0.0)
+        checks = [x["units"], *([x["ranges"]] if t.ranges else []), *([x["flags"]] if t.flags else [])]
+        raw = header * 0.25 + vendors * 0.3 + tests * 0.3 + sum(checks, F.lit(0.0)) / len(checks) * 0.15
+        return F.round(F.when(vendors == 0, F.least(raw, F.lit(0.5))).when(vendors < 0.3, F.least(raw, F.lit(0.65))).otherwise(raw), 9)
+
+    of = lambda t: let(seen, lambda x: score(x, t))
+    return [F.struct(of(t).alias("score"), F.lit(-i).alias("order"), F.lit(t.name).alias("label")) for i, t in enumerate(templates)]
+
+
+def matched_template(text: Column, templates: Sequence[Template], seen: Column | None = None) -> Column:
+    """struct(decision, template, confidence): the best template of the text if it reaches .85 (the first wins a tie); under .75, what a look at the page told (`seen`: struct(template,
+    vendor, confidence), or null), if it is .7 sure, names a vendor, and its template is known; else extraction without a template, at the seen or the best score."""
+    nothing = F.lit(None).cast("struct<template:string,vendor:string,confidence:double>")
+    seen = nothing if seen is None else seen.cast("struct<template:string,vendor:string,confidence:double>")
+
+    def decide(x: Column) -> Column:
+        best, look = x["best"], x["seen"]
+        told = F.coalesce((best["score"] < LOOK_BELOW) & (look["confidence"] >= SEEN_FROM) & (F.coalesce(look["vendor"], F.lit("")) != ""), F.lit(False))
+        known = told & look["template"].isin([t.name for t in templates])
+        shape = lambda decision, template, conf: F.struct(F.lit(decision).alias("decision"), template.cast("string").alias("template"), conf.alias("confidence"))
+        return F.when(best["score"] >= USE_FROM, shape("use_template", best["label"], best["score"])).when(known, shape("use_template", look["template"], look["confidence"])).when(told, shape("use_medgemma", F.lit(None), look["confidence"])).otherwise(shape("use_medgemma", F.lit(None), best["score"]))
+
+    return let(F.struct(F.array_max(F.array(*template_scores(text, templates))).alias("best"), seen.alias("seen")), decide)
