@@ -75,27 +75,41 @@ def success_stats(rows: DataFrame, ok: Column, duration: str, confidence: str, r
     )
 
 
-def histogram_stats(rows: DataFrame, key: Sequence[str], value: str, buckets: int = 4096) -> DataFrame:
+def _holding(counts: DataFrame, keys: list[str], bucket: str, asked: DataFrame) -> DataFrame:
+    """The ranks of `asked` (keys, name, rank), each with the bucket that holds it and its rank inside; `counts`: keys, bucket, c, lo, hi."""
+    upto = Window.partitionBy(*keys).orderBy(bucket)  # as many rows a key as there are buckets
+    c = counts.withColumn("__before", F.sum("c").over(upto) - F.col("c"))
+    at = c.join(asked, keys).where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("c")))
+    return at.select(*keys, bucket, "lo", "hi", "name", (F.col("rank") - F.col("__before")).alias("rank"))
+
+
+def histogram_stats(rows: DataFrame, key: Sequence[str], value: str, buckets: int = 4096, octave: int = 64) -> DataFrame:
     """count, min, max, mean, median and nearest-rank p95, p99 of each key.
 
-    Keys may be few and large, so a key is never sorted as a whole: counts of equal buckets between its least and most value
-    (map-side combined) tell which bucket holds each rank, and only those buckets' rows are ranked. Exact.
+    Keys may be few and large, so a key is never sorted as a whole. Counts (map-side combined) by magnitude, `octave` buckets for each doubling, tell which bucket holds a
+    rank, however far the least and most values lie; that bucket is counted again in `buckets` equal parts, and only a part whose values differ is ranked, so neither an outlier nor a value that most
+    rows share brings a key's rows together. Exact. Null values are left out; infinite ones are of the greatest magnitude.
     """
     keys, v = list(key), F.col(value)
-    r = rows.where(v.isNotNull()).select(*keys, v.alias("__v"))
+    size = F.least(F.abs("__v"), F.lit(1.7976931348623157e308))
+    magnitude = F.when(F.col("__v") == 0, 0).otherwise(F.signum("__v") * (F.floor(F.log2(size) * octave) + 1100 * octave)).cast("long")
+    r = rows.where(v.isNotNull()).select(*keys, v.cast("double").alias("__v")).withColumn("__g", magnitude)
     s = r.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.round(F.avg("__v"), 6).alias("mean"))
-    share = F.coalesce((F.col("__v") - F.col("least")) / F.nullif(F.col("most") - F.col("least"), F.lit(0.0)), F.lit(0.0))
-    b = r.join(s.select(*keys, "least", "most"), keys).select(*keys, "__v", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("__b"))
-    upto = Window.partitionBy(*keys).orderBy("__b")  # at most `buckets` rows a key
-    h = b.groupBy(*keys, "__b").agg(F.count("*").alias("__c")).withColumn("__before", F.sum("__c").over(upto) - F.col("__c"))
+    counted = [F.count("*").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi")]
     n = F.col("n")
     ranks = {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.floor(n * F.lit(0.95)), "p99": F.floor(n * F.lit(0.99))}
-    asked = s.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), e.cast("long").alias("rank")) for k, e in ranks.items()])).alias("__a"))
-    at = h.join(asked, keys).where((F.col("__a.rank") >= F.col("__before")) & (F.col("__a.rank") < F.col("__before") + F.col("__c")))
-    at = at.select(*keys, "__b", F.col("__a.name").alias("__name"), (F.col("__a.rank") - F.col("__before")).alias("__place"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v")
-    near = b.join(at.select(*keys, "__b").distinct(), [*keys, "__b"]).withColumn("__place", (F.row_number().over(inside) - 1).cast("long"))
-    got = near.join(at, [*keys, "__b", "__place"]).groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == k, F.col("__v"))).alias(f"__{k}") for k in ranks])
+    asked = s.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("name"), e.cast("long").alias("rank")) for k, e in ranks.items()])))
+    first = _holding(r.groupBy(*keys, "__g").agg(*counted), keys, "__g", asked)
+    share = F.coalesce((F.col("__v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0))
+    part = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("long")
+    inner = r.join(first.select(*keys, "__g", "lo", "hi").distinct(), [*keys, "__g"]).select(*keys, "__g", "__v", part.alias("__b"))
+    second = _holding(inner.groupBy(*keys, "__g", "__b").agg(*counted), [*keys, "__g"], "__b", first.select(*keys, "__g", "name", "rank"))
+    told = second.where("lo = hi").select(*keys, "name", F.col("lo").alias("__v"))
+    open_parts = second.where("lo <> hi")
+    order = Window.partitionBy(*keys, "__g", "__b").orderBy("__v")
+    near = inner.join(open_parts.select(*keys, "__g", "__b").distinct(), [*keys, "__g", "__b"]).withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    ranked = near.join(open_parts, [*keys, "__g", "__b", "rank"]).select(*keys, "name", "__v")
+    got = told.unionByName(ranked).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, F.col("__v"))).alias(f"__{k}") for k in ranks])
     return s.join(got, keys).select(*keys, "n", "least", "most", "mean", F.round((F.col("__low") + F.col("__high")) / 2, 6).alias("median"), F.col("__p95").alias("p95"), F.col("__p99").alias("p99"))
 
 

@@ -360,6 +360,19 @@ def test_plain_names_compile(spark):
     assert got == [hint(n, u, v) for n, u, v in rows]
 
 
+def test_percentiles_with_outliers_and_ties(spark):
+    from tessera.operators.stores import histogram_stats
+
+    r = random.Random(8)
+    groups = {"outlier": [r.random() for _ in range(999)] + [1e12], "tied": [5.0] * 900 + [1.0, 9.0], "signs": [-1e-300, 0.0, -3.5, 2.25, 1e300, -7.0], "one": [4.0], "same": [0.0, -0.0], "close": [1 + k * 1e-12 for k in range(500)]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None)]
+    got = {x.k: x for x in histogram_stats(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k, vs in groups.items():
+        vs, n = sorted(vs), len(vs)
+        assert (got[k].n, got[k].p95, got[k].p99) == (n, vs[int(n * 0.95)], vs[int(n * 0.99)])
+        assert got[k].median == pytest.approx((vs[(n - 1) // 2] + vs[n // 2]) / 2, abs=1e-6)
+
+
 def test_boxes_of_text_on_an_empty_page(spark):
     w = spark.createDataFrame([], f"page int, place int, text string, box {BOX}")
     asked = spark.createDataFrame([(1, "x")], "page int, want string")
