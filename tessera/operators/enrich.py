@@ -124,14 +124,16 @@ def tolerant(names: DataFrame, entries: DataFrame, unit_class: Sequence[tuple[st
         n = n.withColumn("unit", F.lit(None).cast("string"))
     sides = [entries.select("code", "rank", "kind", F.lit(i).alias("side"), F.lower(c).alias("text")) for i, c in enumerate(("component", "shortname"))]
     keys = sides[0].union(sides[1])
-    pairs = near_candidates(n.select("name", F.col("most").alias("k")), keys.select("text"), 3).join(keys.select("text", "code").distinct(), "text").select("name", "code").distinct()
+    near = near_candidates(n.select("name", F.col("most").alias("k")), keys.select("text"), 3).withColumn("distance", F.levenshtein("name", "text")).join(n.select("name", "most").distinct(), "name")
+    near = written(near.where("distance <= most").select("name", "text", "distance", (sound_code(F.col("name")) == sound_code(F.col("text"))).alias("sounds")), "near")
+    pairs = near.join(keys.select("text", "code").distinct(), "text").select("name", "code").distinct()
     goes = F.length("text").between(F.greatest(F.lit(2), F.length("name") - F.col("most")), F.length("name") + F.col("most") + 2)
     found = n.select("name", "unit", "most").join(pairs, "name").join(keys, "code").where(goes & (F.substring("name", 1, 1) == F.substring("text", 1, 1)))
-    found = found.groupBy("name", "unit", "most", "code").agg(F.min_by(F.struct("text", "rank", "kind"), F.struct("side", "text")).alias("e")).select("name", "unit", "most", "code", "e.*")
-    found = found.withColumn("distance", F.levenshtein("name", "text")).where(F.col("distance") <= F.col("most"))
+    found = found.groupBy("name", "unit", "code").agg(F.min_by(F.struct("text", "rank", "kind"), F.struct("side", "text")).alias("e")).select("name", "unit", "code", "e.*")
+    found = found.join(near, ["name", "text"])
     rank = ranked(F.col("rank"))
     score = 1 - F.col("distance") / F.greatest(F.length("name"), F.length("text")) + F.when(rank <= 100, 0.2).when(rank <= 500, 0.1).otherwise(0.0)
-    score = score + F.when(sound_code(F.col("name")) == sound_code(F.col("text")), 0.1).otherwise(0.0)
+    score = score + F.when(F.col("sounds"), 0.1).otherwise(0.0)
     goes = F.lit(False)
     for kind, units in unit_class:
         goes = goes | (F.upper("kind").contains(kind) & F.upper("unit").isin(*units))

@@ -23,15 +23,23 @@ def _limit(k: Column) -> Column:
 
 
 def rests(rows: DataFrame, text: str, most: int) -> DataFrame:
-    """`rows` with `rest` and `out`: each text after up to column `k` (at most `most`) of its signs are taken out, and how many."""
-    level = rows.select("*", F.col(text).alias("rest"), F.lit(1).alias("from"), F.lit(0).alias("out"))
-    every = [level]
-    for _ in range(most):
-        at = level.where("out < k and length(rest) >= from").select("*", F.explode(F.sequence(F.col("from"), F.length("rest"))).alias("at"))
-        cut = F.concat(F.substring(F.col("rest"), F.lit(1), F.col("at") - 1), F.substring(F.col("rest"), F.col("at") + 1, F.length("rest")))
-        level = at.withColumns({"rest": cut, "from": F.col("at"), "out": F.col("out") + 1}).drop("at")
-        every.append(level)
-    return reduce(DataFrame.unionByName, every).drop("from")
+    """`rows` with `rest` and `out`: each text after up to column `k` (at most `most`) of its signs are taken out, from left to right, and how many."""
+    level = F.array(F.struct(F.col(text).alias("rest"), F.lit(1).alias("start")))
+    every = []
+
+    def shorter(x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x["rest"]), F.lit(1))), lambda i: (i >= x["start"]) & (i <= F.length(x["rest"])))
+        return F.transform(places, lambda i: F.struct(F.concat(F.substring(x["rest"], F.lit(1), i - 1), F.substring(x["rest"], i + 1, F.length(x["rest"]))).alias("rest"), i.alias("start")))
+
+    for out in range(most + 1):
+        kept = F.when(F.col("k") >= out, level).otherwise(F.array().cast("array<struct<rest:string,start:int>>"))
+        every.append(_counted(kept, out))
+        level = F.flatten(F.transform(kept, shorter))
+    return rows.select("*", F.inline(F.concat(*every)))
+
+
+def _counted(level: Column, out: int) -> Column:
+    return F.transform(level, lambda x: F.struct(x["rest"].alias("rest"), F.lit(out).alias("out")))
 
 
 def _cut(length: Column, k: Column, i: Column) -> Column:
@@ -58,8 +66,9 @@ def near_candidates(names: DataFrame, texts: DataFrame, most: int, block: int =
 
     Names and texts are taken once each; nulls meet nothing.
     """
-    t = texts.select("text").where("text is not null").distinct().select("text", F.length("text").alias("length"), F.substring("text", 1, block).alias("head"))
-    n = names.where("name is not null and k > 0").select("name", "k").distinct().select("name", "k", F.length("name").alias("own"), F.substring("name", 1, block).alias("head"))
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as a small table of names has large tables of rests
+    t = texts.select("text").where("text is not null").repartition(parts, "text").distinct().select("text", F.length("text").alias("length"), F.substring("text", 1, block).alias("head"))
+    n = names.where("name is not null and k > 0").select("name", "k").repartition(parts, "name", "k").distinct().select("name", "k", F.length("name").alias("own"), F.substring("name", 1, block).alias("head"))
     deepest = reduce(lambda out, k: F.when(F.col("length") <= RESTS[k], k).otherwise(out), [k for k in sorted(RESTS) if k <= most], F.lit(0))
     stored = rests(t.withColumn("k", deepest).where("k > 0"), "text", min(most, max(RESTS))).select("text", "length", "head", "rest", F.col("out").alias("taken")).distinct()
     asked = rests(n.where(F.col("own") <= _limit(F.col("k")) + F.col("k")), "name", min(most, max(RESTS))).select("name", "k", "head", "rest").distinct()
