@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.names import let
+from tessera.functions.text import let
 
 # The ways to write a date, in the order they are tried.
 DATES = [

@@ -5,13 +5,12 @@ Built-in expressions only; the dictionaries are fixed and small, so they are lit
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip_footnotes
+from tessera.functions.text import let, strip_footnotes
 
 # Spellings and the name each stands for.
 SPELLINGS = {
@@ -56,11 +55,6 @@ def repair_letters(text: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), LETTERS, text))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, however often the body names it (an expression of columns would be repeated each time)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _spelt(key: Column, names: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key]
 

@@ -10,8 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.names import let
-from tessera.functions.text import first_group
+from tessera.functions.text import first_group, let
 
 # What stands around a drug's name, taken off one after the other.
 AROUND_NAME = [

@@ -5,12 +5,19 @@ All are built-in expressions (Java regular expressions), so they stay in generat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"^[<>]?\s*([\d.]+)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it (an expression of columns would be repeated each time)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, or null."""
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
@@ -50,7 +57,7 @@ def without_flag(raw: Column) -> Column:
 
 
 def flagged_value(raw: Column) -> Column:
-    return parse_numeric(without_flag(raw))
+    return let(without_flag(raw), parse_numeric)
 
 
 def value_unit(raw: Column) -> Column:
@@ -87,8 +94,12 @@ def _repair_number(t: Column) -> Column:
     c = _join_digit(_join_digit(c, r"(\d)[Oo](\d)", "0"), r"(\d)[lI](\d)", "1")
     c = F.regexp_replace(F.regexp_replace(c, r"^[lI](\d)", "1$1"), r"^S(\d)", "5$1")
     c = _join_digit(c, r"(\d)B(\d)", "8")
-    lead = first_group(c, NUMBER)
-    return F.when(~t.rlike(r"\d"), t).when((c != t) & lead.isNotNull() & try_double(lead).isNull(), t).otherwise(c)
+
+    def kept(c: Column) -> Column:
+        lead = first_group(c, NUMBER)
+        return F.when(~t.rlike(r"\d"), t).when((c != t) & lead.isNotNull() & try_double(lead).isNull(), t).otherwise(c)
+
+    return let(c, kept)
 
 
 def _join_digit(c: Column, pattern: str, digit: str) -> Column:
@@ -98,10 +109,14 @@ def _join_digit(c: Column, pattern: str, digit: str) -> Column:
 
 def repair_value(raw: Column) -> Column:
     """Scanner errors in a number or range: O for 0, l or I for 1, S for 5, B for 8, stray E; kept only if a number results."""
-    s = F.trim(raw)
-    at = F.regexp_instr(s, F.lit(r"[-–]"))
-    left, dash, right = F.trim(F.substring(s, F.lit(1), at - 1)), F.substring(s, at, F.lit(1)), F.trim(F.substring(s, at + 1, F.length(s)))
-    return F.when(~s.rlike(r"\d"), s).when(s.rlike(r"\d\s*[-–]\s*\d"), F.concat(_repair_number(left), dash, _repair_number(right))).otherwise(_repair_number(s))
+
+    def repaired(s: Column) -> Column:
+        at = F.regexp_instr(s, F.lit(r"[-–]"))
+        left, dash, right = F.trim(F.substring(s, F.lit(1), at - 1)), F.substring(s, at, F.lit(1)), F.trim(F.substring(s, at + 1, F.length(s)))
+        both = F.concat(let(left, _repair_number), dash, let(right, _repair_number))
+        return F.when(~s.rlike(r"\d"), s).when(s.rlike(r"\d\s*[-–]\s*\d"), both).otherwise(_repair_number(s))
+
+    return let(F.trim(raw), repaired)
 
 
 # Marks at the end of a label, taken off one after the other.

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.names import let
+from tessera.functions.text import let
 
 
 def lines(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Text queries: parsing over made-up cells, features over documents, conversations and parts."""
+"""Text queries: parsing of cells made from lines, features over documents, conversations and parts."""
 
 from __future__ import annotations
 
@@ -8,41 +8,43 @@ from tessera.functions import text as X
 from tessera.plans.registry import query, table
 
 CELLS = ["7.2", "<5", "> 60 mL", "14.2 H", "150 High", "3.1 L", "10E3/uL", "mg/dL", "/hpf", "abc", "1O2", "12 *", "CRITICAL 9", "4.5-11.0", "0.5 – 1.2", ">=60", "< 5.0", "negative", "see note", "", "1O0-2OO", "S5.5", "12.B4", "1B5", "12345678901", "7 HH", "1.2.3"]
-VALUES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(CELLS))
+# A cell of a results table for every line: a form by its part, with the line's own quantity and number in it.
+CELL = f"replace(replace(CASE l_partkey % {len(CELLS)} {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CELLS))} END, '5', CAST(CAST(l_quantity AS INT) AS {{text}})), '7', CAST(l_linenumber AS {{text}}))"
+_CELLS = f"(SELECT l_orderkey * 10 + l_linenumber AS id, {CELL.format(text='VARCHAR')} AS cell FROM lineitem) t"
 
 
-def cells(spark):
-    return spark.sql(f"SELECT * FROM VALUES {VALUES} AS t(id, cell)")
+def cells(spark, sf):
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.expr(CELL.format(text="STRING")).alias("cell"))
 
 
 SQL_NUMBER = """CASE WHEN s = '' OR regexp_matches(s, '(?i)^x?10E\\d') OR regexp_matches(s, '^[a-zA-Z]+/[a-zA-Z]+') OR regexp_matches(s, '^/[a-zA-Z]+') OR regexp_matches(s, '(?i)^\\d*E\\d+/') THEN NULL
     ELSE coalesce(TRY_CAST(nullif(regexp_extract(s, '^[<>]?\\s*([\\d.]+)', 1), '') AS DOUBLE), CASE WHEN regexp_matches(s, '(?i)E\\d+/') OR length(regexp_replace(s, '[^\\d.\\-+]', '', 'g')) > 10 THEN NULL ELSE TRY_CAST(regexp_replace(s, '[^\\d.\\-+]', '', 'g') AS DOUBLE) END) END"""
 
 
-@query("parse_numeric", f"SELECT id, {SQL_NUMBER} AS v FROM (SELECT id, trim(cell) AS s FROM (VALUES {VALUES}) t(id, cell))")
+@query("parse_numeric", f"SELECT id, {SQL_NUMBER} AS v FROM (SELECT id, trim(cell) AS s FROM {_CELLS})")
 def parse_numeric(spark, sf):
-    return cells(spark).select("id", X.parse_numeric(F.col("cell")).alias("v"))
+    return cells(spark, sf).select("id", X.parse_numeric(F.col("cell")).alias("v"))
 
 
-@query("parse_range", f"""WITH t AS (SELECT id, trim(cell) AS s FROM (VALUES {VALUES}) t(id, cell))
+@query("parse_range", f"""WITH t AS (SELECT id, trim(cell) AS s FROM {_CELLS})
     SELECT id, CASE WHEN regexp_matches(s, '(\\d+\\.?\\d*)\\s*[-–—]\\s*(\\d+\\.?\\d*)') THEN regexp_extract(s, '(\\d+\\.?\\d*)\\s*[-–—]\\s*(\\d+\\.?\\d*)', 1)::DOUBLE WHEN regexp_matches(s, '^[>≥]\\s*=?\\s*\\d') THEN regexp_extract(s, '^[>≥]\\s*=?\\s*(\\d+\\.?\\d*)', 1)::DOUBLE WHEN regexp_matches(s, '^[<≤]\\s*=?\\s*\\d') THEN 0 END AS low,
            CASE WHEN regexp_matches(s, '(\\d+\\.?\\d*)\\s*[-–—]\\s*(\\d+\\.?\\d*)') THEN regexp_extract(s, '(\\d+\\.?\\d*)\\s*[-–—]\\s*(\\d+\\.?\\d*)', 2)::DOUBLE WHEN regexp_matches(s, '^[>≥]\\s*=?\\s*\\d') THEN 'inf'::DOUBLE WHEN regexp_matches(s, '^[<≤]\\s*=?\\s*\\d') THEN regexp_extract(s, '^[<≤]\\s*=?\\s*(\\d+\\.?\\d*)', 1)::DOUBLE END AS high
     FROM t WHERE NOT regexp_matches(s, '(?i)^(negative|see .*)$')""")
 def parse_range(spark, sf):
-    r = cells(spark).where("NOT cell rlike '(?i)^(negative|see .*)$'").select("id", X.parse_range(F.col("cell")).alias("r"))
+    r = cells(spark, sf).where("NOT cell rlike '(?i)^(negative|see .*)$'").select("id", X.parse_range(F.col("cell")).alias("r"))
     return r.select("id", F.col("r.low").alias("low"), F.col("r.high").alias("high"))
 
 
-@query("value_flag", f"""WITH t AS (SELECT id, trim(cell) AS s FROM (VALUES {VALUES}) t(id, cell)) SELECT id, CASE WHEN regexp_matches(s, '(?i)\\bHigh\\b') THEN 'H' WHEN regexp_matches(s, '(?i)\\bLow\\b') THEN 'L' WHEN regexp_matches(s, '(?i)\\bHH\\b') THEN 'HH'
+@query("value_flag", f"""WITH t AS (SELECT id, trim(cell) AS s FROM {_CELLS}) SELECT id, CASE WHEN regexp_matches(s, '(?i)\\bHigh\\b') THEN 'H' WHEN regexp_matches(s, '(?i)\\bLow\\b') THEN 'L' WHEN regexp_matches(s, '(?i)\\bHH\\b') THEN 'HH'
     WHEN regexp_matches(s, '(?i)\\bLL\\b') THEN 'LL' WHEN regexp_matches(s, '(?i)\\bH\\b') THEN 'H' WHEN regexp_matches(s, '(?i)\\bL\\b') THEN 'L' WHEN regexp_matches(s, '(?i)\\bCRITICAL\\b') THEN 'CRITICAL' WHEN regexp_matches(s, '\\*+$') THEN '*' END AS flag FROM t""")
 def value_flag(spark, sf):
-    return cells(spark).select("id", X.value_flag(F.col("cell")).alias("flag"))
+    return cells(spark, sf).select("id", X.value_flag(F.col("cell")).alias("flag"))
 
 
 @query("lab_value")
 def lab_value(spark, sf):
     """Value, unit and flag of a cell; rows only (tests compare with expected values)."""
-    return cells(spark).select("id", X.flagged_value(F.col("cell")).alias("value"), X.value_unit(F.col("cell")).alias("unit"), X.value_flag(F.col("cell")).alias("flag"), X.repair_value(F.col("cell")).alias("repaired"), X.is_numeric(F.col("cell")).alias("numeric"))
+    return cells(spark, sf).select("id", X.flagged_value(F.col("cell")).alias("value"), X.value_unit(F.col("cell")).alias("unit"), X.value_flag(F.col("cell")).alias("flag"), X.repair_value(F.col("cell")).alias("repaired"), X.is_numeric(F.col("cell")).alias("numeric"))
 
 
 @query("normalise_names", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type), '[/:,\\-\\(\\)]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM part")
