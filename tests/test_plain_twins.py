@@ -91,3 +91,18 @@ def test_chunks_of_every_document(spark, sf):
     for r in QUERIES["chunk_documents"](spark, sf).collect():
         got.setdefault(r.doc_id, {})[r["index"]] = r.n_chars
     assert got == {k: dict(enumerate(map(len, retrieval.cut_chunks(t, 2000, 200)))) for k, t in texts.items() if retrieval.cut_chunks(t, 2000, 200)}
+
+
+def test_gates(spark):
+    from tessera.operators import gates as G
+
+    def metadata(name):
+        n = (name or "").lower().strip().replace(" ", "_").replace("-", "_")
+        return bool(name) and (n in G.METADATA or any(p in n for p in G.METADATA_PARTS))
+
+    names = ["Patient Name", "WBC", "", None, " Rh-D type", "Sodium", "Order no", "grid_id", "AB", "abs", "page 2", "Phone"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(G.is_metadata_field(F.col("n")).alias("m")).collect()
+    assert [r.m for r in got] == [metadata(n) for n in names]
+    rows = [(0.85, "default"), (0.84, "x"), (0.7, "human_review"), (0.69, "human_review"), (0.9, None), (None, "default")]
+    assert [r.m for r in spark.createDataFrame(rows, "c double, n string").select(G.meets_threshold(F.col("c"), F.col("n")).alias("m")).collect()] == [True, False, True, False, True, None]
+    assert [r.p for r in spark.createDataFrame([("lab",), ("operative_note",), (None,)], "k string").select(G.processor_of(F.col("k")).alias("p")).collect()] == ["lab", "fallback", "fallback"]
