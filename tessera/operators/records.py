@@ -1,11 +1,12 @@
-"""Names that mean one field, and weighted letter groups of names."""
+"""Names that mean one field, weighted letter groups of names, and texts inside nested records."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Endings that make no other field, and names of one test, the short one first.
 ENDINGS = ["_abs", "_absolute", "_count", "_level", "_result"]
@@ -75,3 +76,28 @@ def weighted_groups(texts: DataFrame, text: str) -> DataFrame:
     w = g.join(held, "gram").join(F.broadcast(total)).withColumn("w", F.col("n") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1))
     size = w.groupBy(text).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     return w.join(size, text).select(text, "gram", (F.col("w") / F.col("size")).alias("weight"))
+
+
+def plain_nested(value: Column, kind: DataType, clean: Callable[[Column], Column], top: bool = True) -> Column:
+    """A value of any type with `clean` applied to every text inside it, however deep: in structs, maps (their values) and arrays of either.
+
+    The type's own shape is followed, so the result has the same type. An array of texts is left as it is where it stands at the top (a list of a section), and cleaned within a record.
+    Other values, map keys and nulls stay.
+    """
+    if isinstance(kind, StringType):
+        return clean(value)
+    if isinstance(kind, StructType):
+        fields = [plain_nested(value[f.name], f.dataType, clean, False).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, v: plain_nested(v, kind.valueType, clean, False))
+    if isinstance(kind, ArrayType):
+        if top and isinstance(kind.elementType, (StringType, ArrayType)):
+            return value
+        return F.transform(value, lambda x: plain_nested(x, kind.elementType, clean, False))
+    return value
+
+
+def plain_sections(rows: DataFrame, columns: Sequence[str], clean: Callable[[Column], Column]) -> DataFrame:
+    """`rows` with the sections in `columns` cleaned by `plain_nested`."""
+    return rows.withColumns({c: plain_nested(F.col(c), rows.schema[c].dataType, clean) for c in columns})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import records as R
 from tessera.plans.registry import query, table
 
@@ -28,3 +29,18 @@ def same_fields(spark, sf):
 def letter_group_weights(spark, sf):
     w = R.weighted_groups(table(spark, sf, "part").select(F.col("p_name").alias("name")), "name")
     return w.select("name", "gram", F.round("weight", 6).alias("weight"))
+
+
+# Sections of every order: a text, a list of texts, a list of records with lists of their own, and a record with a map.
+SECTIONS = """struct(concat(o_orderpriority, ' (2)') AS note, array(concat(o_orderstatus, '**')) AS tags, array(named_struct('name', concat('WBC', CAST(o_orderkey % 30 AS STRING)), 'codes', array('B12', ' K* '), 'n', o_custkey)) AS tests,
+    named_struct('by', concat(o_orderstatus, '_7'), 'more', map('k(1)', 'Hgb [3]', 'z', NULL)) AS head) AS s"""
+_strip = lambda c: f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({c}), '\\s*[\\(\\[]\\d+[\\)\\]]$', ''), '\\s*\\*+$', ''), '_\\d{{1,2}}$', ''), '([a-zA-Z])\\d{{1,2}}$', '\\1'), '\\s*\\d{{1,2}}$', ''), '\\s+$', '')"
+
+
+@query("sections_cleaned", f"""SELECT o_orderkey, {_strip("o_orderpriority || ' (2)'")} AS note, o_orderstatus || '**' AS tag, {_strip("'WBC' || (o_orderkey % 30)")} AS test, 'B,K' AS codes, o_custkey AS n, {_strip("o_orderstatus || '_7'")} AS by_whom, 'Hgb' AS more FROM orders""")
+def sections_cleaned(spark, sf):
+    """Footnote marks taken off all texts inside every order's sections, however deep; a section that is a list of texts stays."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.expr(SECTIONS)).select("o_orderkey", "s.*")
+    d = R.plain_sections(rows, ["note", "tags", "tests", "head"], X.strip_footnotes)
+    test = F.get("tests", F.lit(0))
+    return d.select("o_orderkey", "note", F.get("tags", F.lit(0)).alias("tag"), test["name"].alias("test"), F.array_join(test["codes"], ",").alias("codes"), test["n"].alias("n"), F.col("head.by").alias("by_whom"), F.col("head.more")["k(1)"].alias("more"))

@@ -106,3 +106,16 @@ def test_gates(spark):
     rows = [(0.85, "default"), (0.84, "x"), (0.7, "human_review"), (0.69, "human_review"), (0.9, None), (None, "default")]
     assert [r.m for r in spark.createDataFrame(rows, "c double, n string").select(G.meets_threshold(F.col("c"), F.col("n")).alias("m")).collect()] == [True, False, True, False, True, None]
     assert [r.p for r in spark.createDataFrame([("lab",), ("operative_note",), (None,)], "k string").select(G.processor_of(F.col("k")).alias("p")).collect()] == ["lab", "fallback", "fallback"]
+
+
+def test_nested_sections_keep_their_type(spark):
+    from tessera.operators.records import plain_sections
+
+    kind = "t string, l array<string>, r array<struct<a:string,b:array<string>,c:map<string,array<struct<d:string>>>,n:int>>, e struct<>, m map<string,string>"
+    row = ("x (1)", ["K*"], [("Na†", ["Ca‡", None], {"k_1": [("Mg_2",), None]}, 5), None], (), {"y**": "z**"})
+    d = spark.createDataFrame([row, (None,) * 5], kind)
+    got = plain_sections(d, d.columns, X.strip_footnotes)
+    assert [f.dataType.simpleString() for f in got.schema] == [f.dataType.simpleString() for f in d.schema]
+    a, b = got.collect()
+    assert a.t == "x" and a.l == ["K*"] and a.r[0].a == "Na" and a.r[0].b == ["Ca", None] and a.r[0].c["k_1"][0].d == "Mg" and a.r[0].c["k_1"][1] is None and a.r[1] is None and a.m == {"y**": "z"}
+    assert tuple(b) == (None,) * 5
