@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lookup as L
 from tessera.operators import medications as M
+from tessera.operators import strengths as G
 from tessera.plans.registry import query, table
 from tessera.sources.shared import written
 
@@ -96,3 +97,24 @@ def prescription_issues(spark, sf):
 @query("prescriptions_judged", f"WITH {_ISSUES} SELECT o_orderkey AS doc, coalesce(e, 0) = 0 AS is_valid, coalesce(e, 0) AS n_errors, coalesce(w, 0) AS n_warnings FROM orders LEFT JOIN (SELECT doc, count_if(kind = 'error') AS e, count_if(kind = 'warning') AS w FROM i GROUP BY 1) ON doc = o_orderkey")
 def prescriptions_judged(spark, sf):
     return M.prescriptions_judged(table(spark, sf, "orders").selectExpr("o_orderkey AS doc"), issues(spark, sf))
+
+
+# What is asked of each part: its own size as a strength, spoiled in some ways; the names of the dictionary carry strengths, some codes have a list.
+_SAID = "concat(CASE p_partkey % 5 WHEN 0 THEN 'Z' ELSE '' END, CAST(p_size % 30 AS {text}), CASE p_partkey % 6 WHEN 0 THEN ' MG' WHEN 1 THEN 'mg' WHEN 2 THEN ' my' WHEN 3 THEN ' mcg' WHEN 4 THEN '' ELSE ' MG x' END)"
+_TEXT = "concat(p_name, ' ', CAST(p_size % 12 AS {text}), CASE WHEN p_partkey % 2 = 0 THEN ' MG' ELSE ' mcg' END, ' tablet')"
+_KIND = "CASE p_size % 3 WHEN 0 THEN 'SCD' WHEN 1 THEN 'SBD' ELSE 'IN' END"
+_read = r"""regexp_replace(regexp_replace(trim(CASE WHEN g.n <> '' THEN replace(replace(replace(replace(replace(g.n, 'Z', '2'), 'O', '0'), 'L', '1'), 'I', '1'), 'S', '5') || ' ' || CASE WHEN g.u = 'MY' THEN 'MG' ELSE g.u END || g.r ELSE up END), '\s+', ' ', 'g'), '(\d+)(MG|MCG|G|ML|%)', '\1 \2', 'g')"""
+
+
+@query("strengths_validated", rf"""WITH e AS (SELECT p_partkey % 400 AS code, {_TEXT.format(text='VARCHAR')} AS text, {_KIND} AS kind FROM part), o AS (SELECT DISTINCT p_partkey % 400 AS code, (p_size % 20) || ' MG' AS strength, p_size % 20 AS number FROM part WHERE p_partkey % 400 < 150),
+    b AS (SELECT code, split_part(min(lower(text)), ' ', 1) AS word FROM e WHERE code NOT IN (SELECT code FROM o) GROUP BY 1), n AS (SELECT DISTINCT split_part(lower(text), ' ', 1) AS word, regexp_extract(text, '(?i)(\d+(?:\.\d+)?)\s*(MG|MCG|G|ML|%)', 1) AS n, upper(regexp_extract(text, '(?i)(\d+(?:\.\d+)?)\s*(MG|MCG|G|ML|%)', 2)) AS unit FROM e WHERE kind IN ('SCD', 'SBD')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY number, strength) AS place FROM (SELECT code, strength, number::DOUBLE AS number FROM o UNION ALL SELECT DISTINCT code, n || ' ' || unit, n::DOUBLE FROM b JOIN n USING (word))),
+    a AS (SELECT DISTINCT p_partkey % 400 AS code, {_SAID.format(text='VARCHAR')} AS strength FROM part), s AS (SELECT *, {_read} AS said FROM (SELECT *, upper(trim(strength)) AS up, regexp_extract(upper(trim(strength)), '^([A-Z\d.]+)\s*(MG|MY|MCG|G|ML|%|UNIT|UNITS)?(.*)$', ['n', 'u', 'r']) AS g FROM a)),
+    m AS (SELECT s.code, s.strength, place, CASE WHEN said = k.strength THEN 0.2 WHEN TRY_CAST(regexp_extract(said, '([\d.]+)', 1) AS DOUBLE) = TRY_CAST(regexp_extract(k.strength, '([\d.]+)', 1) AS DOUBLE) THEN CASE WHEN (contains(said, 'MG') AND contains(k.strength, 'MG')) OR (contains(said, 'MCG') AND contains(k.strength, 'MCG')) THEN 0.18 ELSE 0.1 END END::DOUBLE AS boost FROM s JOIN k ON s.code = k.code),
+    h AS (SELECT code, strength, arg_min(boost, place) AS boost FROM m WHERE boost IS NOT NULL GROUP BY 1, 2) SELECT code, strength, boost IS NOT NULL AS valid, coalesce(boost, 0)::DOUBLE AS boost FROM a LEFT JOIN h USING (code, strength)""")
+def strengths_validated(spark, sf):
+    """Whether the strengths asked for are ones that their codes are made in."""
+    p = table(spark, sf, "part")
+    entries = p.selectExpr("p_partkey % 400 AS code", f"{_TEXT.format(text='STRING')} AS text", f"{_KIND} AS kind")
+    dosages = p.where("p_partkey % 400 < 150").selectExpr("p_partkey % 400 AS code", "concat(CAST(p_size % 20 AS STRING), ' MG') AS strength")
+    return G.validated_strengths(p.selectExpr("p_partkey % 400 AS code", f"{_SAID.format(text='STRING')} AS strength"), G.known_strengths(dosages, entries))

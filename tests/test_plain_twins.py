@@ -119,3 +119,41 @@ def test_nested_sections_keep_their_type(spark):
     a, b = got.collect()
     assert a.t == "x" and a.l == ["K*"] and a.r[0].a == "Na" and a.r[0].b == ["Ca", None] and a.r[0].c["k_1"][0].d == "Mg" and a.r[0].c["k_1"][1] is None and a.r[1] is None and a.m == {"y**": "z"}
     assert tuple(b) == (None,) * 5
+
+
+def test_strengths(spark):
+    from tessera.operators import strengths as G
+
+    entries = [(1, "Atenolol", "IN"), (1, "atenolol tab", "BN"), (2, "zolpidem", "IN"), (3, "atenolol 50 MG Oral Tablet", "SCD"), (4, "ATENOLOL 25.5 mcg tablet", "SBD"), (5, "atenolol 50mg extra", "SCD"), (6, "atenololx 7 MG", "SCD"), (7, "lone 5", "IN")]
+    dosages = [(2, "10 MG"), (2, "5 MG"), (2, "10 MG"), (2, None), (2, "5 MCG")]
+    known = G.known_strengths(spark.createDataFrame(dosages, "code int, strength string"), spark.createDataFrame(entries, "code int, text string, kind string"))
+    lists = {}
+    for r in known.orderBy("code", "place").collect():
+        lists.setdefault(r.code, []).append(r.strength)
+    assert lists[1] == ["25.5 MCG", "50 MG"] and lists[2] == ["5 MCG", "5 MG", "10 MG"] and 7 not in lists and lists[6] == ["7 MG"]
+
+    def plain(code, said):
+        if not said or code not in lists:
+            return False, 0.0
+        up = said.upper().strip()
+        if m := re.match(r"^([A-Z\d.]+)\s*(MG|MY|MCG|G|ML|%|UNIT|UNITS)?(.*)$", up, re.I):
+            n, unit, rest = m.group(1), m.group(2) or "", m.group(3) or ""
+            for a, b in G.DIGITS:
+                n = n.replace(a, b)
+            up = n + " " + ("MG" if unit == "MY" else unit) + rest
+        else:
+            for a, b in G.DIGITS + G.MORE_SIGNS:
+                up = up.replace(a, b)
+        s = re.sub(r"(\d+)(MG|MCG|G|ML|%)", r"\1 \2", re.sub(r"\s+", " ", up.strip()))
+        for k in lists[code]:
+            if s == k:
+                return True, 0.20
+            x, y = re.search(r"([\d.]+)", s), re.search(r"([\d.]+)", k)
+            if x and y and float(x.group(1)) == float(y.group(1)):
+                return True, 0.18 if ("MG" in s and "MG" in k) or ("MCG" in s and "MCG" in k) else 0.10
+        return False, 0.0
+
+    said = ["50 MG", "50mg", "5O mg", "Z5.5 mcg", "50", "50 ml", "5 MG", "1O MY", "(5 my)", "", None, "abc", "10 mg x"]
+    asked = [(c, s) for c in (1, 2, 6, 9) for s in said]
+    got = {(r.code, r.strength): (r.valid, r.boost) for r in G.validated_strengths(spark.createDataFrame(asked, "code int, strength string"), known).collect()}
+    assert got == {(c, s): plain(c, s) for c, s in asked}
