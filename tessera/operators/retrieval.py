@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +22,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms))
 
 
-def similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, least: float = 0.6, block: int = 20_000) -> DataFrame:
-    """Each query's k most similar other rows with similarity of at least `least`.
+def _nearest(asked: pa.Table, rows: pa.Table, k: int, least: float, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of rows, and similarities, of each query's k best of these rows.
 
-    `queries` is a stated set of rows. It is broadcast against every row in blocks of about `block` of them, so what is broadcast is bounded
-    however many there are; norms are taken once a row, and a task's winners are cut to k before the shuffle.
+    Products of matrices tell which rows can be among them; of those the similarity is added up component by component, in their order, so that it does not depend on
+    what a row is compared beside and copies tie. Ties go to the smaller key; a similarity that is no number is over all others.
     """
-    blocks = max(-(-queries.count() // block), 1)
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    every = rows.select(key, F.col(vector).alias("__v"), norm(vector).alias("__nv"))
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(vector).alias("__nq"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b"))
-    lengths = F.col("__nv") * F.col("__nq")
-    alike = F.when(F.size("__v") == F.size("__q"), F.when(lengths == 0, 0.0).otherwise(dot(F.col("__q"), F.col("__v")) / lengths))
-    s = None
-    for i in range(blocks):
-        one = every.join(F.broadcast(asked.where(F.col("__b") == i)), F.col("query") != F.col(key)).select("query", key, alike.alias("similarity")).where(F.col("similarity") >= least)
-        s = one if s is None else s.unionByName(one)
+    _, ids = np.unique(np.concatenate([t["key"].to_numpy() for t in (asked, rows)]), return_inverse=True)
+    q_ids, v_ids = ids[: len(asked)], ids[len(asked) :]
+    sizes = [pc.list_value_length(t["vector"]).to_numpy() for t in (asked, rows)]
+    out = []
+    for size in np.intersect1d(*sizes):
+        at = [np.flatnonzero(s == size) for s in sizes]
+        q, v = (pc.list_flatten(t["vector"].take(pa.array(i))).to_numpy().astype("float64").reshape(len(i), size).T.copy() for t, i in zip((asked, rows), at))
+        qn, vn = (np.sqrt(sum((x * x for x in m), np.zeros(m.shape[1]))) for m in (q, v))
+        for start in range(0, q.shape[1], chunk):
+            part = slice(start, start + chunk)
+            lengths = qn[part, None] * vn
+            about = np.where(lengths == 0, 0.0, (q[:, part].T @ v) / np.where(lengths == 0, 1.0, lengths))
+            about[np.isnan(about)] = np.inf
+            about[q_ids[at[0][part], None] == v_ids[at[1]]] = -np.inf
+            bar = np.partition(about, -k, axis=1)[:, -k] if about.shape[1] > k else np.full(len(about), -np.inf)
+            i, j = np.nonzero(about >= np.maximum(bar, least)[:, None] - 1e-9)
+            i += start
+            dot = sum((x[i] * y[j] for x, y in zip(q, v)), np.zeros(len(i)))
+            length = qn[i] * vn[j]
+            alike = np.where(length == 0, 0.0, dot / np.where(length == 0, 1.0, length))
+            fits = ~(alike < least)
+            out.append((at[0][i[fits]], at[1][j[fits]], alike[fits]))
+    if not out:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    i, j, alike = map(np.concatenate, zip(*out))
+    order = np.lexsort((v_ids[j], np.where(np.isnan(alike), -np.inf, -alike), i))
+    i, j, alike = i[order], j[order], alike[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[best], j[best], alike[best]
+
+
+def similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 3, least: float = 0.6, block: int = 8192) -> DataFrame:
+    """Each query's k most similar other rows with similarity of at least `least`: query, key, similarity, rank.
+
+    `queries` is a stated set of rows. Every block of about `block` rows meets every block of as many queries, so the work is queries x rows, by products of matrices, and a
+    task holds one block of either, however many there are; a block's winners are cut to k before the shuffle. Vectors that are null or hold nulls are like nothing.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    usable = lambda d: d.where(F.col(key).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    every, asked = usable(rows), usable(queries)
+    n, m = (max(-(-d.count() // block), 1) for d in (every, asked))
+    into = lambda parts: F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = asked.select("key", "vector", into(m).alias("asked_in"), all_of(n).alias("held_in"))
+    right = every.select("key", "vector", all_of(m).alias("asked_in"), into(n).alias("held_in"))
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        with np.errstate(all="ignore"):
+            i, j, alike = _nearest(q, v, k, least)
+        return pa.table({"query": q["key"].take(pa.array(i)), key: v["key"].take(pa.array(j)), "similarity": pa.array(alike, pa.float64(), from_pandas=False)})
+
+    cells = left.groupBy("asked_in", "held_in").cogroup(right.groupBy("asked_in", "held_in"))
+    s = cells.applyInArrow(run, f"query {kind}, {key} {kind}, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,5 +1,6 @@
 """Column functions against expected values; sources, sinks and streams against small files."""
 
+import math
 import random
 import re
 
@@ -199,3 +200,26 @@ def test_finding_words_end_at_ascii_edges(spark):
     notes = spark.createDataFrame([(1, "ñque"), (2, "que\u00e9 x"), (3, "aque"), (4, "la QUE, no"), (5, r"\bque")], "d int, t string")
     got = R.enrich_findings(notes, "d", "t", [("watch", r"\bque\b")], [("slash", r"\\bq")], [("again", "x")])
     assert [(r["d"], r["critical"], r["n_places"]) for r in got.orderBy("d").collect()] == [(1, "watch", 0), (2, "watch", 0), (3, "", 0), (4, "watch", 0), (5, "", 1)]
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_similar_by_blocks(spark, block):
+    """The same as by comparing all, with copies, zero and short vectors, nulls and numbers that are none; blocks meet by key and nothing is joined without one."""
+    rng = random.Random(5)
+    vectors = [[float(rng.randint(-3, 3)) for _ in range(4)] for _ in range(40)] * 2 + [[0.0] * 4, [1.0, 2.0], [2.0, 4.0], None, [1.0, None, 2.0, 0.0], [float("nan"), 1.0, 1.0, 1.0], []]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>")
+    got = retrieval.similar(rows, rows.where("id % 3 = 0 or id > 79"), "id", "v", 3, 0.2, block)
+
+    def cosine(a, b):
+        lengths = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return 0.0 if lengths == 0 else sum(x * y for x, y in zip(a, b)) / lengths
+
+    known = {i: v for i, v in enumerate(vectors) if v is not None and None not in v}
+    want = []
+    for q in (i for i in known if i % 3 == 0 or i > 79):
+        near = [(s, i) for i, v in known.items() if i != q and len(v) == len(known[q]) and not (s := cosine(known[q], v)) < 0.2]
+        near.sort(key=lambda x: (-math.inf if math.isnan(x[0]) else -x[0], x[1]))
+        want += [(q, i, repr(s), n) for n, (s, i) in enumerate(near[:3], 1)]
+    assert sorted((r["query"], r["id"], repr(r["similarity"]), r["rank"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
