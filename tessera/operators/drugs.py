@@ -70,11 +70,11 @@ def candidates(names: DataFrame, entries: DataFrame) -> DataFrame:
     """(name, code, text, kind): one entry a code, of the first generator that proposes it.
 
     Same first letter and about the same length; same ending and about the same length; a misreading of the name; common beta blockers
-    for names in "ol". Each is an equi-join and none is cut off. Of several entries of a code in one generator the least text stands.
+    for names in "ol". Each is an equi-join and none is cut off. Of several entries of a code in one generator the least text stands, so entries that are alike are met once.
     """
     most, size = edits_allowed(F.col("name")), F.length("name")
     n = names.where(size >= 4).select("name", F.explode(F.sequence(F.greatest(F.lit(3), size - most), size + most + 4)).alias("length"), F.substring("name", 1, 1).alias("first"), ending(F.col("name")).alias("end"))
-    e = entries.select("code", F.lower("text").alias("text"), "kind").where("text is not null").withColumn("length", F.length("text"))
+    e = entries.select("code", F.lower("text").alias("text"), "kind").where("text is not null").distinct().withColumn("length", F.length("text"))
     usual = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
     lettered = n.join(e.withColumn("first", F.substring("text", 1, 1)), ["first", "length"]).select("name", F.when(usual | F.coalesce(F.col("kind").isin("GPCK", "BPCK"), F.lit(False)), 1).otherwise(6).alias("step"), "code", "text", "kind")
     ends = F.filter(F.array(*map(F.lit, ENDINGS)), lambda x: F.endswith("text", x))

@@ -53,3 +53,14 @@ def test_pathology_reasons(spark):
     assert (got[1].stage_t, got[1].stage_m, got[1].margin, got[1].reasons) == ("2", "1", "negative", "metastatic_disease")
     assert (got[2].diagnoses, got[2].reasons, got[2].confidence, got[2].margin) == ("", "", 0.5, None)
     assert (got[3].adequacy, got[3].diagnoses, got[3].reasons) == ("inadequate", "Squamous cell carcinoma", "inadequate_specimen,malignancy_detected")
+
+
+def test_drug_entries_alike_are_met_once(spark):
+    """Copies of an entry are taken together before names meet them, and change only how popular a code is."""
+    names = spark.createDataFrame([("metforrnin",), ("tenolol",)], "name string")
+    entries = spark.createDataFrame([(1, "Metformin", "IN"), (1, "metformin", "SCD"), (2, "atenolol", None), (3, None, "IN")], "code long, text string, kind string")
+    many = entries.crossJoin(spark.range(50).select())
+    one, copies = (D.candidates(names, e) for e in (entries, many))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, copies.collect())) == [("metforrnin", 1, "metformin", "IN"), ("tenolol", 2, "atenolol", None)]
+    plan = copies._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") > 2
