@@ -157,6 +157,14 @@ STREET = r"(?i)\b(\d+\s+[A-Za-z\s]+(?:RD|ROAD|ST|STREET|AVE|AVENUE|DR|DRIVE|CRES
 CITY = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?),\s*([A-Z]{2})\s+([A-Z]\d[A-Z]\s*\d[A-Z]\d)\b"
 
 
+def _whole_number(pattern: str) -> str:
+    """The pattern of ADDRESS so that its number is only tried whole: from its first digit (or where the last match ended) and with all of its digits.
+
+    A match from a later digit or with fewer of them would be one with all of them too, so the matches are the same; tried one by one they take a time that grows with the digits' number cubed.
+    """
+    return pattern.replace(r"(\d+(?:", r"(?:(?<!\d)|\G)(\d++(?:", 1)
+
+
 def _all(text: Column, field: Column | str, pattern: str, group: int = 0) -> Column:
     name = F.lit(field) if isinstance(field, str) else field
     return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group)), lambda v: F.struct(name.alias("name"), v.alias("value")))
@@ -172,7 +180,7 @@ def shown_fields(text: Column) -> Column:
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
     labelled = F.zip_with(*pair, lambda label, value: F.struct(label.alias("name"), strip(F.get(F.split(value, r"(?U)\s+[A-Z][a-z]+\s*[/:]"), F.lit(0))).alias("value")))
     places = F.flatten(F.transform(F.arrays_zip(*[F.regexp_extract_all(text, F.lit("(?U)" + CITY), F.lit(k)).alias(c) for k, c in ((1, "city"), (2, "province"), (3, "postal_code_extracted"))]), lambda p: F.array(*[F.struct(F.lit(c).alias("name"), p[c].alias("value")) for c in ("city", "province", "postal_code_extracted")])))
-    every = F.concat(*[_all(text, f, p) for f, p in STANDALONE], labelled, _all(text, "address", ADDRESS, 1), _all(text, "street_address", STREET, 1), places)
+    every = F.concat(*[_all(text, f, p) for f, p in STANDALONE], labelled, _all(text, "address", _whole_number(ADDRESS), 1), _all(text, "street_address", STREET, 1), places)
 
     def plain(x: Column) -> Column:
         name = F.substring(F.regexp_replace(F.translate(F.lower(strip(x["name"])), " /", "__"), "[^a-z0-9_]", ""), 1, 50)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import metadata as D
 from tessera.operators import classify as C
 from tessera.plans.registry import query, table
+from tessera.sources.shared import spread
 
 quote = lambda s: "'" + s.replace("'", "''") + "'"
 found = lambda p, g=1, t="t": f"nullif(regexp_extract({t}, {quote('(?i)' + p)}, {g}), '')"
@@ -41,7 +42,7 @@ _SIGNED = "coalesce(" + ", ".join(f"CASE WHEN {found(p + D.SIGNED)} IS NOT NULL
 def report_metadata(spark, sf):
     """Patient, specimen, report and signature of a report about every customer."""
     t = F.col("t")
-    r = table(spark, sf, "customer").select("c_custkey", F.expr(REPORT.replace("{text}", "STRING")).alias("t"))
+    r = spread(table(spark, sf, "customer")).select("c_custkey", F.expr(REPORT.replace("{text}", "STRING")).alias("t"))
     m = r.select("c_custkey", D.patient(t, F.lit("2025-06-15").cast("date")).alias("p"), D.specimen(t).alias("s"), D.report(t, t).alias("r"), D.practitioner(t, D.PHYSICIAN).alias("d"))
     signed = F.concat("d.name", F.lit("/"), F.coalesce("d.credentials", F.lit("")))
     return m.select("c_custkey", "p.name", "p.birth_date", "p.age", "p.sex", "p.id", "p.confidence", "s.accession", "s.collected", "r.reported", "r.status", "r.pages", signed.alias("signed"))
@@ -62,7 +63,7 @@ _streets = ", ".join(f"list_transform(regexp_extract_all(t, {quote(p)}, 1), lamb
     SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1 AS INTEGER) AS pos, field, value FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey, field, substr(value, 1, 50) ORDER BY i) AS k FROM p WHERE length(field) > 4 AND length(value) >= 2) WHERE k = 1""")
 def shown_fields(spark, sf):
     """All fields that a letter to every customer shows."""
-    letters = table(spark, sf, "customer").select("c_custkey", F.expr(LETTER.replace("{text}", "STRING")).alias("t"))
+    letters = spread(table(spark, sf, "customer")).select("c_custkey", F.expr(LETTER.replace("{text}", "STRING")).alias("t"))
     return letters.select("c_custkey", F.posexplode(D.shown_fields(F.col("t")))).select("c_custkey", "pos", "col.field", "col.value")
 
 

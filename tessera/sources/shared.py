@@ -33,3 +33,9 @@ def written(df: DataFrame, label: str = "t", *by: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as a shuffle has, for rows that take long each: a small compressed file holds many of them and is read by one or two tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))

@@ -1,5 +1,6 @@
 """Report metadata, fields of unknown documents and vendor templates against plain Python patterns."""
 
+import random
 import re
 from datetime import date
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import metadata as D
 from tessera.operators import classify as C
+from tessera.sources.shared import spread
 
 TEXTS = [
     "Patient Name: Mary Ann O'Neil-Smith\nDOB: 03/07/1980  Sex: Female\nMRN: AB12345\nAge: 45 years\nOrdering Physician: John Q. Public, M.D.\nNPI: 1234567890\nCollected: 2024-01-05 Received: Jan 6, 2024\nAccession #: X-99-1234\nFasting: yes\nSpecimen Type: Serum\nReport Date: 1/7/24\nPage 1 of 3\nOrder Number: ORD-778899\nLaboratory Director: Jane Roe, Ph.D.\nLabCorp CLIA #: 34D0655059 Phone: (555) 123-4567",
@@ -164,3 +166,15 @@ def test_templates_are_used_or_left(spark):
     d = spark.createDataFrame(list(enumerate(REPORTS)), "i int, t string").select("i", C.matched_template(F.col("t"), TEMPLATES, F.when(F.col("i") == 1, F.struct(F.lit("zeta").alias("template"), F.lit("Zeta").alias("vendor"), F.lit(0.8).alias("confidence")))).alias("m")).orderBy("i").collect()
     assert [x.m.decision for x in d] == ["use_template" if plain_score(REPORTS[0], TEMPLATES[0]) >= 0.85 else "use_medgemma", "use_template", "use_medgemma", "use_medgemma", "use_medgemma", "use_medgemma"]
     assert d[1].m.template == "zeta" and d[1].m.confidence in (0.8, pytest.approx(plain_score(REPORTS[1], TEMPLATES[1]))) and d[3].m.template is None
+
+
+def test_addresses_try_numbers_whole(spark):
+    """The pattern of whole numbers finds what ADDRESS finds, also right after a match, and letters are spread over tasks."""
+    rng = random.Random(3)
+    parts = ["12", "1-", "7 - 8B", "12345", " ", "\n", "Long Way", "Street", "St", ", ", "Comox", "BC", " V8V 1A1", "V1N 8R9", ",", "9", "A"]
+    texts = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(300)] + ["22 Long Way Street, Comox, BC V8V 1A1", "1-2 A Street, X y, BC V8V1A1234 Low St, Up, BC V1N 8R9 5 A Rd, B, BC V1N 8R9"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    whole = D._whole_number(D.ADDRESS)
+    old, new = (F.regexp_extract_all("t", F.lit("(?U)" + p), F.lit(1)) for p in (D.ADDRESS, whole))
+    assert whole != D.ADDRESS and t.where(~old.eqNullSafe(new)).count() == 0 and t.where(F.size(new) == 3).count() == 1
+    assert spread(t.coalesce(1)).rdd.getNumPartitions() >= 4
