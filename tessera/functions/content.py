@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 # Names that are no tests, and words that make one.
 NO_TEST = [r"(test|result|value|unit|reference|range|flag|status|date|time)s?", r"(patient|name|dob|id|mrn|specimen|collected|received)", r"(page|of|\d+)", r"\s*", r"-+", r"=+"]
 TEST_WORDS = [
@@ -70,10 +72,18 @@ def medical_signals(text: Column) -> Column:
     return F.when((F.length(text) < 50) | (words < 10), 0).otherwise(_hits(text, MEDICAL))
 
 
+def medical_gate(text: Column) -> Column:
+    """struct(signals, medical): `medical_signals`, and whether there are two and no more signals of another kind than that; each list is looked for once, the other kinds only with two signals."""
+
+    def told(n: Column) -> Column:
+        return F.struct(n.alias("signals"), F.when(n >= 2, _hits(text, OTHER) <= n).otherwise(F.lit(False)).alias("medical"))
+
+    return let(medical_signals(text), told)
+
+
 def is_medical(text: Column) -> Column:
     """Two signals, and no more signals of another kind than that."""
-    n = medical_signals(text)
-    return F.coalesce((n >= 2) & (_hits(text, OTHER) <= n), F.lit(False))
+    return medical_gate(text)["medical"]
 
 
 def is_oncology(text: Column) -> Column:

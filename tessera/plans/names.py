@@ -106,7 +106,8 @@ OTHERS = " + ".join(f"{word_sql(w)}::INT" for w in C.OTHER)
 
 @query("medical_gate", f"""WITH s AS (SELECT doc_id, CASE WHEN length(text) < 50 OR len({WORDS}) < 10 THEN 0 ELSE {SIGNALS} END AS n, {OTHERS} AS other FROM documents) SELECT doc_id, n::INTEGER AS signals, n >= 2 AND other <= n AS medical FROM s""")
 def medical_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", C.medical_signals(F.col("text")).cast("int").alias("signals"), C.is_medical(F.col("text")).alias("medical"))
+    d = table(spark, sf, "documents").select("doc_id", C.medical_gate(F.col("text")).alias("g"))
+    return d.select("doc_id", F.col("g.signals").cast("int").alias("signals"), F.col("g.medical").alias("medical"))
 
 
 @query("oncology_gate", "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in C.ONCOLOGY) + " AS oncology FROM documents")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.functions import content as C
 from tessera.functions import prescriptions as P
 from tessera.functions import text as X
 from tessera.operators import reports as R
@@ -223,3 +224,12 @@ def test_similar_by_blocks(spark, block):
     assert sorted((r["query"], r["id"], repr(r["similarity"]), r["rank"]) for r in got.collect()) == sorted(want)
     plan = got._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_medical_gate_looks_for_each_list_once(spark):
+    long = "about us, our products, welcome to the meeting room; all rights reserved since then, "
+    texts = [long + "the clinic", long + "patient at the clinic", long + "patient, clinic, blood test", "patient clinic blood", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", C.medical_gate(F.col("t")).alias("g"))
+    assert [tuple(r.g) for r in d.orderBy("i").collect()] == [(1, False), (2, False), (3, True), (0, False), (None, False)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(x) == 1 for x in C.MEDICAL + C.OTHER)
