@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import records as R
 from tessera.plans.registry import query, table
+from tessera.sources.shared import spread
 
 FIELDS = ["WBC", "white blood cell count", "Leukocytes", "HGB", "hemoglobin", "MCV", "mean-cell-volume", "Neutrophils abs", "neutrophils", "glucose level", "Glucose", "Creatinine", "sodium", "K", "potassium", "ast", "unlike", "platelet count"]
 LIST = "[" + ", ".join(f"'{f}'" for f in FIELDS) + "]"
@@ -19,7 +20,7 @@ LIKE = lambda c: f"len(list_filter(g, lambda x: contains({c}, x) OR contains(x,
     SELECT p_partkey, a, b, x1 = x2 OR {BARE('x1')} = {BARE('x2')} OR len(list_filter({GROUPS}, lambda g: {LIKE('x1')} AND {LIKE('x2')})) > 0 AS same FROM f""")
 def same_fields(spark, sf):
     names = F.array(*map(F.lit, FIELDS))
-    n = table(spark, sf, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(FIELDS)).cast("int")).alias("a"), F.get(names, (F.col("p_size") % len(FIELDS)).cast("int")).alias("b"))
+    n = spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", F.get(names, (F.col("p_partkey") % len(FIELDS)).cast("int")).alias("a"), F.get(names, (F.col("p_size") % len(FIELDS)).cast("int")).alias("b"))
     return n.select("p_partkey", "a", "b", R.same_field(F.col("a"), F.col("b")).alias("same"))
 
 

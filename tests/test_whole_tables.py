@@ -106,3 +106,8 @@ def test_cache_expire_rounds_now(spark, tmp_path):
         c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/x/events.parquet/*.parquet')")
         want = sorted(c.execute(entry.oracle_sql()["cache_expire"]).fetchall())
         assert sorted(tuple(r) for r in entry.queries()["cache_expire"](spark, f"{sf}/x").collect()) == want and 0 < len(want) < len(rows)
+
+
+def test_same_fields_are_spread(spark, sf):
+    """A small file of many rows is not left to one task."""
+    assert entry.queries()["same_fields"](spark, sf).rdd.getNumPartitions() >= 4
