@@ -100,9 +100,10 @@ def likely_drugs(names: DataFrame, find: Callable[[DataFrame], DataFrame]) -> Da
     """(name, valid, code, told_by) of each distinct name: vetoed names are not valid; a name whose drug name or, failing that, whose whole text the dictionary has is; so is
     one that looks like a drug. told_by: veto, dictionary, look or nothing. `find` gives (name, code) of the lower-case names that the dictionary has.
 
-    Both spellings go through the dictionary in one pass, each once; the drug's own name wins.
+    Both spellings go through the dictionary in one pass, each once; the drug's own name wins. The names with what they look like are written out, as they are read twice.
     """
     n = names.select("name").where("name is not null").distinct().select("name", vetoed(F.col("name")).alias("veto"), looks_like_drug(F.col("name")).alias("look"))
+    n = written(n, "judged")
     spelt = n.where("not veto").select(F.col("name").alias("said"), F.posexplode(F.array(F.lower(F.trim(drug_name(F.col("name")))), F.lower(F.trim("name")))).alias("rank", "name"))
     got = find(spelt.select("name").distinct()).select("name", "code")
     best = spelt.join(got, "name").groupBy(F.col("said").alias("name")).agg(F.min_by("code", F.struct("rank", "code")).alias("code"))
