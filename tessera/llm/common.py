@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,11 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[pa.ChunkedArray]:
+    """The columns of a table of bounded size, brought to the driver as Arrow arrays: `collect` would make objects of every row, in the JVM and in Python."""
+    return df.toArrow().columns
+
+
 def least_hashed(rows: DataFrame, key: str, most: int, row_id: str = "doc_id") -> DataFrame:
     """Of the distinct `rows`, the `most` of each key of least hashed id (there are few keys).
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_materialized, hash_words, materialize, mix, release, slices, text_bytes, window_hashes
+from tessera.llm.common import columns, drop_materialized, hash_words, materialize, mix, release, slices, text_bytes, window_hashes
 from tessera.llm.components import components, forest
 
 BUCKET_BITS = 19
@@ -118,8 +118,8 @@ def summaries(docs: DataFrame, n: int, row_id: str, text: str) -> DataFrame:
 def rarity(summary: DataFrame) -> np.ndarray:
     """The rank in the rare-first order of each bucket of shingles."""
     count = np.zeros(1 << BUCKET_BITS)
-    for r in summary.where("id is null").groupBy("k1").agg(F.sum("size").alias("n")).toPandas().itertuples(index=False):
-        count[r[0]] = r[1]
+    bucket, n = columns(summary.where("id is null").groupBy("k1").agg(F.sum("size").alias("n")))
+    count[bucket.to_numpy()] = n.to_numpy()
     return np.floor(2 * np.log2(np.maximum(count / max(count.mean(), 1e-9), 1))).astype(np.uint8)
 
 

@@ -34,11 +34,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_words, least_hashed, materialize, mix, slices, text_bytes
+from tessera.llm.common import columns, hash_words, least_hashed, materialize, mix, slices, text_bytes
 
 BITS = 16
 
@@ -96,11 +97,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, learn_rows:
     # The sample's size is bounded by learn_rows x domains, so its ids may be broadcast.
     taught = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "domain")
     total, rows = np.zeros(len(domains) << BITS), np.zeros(len(domains))
-    for r in taught.mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        if r["cell"] < 0:
-            rows[-1 - r["cell"]] = r["n"]
-        else:
-            total[r["cell"]] = r["n"]
+    cell, n = (c.to_numpy() for c in columns(taught.mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))))
+    rows[-1 - cell[cell < 0]] = n[cell < 0]
+    total[cell[cell >= 0]] = n[cell >= 0]
     # The buckets that tell some domain apart: their counts there are far from what chance would give.
     seen = total.reshape(len(domains), -1)
     common = (seen.sum(0) + 0.5) / (rows.sum() + 1)
@@ -121,12 +120,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, learn_rows:
                 lists = np.split(f, np.searchsorted(doc, np.arange(1, hi - lo)))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(lists, pa.list_(pa.int64()))], ["domain", "f"])
 
-    lists = taught.mapInArrow(present, "domain string, f array<long>").collect()  # bounded like the sample
-    if not lists:
+    domain_of, lists = columns(taught.mapInArrow(present, "domain string, f array<long>"))  # bounded like the sample
+    if not len(lists):
         return ONE_DOMAIN
-    y = np.array([place[r["domain"]] for r in lists], np.int64)
-    doc = np.repeat(np.arange(len(lists)), [len(r["f"]) for r in lists])
-    f = np.array([x for r in lists for x in r["f"]], np.int64)
+    y = np.array([place[d] for d in domain_of.to_pylist()], np.int64)
+    doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    f = pc.list_flatten(lists).to_numpy()
     weights, bias = softmax_fit(doc, f, y, len(chosen), len(domains))
     scores = np.zeros((len(domains), 1 << BITS))
     scores[:, chosen] = weights

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -130,6 +131,20 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(docs_of(spark, []).where("false")).count() == 0
 
 
+def test_rarity_brings_arrays_to_the_driver(spark):
+    """All 2^19 buckets: as rows they took 240 MB of the driver's Python."""
+    size = 1 << jaccard_join.BUCKET_BITS
+    summary = spark.range(size).selectExpr("cast(null as long) as id", "1 + id % 5 * 3 as size", "id as k1")
+    tracemalloc.start()
+    try:
+        rank = jaccard_join.rarity(summary)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    count = 1 + np.arange(size) % 5 * 3
+    assert (rank == np.floor(2 * np.log2(np.maximum(count / count.mean(), 1)))).all() and rank.max() == 1 and peak < 60e6
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (None, 3), (2000, 1999)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(e).collect()}
