@@ -164,9 +164,10 @@ def prescription_issues(drugs: DataFrame, prescribers: DataFrame, facts: DataFra
 
     Errors: a required field is missing; the patient is allergic to a drug, to its class or to any class above that. Warnings: an unsafe strength; a controlled drug (by its code's schedule,
     or by its name where the code is not known) without a licence, of over 90, of schedule II with refills or III or IV with over 5; two drugs that interact; a name again;
-    a class again, with the class's first drug. Names meet without case. Quantities and refills that are no whole numbers are not judged.
+    a class again, with the class's first drug. The drugs are written out once. Names meet without case. Quantities and refills that are no whole numbers are not judged.
     """
     d = drugs.select("doc", "place", F.coalesce("name", F.lit("")).alias("name"), "code", "strength", "route", "frequency", *[F.col(c).cast("string").try_cast("int").alias(c) for c in ("quantity", "refills")])
+    d = written(d, "drugs")  # every rule reads it, and its places may come from a window
     low = F.lower("name")
     numbered = lambda text: F.concat(F.lit("Medication "), F.col("place").cast("string"), F.lit(": "), text)
     issue = lambda rows, kind, text: rows.select("doc", F.lit(kind).alias("kind"), "place", text.alias("text"))

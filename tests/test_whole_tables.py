@@ -111,3 +111,8 @@ def test_cache_expire_rounds_now(spark, tmp_path):
 def test_same_fields_are_spread(spark, sf):
     """A small file of many rows is not left to one task."""
     assert entry.queries()["same_fields"](spark, sf).rdd.getNumPartitions() >= 4
+
+
+def test_prescriptions_number_their_drugs_once(spark, sf):
+    """The window over each prescription's drugs is not in the plan of every rule."""
+    assert "Window" not in entry.queries()["prescription_issues"](spark, sf)._jdf.queryExecution().toString()
