@@ -106,14 +106,16 @@ def orders(text: Column) -> Column:
     lines for a line that begins with "sig". Lines taken begin no order.
     """
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    # Each line is read once: what the fold names, it computes again at every mention.
+    lines = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(FORM_FIRST).alias("form"), F.lower(x).startswith("sig").alias("sig"), _kind(x).alias("kind")))
+    lines = F.transform(lines, lambda r: F.struct(*[r[c].alias(c) for c in ("line", "form", "sig", "kind")], F.when(r["kind"].isNotNull(), _begun(r["line"], r["kind"])).alias("order")))
     state = f"struct<left:int,out:array<{ORDER}>,open:array<{ORDER}>>"  # open: the last order, and those that wait or come after one that does
 
-    def step(s: Column, line: Column) -> Column:
-        form = line.rlike(FORM_FIRST)
-        sig = F.lower(line).startswith("sig")
+    def step(s: Column, read: Column) -> Column:
+        line, form, sig = read["line"], read["form"], read["sig"]
         waits = F.exists(s["open"], lambda o: o["wait"] > 0) & sig
         mine = (s["left"] > 0) & ~form
-        kind = F.when(mine | waits | (line == ""), F.lit(None).cast("string")).otherwise(_kind(line))
+        kind = F.when(mine | waits | (line == ""), F.lit(None).cast("string")).otherwise(read["kind"])
         n = F.size(s["open"])
 
         def passed(o: Column, i: Column) -> Column:
@@ -131,7 +133,7 @@ def orders(text: Column) -> Column:
             return F.struct(x["left"].alias("left"), out.alias("out"), F.slice(x["open"], done + 1, F.size(x["open"])).alias("open")).cast(state)
 
         after = F.transform(s["open"], passed)
-        after = F.when(kind.isNotNull(), F.concat(after, F.array(_begun(line, kind)))).otherwise(after)
+        after = F.when(kind.isNotNull(), F.concat(after, F.array(read["order"]))).otherwise(after)
         left = F.when(kind == "form first", 4).when(form, 0).otherwise(F.greatest(s["left"] - 1, F.lit(0)))
         return let(F.struct(left.alias("left"), after.alias("open")), closed)
 

@@ -126,6 +126,12 @@ def test_orders_equal_a_scan_of_lines(spark):
         assert [tuple(x) for x in r["o"]] == scanned(texts[r["i"]]), texts[r["i"]]
 
 
+def test_orders_read_each_line_once(spark):
+    """The form of a prescribed line stands in the plan where it is tried and where its three groups are taken, not at every mention of a line's kind."""
+    plan = spark.createDataFrame([("Rx a",)], "t string").select(P.orders(F.col("t")).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(P.PRESCRIBED) == 4
+
+
 def test_plain_value_lists_equal_plain_names(spark, sf):
     lists, names = entry.queries()["plain_value_lists"](spark, sf), entry.queries()["plain_names"](spark, sf)
     assert lists.count() == names.count() and lists.join(names, ["p_partkey", "name"]).count() == names.count()
