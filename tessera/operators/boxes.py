@@ -1,21 +1,21 @@
 """Which box on a page shows a field's value: by nearness to the field's own box, and over tables and recognised words.
 
-Boxes are met by bands of height, never page by page: a box belongs to one band, a field asks its own and both neighbours.
+Boxes alone are met by bands of height, never page by page: a box belongs to one band, a field asks its own and both neighbours. Words and wanted texts meet by page.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.operators.tables import sequence_similarity
-from tessera.operators.transfer import boxes_of_text
+from tessera.operators.transfer import boxes_of_text, most_words, texts_shown
 from tessera.sources.shared import written
 
-RIGHT, OTHER_ROW, FAR = 1.1, 0.7, 0.1  # bonus right of the field on its row, malus on another row, distance from which nearness is .5
+RIGHT, OTHER_ROW = 1.1, 0.7  # bonus right of the field on its row, malus on another row
 AROUND = "explode(array(-1, 0, 1)) as d"
 
 
@@ -65,38 +65,25 @@ def values_of_fields(words: DataFrame, wanted: DataFrame, alike: Callable[[Colum
 
     `words`: page, place, text, box; `wanted`: page, field, value. The field's box is the best of those that show its name (.7 alike or more), a value's are those
     of `boxes_of_text` (.8). On the field's row (centres within `row`) confidence is that of the match x (1 - 5 x the distance, .5 at least), x 1.1 to the right of
-    the field; elsewhere x .7; 1 at most. Ties go to the surer match, then the earlier place. A field that the page does not show takes the value's
-    best match as it is. Rows are met nearest band first: the field's row, then what lies within .1, then the best of the page, whose nearness counts .5.
+    field; elsewhere x .7; 1 at most. Ties go to the surer match, then the earlier place. A field that the page does not show takes the value's
+    best match as it is. Names and values are looked for at once, and each match of a value is judged by the box of every field that asks for it; all of it
+    stays where words and wanted texts met by page.
     """
-    asked = wanted.where("trim(field) <> '' and trim(value) <> ''").select("page", "field", "value").distinct()
-    sure = lambda conf: F.struct(conf, "match_confidence", -F.col("place"))
-    labels = boxes_of_text(words, asked.select("page", F.col("field").alias("want")).distinct(), alike, 0.7)
-    labels = labels.groupBy("page", F.col("want").alias("field")).agg(F.max_by("box", F.struct("confidence", -F.col("place"))).alias("f"))
-    labels = written(labels, "labels")
-    shown = boxes_of_text(words, asked.select("page", F.col("value").alias("want")).distinct(), alike, 0.8)
-    shown = written(shown.select("page", F.col("want").alias("value"), "place", "text", F.col("box").alias("v"), F.col("confidence").alias("match_confidence"), "match"), "shown")
-    labelled = written(asked.join(labels, ["page", "field"]), "labelled")
-    gap = F.abs(centre("f") - centre("v"))
-
-    def within(fields: DataFrame, height: float) -> DataFrame:
-        asks = fields.selectExpr("*", AROUND).withColumn("band", band(centre("f"), height) + F.col("d")).drop("d")
-        met = asks.join(shown.withColumn("band", band(centre("v"), height)), ["page", "value", "band"]).where(gap <= height)
-        conf = F.col("match_confidence") * (1 - F.least(gap * 5, F.lit(0.5))) * F.when(gap > row, OTHER_ROW).when(F.col("v.x0") > F.col("f.x1"), RIGHT).otherwise(1.0)
-        return met.withColumn("confidence", F.round(F.least(conf, F.lit(1.0)), 9))  # so that equal distances tie
-
-    def best(rows: DataFrame) -> DataFrame:
-        kept = F.struct("place", "text", F.col("v").alias("box"), "confidence", "match")
-        return rows.groupBy("page", "field", "value").agg(F.max_by(kept, sure(F.col("confidence"))).alias("m")).select("page", "field", "value", "m.*")
-
-    on_row = written(best(within(labelled, row)), "on-row")
-    rest = written(labelled.join(on_row.select("page", "field", "value"), ["page", "field", "value"], "left_anti").select(*labelled.columns), "off-row")
-    first = F.max_by(F.struct("place", "text", "v", "match_confidence", "match"), F.struct("match_confidence", -F.col("place"))).alias("m")
-    anywhere = shown.groupBy("page", "value").agg(first).select("page", "value", "m.*")
-    near = within(rest, FAR).select("page", "field", "value", "place", "text", "v", "match_confidence", "match", "confidence")
-    far = rest.join(anywhere, ["page", "value"]).select("page", "field", "value", "place", "text", "v", "match_confidence", "match", F.round(F.col("match_confidence") * 0.5 * OTHER_ROW, 9).alias("confidence"))
-    unnamed = asked.join(labels.select("page", "field"), ["page", "field"], "left_anti").join(anywhere, ["page", "value"])
-    unnamed = unnamed.select("page", "field", "value", "place", "text", F.col("v").alias("box"), F.col("match_confidence").alias("confidence"), "match")
-    return on_row.unionByName(best(near.unionByName(far))).unionByName(unnamed)
+    asked = wanted.where("trim(field) <> '' and trim(value) <> ''").select("page", "field", "value")
+    text = lambda want, least, field: F.struct(want.alias("want"), F.lit(least).alias("least"), field.alias("field"))
+    texts = asked.select("page", F.explode(F.array(text(F.col("field"), 0.7, F.lit(None).cast("string")), text(F.col("value"), 0.8, F.col("field")))).alias("a"))
+    texts = texts.select("page", "a.*").groupBy("page", "want", "least").agg(F.collect_set("field").alias("fields"))
+    shown = texts_shown(words, texts, most_words(asked, "field", "value"), alike).withColumnRenamed("confidence", "sure")
+    name = F.size("fields") == 0
+    rows = shown.select("page", F.explode(F.when(name, F.array("want")).otherwise(F.col("fields"))).alias("field"), F.when(~name, F.col("want")).alias("value"), "place", "text", "box", "sure", "match")
+    is_name = F.col("value").isNull()
+    own = F.max_by(F.when(is_name, F.struct("box")), F.when(is_name, F.struct("sure", -F.col("place")))).over(Window.partitionBy("page", "field"))
+    gap = F.coalesce(F.abs(centre("own.box") - centre("box")), F.lit(float("inf")))
+    conf = F.col("sure") * (1 - F.least(gap * 5, F.lit(0.5))) * F.when(gap > row, OTHER_ROW).when(F.col("box.x0") > F.col("own.box.x1"), RIGHT).otherwise(1.0)
+    conf = F.when(F.col("own").isNull(), F.col("sure")).otherwise(F.round(F.least(conf, F.lit(1.0)), 9))  # so that equal distances tie
+    rows = rows.withColumn("own", own).where("value is not null").withColumn("confidence", conf)
+    best = F.max_by(F.struct("place", "text", "box", "confidence", "match"), F.struct("confidence", "sure", -F.col("place"))).alias("m")
+    return rows.groupBy("page", "field", "value").agg(best).select("page", "field", "value", "m.*")
 
 
 def placed_values(words: DataFrame, cells: DataFrame, wanted: DataFrame, alike: Callable[[Column, Column], Column] = sequence_similarity) -> DataFrame:

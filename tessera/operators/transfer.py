@@ -11,6 +11,18 @@ from tessera.functions.text import value_after
 from tessera.operators.tables import sequence_similarity
 
 
+RUN = 8  # neighbouring words brought together by one window; longer texts are met word by word
+
+
+def word_count(text: Column) -> Column:
+    return F.size(F.split(F.lower(F.trim(text)), r"\s+"))
+
+
+def most_words(wanted: DataFrame, *texts: str) -> int:
+    """How many words the longest of the texts has; one at least."""
+    return max(wanted.agg(F.max(F.array_max(F.array(*[word_count(F.col(t)) for t in texts])))).first()[0] or 1, 1)
+
+
 def boxes_of_text(words: DataFrame, wanted: DataFrame, alike: Callable[[Column, Column], Column] = sequence_similarity, least: float = 0.8) -> DataFrame:
     """(page, want, place, text, box, confidence, match): the boxes of `words` (page, place, text, box) that show each wanted text.
 
@@ -18,26 +30,55 @@ def boxes_of_text(words: DataFrame, wanted: DataFrame, alike: Callable[[Column,
     words as the wanted text has, two at least (.85 of it; the box around them); a number within .001 (.95). `wanted`: page, want,
     distinct. Places are the words' numbers on their page, without gaps. Null or blank texts are neither found nor looked for.
     """
-    seen = words.where(F.trim("text") != "").select("page", "place", F.trim("text").alias("text"), "box")
-    asked = wanted.where(F.trim("want") != "").select("page", "want", F.lower(F.trim("want")).alias("low")).distinct()
-    pairs = seen.join(asked, "page")
-    low = F.lower("text")
+    asked = wanted.select("page", "want").distinct().withColumn("least", F.lit(least))
+    return texts_shown(words, asked, most_words(wanted, "want"), alike).drop("least")
+
+
+def texts_shown(words: DataFrame, asked: DataFrame, longest: int, alike: Callable[[Column, Column], Column] = sequence_similarity) -> DataFrame:
+    """`boxes_of_text` for texts with a least likeness each: the columns of `asked` (page, want, least, and others; distinct by the three), and place, text, box, confidence, match.
+
+    `longest`: the words of the longest text (`most_words`). Words and texts meet once, by page;
+    what is dealt out by page is not shuffled for that, nor are the matches after it (but once if the likeness is a Python function).
+    """
     number = lambda c: F.when(c.rlike(r"^[+-]?\d+(\.\d+)?$"), c.cast("double"))
-    near = F.coalesce(F.abs(number(F.col("text")) - number(F.col("low"))) < 0.001, F.lit(False))
-    one = pairs.withColumn("like", alike(low, F.col("low")))
-    tier = F.when(low == F.col("low"), 1).when(F.col("like") >= least, 2).when(near, 4)
+    seen = words.where(F.trim("text") != "").select("page", "place", F.trim("text").alias("text"), "box").withColumn("number", number(F.col("text")))
+    want = asked.where(F.trim("want") != "").withColumn("low", F.lower(F.trim("want"))).withColumn("n", word_count(F.col("want"))).withColumn("asked_number", number(F.col("low")))
+    kept, near = asked.columns, min(longest, RUN)
+    after, run = F.array(), F.lit(None).cast("string")
+    if near > 1:
+        w = Window.partitionBy("page").orderBy("place").rowsBetween(0, near - 1)
+        whole = lambda k: F.get("after", F.lit(k - 1))["place"] == F.col("place") + (k - 1)
+        joined = [F.when(whole(k), F.array_join(F.transform(F.slice("after", 1, k), lambda x: x["text"]), " ")) for k in range(2, near + 1)]
+        seen = seen.withColumn("after", F.collect_list(F.struct("place", "text", "box")).over(w)).withColumn("runs", F.array(*joined))
+        after, run = F.slice("after", 1, F.col("n")), F.when(F.col("n") > 1, F.get("runs", F.col("n") - 2))
+    low = F.lower("text")
+    pairs = seen.join(want, "page").withColumn("run", run)
+    pairs = pairs.withColumn("like", alike(low, F.col("low"))).withColumn("run_like", F.when(F.col("run").isNotNull(), alike(F.lower("run"), F.col("low"))) if near > 1 else F.lit(None).cast("double"))
+    tier = F.when(low == F.col("low"), 1).when(F.col("like") >= F.col("least"), 2).when(F.abs(F.col("number") - F.col("asked_number")) < 0.001, 4)
+    pairs = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull() | (F.col("run_like") >= F.col("least")))
     sure = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, F.col("like") * 0.9).otherwise(0.95)
-    one = one.withColumn("tier", tier).where("tier is not null").select("page", "want", "place", "text", "box", sure.alias("confidence"), "tier")
-    size = F.size(F.split("low", r"\s+"))
-    runs = pairs.withColumn("n", size).where("n > 1").withColumn("first", F.explode(F.sequence(F.col("place") - F.col("n") + 1, F.col("place"))))
+    ways = [F.when(F.col("tier").isNotNull(), F.struct("place", "text", "box", sure.alias("confidence"), "tier"))]
+    if near > 1:
+        boxes = F.transform(after, lambda x: x["box"])
+        around = F.struct(*[f(boxes[s]).alias(s) for f, s in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))])
+        many = F.struct("place", F.col("run").alias("text"), around.alias("box"), (F.col("run_like") * 0.85).alias("confidence"), F.lit(3).alias("tier"))
+        ways.append(F.when(F.col("run_like") >= F.col("least"), many))
+    every = pairs.select(*kept, F.explode(F.array_compact(F.array(*ways))).alias("way")).select(*kept, "way.*")
+    if longest > near:
+        every = every.unionByName(_long_texts(seen.select("page", "place", "text", "box"), want.where(F.col("n") > near), kept, alike))
+    every = every.withColumn("first", F.min("tier").over(Window.partitionBy("page", "want", "least")))
+    match = F.when(F.col("tier").isin(1, 4), "exact").when(F.col("tier") == 2, "fuzzy").otherwise("partial")
+    return every.where("tier = first").select(*kept, "place", "text", "box", "confidence", match.alias("match"))
+
+
+def _long_texts(seen: DataFrame, want: DataFrame, kept: Sequence[str], alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """The runs of neighbouring words for texts of many words: each word goes to every run that it may belong to."""
+    runs = seen.join(want, "page").withColumn("first", F.explode(F.sequence(F.col("place") - F.col("n") + 1, F.col("place"))))
     sides = [f(f"box.{s}").alias(s) for f, s in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda w: w["text"]), " ").alias("text")
-    runs = runs.groupBy("page", "want", "low", "n", "first").agg(joined, F.count("*").alias("have"), *sides).where("have = n")
-    runs = runs.withColumn("like", alike(F.lower("text"), F.col("low"))).where(F.col("like") >= least)
-    many = runs.select("page", "want", F.col("first").alias("place"), "text", F.struct("x0", "y0", "x1", "y1").alias("box"), (F.col("like") * 0.85).alias("confidence"), F.lit(3).alias("tier"))
-    every = one.unionByName(many).withColumn("least", F.min("tier").over(Window.partitionBy("page", "want")))
-    match = F.when(F.col("tier").isin(1, 4), "exact").when(F.col("tier") == 2, "fuzzy").otherwise("partial")
-    return every.where("tier = least").select("page", "want", "place", "text", "box", "confidence", match.alias("match"))
+    runs = runs.groupBy(*kept, "low", "n", "first").agg(joined, F.count("*").alias("have"), *sides).where("have = n")
+    runs = runs.withColumn("like", alike(F.lower("text"), F.col("low"))).where(F.col("like") >= F.col("least"))
+    return runs.select(*kept, F.col("first").alias("place"), "text", F.struct("x0", "y0", "x1", "y1").alias("box"), (F.col("like") * 0.85).alias("confidence"), F.lit(3).alias("tier"))
 
 
 def fields_of_similar(texts: DataFrame, similar: DataFrame, fields: DataFrame, least: float = 0.7) -> DataFrame:

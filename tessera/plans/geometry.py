@@ -83,7 +83,8 @@ def field_value_boxes(spark, sf):
 
 
 def page_words(spark, sf):
-    words = table(spark, sf, "lineitem").selectExpr(*PAGE_WORDS)
+    """Dealt out by page at once, as all that follows is by page."""
+    words = table(spark, sf, "lineitem").selectExpr(*PAGE_WORDS).repartition("page")
     words = words.groupBy("page", "place").agg(F.min(F.struct("text", "x0", "y0")).alias("m")).select("page", "place", "m.*")
     return words.select("page", "place", "text", G.box(F.col("x0"), F.col("y0"), F.col("x0") + 0.2, F.col("y0") + 0.01).alias("box"))
 

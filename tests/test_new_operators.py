@@ -377,3 +377,20 @@ def test_boxes_of_text_on_an_empty_page(spark):
     w = spark.createDataFrame([], f"page int, place int, text string, box {BOX}")
     asked = spark.createDataFrame([(1, "x")], "page int, want string")
     assert boxes_of_text(w, asked).count() == 0 and B.values_of_fields(w, asked.select("page", F.lit("f").alias("field"), F.col("want").alias("value"))).count() == 0
+
+
+def test_values_of_fields_stay_on_their_page(spark):
+    """Words and wanted texts that are dealt out by page are shuffled no more, and nothing is written out on the way."""
+    words = spark.createDataFrame([(1, 0, "Glucose", (0.0, 0.1, 0.1, 0.2)), (1, 1, "5.5", (0.2, 0.1, 0.3, 0.2)), (1, 2, "5.5", (0.2, 0.5, 0.3, 0.6))], f"page int, place int, text string, box {BOX}")
+    asked = spark.createDataFrame([(1, "glucose", "5.5"), (1, "sodium", "5.5"), (1, "glucose", "5.5"), (1, None, "5.5"), (1, "glucose", None)], "page int, field string, value string")
+    got = B.values_of_fields(words.repartition("page"), asked.repartition("page"), lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "parquet" not in plan.lower()
+    assert sorted(tuple(r)[:4] + (r.confidence,) for r in got.collect()) == [(1, "glucose", "5.5", 1, 1.0), (1, "sodium", "5.5", 1, 1.0)]
+
+
+def test_values_without_a_height(spark):
+    """A field whose box has no height still has its values, at the confidence of far ones."""
+    words = spark.createDataFrame([(1, 0, "Glucose", None), (1, 1, "5.5", (0.2, 0.1, 0.3, 0.2)), (2, 0, "Glucose", (0.0, 0.1, 0.1, 0.2)), (2, 1, "5.5", (0.2, None, 0.3, 0.2))], f"page int, place int, text string, box {BOX}")
+    asked = spark.createDataFrame([(1, "glucose", "5.5"), (2, "glucose", "5.5")], "page int, field string, value string")
+    assert sorted((r.page, r.place, r.confidence) for r in B.values_of_fields(words, asked).collect()) == [(1, 1, 0.35), (2, 1, 0.35)]

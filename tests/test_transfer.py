@@ -40,6 +40,16 @@ def test_boxes_by_the_first_way_that_finds(spark):
     assert T.boxes_of_text(w.limit(0), asked).count() == 0
 
 
+def test_texts_of_many_words(spark):
+    """Texts longer than the window of neighbouring words, and as long as it, are found like short ones."""
+    said = [f"w{i}" for i in range(2 * T.RUN)]
+    w = spark.createDataFrame([("p", i, x, (float(i), 0.0, i + 0.9, 1.0)) for i, x in enumerate(said)] + [("q", i, x, (0.0, 0.0, 1.0, 1.0)) for i, x in enumerate(said) if i != 3], "page string, place int, text string, box struct<x0:double,y0:double,x1:double,y1:double>")
+    texts = {n: " ".join(said[1 : n + 1]) for n in (2, T.RUN, T.RUN + 1, T.RUN + 4)}
+    asked = spark.createDataFrame([(p, t) for p in "pq" for t in texts.values()], "page string, want string")
+    got = {(r.page, r.want, r.place, r.text, r.box.x0, r.box.x1, r.confidence, r.match) for r in T.boxes_of_text(w, asked, least=0.999).collect()}
+    assert got == {("p", t, 1, t, 1.0, n + 0.9, 0.85, "partial") for n, t in texts.items()} | {("q", texts[2], 1, texts[2], 0.0, 1.0, 0.85, "partial")}
+
+
 def test_fields_of_the_most_similar_document(spark):
     texts = spark.createDataFrame([(1, "Blood urea: 12.5 mg here"), (2, "nothing"), (3, None)], "doc long, text string")
     near = spark.createDataFrame([(1, 9, 0.8), (1, 8, 0.8), (1, 7, 0.6), (2, 8, 0.9), (3, 8, 0.9), (4, 8, 0.69)], "doc long, other long, similarity double")
