@@ -14,13 +14,10 @@ from tessera.operators.tables import sequence_similarity
 RUN = 8  # neighbouring words brought together by one window; longer texts are met word by word
 
 
-def word_count(text: Column) -> Column:
-    return F.size(F.split(F.lower(F.trim(text)), r"\s+"))
-
-
 def most_words(wanted: DataFrame, *texts: str) -> int:
-    """How many words the longest of the texts has; one at least."""
-    return max(wanted.agg(F.max(F.array_max(F.array(*[word_count(F.col(t)) for t in texts])))).first()[0] or 1, 1)
+    """A bound of the words of the longest text, by its white space; one at least."""
+    blanks = [F.length(F.trim(t)) - F.length(F.translate(F.trim(t), " \t\n\x0b\f\r", "")) for t in texts]
+    return (wanted.agg(F.max(F.array_max(F.array(*blanks)))).first()[0] or 0) + 1
 
 
 def boxes_of_text(words: DataFrame, wanted: DataFrame, alike: Callable[[Column, Column], Column] = sequence_similarity, least: float = 0.8) -> DataFrame:
@@ -37,23 +34,24 @@ def boxes_of_text(words: DataFrame, wanted: DataFrame, alike: Callable[[Column,
 def texts_shown(words: DataFrame, asked: DataFrame, longest: int, alike: Callable[[Column, Column], Column] = sequence_similarity) -> DataFrame:
     """`boxes_of_text` for texts with a least likeness each: the columns of `asked` (page, want, least, and others; distinct by the three), and place, text, box, confidence, match.
 
-    `longest`: the words of the longest text (`most_words`). Words and texts meet once, by page;
+    `longest`: no text has more words (`most_words`). Words and texts meet once, by page;
     what is dealt out by page is not shuffled for that, nor are the matches after it (but once if the likeness is a Python function).
     """
     number = lambda c: F.when(c.rlike(r"^[+-]?\d+(\.\d+)?$"), c.cast("double"))
-    seen = words.where(F.trim("text") != "").select("page", "place", F.trim("text").alias("text"), "box").withColumn("number", number(F.col("text")))
-    want = asked.where(F.trim("want") != "").withColumn("low", F.lower(F.trim("want"))).withColumn("n", word_count(F.col("want"))).withColumn("asked_number", number(F.col("low")))
+    seen = words.where(F.trim("text") != "").select("page", "place", F.trim("text").alias("text"), "box").withColumn("number", number(F.col("text"))).withColumn("low_text", F.lower("text"))
+    want = asked.where(F.trim("want") != "").withColumn("low", F.lower(F.trim("want"))).withColumn("n", F.size(F.split("low", r"\s+"))).withColumn("asked_number", number(F.col("low")))
     kept, near = asked.columns, min(longest, RUN)
-    after, run = F.array(), F.lit(None).cast("string")
+    after, run, low_run = F.array(), F.lit(None).cast("string"), F.lit(None).cast("string")
     if near > 1:
         w = Window.partitionBy("page").orderBy("place").rowsBetween(0, near - 1)
         whole = lambda k: F.get("after", F.lit(k - 1))["place"] == F.col("place") + (k - 1)
         joined = [F.when(whole(k), F.array_join(F.transform(F.slice("after", 1, k), lambda x: x["text"]), " ")) for k in range(2, near + 1)]
         seen = seen.withColumn("after", F.collect_list(F.struct("place", "text", "box")).over(w)).withColumn("runs", F.array(*joined))
-        after, run = F.slice("after", 1, F.col("n")), F.when(F.col("n") > 1, F.get("runs", F.col("n") - 2))
-    low = F.lower("text")
+        seen = seen.withColumn("low_runs", F.transform("runs", F.lower))
+        after, run, low_run = F.slice("after", 1, F.col("n")), *[F.when(F.col("n") > 1, F.get(c, F.col("n") - 2)) for c in ("runs", "low_runs")]
+    low = F.col("low_text")
     pairs = seen.join(want, "page").withColumn("run", run)
-    pairs = pairs.withColumn("like", alike(low, F.col("low"))).withColumn("run_like", F.when(F.col("run").isNotNull(), alike(F.lower("run"), F.col("low"))) if near > 1 else F.lit(None).cast("double"))
+    pairs = pairs.withColumn("like", alike(low, F.col("low"))).withColumn("run_like", F.when(low_run.isNotNull(), alike(low_run, F.col("low"))) if near > 1 else F.lit(None).cast("double"))
     tier = F.when(low == F.col("low"), 1).when(F.col("like") >= F.col("least"), 2).when(F.abs(F.col("number") - F.col("asked_number")) < 0.001, 4)
     pairs = pairs.withColumn("tier", tier).where(F.col("tier").isNotNull() | (F.col("run_like") >= F.col("least")))
     sure = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, F.col("like") * 0.9).otherwise(0.95)

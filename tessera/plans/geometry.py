@@ -95,4 +95,6 @@ def page_wanted(spark, sf):
 
 
 def edit_likeness(a, b):
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    """1 - edits / the longer length; 0 where the lengths alone bring it under .7, the least that any wanted text asks for."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(1 - F.abs(F.length(a) - F.length(b)) / longer < 0.7, 0.0).otherwise(1 - F.levenshtein(a, b) / longer)

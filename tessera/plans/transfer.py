@@ -8,6 +8,7 @@ from tessera.operators import drugs as D
 from tessera.operators import transfer as T
 from tessera.operators.enrich import drug_lookup, facade
 from tessera.plans.enrich import sound
+from tessera.plans.geometry import edit_likeness
 from tessera.plans.registry import query, table
 
 KNOWN = ["atenolol", "metoprolol", "metformin", "lisinopril", "simvastatin", "sertraline", "omeprazole", "amlodipine"]
@@ -83,11 +84,10 @@ WANTED = ["STEEL", "widgets", "bolt widget", "2", "steel bolt", " "]
     FROM (SELECT *, min(tier) OVER (PARTITION BY page, want) AS least FROM o WHERE tier IS NOT NULL) WHERE tier = least""")
 def boxes_of_text(spark, sf):
     """The places of six texts on every order's page of words, by edit distance."""
-    at = F.col("place").cast("double")
-    w = spark.sql(WORDS.replace("FROM lineitem", "FROM {lines}"), lines=table(spark, sf, "lineitem")).groupBy("page", "place").agg(F.min("text").alias("text")).withColumn("box", F.struct(at.alias("x0"), F.lit(0.0).alias("y0"), (at + 0.5).alias("x1"), F.lit(1.0).alias("y1")))
-    wanted = w.select("page").distinct().withColumn("want", F.explode(F.array(*map(F.lit, WANTED))))
-    alike = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    got = T.boxes_of_text(w, wanted, alike)
+    at, lines = F.col("place").cast("double"), table(spark, sf, "lineitem")
+    w = spark.sql(WORDS.replace("FROM lineitem", "FROM {lines}"), lines=lines).repartition("page").groupBy("page", "place").agg(F.min("text").alias("text")).withColumn("box", F.struct(at.alias("x0"), F.lit(0.0).alias("y0"), (at + 0.5).alias("x1"), F.lit(1.0).alias("y1")))
+    wanted = lines.select(F.col("l_orderkey").alias("page")).distinct().withColumn("want", F.explode(F.array(*map(F.lit, WANTED))))
+    got = T.boxes_of_text(w, wanted, edit_likeness)
     return got.select("page", "want", "place", "text", "box.x0", "box.x1", F.round("confidence", 6).alias("confidence"), "match")
 
 

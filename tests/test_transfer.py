@@ -50,6 +50,21 @@ def test_texts_of_many_words(spark):
     assert got == {("p", t, 1, t, 1.0, n + 0.9, 0.85, "partial") for n, t in texts.items()} | {("q", texts[2], 1, texts[2], 0.0, 1.0, 0.85, "partial")}
 
 
+def test_boxes_of_text_stay_on_their_page(spark, sf):
+    """The query deals its words out once by page; no run of words and no page is shuffled again."""
+    from tessera.plans.transfer import boxes_of_text
+
+    plan = boxes_of_text(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_most_words_bounds_every_text(spark):
+    texts = ["a", " a ", "a b", "a  b\tc\n", "", " ", None, "x\x0by z"]
+    rows = spark.createDataFrame([(t, "one two") for t in texts], "t string, u string")
+    assert T.most_words(rows.where("t = 'a'"), "t") == 1 and T.most_words(rows.where("t is null"), "t") == 1 and T.most_words(rows.limit(0), "t") == 1
+    assert T.most_words(rows, "t") >= 4 and T.most_words(rows.where("t = 'a'"), "t", "u") == 2 and T.most_words(rows.where("t like 'x%'"), "t") == 3
+
+
 def test_fields_of_the_most_similar_document(spark):
     texts = spark.createDataFrame([(1, "Blood urea: 12.5 mg here"), (2, "nothing"), (3, None)], "doc long, text string")
     near = spark.createDataFrame([(1, 9, 0.8), (1, 8, 0.8), (1, 7, 0.6), (2, 8, 0.9), (3, 8, 0.9), (4, 8, 0.69)], "doc long, other long, similarity double")
