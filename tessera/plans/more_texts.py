@@ -59,7 +59,7 @@ _ROLE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(h, ' + chr(39) + w + c
     {", ".join(f"CASE WHEN headers IS NULL THEN d_{k} WHEN h_result IS NULL THEN coalesce(h_{k}, d_{k}) ELSE h_{k} END::INTEGER AS {k}" for k in ("flag", "unit", "reference"))} FROM d LEFT JOIN h USING (l_orderkey)""")
 def column_places(spark, sf):
     """Where the columns of every order's table of results stand, by headers and cells."""
-    l = table(spark, sf, "lineitem")  # noqa: E741
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax", "l_returnflag").repartition("l_orderkey")  # noqa: E741
     one = l.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_tax", "l_returnflag")).alias("m")).select("l_orderkey", "l_linenumber", "m.*")
     rows = one.select("l_orderkey", "l_linenumber", F.expr(CELL_ROWS.format(list="array", text="STRING")).alias("r")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "r"))).alias("rows"))
     return T.column_places(rows.select("l_orderkey", F.expr(HEADERS.format(list="array")).alias("headers"), F.col("rows.r").alias("rows")), "l_orderkey")

@@ -394,3 +394,18 @@ def test_values_without_a_height(spark):
     words = spark.createDataFrame([(1, 0, "Glucose", None), (1, 1, "5.5", (0.2, 0.1, 0.3, 0.2)), (2, 0, "Glucose", (0.0, 0.1, 0.1, 0.2)), (2, 1, "5.5", (0.2, None, 0.3, 0.2))], f"page int, place int, text string, box {BOX}")
     asked = spark.createDataFrame([(1, "glucose", "5.5"), (2, "glucose", "5.5")], "page int, field string, value string")
     assert sorted((r.page, r.place, r.confidence) for r in B.values_of_fields(words, asked).collect()) == [(1, 1, 0.35), (2, 1, 0.35)]
+
+
+def test_column_places_judge_each_table_once(spark):
+    """A table is read once and never shuffled; padded cells, empty rows and null rows count as `column_profile` counts them."""
+    rows = [
+        (1, None, [["a", " 5 ", " low "], ["b", "6", ""], None, []]),
+        (2, None, [[], None]),
+        (3, ["Flag", None, "Item"], [["1", "2", "3"], ["1", "2", "H"]]),
+        (4, None, [["x", "y"]] * 10 + [["x", "5"]] * 5),
+        (5, ["Result", "Flag"], [["H", "5", "mg/dL"], ["L", "6", "%"]]),
+        (6, None, [["1", "2", "2"], ["1", "2", "2"]]),
+    ]
+    got = T.column_places(spark.createDataFrame(rows, "k int, headers array<string>, rows array<array<string>>"), "k")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {x.k: tuple(x)[1:] for x in got.collect()} == {1: (0, 1, 2, None, None), 2: (0, None, None, None, None), 3: (0, 1, 0, None, None), 4: (0, None, None, None, None), 5: (0, 0, 1, None, None), 6: (0, 1, None, None, None)}
