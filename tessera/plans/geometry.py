@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.operators.boxes import nearest_values, values_of_fields
 from tessera.plans.registry import query, table
+from tessera.sources.shared import dealt
 
 B = "b AS (SELECT vec_id, label, least(embedding[1], embedding[3])::DOUBLE AS x0, least(embedding[2], embedding[4])::DOUBLE AS y0, greatest(embedding[1], embedding[3])::DOUBLE AS x1, greatest(embedding[2], embedding[4])::DOUBLE AS y1 FROM embeddings)"
 
@@ -84,7 +85,7 @@ def field_value_boxes(spark, sf):
 
 def page_words(spark, sf):
     """Dealt out by page at once, as all that follows is by page."""
-    words = table(spark, sf, "lineitem").selectExpr(*PAGE_WORDS).repartition("page")
+    words = dealt(table(spark, sf, "lineitem").selectExpr(*PAGE_WORDS), "page")
     words = words.groupBy("page", "place").agg(F.min(F.struct("text", "x0", "y0")).alias("m")).select("page", "place", "m.*")
     return words.select("page", "place", "text", G.box(F.col("x0"), F.col("y0"), F.col("x0") + 0.2, F.col("y0") + 0.01).alias("box"))
 

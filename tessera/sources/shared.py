@@ -39,3 +39,8 @@ def spread(df: DataFrame) -> DataFrame:
     """`df` over as many tasks as a shuffle has, for rows that take long each: a small compressed file holds many of them and is read by one or two tasks."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """`df` by its keys over all partitions of a shuffle, not fewer: for small rows of which much is made in the same task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
