@@ -8,13 +8,13 @@ from tessera.functions import text as X
 from tessera.plans.registry import query, table
 
 CELLS = ["7.2", "<5", "> 60 mL", "14.2 H", "150 High", "3.1 L", "10E3/uL", "mg/dL", "/hpf", "abc", "1O2", "12 *", "CRITICAL 9", "4.5-11.0", "0.5 – 1.2", ">=60", "< 5.0", "negative", "see note", "", "1O0-2OO", "S5.5", "12.B4", "1B5", "12345678901", "7 HH", "1.2.3"]
-# A cell of a results table for every line: a form by its part, with the line's own quantity and number in it.
-CELL = f"replace(replace(CASE l_partkey % {len(CELLS)} {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CELLS))} END, '5', CAST(CAST(l_quantity AS INT) AS {{text}})), '7', CAST(l_linenumber AS {{text}}))"
-_CELLS = f"(SELECT l_orderkey * 10 + l_linenumber AS id, {CELL.format(text='VARCHAR')} AS cell FROM lineitem) t"
+# A cell of a results table for every line: a form by its part, with the line's own quantity and number in it. Quantities go to the nearest whole number, halves to the even one, as SQL's cast has it; Spark's cuts them off.
+CELL = f"replace(replace(CASE l_partkey % {len(CELLS)} {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CELLS))} END, '5', CAST(CAST({{quantity}} AS INT) AS {{text}})), '7', CAST(l_linenumber AS {{text}}))"
+_CELLS = f"(SELECT l_orderkey * 10 + l_linenumber AS id, {CELL.format(text='VARCHAR', quantity='l_quantity')} AS cell FROM lineitem) t"
 
 
 def cells(spark, sf):
-    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.expr(CELL.format(text="STRING")).alias("cell"))
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.expr(CELL.format(text="STRING", quantity="rint(l_quantity)")).alias("cell"))
 
 
 SQL_NUMBER = """CASE WHEN s = '' OR regexp_matches(s, '(?i)^x?10E\\d') OR regexp_matches(s, '^[a-zA-Z]+/[a-zA-Z]+') OR regexp_matches(s, '^/[a-zA-Z]+') OR regexp_matches(s, '(?i)^\\d*E\\d+/') THEN NULL

@@ -116,3 +116,18 @@ def test_same_fields_are_spread(spark, sf):
 def test_prescriptions_number_their_drugs_once(spark, sf):
     """The window over each prescription's drugs is not in the plan of every rule."""
     assert "Window" not in entry.queries()["prescription_issues"](spark, sf)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["parse_range", "parse_numeric", "value_flag"])
+def test_cells_of_broken_quantities(spark, tmp_path, name):
+    """Quantities that are no whole numbers go to the nearest, halves to the even one, as the SQL's cast has them."""
+    import duckdb
+
+    quantities = [None, 0.0, 0.4, 0.5, 1.5, 2.5, 2.500001, 3.7, 49.99, 7.0, -0.5, -1.5, -12.0]
+    rows = [(i, part, line, q) for i, (part, line, q) in enumerate((p, n, q) for p in range(27) for n in (1, 7, None) for q in quantities)]
+    save(spark, tmp_path / "x", "lineitem", rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/x/lineitem.parquet/*.parquet')")
+    want = c.execute(entry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path / "x")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 500
