@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.near import near_candidates
-from tessera.sources.shared import written
+from tessera.sources.shared import dealt, spread, written
 
 Tier = Callable[[DataFrame], DataFrame]
 
+#: About how many keys of one name stand in a block of `near_pairs`.
+KEYS = 4_000
+
 
 def first_per(rows: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
@@ -61,16 +64,22 @@ def search(entries: DataFrame, text: str, limit: int = 10) -> DataFrame:
 
 
 def near_pairs(rows: DataFrame, key: str, name: str, most: int = 2, block: int = 1) -> DataFrame:
-    """(a, b, distance) of keys a < b whose names begin alike and are at most `most` edits apart.
+    """(a, b, distance) of all keys a < b whose names begin alike and are at most `most` edits apart, copies of a name included.
 
-    Distances are taken between distinct names that share a piece (`near_candidates`), and joined back to the keys.
+    Distances are taken between distinct names that share a piece (`near_candidates`). The keys of a name are dealt into blocks of about `KEYS`, and the pairs of blocks over all
+    tasks: pairs grow with the square of a name's copies, but a task makes them from two blocks at a time and holds none.
     """
-    n = rows.select(F.col(name).alias("name"), F.lit(most).alias("k")).where("name IS NOT NULL").distinct()
-    d = near_candidates(n, n.select(F.col("name").alias("text")), most, block).select(F.col("name").alias("na"), F.col("text").alias("nb"))
-    d = d.withColumn("distance", F.levenshtein("na", "nb", most)).where("distance >= 0")
-    a, b = (rows.select(F.col(key).alias(k), F.col(name).alias(f"n{k}")) for k in "ab")
-    j = d.select("na", "nb", F.col("distance").cast("long").alias("distance")).join(a, "na").join(b, "nb").where("a < b")
-    return j.select("a", "b", "distance")
+    known = rows.select(F.col(key).alias("key"), F.col(name).alias("name")).where("key IS NOT NULL AND name IS NOT NULL")
+    sizes = known.groupBy("name").agg(F.ceil(F.count("*") / KEYS).alias("parts"))
+    put = known.join(sizes, "name").select("name", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), "key")
+    blocks = written(dealt(put, "name", "part").groupBy("name", "part").agg(F.sort_array(F.collect_list("key")).alias("keys")), "blocks")
+    n = blocks.select("name", F.lit(most).alias("k"))
+    d = near_candidates(n, n.select(F.col("name").alias("text")), most, block).select(F.col("name").alias("na"), F.col("text").alias("nb")).where("na <= nb")
+    d = d.withColumn("distance", F.levenshtein("na", "nb", most).cast("long")).where("distance >= 0")
+    a, b = (blocks.select(F.col("name").alias(f"n{x}"), F.col("part").alias(f"p{x}"), F.col("keys").alias(f"k{x}")) for x in "ab")
+    met = d.join(a, "na").join(b, "nb").where("na < nb OR pa <= pb").selectExpr("distance", "na = nb AND pa = pb AS own", "ka", "kb")
+    pairs = spread(met).select("distance", "own", "kb", F.explode("ka").alias("x")).select("distance", "own", "x", F.explode("kb").alias("y"))
+    return pairs.where("IF(own, x < y, x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def near_classes(rows: DataFrame, key: str, name: str, most: int = 2, block: int = 1) -> DataFrame:

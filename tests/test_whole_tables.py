@@ -131,3 +131,16 @@ def test_cells_of_broken_quantities(spark, tmp_path, name):
     want = c.execute(entry.oracle_sql()[name]).fetchall()
     got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path / "x")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 500
+
+
+@pytest.mark.parametrize("keys", [3, 4_000])
+@pytest.mark.parametrize("name, head", [("edit_distance_join", 3)])
+def test_edit_distance_whole_pairs(spark, tmp_path, monkeypatch, name, head, keys):
+    """Every pair of parts has its row, copies of a name too, whether a name's keys are one block or many."""
+    monkeypatch.setattr("tessera.operators.lookup.KEYS", keys)
+    names = ["steel bolt", "steel bold", "steal bolt", "brass nut", "steel bolt", None, "", "a", "ab", "steel bolts", "brass nut, of a kind with a long name", "brass nut, of a kynd with a long name"]
+    part = [((i * 37) % 101, names[i % len(names)]) for i in range(100)] + [(None, "brass nut")]
+    sf = save(spark, tmp_path, "part", part, "p_partkey long, p_name string")
+    got = [tuple(r) for r in entry.queries()[name](spark, sf).collect()]
+    known = [x for x in sorted(part[:-1]) if x[1] is not None]
+    assert sorted(got) == sorted((a, b, d) for (a, x), (b, y) in combinations(known, 2) if x[:head] == y[:head] and (d := edits(x, y)) <= 2)
