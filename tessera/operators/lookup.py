@@ -16,8 +16,8 @@ from tessera.sources.shared import dealt, spread, written
 
 Tier = Callable[[DataFrame], DataFrame]
 
-#: About how many keys of one name stand in a block of `near_pairs`.
-KEYS = 4_000
+#: About how many keys of one name stand in a block of `near_pairs`; the pairs of two blocks (the square of it) are in memory at a time, as generated code hands on the rows made from one row together.
+KEYS = 500
 
 
 def first_per(rows: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
@@ -82,18 +82,6 @@ def near_pairs(rows: DataFrame, key: str, name: str, most: int = 2, block: int =
     return pairs.where("IF(own, x < y, x <> y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def near_classes(rows: DataFrame, key: str, name: str, most: int = 2, block: int = 1) -> DataFrame:
-    """The pairs of `near_pairs` in a form that does not grow with copies: (a, b, distance).
-
-    Rows of one name are a class, told by its least key. A row of distance 0 says that b is a further member of the class a; one of a greater distance, that all
-    members of the classes a < b are so far apart. Names within `most` edits that begin alike are all linked; null names are in no class.
-    """
-    known = rows.select(F.col(key).alias("key"), F.col(name).alias("name")).where("key IS NOT NULL AND name IS NOT NULL")
-    classes = written(known.groupBy("name").agg(F.min("key").alias("least")), "classes")
-    members = known.join(classes, "name").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"), F.lit(0).cast("long").alias("distance"))
-    return near_pairs(classes, "least", "name", most, block).unionByName(members)
-
-
 def pairs_within(rows: DataFrame, group: str, item: str, rules: DataFrame) -> DataFrame:
     """Rules (a, b) of which both items stand in a group, each once.
 

@@ -133,8 +133,8 @@ def test_cells_of_broken_quantities(spark, tmp_path, name):
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 500
 
 
-@pytest.mark.parametrize("keys", [3, 4_000])
-@pytest.mark.parametrize("name, head", [("edit_distance_join", 3)])
+@pytest.mark.parametrize("keys", [3, 500])
+@pytest.mark.parametrize("name, head", [("edit_distance_join", 3), ("edit_distance_pairs", 1)])
 def test_edit_distance_whole_pairs(spark, tmp_path, monkeypatch, name, head, keys):
     """Every pair of parts has its row, copies of a name too, whether a name's keys are one block or many."""
     monkeypatch.setattr("tessera.operators.lookup.KEYS", keys)
